@@ -3,8 +3,9 @@
 A rule rejects a text whose statistic lies above a cutoff. Each stratum (language) gets
 its own cutoffs from labelled rows, split in two by the crc32 of their id:
 
-* One half designs a path: every (rule, cutoff) that rejects some bad text, ordered by the
-  share of good texts it rejects. Walking the path tightens the verdict step by step.
+* One half designs a path: the (rule, cutoff) pairs ordered by the share of good texts they
+  reject, without those that reject no bad text beyond the ones before. Walking the path
+  tightens the verdict step by step.
 * The other half is held out. For each prefix of the path the exact binomial
   (Clopper-Pearson) upper bound on the share of good texts that the *whole verdict* rejects
   must be at most `risk`. Prefixes are tested in order and the walk stops before the first
@@ -156,13 +157,11 @@ def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", id_c
         paths[row["s"]] = [steps[j] for _, _, j in order]
     if not paths:
         return {}
-    first = F.lit(None).cast("int")
-    for s, path in paths.items():
-        hit = [F.when(F.col(r) > c, F.lit(j)) for j, (r, c) in enumerate(path)]
-        if hit:
-            first = F.when(F.col("s") == s, F.least(*hit) if len(hit) > 1 else hit[0]).otherwise(first)
+    # A step that rejects no bad text beyond those before it could only cost good ones.
+    caught = {(r["s"], r["first"]) for r in rows.filter("design and q = 0").groupBy("s", _first(paths).alias("first")).count().collect()}
+    paths = {s: [step for j, step in enumerate(path) if (s, j) in caught] for s, path in paths.items()}
     held: dict[str, dict[int | None, int]] = {}
-    for row in rows.filter("not design and q = 1").groupBy("s", first.alias("first")).count().collect():
+    for row in rows.filter("not design and q = 1").groupBy("s", _first(paths).alias("first")).count().collect():
         held.setdefault(row["s"], {})[row["first"]] = row["count"]
     delta = (1 - confidence) / len(paths)
     cutoffs: dict[str, dict[str, float]] = {}
@@ -177,6 +176,16 @@ def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", id_c
     return cutoffs
 
 
+def _first(paths: dict[str, list[tuple[str, float]]]) -> Column:
+    """The first step on the path of its stratum that rejects a row; null if none does."""
+    first = F.lit(None).cast("int")
+    for s, path in paths.items():
+        hit = [F.when(F.col(rule) > c, F.lit(j)) for j, (rule, c) in enumerate(path)]
+        if hit:
+            first = F.when(F.col("s") == s, F.least(*hit) if len(hit) > 1 else hit[0]).otherwise(first)
+    return first
+
+
 def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", counts: str = "__counts") -> Column:
     """True for texts that pass the base test and every cutoff of their stratum."""
     stats = rule_statistics(counts)
