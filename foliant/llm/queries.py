@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import counts, decontaminate, pieces, rules, tokenio
+from foliant.llm import counts, decontaminate, gam, pieces, rules, tokenio, toxicity
 from foliant.llm.storage import fresh_path
 
 
@@ -28,6 +28,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -43,5 +47,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pieces, op5_rules, op6_token_counts, op8_token_files)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pieces, op4_quality, op5_rules, op6_token_counts, op8_token_files, op10_toxicity)}
 ORACLE: dict[str, str] = {}
