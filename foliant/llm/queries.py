@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import counts, decontaminate, gam, pieces, rules, tokenio, toxicity
+from foliant.llm import counts, decontaminate, gam, jaccard, pieces, rules, tokenio, toxicity
 from foliant.llm.storage import fresh_path
 
 
@@ -24,6 +24,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), percent=85, size=4)
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -51,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pieces, op4_quality, op5_rules, op6_token_counts, op8_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_pieces, op4_quality, op5_rules, op6_token_counts, op8_token_files, op10_toxicity)}
 ORACLE: dict[str, str] = {}
