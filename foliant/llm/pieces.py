@@ -32,8 +32,15 @@ from pyspark.sql import DataFrame
 from foliant.llm.batches import id_and_text, map_texts, texts_of
 
 SPACE = "▁"
-#: Segments whose encoding a worker keeps; a full cache is emptied.
-CACHE_SEGMENTS = 250_000
+#: Hardly a piece joins a letter with another character than spaces before it, so that segments can be cut there.
+_LETTER = re.compile(r"[^\W\d_]")
+_MIXED = re.compile(rf"[^\W\d_][\W\d_]|[^{SPACE}\w][^\W\d_]|[\d_][^\W\d_]")
+_CLASSES = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*[\d_]+(?:[\d_]|[^\w{SPACE}])*|{SPACE}*[^\w{SPACE}](?:[\d_]|[^\w{SPACE}])*|{SPACE}+").findall
+#: Segments whose encoding a worker keeps in each of two generations; when the young one is
+#: full it becomes the old one, and what is used again moves back.
+CACHE_SEGMENTS = 150_000
+#: Pairs of pieces whose compatibility a worker keeps.
+CACHE_PAIRS = 1_000_000
 #: Longer segments are encoded each time.
 CACHE_CHARS = 64
 
@@ -69,17 +76,24 @@ class Pieces:
             else:
                 self.raw.append(p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else model.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else _CUT)
             self.leads.append(p.type == _NORMAL and p.piece.startswith(SPACE))
+        #: Characters of the few pieces that do join the two classes; segments that hold one are not cut.
+        mixed = {c for p in self.id if _MIXED.search(p) for c in p if _LETTER.match(c)}
+        self.uncut = re.compile("[" + re.escape("".join(sorted(mixed))) + "]" if mixed else "(?!)").search
         #: Pieces that merging can produce from their own characters.
-        reachable = [p for p in self.id if len(p) == 1 or self.merge(p) == [p]]
+        reachable = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
+        self.piece = [p.piece for p in model.pieces]
+        self.size = [len(p) for p in self.piece]
         self.automaton = ahocorasick.Automaton()
         for p in reachable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, self.id[p])
         self.automaton.make_automaton()
-        known = set(reachable)
-        #: The longest proper prefix of a piece that is a piece itself.
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), None) for p in reachable}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: By id, the longest proper prefix that is a piece itself; -1 for none.
+        self.shorter = [-1] * len(self.piece)
+        for p in reachable:
+            self.shorter[self.id[p]] = next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reachable), -1)
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.aged: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merges characters as the model orders it: best score first, the leftmost of equals. Slow; for short texts."""
@@ -94,73 +108,73 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fit(self, left: str, right: str) -> bool:
-        key = (left, right)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > CACHE_SEGMENTS:
-                self.fits.clear()
-            ok = self.fits[key] = self.merge(left + right) == [left, right]
+    def _fit(self, left: int, right: int) -> bool:
+        if len(self.fits) > CACHE_PAIRS:
+            self.fits.clear()
+        a, b = self.piece[left], self.piece[right]
+        ok = self.fits[left << 20 | right] = self.merge(a + b) == [a, b]
         return ok
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a normalised text, by backtracking."""
+    def split(self, text: str) -> list[int]:
+        """The ids of a normalised text, by backtracking; a character without a piece is -1 less its code point."""
         n = len(text)
-        longest: list[str | None] = [None] * n
-        for end, piece in self.automaton.iter(text):
-            first = end - len(piece) + 1
-            had = longest[first]
-            if had is None or len(had) < len(piece):
-                longest[first] = piece
-        fits, shorter, fit = self.fits, self.shorter, self._fit
+        size, shorter, fits, fit = self.size, self.shorter, self.fits, self._fit
+        longest = [-1] * (n + 1)
+        for end, i in self.automaton.iter(text):
+            longest[end - size[i] + 1] = i  # a later end at the same start is a longer piece
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at = 0
-        take = longest[0] or text[0] if n else ""
+        out: list[int] = []
+        at, last, take, fresh = 0, -1, longest[0], True
         while at < n:
-            last = out[-1] if out else None
-            while take is not None:
-                end = at + len(take)
+            while take >= 0:
+                end = at + size[take]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    if last is None:
+                    if last < 0:
                         break
-                    ok = fits.get((last, take))
+                    ok = fits.get(last << 20 | take)
                     if ok or (ok is None and fit(last, take)):
                         break
-                take = shorter.get(take)
-            if take is None:
-                failed[at >> 3] |= 1 << (at & 7)
-                if not out:
-                    raise AssertionError("a text without an encoding")
-                take = out.pop()
-                at -= len(take)
-                take = shorter.get(take)
-            else:
+                take = shorter[take]
+            if take >= 0:
                 out.append(take)
-                at += len(take)
-                if at < n:
-                    take = longest[at] or text[at]
+                last, at = take, end
+                take, fresh = longest[at], True
+            elif fresh and longest[at] < 0 and not failed[(at + 1) >> 3] >> ((at + 1) & 7) & 1:
+                last = -1 - ord(text[at])  # no piece starts here: the character stands alone and joins nothing
+                out.append(last)
+                at += 1
+                take = longest[at]
+            else:
+                failed[at >> 3] |= 1 << (at & 7)
+                last = out.pop()
+                at -= size[last] if last >= 0 else 1
+                take, fresh = (shorter[last] if last >= 0 else -1), False
+                last = out[-1] if out else -1
         return out
 
     def _ids(self, segment: str) -> tuple[int, ...]:
         ids: list[int] = []
-        for p in self.split(segment):
-            i = self.id.get(p)
-            if i is None:
-                ids.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
+        for i in self.split(segment):
+            if i >= 0:
                 ids.append(i)
+            else:
+                ids.extend(self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
         return tuple(ids)
 
     def _segment(self, segment: str) -> tuple[tuple[int, ...], str]:
-        hit = self.cache.get(segment)
+        hit = self.aged.get(segment)
         if hit is None:
-            ids = self._ids(segment)
-            hit = (ids, ",".join(map(str, ids)))
-            if len(segment) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_SEGMENTS:
-                    self.cache.clear()
-                self.cache[segment] = hit
+            parts = [segment] if self.uncut(segment) else _CLASSES(segment)
+            if len(parts) > 1:
+                found = [self.cache.get(p) or self._segment(p) for p in parts]
+                hit = tuple(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
+            else:
+                ids = self._ids(segment)
+                hit = ids, ",".join(map(str, ids))
+        if len(segment) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_SEGMENTS:
+                self.aged, self.cache = self.cache, {}
+            self.cache[segment] = hit
         return hit
 
     def encode(self, text: str) -> list[int]:
