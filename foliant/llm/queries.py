@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import counts, decontaminate, gam, jaccard, pieces, rules, tokenio, toxicity
+from foliant.llm import counts, decontaminate, gam, jaccard, linededup, pieces, revisits, rules, sql, tokenio, toxicity
 from foliant.llm.storage import fresh_path
 
 
@@ -45,15 +45,32 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("record_id", "canonical", "outcome", "refers_to", headers.alias("headers"), "digest", "length")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ids")
     tokenio.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return tokenio.digests(spark, path)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.with_removals(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("near").cast("long").alias("n_near"), F.array_sort(F.concat("equal", "near")).alias("removed"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_pieces, op4_quality, op5_rules, op6_token_counts, op8_token_files, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_pieces, op4_quality, op5_rules, op6_token_counts, op7_revisits, op8_token_files, op9_lines, op10_toxicity, pipeline)}
+ORACLE: dict[str, str] = sql.ORACLE
