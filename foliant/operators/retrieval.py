@@ -52,13 +52,25 @@ def count_eligible(chunks: DataFrame, convenio_id: int | None = None, include_na
     return chunks.filter(eligible(convenio_id, include_national_law, statuses, as_of)).agg(F.count("*").alias("eligible"))
 
 
-def batch_eligible() -> Column:
-    """The scope predicate between a request (aliased q) and a chunk (aliased c), of which anything may be null."""
-    scope = (F.col("c.convenio_id") == F.col("q.convenio_id")) | (F.col("q.include_national_law") & (F.col("c.authority_level") == "national_law"))
+def _live() -> Column:
+    """Status and validity between a request (aliased q) and a chunk (aliased c), of which anything may be null."""
     day = F.col("q.as_of_date")
     start = day.isNull() | F.col("c.validity_start").isNull() | (F.col("c.validity_start") <= day)
     end = day.isNull() | F.col("c.validity_end").isNull() | (F.col("c.validity_end") >= day)
-    return scope & F.array_contains("q.statuses", F.col("c.retrieval_status")) & start & end
+    return F.array_contains("q.statuses", F.col("c.retrieval_status")) & start & end
+
+
+def batch_pairs(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The eligible pairs of chunks (c) and requests (q), which are broadcast.
+
+    The scope is a disjunction; its halves are a hash join on the agreement and, for national law alone, a
+    join of that part of the chunks with the requests that want it."""
+    c, q = chunks.alias("c"), F.broadcast(requests.alias("q"))
+    same = F.col("c.convenio_id") == F.col("q.convenio_id")
+    own = c.join(q, same & _live())
+    law = c.filter("authority_level = 'national_law'").join(F.broadcast(requests.filter("include_national_law").alias("q")), ~F.coalesce(same, F.lit(False)) & _live())
+    columns = ["q.req_id", "q.k", "q.query_vec", "c.embedding", *[f"c.{x}" for x in HIT]]
+    return own.select(*columns).unionByName(law.select(*columns))
 
 
 def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
@@ -68,13 +80,14 @@ def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     the ranking keeps each task's best before it shuffles."""
     n = requests.count()
     parts = max(1, -(-n // BLOCK_REQUESTS))
+    most = requests.agg(F.max("k")).first()[0] or 0
     out = None
     for p in range(parts):
         block = requests if parts == 1 else requests.filter(F.pmod(F.xxhash64("req_id"), F.lit(parts)) == p)
-        pairs = chunks.alias("c").join(F.broadcast(block.alias("q")), batch_eligible())
-        pairs = pairs.select("q.req_id", "q.k", *[f"c.{x}" for x in HIT], vectors.cosine_distance(F.col("c.embedding"), F.col("q.query_vec")).alias("distance"))
+        pairs = batch_pairs(chunks, block).withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vec"))).drop("embedding", "query_vec")
         rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
-        found = pairs.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
+        # The constant limit is what lets each task keep its own best before the shuffle.
+        found = pairs.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k")))
         out = found if out is None else out.unionByName(found)
     return out.select("req_id", "rank", *HIT, F.round(1 - F.col("distance"), 6).alias("score"))
 
