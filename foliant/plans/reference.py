@@ -237,7 +237,7 @@ def json_props(spark, sf_dir):
 SELECT n, l[CAST(floor(n * 0.5) AS BIGINT) + 1] AS median, l[CAST(floor(n * 0.9) AS BIGINT) + 1] AS p90, l[CAST(floor(n * 0.95) AS BIGINT) + 1] AS p95, l[CAST(floor(n * 0.99) AS BIGINT) + 1] AS p99, l[n] AS max,
 """ + ", ".join(f"len(list_filter(l, lambda x: x > {t})) AS over_{t}" for t in analytics.THRESHOLDS) + ", len(list_filter(l, lambda x: x > 800 AND x <= 1024)) AS band_800_1024 FROM s")
 def token_distribution(spark, sf_dir):
-    return analytics.distribution(table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("t")), "t")
+    return analytics.distribution(table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).cast("long").alias("t")), "t")
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, count(*) AS chunks, count(*) FILTER (language = 'es') AS es, count(*) FILTER (language = 'eu') AS eu FROM chunks GROUP BY document_id")
@@ -258,7 +258,7 @@ def replace_document(spark, sf_dir):
     return store.replaced(old, spark.createDataFrame([(3,), (5,), (99999,)], "document_id long"), new)
 
 
-@query(f"""WITH {CHUNKS} SELECT c.document_id, c.chunk_index, c.page_from, c.page_to, c.content, coalesce(length(c.content), 0) AS token_count, round(c.embedding[1], 6) AS e1, c.document_id % 4 AS sector_id FROM chunks c""")
+@query(f"""WITH {CHUNKS} SELECT c.document_id, c.chunk_index, c.page_from, c.page_to, c.content, CAST(coalesce(length(c.content), 0) AS INT) AS token_count, round(CAST(c.embedding[1] AS DOUBLE), 6) AS e1, c.document_id % 4 AS sector_id FROM chunks c""")
 def insert_with_scope(spark, sf_dir):
     c = chunks(spark, sf_dir)
     made = c.select("document_id", "chunk_index", "page_from", "page_to", "content", F.length("content").alias("token_count"))
@@ -393,7 +393,7 @@ w AS (SELECT g.*, x0 - lag(x1) OVER (PARTITION BY doc_id, page, block_no, line_n
 t AS (SELECT doc_id, page, block_no, line_no, string_agg(CASE WHEN gap THEN ' ' ELSE '' END || c, '' ORDER BY glyph_no) AS text, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, page, block_no, line_no, text, CAST(CASE WHEN n > 1 THEN len(list_filter(string_split(text, ' '), lambda x: length(x) > 28)) ELSE 0 END AS INT) AS long_tokens FROM t""")
 def despace_lines(spark, sf_dir):
-    return layout.lines(spark.createDataFrame(GLYPH_ROWS, "doc_id long, page int, block_no int, line_no int, glyph_no int, c string, x0 double, x1 double"))
+    return layout.lines(spark.createDataFrame(GLYPH_ROWS, "doc_id int, page int, block_no int, line_no int, glyph_no int, c string, x0 double, x1 double"))
 
 
 @query("SELECT 1 AS doc_id, 0 AS block_no, 'hit zamena puz' AS text UNION ALL SELECT 1, 1, 'X' UNION ALL SELECT 1, 2, 'ab c' UNION ALL SELECT 2, 0, repeat('x', 30)")
@@ -479,7 +479,7 @@ CELLS = "wb_id, sheet_no, sheet, row_no, col_no, v, v_type"
 
 
 def cells(spark) -> DataFrame:
-    return spark.createDataFrame(CELL_ROWS, "wb_id long, sheet_no int, sheet string, row_no int, col_no int, v string, v_type string")
+    return spark.createDataFrame(CELL_ROWS, "wb_id int, sheet_no int, sheet string, row_no int, col_no int, v string, v_type string")
 
 
 _MONEY_SQL = "(" + ",".join("'" + m.replace("'", "''") + "'" for m in salary.MONEY) + ")"
@@ -566,7 +566,7 @@ _EXPECTED = [
 
 
 def answer_rows(spark) -> DataFrame:
-    return spark.createDataFrame(_ANSWERS, f"turn_id long, question string, raw_text string, {_CHUNK}")
+    return spark.createDataFrame(_ANSWERS, f"turn_id int, question string, raw_text string, {_CHUNK}")
 
 
 @query(f"SELECT * FROM {_values(_EXPECTED, 'turn_id, answer, cited, citation_count, top_chunk_score, confidence, authorities, parse_error, grounded')}")
@@ -591,7 +591,7 @@ _ROUTES = [(1, '{"label": " Salary ", "confidence": 0.8, "subqueries": [" a ", "
 
 @query(f"SELECT * FROM {_values([(1, 'salary', 0.8, 'a|b', 'llm'), (2, 'prose', 0.0, '', 'llm'), (3, 'prose', 0.0, '', 'router_parse_error'), (4, 'off_domain', 0.0, '', 'llm'), (5, 'prose', 1.0, '', 'llm')], 'turn_id, label, confidence, subqueries, reason')}")
 def router_normalise(spark, sf_dir):
-    return answers.route(spark.createDataFrame(_ROUTES, "turn_id long, raw_text string")).withColumn("subqueries", F.array_join("subqueries", "|"))
+    return answers.route(spark.createDataFrame(_ROUTES, "turn_id int, raw_text string")).withColumn("subqueries", F.array_join("subqueries", "|"))
 
 
 _GATES = [
@@ -606,7 +606,7 @@ _GATES = [
 @query(f"SELECT * FROM {_values([(1, 2, 1, 1, '', 'checked', True), (2, 1, 0, 1, '', 'checked', False), (3, 2, 2, 0, 'c', 'checked', False), (4, 1, 1, 0, '', 'checked', True), (5, 0, 0, 0, '<grounding check truncated>', 'grounding_truncated', False), (6, 0, 0, 0, '<grounding check unparseable>', 'parse_error', False)], 'turn_id, n_claims, substantive_count, provenance_count, ungrounded, outcome, grounded')}")
 def claim_gate(spark, sf_dir):
     rows = [(t, json.dumps({"claims": c, "all_grounded": True}), s) for t, c, s in _GATES] + [(6, "{broken", "end_turn")]
-    out = answers.claim_gate(spark.createDataFrame(rows, "turn_id long, raw_text string, stop_reason string"))
+    out = answers.claim_gate(spark.createDataFrame(rows, "turn_id int, raw_text string, stop_reason string"))
     return out.select("turn_id", F.size("claims").alias("n_claims"), "substantive_count", "provenance_count", F.array_join("ungrounded", "|").alias("ungrounded"), "outcome", "grounded")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from foliant.config import DEFAULT, Settings
+from foliant.shipping import ship
 
 
 class Embedder(ABC):
@@ -90,6 +91,7 @@ def embedded(rows: DataFrame, text_col: str = "content", factory: Callable[[], E
                 v = model.embed([t or "" for t in part.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(v), pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -119,6 +121,7 @@ def asked(prompts: DataFrame, call: str, api_key: str, factory: Callable[[], Ans
 
     if call not in ("synthesise", "classify", "ground"):
         raise ValueError(f"unknown call {call}")
+    ship(prompts.sparkSession)
     return prompts.select("turn_id", "prompt").mapInArrow(run, "turn_id long, raw_text string, stop_reason string, error string")
 
 
@@ -142,6 +145,7 @@ def parsed_pages(objects: DataFrame, factory: Callable[[], PageParser]) -> DataF
                     kinds = (pa.string(), pa.int32(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "page_number", "text", "image"])
 
+    ship(objects.sparkSession)
     return objects.select("path", "content").mapInArrow(run, "path string, page_number int, text string, image binary")
 
 
@@ -159,4 +163,5 @@ def parsed_layout(objects: DataFrame, factory: Callable[[], PageParser]) -> Data
             rows = [(path, p["page_number"], p.get("boxes", []), p.get("glyphs", [])) for path, content in zip(frame["path"], frame["content"], strict=True) for p in parser.pages(content)]
             yield pd.DataFrame(rows, columns=["path", "page", "boxes", "glyphs"])
 
+    ship(objects.sparkSession)
     return objects.select("path", "content").mapInPandas(run, schema)

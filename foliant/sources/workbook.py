@@ -1,5 +1,6 @@
 """Workbooks (.xlsx) as a Spark data source: one row for each cell.
 
+    ship(spark)
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").load(path)
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from foliant.shipping import ship
+
 CELL_SCHEMA = "wb_id long, sheet_no int, sheet string, row_no int, col_no int, v string, v_type string"
 # The namespaces of the format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -125,6 +128,7 @@ def cells_of(objects: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in CELL_SCHEMA.split(", ")])
 
+    ship(objects.sparkSession)
     return objects.select(F.xxhash64("path").alias("wb_id"), "content").mapInArrow(run, CELL_SCHEMA)
 
 
