@@ -8,18 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from foliant.shipping import ship
+
 #: Rows that one call of a batch function sees at most; bounds what a Python worker holds.
 SLICE_ROWS = 2048
 #: Bytes of text in one slice, beyond which it is cut further (a single text is never cut).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds few rows and few bytes of `column`."""
     step = SLICE_ROWS
     if batch.num_rows:
         mean = batch.column(column).nbytes / batch.num_rows
-        step = max(1, min(SLICE_ROWS, int(SLICE_BYTES / max(mean, 1))))
+        step = max(1, min(SLICE_ROWS, int(most / max(mean, 1))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
@@ -32,6 +34,7 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
             for part in slices(batch, column):
                 yield fn(part)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,23 +24,30 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.batches import id_and_text, map_texts, slices, texts_of
+from foliant.shipping import ship
 
 #: Pre-tokens in the broadcast table, and the length beyond which one is never put there.
 FREQUENT = 32_768
 FREQUENT_BYTES = 32
 #: Pre-tokens in the cache of a worker; a full cache is emptied.
-CACHE = 300_000
+CACHE = 250_000
 
 # The split pattern of byte-level BPE vocabularies of this kind, and the
 # characters outside which Unicode versions of the two libraries may disagree.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNSURE = re.compile("[^\x00-՗֐-ࢎ࢐-౛ౝ-೛ೝ-₎ₐ-ₜ₠-ꟍꟲ-꭫꭮-퟿-￿\U0001f000-\U0002b738]")
 
+# The same pattern for the plain library, which is faster, and the characters on whose class the two agree.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_LATIN_SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{_LETTERS}]+| ?[0-9]+|\s+(?!\S)|\s+").findall
+_NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+
 
 class ByteBpe:
     """A byte-level BPE tokenizer file and the caches of one worker process."""
@@ -48,6 +55,7 @@ class ByteBpe:
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,20 +63,89 @@ class ByteBpe:
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
             raise ValueError("only byte-level BPE without a normaliser or a leading space is known")
         self.tokenizer = Tokenizer.from_file(file)
+        m = spec["model"]
+        if not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            # The model without its own cache, which only costs where each word is encoded once.
+            self.tokenizer.model = BPE(m["vocab"], [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]], cache_capacity=0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.split = regex.compile(PATTERN).findall
+        #: By id, whether the token begins with a space.
+        self.leads = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.leads[[i for t, i in spec["model"]["vocab"].items() if t[0] == "\u0120"]] = True
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special) if special else r"(?!)")
         self.lengths: dict[str, int] = {}
-        self.units: dict[str, bytes] = {}
+        self.slots = _Slots()
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> bool:
-        """Whether a text must be given whole to the tokenizer."""
-        return (not text.isascii() and _UNSURE.search(text) is not None) or self.special.search(text) is not None
+    def cut(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text; None if it must be given whole to the tokenizer."""
+        if self.special.search(text):
+            return None
+        if _NOT_LATIN.search(text) is None:
+            return _LATIN_SPLIT(text)
+        return None if _UNSURE.search(text) else self.split(text)
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each pre-token with its ids as little-endian unsigned 32-bit integers.
+
+        Many are encoded in one text. Those that begin with a space follow each other: where a token begins with a
+        space, the next begins. Those without white space are put on lines of their own."""
+        spaced, plain, rest = [], [], []
+        for w in words:
+            (spaced if w[0] == " " and w[-1] != " " and "\n" not in w else rest if w[0].isspace() else plain).append(w)
+        for many, joint in ((spaced, ""), (plain, "\n")):
+            for at in range(0, len(many), 4096):
+                parts = [many[k : k + 128] for k in range(at, min(at + 4096, len(many)), 128)]
+                for part, ids in zip(parts, self.encode_all([joint.join(p) for p in parts]), strict=True):
+                    ids = np.asarray(ids, "<u4")
+                    cut = np.flatnonzero(ids == self.newline) * 4 if joint else np.flatnonzero(self.leads[ids])[1:] * 4
+                    if len(cut) == len(part) - 1:
+                        raw, cut, skip = ids.tobytes(), cut.tolist(), 4 * len(joint)
+                        yield from zip(part, [raw[a:b] for a, b in zip([0, *[c + skip for c in cut]], [*cut, len(raw)])])
+                    else:
+                        rest += part
+        yield from zip(rest, [np.asarray(i, "<u4").tobytes() for i in self.encode_all(rest)])
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, through a cache of two generations."""
+        if len(self.slots) > CACHE:
+            self.slots = _Slots(self.slots)
+        slots = self.slots
+        find = slots.__getitem__
+        cuts = [self.cut(t) for t in texts]
+        places = [None if c is None else list(map(find, c)) for c in cuts]
+        for w, ids in self.encode_words(list(slots.new)):
+            slots.ids[slots.new[w]] = ids
+        slots.new = {}
+        get = slots.ids.__getitem__
+        return [np.asarray(self.encode_all([t])[0], "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, places, strict=True)]
+
+
+class _Slots(dict):
+    """Pre-tokens and the place of their ids in a list. One that is not there gets a place and is noted as new, or
+    comes over from the generation before."""
+
+    def __init__(self, before: "_Slots | None" = None):
+        super().__init__()
+        self.ids: list[bytes] = []
+        self.new: dict[str, int] = {}
+        self.aged: dict[str, int] = dict(before) if before else {}
+        self.aged_ids = before.ids if before else []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self.ids)
+        old = self.aged.get(word)
+        if old is None:
+            self.new[word] = place
+            self.ids.append(b"")
+        else:
+            self.ids.append(self.aged_ids[old])
+        return place
 
 
 _MODELS: dict[str, ByteBpe] = {}
@@ -102,12 +179,13 @@ def frequent(texts: DataFrame, file: str, size: int = FREQUENT) -> dict[str, int
         for batch in batches:
             for part in slices(batch, "text"):
                 for text in texts_of(part):
-                    counts.update(bpe.split(text))
+                    counts.update(bpe.cut(text) or ())
                 if len(counts) > 8 * size:
                     counts = _prune(counts, size)
         kept = [(w, c) for w, c in _prune(counts, size).items() if len(w.encode("utf-8", "surrogatepass")) <= FREQUENT_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in kept]], pa.list_(pa.string())), pa.array([[c for _, c in kept]], pa.list_(pa.int64()))], ["words", "counts"])
 
+    ship(texts.sparkSession)
     rows = texts.select("text").mapInArrow(summary, "words array<string>, counts array<long>").rdd
     total = rows.map(lambda r: Counter(dict(zip(r["words"], r["counts"], strict=True)))).treeReduce(lambda a, b: _merge(a, b, size), depth=3)
     words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
@@ -126,7 +204,7 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         bpe, first = model(file), table.value
         second = bpe.lengths
         rows = texts_of(batch)
-        cut = [None if bpe.whole(t) else bpe.split(t) for t in rows]
+        cut = [bpe.cut(t) for t in rows]
         new: set[str] = set()
         for words in cut:
             if words:
@@ -137,7 +215,7 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
                 second.clear()
                 new = {w for words in cut if words for w in set(words).difference(first)}
             made = list(new)
-            second.update(zip(made, map(len, bpe.encode_all(made)), strict=True))
+            second.update((w, len(i) // 4) for w, i in bpe.encode_words(made))
         n_tokens = []
         for text, words in zip(rows, cut, strict=True):
             if words is None:

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.shipping import ship
+
 #: Used where spark.checkpoint.dir is unset, and then only when the executors are in this machine.
 LOCAL_DIR = "/tmp/checkpoints"
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that was never used; the files under a local master go when Python ends."""
+    ship(spark)
     path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)

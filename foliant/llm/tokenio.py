@@ -15,10 +15,9 @@ written. Extra columns are not.
 
 from __future__ import annotations
 
-import re
+import gc
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliant.llm.batches import id_and_text, slices, texts_of
-from foliant.llm.counts import CACHE, ByteBpe, model
+from foliant.llm.counts import model
 
 FILE_SCHEMA = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
@@ -35,57 +34,29 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
-    "compression": "zstd",
+    "compression": "lz4",
 }
-# A space before white space or the end: there, cutting at spaces would split a run.
-_RUN = re.compile(r" (?:\s|\Z)")
-
-
-def _encoded(bpe: ByteBpe, texts: list[str]) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers.
-
-    A space begins a new pre-token unless white space follows it, so a text without such
-    runs is the concatenation of units cut before each space, encoded once each."""
-    cache = bpe.units
-    cut: list[list[str] | None] = []
-    new: set[str] = set()
-    for t in texts:
-        if bpe.special.search(t) or _RUN.search(t):
-            cut.append(None)
-            continue
-        units = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-        cut.append(units)
-        if units:
-            new.update(units)
-    wanted = new
-    new = new.difference(cache)
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = wanted
-    made = list(new)
-    cache.update(zip(made, (np.asarray(i, "<u4").tobytes() for i in bpe.encode_all(made)), strict=True))
-    get = cache.__getitem__
-    return [np.asarray(bpe.encode_all([t])[0], "<u4").tobytes() if u is None else b"".join(map(get, u)) for t, u in zip(texts, cut, strict=True)]
-
 
 def write_ids(docs: DataFrame, path: str, file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes all texts, appends `end_id` to each, and writes them under `path` in ascending order of id."""
-    key = F.xxhash64("text").alias("tie")
-    ordered = id_and_text(docs, id_col, text_col).withColumn("tie", key).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = model(file), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                ids = [x + end for x in _encoded(bpe, texts_of(piece))]
-                sizes = [len(x) // 4 for x in ids]
-                bounds = list(accumulate(sizes, initial=0))
-                flat = pa.Array.from_buffers(pa.int32(), bounds[-1], [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array([at + b for b in bounds[:-1]], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "part", "offset", "n_tokens", "ids"])
-                at += bounds[-1]
+        gc.disable()  # what is made here are strings, bytes and flat lists, without cycles
+        try:
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    ids = bpe.encode_bytes(texts_of(piece))
+                    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+                    bounds = np.concatenate([[0], np.cumsum(sizes)])
+                    flat = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(end.join([*ids, b""]))])
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(at + bounds[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "part", "offset", "n_tokens", "ids"])
+                    at += int(bounds[-1])
+        finally:
+            gc.enable()
 
     ordered.drop("tie").mapInArrow(run, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
