@@ -46,10 +46,12 @@ THETA = np.uint64(int(0.35 * 2**64))
 SMALL_TEST = 64
 #: Postings in a bucket and in a sub-block, on average.
 BUCKET, SUB_BLOCK = 1 << 20, 120_000
+#: Bytes of text in a chunk (a single text is never cut); its row stays well below what the JVM treats as huge.
+CHUNK_BYTES = 512 << 10
 #: Bits of the filter that spares texts without a candidate a second reading; of fixed size.
 FILTER_BITS = 1 << 26
 #: Words whose hash a worker keeps; a full cache is emptied.
-CACHE = 400_000
+CACHE = 250_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -103,7 +105,7 @@ def _chunks(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CHUNK_BYTES):
                 sets = [shingles(t, size) for t in bytes_of(part)]
                 posted = [_posted(s, percent) for s in sets]
                 names = ["chunk", "ids", "keys", "n", "posted", "cls", "hashes"]
