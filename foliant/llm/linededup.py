@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
+#: Bits of the filters that keep rows without a match out of shuffles; of fixed size, whatever the input.
+FILTER_BITS = 1 << 26
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
 COUNTED = " etaonirsldhucmpg"
 
@@ -47,42 +49,63 @@ def _rank() -> Column:
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     """First place (1-based) and length of segment i (from 1) of k + 1 in a line of that length; the last ones take what is left over."""
     base = F.floor(length / (k + 1)).cast("int")
-    short = (k + 1) - (length - base * (k + 1))
-    return (base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1).cast("int"), (base + (F.lit(i) > short).cast("int")).cast("int")
+    short = (k + 1) - length % (k + 1)
+    return base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1, base + (F.lit(i) > short).cast("int")
 
 
-def _keys(k: int) -> Column:
-    """The index keys of a line, then its probe keys; null where a substring would leave the line."""
-    n = F.length("line")
-    key = lambda length, i, at, size: F.xxhash64(length, F.lit(i), F.substring("line", at, size))
-    index = [key(n, i, *_segment(n, i, k)) for i in range(1, k + 2)]
-    probe = []
+def _places(k: int) -> list[tuple[int, int, int, Column, Column]]:
+    """(how much shorter the other line is, segment, shift, first place, length) of all keys of a line of length n.
+    The first k + 1 are its index keys, which are at once its probes without a shift among lines of its own length."""
+    n = F.col("n")
+    out = [(0, i, 0, *_segment(n, i, k)) for i in range(1, k + 2)]
     for less in range(k + 1):
-        length = n - less
         for i in range(1, k + 2):
-            at, size = _segment(length, i, k)
+            at, size = _segment(n - less, i, k)
             for d in range(max(1 - i, less - (k + 1 - i)), min(i - 1, less + (k + 1 - i)) + 1):
-                inside = (at + d >= 1) & (at + d + size - 1 <= n)
-                probe.append(F.when(inside, key(length, i, at + d, size)))
-    return F.array(*index, *probe)
+                if less or d:
+                    out.append((less, i, d, at + d, size))
+    return out
+
+
+def _keys(lines: DataFrame, k: int) -> DataFrame:
+    """(s, id, kind): the keys of each line; kind 0 is an index key, 1 one that only probes."""
+    places = _places(k)
+    cut = lines.select("h1", "line", F.length("line").alias("n"))
+    # Places are columns of their own, so that they are not computed again in each key.
+    cut = cut.select("h1", "line", "n", *[x.cast("int").alias(f"{c}{j}") for j, p in enumerate(places) for c, x in (("a", p[3]), ("b", p[4]))])
+    one = lambda j, less, i: F.when((F.col(f"a{j}") >= 1) & (F.col(f"a{j}") + F.col(f"b{j}") - 1 <= F.col("n")), F.xxhash64(F.col("n") - less, F.lit(i), F.substring(F.col("line"), F.col(f"a{j}"), F.col(f"b{j}"))))
+    keys = cut.select("h1", F.posexplode(F.array(*[one(j, less, i) for j, (less, i, *_) in enumerate(places)])).alias("at", "s"))
+    return keys.filter("s is not null").select("s", F.col("h1").alias("id"), F.when(F.col("at") > k, 1).otherwise(0).alias("kind"))
+
+
+def _marks(values: DataFrame) -> DataFrame:
+    """A bit filter of the column `x`: at most FILTER_BITS / 64 rows, whatever the input."""
+    bit = F.pmod("x", F.lit(FILTER_BITS))
+    return values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+
+
+def _marked(rows: DataFrame, column: str, marks: DataFrame) -> DataFrame:
+    """The rows whose value of `column` may be in the filter, which is broadcast: its size is bounded."""
+    hit = rows.withColumn("__bit", F.pmod(column, F.lit(FILTER_BITS))).withColumn("word", F.shiftright("__bit", 6)).join(F.broadcast(marks), "word")
+    return hit.filter(F.expr("shiftright(bits, cast(__bit & 63 as int)) & 1 = 1")).select(*rows.columns)
 
 
 def _near(lines: DataFrame, k: int) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different one within k edits."""
-    # In v the lowest bit tells a probe from an index key; the others are the line's hash.
-    tag = F.when(F.col("at") > k, 1).otherwise(0).cast("long")
-    keys = lines.select("h1", F.posexplode(_keys(k)).alias("at", "s")).filter("s is not null").select("s", F.shiftleft(F.shiftright("h1", 1), 1).bitwiseOR(tag).alias("v"))
-    line, kind = F.shiftright("v", 1), F.col("v").bitwiseAND(1)
-    shared = keys.groupBy("s").agg(F.min(line).alias("a"), F.max(line).alias("b"), F.min(kind).alias("c"), F.max(kind).alias("d")).filter("a <> b and c = 0 and d = 1").select("s")
-    hits = materialise(keys.join(shared, "s", "left_semi").select("s", line.alias("id"), kind.alias("probe")).distinct(), "keys")
-    texts = lines.withColumn("id", F.shiftright("h1", 1)).join(hits.select("id").distinct(), "id", "left_semi")
+    keys = _keys(lines, k)
+    shared = keys.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("kind").alias("c")).filter("a <> b and c = 0").select("s")
+    shared = materialise(shared, "shared")
+    # Inner joins with unique keys: a semi join would be pushed below the filter, and all rows would be shuffled.
+    hits = materialise(_marked(keys, "s", _marks(shared.select(F.col("s").alias("x")))).join(shared, "s").distinct(), "keys")
+    ids = materialise(hits.select("id").distinct(), "ids")
+    texts = _marked(lines.withColumn("id", F.col("h1")), "id", _marks(ids.select(F.col("id").alias("x")))).join(ids, "id")
     texts = texts.groupBy("id", "h1", "h2").agg(F.min(_rank()).alias("head"), F.first("line").alias("line"))
     texts = texts.select("*", F.length("line").alias("n"), *[(F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{j}") for j, c in enumerate(COUNTED)])
     rows = materialise(texts.join(hits, "id"), "lines")
     moved = lambda a, b: sum((F.abs(F.col(f"{a}.c{j}") - F.col(f"{b}.c{j}")) for j in range(len(COUNTED))), F.lit(0))
     found = []
-    for mine, other in ((1, 0), (0, 1)):
-        x, y = rows.filter(F.col("probe") == mine).alias("x"), rows.filter(F.col("probe") == other).alias("y")
+    for mine, other in (("kind = 0", "kind >= 0"), ("kind = 1", "kind = 0")):
+        x, y = rows.filter(mine).alias("x"), rows.filter(other).alias("y")
         same = (F.col("x.s") == F.col("y.s")) & (F.col("y.head") < F.col("x.head")) & (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (moved("x", "y") <= 2 * k)
         found.append(x.join(y, same & (F.levenshtein("x.line", "y.line", k) >= 0), "left_semi").select("h1", "h2"))
     return found[0].unionByName(found[1]).distinct()
@@ -92,13 +115,16 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     """A row for each document (id and text) with lines to remove: doc_id, key (hash of the text), the places (0-based,
     ascending) of the lines that equal an earlier one, and of those that are only near one."""
     lines = _lines(docs, id_col, text_col, min_chars)
-    near = _near(lines, max_edits).withColumn("near", F.lit(True)) if max_edits else None
-    heads = lines.groupBy("h1", "h2").agg(F.min(_rank()).alias("head"), F.count("*").alias("times"))
-    if near is not None:
-        heads = heads.join(near, ["h1", "h2"], "left")
-        heads = heads.filter("times > 1 or near")
-    judged = lines.select("h1", "h2", "doc_id", "key", "pos").join(heads, ["h1", "h2"]).withColumn("equal", _rank() != F.col("head"))
-    judged = judged.filter("equal or near") if near is not None else judged.filter("equal")
+    again = lines.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2", F.lit(False).alias("near"))
+    if max_edits:
+        again = again.unionByName(_near(lines, max_edits).withColumn("near", F.lit(True)))
+    again = materialise(again.groupBy("h1", "h2").agg(F.bool_or("near").alias("near")), "again")
+    # Only lines that recur or have a near one go on.
+    placed = lines.select("h1", "h2", "doc_id", "key", "pos")
+    placed = materialise(_marked(placed, "h1", _marks(again.select(F.col("h1").alias("x")))).join(again, ["h1", "h2"]), "placed")
+    # Written, so that the join below has two plain sides and a very common line can be split over tasks.
+    heads = materialise(placed.groupBy("h1", "h2").agg(F.min(_rank()).alias("head")), "heads")
+    judged = placed.join(heads, ["h1", "h2"]).withColumn("equal", _rank() != F.col("head")).filter("equal or near")
     places = lambda c: F.array_sort(F.array_distinct(F.collect_list(F.when(c, F.col("pos")))))
     return judged.groupBy("doc_id", "key").agg(places(F.col("equal")).alias("equal"), places(~F.col("equal")).alias("near"))
 
