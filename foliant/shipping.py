@@ -9,10 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED = "_foliant_shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows in an Arrow batch. Spark's default of 10,000 long texts would take hundreds of MB outside the heap, which executors keep.
+BATCH_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the context, once; Spark hands them to every executor."""
+    """Adds the package's sources to the context, once; Spark hands them to every executor. Where the session has Spark's
+    default for rows in an Arrow batch, a smaller number is set."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return
