@@ -51,7 +51,7 @@ CHUNK_BYTES = 512 << 10
 #: Bits of the filter that spares texts without a candidate a second reading; of fixed size.
 FILTER_BITS = 1 << 26
 #: Words whose hash a worker keeps; a full cache is emptied.
-CACHE = 250_000
+CACHE = 100_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))

@@ -29,7 +29,7 @@ from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
 #: Bits of the filters that keep rows without a match out of shuffles; of fixed size, whatever the input.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
 COUNTED = " etaonirsldhucmpg"
 
