@@ -52,7 +52,7 @@ CHUNKS = f"chunks AS (SELECT c.*, substr(d.text, 1, 200) AS content FROM (SELECT
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").selectExpr(*_split(CHUNK_COLUMNS))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return own.join(docs, "id", "left")
 
 

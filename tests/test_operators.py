@@ -283,3 +283,15 @@ def test_providers(spark, tmp_path):
     g = providers.parsed_layout(files, Pages).filter("page = 1").select(F.lit(1).alias("doc_id"), "page", F.explode("glyphs").alias("g")).select("doc_id", "page", "g.*")
     assert layout.block_texts(g).first()["text"] == "uno"
     assert objects.is_alive(spark) and objects.as_json(prompts).count() == 2
+
+
+def test_chunks_hold_whole_documents(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = reference.chunks(spark, sf_dir).select("id", "document_id", "chunk_index", "content").collect()
+    assert all(r["content"] == texts.get(r["id"]) for r in found) and max(len(r["content"] or "") for r in found) > 200
+    content = {(r["document_id"], r["chunk_index"]): r["content"] for r in found}
+    made = reference.insert_with_scope(spark, sf_dir).collect()
+    assert len(made) == len(found)
+    assert all(r["content"] == content[r["document_id"], r["chunk_index"]] and r["token_count"] == len(r["content"] or "") for r in made)
+    hits = reference.retrieve_topk(spark, sf_dir).collect()
+    assert hits and all(r["content"] == texts.get(r["id"]) for r in hits)
