@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal or nearly equal an earlier line go, as do documents left without any line."""
-    return linededup.drop_repeats(docs)
+    """Lines that equal or nearly equal an earlier line go, short ones if they equal one, as do documents left without any line."""
+    return linededup.drop_repeats(docs, short=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

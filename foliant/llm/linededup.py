@@ -1,10 +1,10 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 A line of at least `min_chars` characters goes when an earlier line (smaller document id, a
-null id last, then text key, then place) is equal to it or at most `max_edits` edits away. Shorter
-lines stay.
+null id last, then text key, then place) is equal to it or at most `max_edits` edits away. With
+`short`, a shorter line that is not blank goes when an earlier line is equal to it; else it stays.
 
-Lines are compared as follows. Each is cut into max_edits + 1 segments of even length; one of
+Near lines are found as follows. Each is cut into max_edits + 1 segments of even length; one of
 them must occur unchanged in every line within max_edits edits, near the same place. Index
 keys are (length, segment number, segment); a line probes, for each length from its own down to
 max_edits less, only the substrings whose start the multi-match-aware bounds allow. Keys that
@@ -34,11 +34,11 @@ FILTER_BITS = 1 << 24
 COUNTED = " etaonirsldhucmpg"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc_id, key, pos, line, h1, h2) of each long line; h1, h2: two hashes of the line."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool = False) -> DataFrame:
+    """(doc_id, key, pos, line, h1, h2) of each long line, and of short ones that are not blank if asked for; h1, h2: two hashes of the line."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.filter(F.length("line") >= min_chars)
+    rows = rows.filter((F.length("line") >= min_chars) | F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -111,37 +111,37 @@ def _near(lines: DataFrame, k: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """A row for each document (id and text) with lines to remove: doc_id, key (hash of the text), the places (0-based,
-    ascending) of the lines that equal an earlier one, and of those that are only near one."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    ascending) of the long lines that equal an earlier one, of those that are only near one, and of the short lines that equal one."""
+    lines = _lines(docs, id_col, text_col, min_chars, short)
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2", F.lit(False).alias("near"))
     if max_edits:
-        again = again.unionByName(_near(lines, max_edits).withColumn("near", F.lit(True)))
+        again = again.unionByName(_near(_lines(docs, id_col, text_col, min_chars), max_edits).withColumn("near", F.lit(True)))
     again = materialise(again.groupBy("h1", "h2").agg(F.bool_or("near").alias("near")), "again")
     # Only lines that recur or have a near one go on.
-    placed = lines.select("h1", "h2", "doc_id", "key", "pos")
+    placed = lines.select("h1", "h2", "doc_id", "key", "pos", (F.length("line") < min_chars).alias("short"))
     placed = materialise(_marked(placed, "h1", _marks(again.select(F.col("h1").alias("x")))).join(again, ["h1", "h2"]), "placed")
     # Written, so that the join below has two plain sides and a very common line can be split over tasks.
     heads = materialise(placed.groupBy("h1", "h2").agg(F.min(_rank()).alias("head")), "heads")
     judged = placed.join(heads, ["h1", "h2"]).withColumn("equal", _rank() != F.col("head")).filter("equal or near")
     places = lambda c: F.array_sort(F.array_distinct(F.collect_list(F.when(c, F.col("pos")))))
-    return judged.groupBy("doc_id", "key").agg(places(F.col("equal")).alias("equal"), places(~F.col("equal")).alias("near"))
+    return judged.groupBy("doc_id", "key").agg(places(F.expr("equal and not short")).alias("equal"), places(~F.col("equal")).alias("near"), places(F.expr("equal and short")).alias("short"))
 
 
-def with_removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, and the places of lines to remove (`equal`, `near`) of every document."""
+def with_removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """doc_id, n_lines, and the places of lines to remove (`equal`, `near`, and `short` if asked for) of every document."""
     text = F.col(text_col).cast("string")
-    found = removals(docs, max_edits, min_chars, id_col, text_col).withColumnsRenamed({"doc_id": "i", "key": "k"})
+    found = removals(docs, max_edits, min_chars, id_col, text_col, short).withColumnsRenamed({"doc_id": "i", "key": "k"})
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))
     own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
     none = F.array().cast("array<int>")
-    return own.join(found, own["doc_id"].eqNullSafe(found["i"]) & (own["key"] == found["k"]), "left").select("doc_id", "n_lines", F.coalesce("equal", none).alias("equal"), F.coalesce("near", none).alias("near"))
+    return own.join(found, own["doc_id"].eqNullSafe(found["i"]) & (own["key"] == found["k"]), "left").select("doc_id", "n_lines", *[F.coalesce(c, none).alias(c) for c in ("equal", "near", "short")[: 3 if short else 2]])
 
 
-def drop_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The documents, all columns as they were but the text, which loses its repeated lines. A document that loses all its lines goes."""
-    found = removals(docs, max_edits, min_chars, id_col, text_col).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.concat("equal", "near").alias("__gone"))
+    found = removals(docs, max_edits, min_chars, id_col, text_col, short).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.concat("equal", "near", "short").alias("__gone"))
     text = F.col(text_col).cast("string")
     joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__k")), "left")
     kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), at))

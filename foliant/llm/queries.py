@@ -58,8 +58,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.with_removals(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("near").cast("long").alias("n_near"), F.array_sort(F.concat("equal", "near")).alias("removed"))
+    found = linededup.with_removals(table(spark, sf_dir, "documents"), short=True)
+    return found.select("doc_id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("near").cast("long").alias("n_near"), F.size("short").cast("long").alias("n_short"), F.array_sort(F.concat("equal", "near", "short")).alias("removed"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

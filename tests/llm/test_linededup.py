@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from foliant.llm import linededup, queries
 from tests.llm.conftest import same_rows
 
@@ -86,3 +87,21 @@ def test_texts_lose_their_repeated_lines(spark):
     rows = [(1, f"{long}\nshort"), (2, f"short\n{long}!\nshort"), (3, long), (4, f"{long}\n\n{long}?"), (None, long), (5, None), (6, "")]
     out = linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: f"{long}\nshort", 2: "short\nshort", 4: "", 5: None, 6: ""}
+
+
+def test_short_lines_lose_exact_repeats(spark, sf_dir):
+    long = "this line is long enough to be compared with the others"
+    rows = [(1, f"{long}\nshort\n \n"), (2, f"short\n{long}!\nshorts\nshort"), (3, "short"), (4, " \n\nx\nx"), (None, "x\ny"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r["doc_id"], r["equal"], r["near"], r["short"]) for r in linededup.with_removals(docs, short=True).collect()]
+    same_rows(found, [(1, [], [], []), (2, [], [1], [0, 3]), (3, [], [], [0]), (4, [], [], [3]), (None, [], [], [0]), (5, [], [], []), (6, [], [], [])])
+    out = corpus_pipeline.line_dedup(spark, docs, sf_dir)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: f"{long}\nshort\n \n", 2: "shorts", 4: " \n\nx", None: "y", 5: None, 6: ""}
+    seen, wanted = set(), {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        lines = r["text"].split("\n")
+        wanted[r["doc_id"]] = [p for p, x in enumerate(lines) if x.strip() and x in seen.union(lines[:p])]
+        seen |= set(lines)
+    made = queries.op9_lines(spark, sf_dir).collect()
+    assert any(r["n_short"] for r in made)
+    assert all(set(wanted[r["doc_id"]]) <= set(r["removed"]) and len(r["removed"]) == len(wanted[r["doc_id"]]) + r["n_near"] for r in made)
