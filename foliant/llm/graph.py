@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: in the first every node sends its larger
     neighbours to the smallest one around it, in the second its smaller ones. Each step has at
     most as many edges as the one before; the edges end as stars around the labels. A table is
-    written after each round. Self-loops and repeated edges are harmless; edges with a null end are left out.
+    written after each round; edges that still change after `rounds` of them are an error. Self-loops and repeated edges are harmless; edges with a null end are left out.
     """
     edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     before = None
@@ -30,5 +30,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the edges of the components have not settled in {rounds} rounds")
     labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from foliant.llm import graph, jaccard, queries
 from tests.llm.conftest import same_rows, texts_by_id
@@ -105,3 +106,10 @@ def test_components(spark):
     found = graph.components(spark.createDataFrame(edges, "a long, b long"))
     same_rows(found.collect(), [(n, min(g)) for n, g in group.items()])
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled in 2 rounds"):
+        graph.components(path, rounds=2)
+    same_rows(graph.components(path).collect(), [(k, 0) for k in range(41)])
