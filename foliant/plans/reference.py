@@ -580,7 +580,7 @@ def citation_map(spark, sf_dir):
 @query("""WITH t AS (SELECT conv_id, turn, text, text || ' [Fuente ' || CAST(turn % 4 + 1 AS VARCHAR) || '] fin [Fuente 9] .' AS a FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(a, '[Fuente 2]', '[Fuente #1]'), '[Fuente 1]', ''), '[Fuente 3]', '[Fuente #2]'), '[Fuente 4]', ''), '[Fuente 9]', ''), '\\s{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g'), '#', '', 'g')) AS answer FROM t WHERE text NOT LIKE '%#%' AND text NOT LIKE '%[Fuente%'""")
 def renumber_markers(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("text not like '%#%' and text not like '%[Fuente%'")
+    rows = table(spark, sf_dir, "conversations")
     answer = F.concat("text", F.lit(" [Fuente "), (F.col("turn") % 4 + 1).cast("string"), F.lit("] fin [Fuente 9] ."))
     mapping = F.array(F.struct(F.lit(2).alias("position"), F.lit(1).alias("display")), F.struct(F.lit(3).alias("position"), F.lit(2).alias("display")))
     return rows.select("conv_id", "turn", answers.renumber(answer, mapping).alias("answer"))

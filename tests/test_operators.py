@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, written-out cases, and properties."""
 
 import random
+import re
 import zipfile
 from datetime import date
 
@@ -295,3 +296,15 @@ def test_chunks_hold_whole_documents(spark, sf_dir):
     assert all(r["content"] == content[r["document_id"], r["chunk_index"]] and r["token_count"] == len(r["content"] or "") for r in made)
     hits = reference.retrieve_topk(spark, sf_dir).collect()
     assert hits and all(r["content"] == texts.get(r["id"]) for r in hits)
+
+
+def test_renumber_markers_keeps_every_row(spark, tmp_path):
+    texts = ["# Uno", "a [Fuente 3], b [Fuente 2] y [Fuente 7] .", "#1 [Fuente 1]x[Fuente  2]", "[Fuente x] # [Fuente #1]", "sin", "", None]
+    spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def brute(turn, text):
+        out = re.sub(r"\[Fuente\s+(\d+)\]", lambda m: {"2": "[Fuente 1]", "3": "[Fuente 2]"}.get(m[1], ""), f"{text} [Fuente {turn % 4 + 1}] fin [Fuente 9] .")
+        return re.sub(r"\s+([.,;:])", r"\1", re.sub(r"\s{2,}", " ", out)).strip()
+
+    found = {r["turn"]: r["answer"] for r in reference.renumber_markers(spark, str(tmp_path)).collect()}
+    assert found == {n: None if t is None else brute(n, t) for n, t in enumerate(texts)}
