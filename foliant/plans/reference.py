@@ -225,7 +225,7 @@ def dehyphenate_lines(spark, sf_dir):
 
 @query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS lead, array_to_string(list_transform(string_split(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 30), ''), lambda c, i: CASE WHEN i % 3 = 0 AND c <> ' ' THEN c || ' ' ELSE c END), '') AS broken FROM documents")
 def text_previews(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 120).alias("lead"), T.with_artifacts(T.preview(F.col("text"), 30)).alias("broken"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 120).alias("lead"), T.with_artifacts(T.preview(F.col("text"), 120)).alias("broken"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")

@@ -308,3 +308,9 @@ def test_renumber_markers_keeps_every_row(spark, tmp_path):
 
     found = {r["turn"]: r["answer"] for r in reference.renumber_markers(spark, str(tmp_path)).collect()}
     assert found == {n: None if t is None else brute(n, t) for n, t in enumerate(texts)}
+
+
+def test_artifacts_over_the_whole_preview(spark, sf_dir):
+    rows = reference.text_previews(spark, sf_dir).collect()
+    assert any(len(r["lead"]) == 120 for r in rows)
+    assert all(r["broken"] == "".join(c + (" " if i % 3 == 2 and c != " " else "") for i, c in enumerate(r["lead"])) for r in rows)
