@@ -44,6 +44,30 @@ def test_pieces_equal_the_library(sp):
         assert model.decode(ids) == sp.decode(ids)
 
 
+def many(model, texts):
+    """(ids, decoded) of texts encoded together; None for those that the batch leaves out."""
+    numbers, counts, flags = model.words([t.encode() for t in texts])
+    flat, sizes = model.ids.take(numbers)
+    at = pieces._bounds(counts, sizes)
+    return [None if f else (flat[a:b].tolist(), model.decode(flat[a:b].tolist())) for a, b, f in zip(at[:-1], at[1:], flags, strict=True)]
+
+
+def test_pieces_of_many_texts_equal_the_library(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 400)  # so that words are dropped and come again
+    monkeypatch.setattr(pieces, "PAIR_BITS", 8)
+    model = pieces.Pieces(P.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("etaoinshr\u00e9\u00fc\u0434\u4e2d0-.,\n") for _ in range(r.choice([1, 3, 7, 15, 60]))) for _ in range(n))
+    texts = [t or "" for t in ODD_TEXTS] + noise(2000, 6) + [words(r.randrange(30)) for _ in range(600)]
+    left_out = 0
+    for at in range(0, len(texts), 150):
+        for text, found in zip(texts[at : at + 150], many(model, texts[at : at + 150]), strict=True):
+            ids = sp.encode(text)
+            left_out += found is None
+            assert found is None or found == (ids, sp.decode(ids))
+    assert 0 < left_out < len(texts) / 2
+
+
 def test_piece_query(spark, sf_dir, odd_docs, no_docs, sp):
     def brute(rows):
         for doc, text in rows:
