@@ -26,6 +26,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(at, step)
 
 
+def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """`mapInArrow` for workers that have this package, wherever the driver found it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
     """Runs `fn` over slices of Arrow batches. No shuffle, nothing is gathered."""
 
@@ -34,8 +40,7 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
             for part in slices(batch, column):
                 yield fn(part)
 
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return python_stage(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -15,7 +15,6 @@ written. Extra columns are not.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from foliant.llm.batches import id_and_text, slices, texts_of
+from foliant.llm.batches import bytes_of, id_and_text, python_stage, slices
 from foliant.llm.counts import model
 
 FILE_SCHEMA = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
@@ -37,28 +36,23 @@ ORC_OPTIONS = {
     "compression": "lz4",
 }
 
+
 def write_ids(docs: DataFrame, path: str, file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes all texts, appends `end_id` to each, and writes them under `path` in ascending order of id."""
     ordered = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = model(file), TaskContext.get().partitionId(), 0
-        gc.disable()  # what is made here are strings, bytes and flat lists, without cycles
-        try:
-            for batch in batches:
-                for piece in slices(batch, "text"):
-                    ids = bpe.encode_bytes(texts_of(piece))
-                    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
-                    bounds = np.concatenate([[0], np.cumsum(sizes)])
-                    flat = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(end.join([*ids, b""]))])
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(at + bounds[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "part", "offset", "n_tokens", "ids"])
-                    at += int(bounds[-1])
-        finally:
-            gc.enable()
-
-    ordered.drop("tie").mapInArrow(run, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                flat, sizes = bpe.encode_texts(bytes_of(piece))
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
+                bounds = np.append(0, np.cumsum(sizes + 1))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(at + bounds[:-1], pa.int64()), pa.array(sizes + 1, pa.int64()), lists], ["doc_id", "part", "offset", "n_tokens", "ids"])
+                at += int(bounds[-1])
+
+    python_stage(ordered.drop("tie"), run, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -85,5 +79,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             n = pa.array(np.diff(bounds), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("offset"), n, pa.array(crc, pa.int64())], ["doc_id", "part", "offset", "n_tokens", "ids_crc32"])
 
-    rows = read_ids(spark, path).mapInArrow(run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
+    rows = python_stage(read_ids(spark, path), run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
     return rows.join(starts(spark, path), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

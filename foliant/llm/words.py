@@ -27,9 +27,8 @@ SHORT = 16
 
 
 def class_table(of: Callable[[str], int]) -> np.ndarray:
-    """The class of every code point; white space of several bytes, surrogates and NUL are not sure."""
+    """The class of every code point; surrogates and those beyond LIMIT are not sure."""
     table = np.array([of(chr(c)) for c in range(LIMIT)] + [UNSURE], np.uint8)
-    table[0x80:][(table[0x80:] == BLANK) | (table[0x80:] == SPACE)] = UNSURE
     table[0xD800:0xE000] = UNSURE
     table[0] = END
     return table
@@ -98,6 +97,30 @@ def class_runs(batch: Batch) -> np.ndarray:
     return out
 
 
+def byte_bpe_runs(batch: Batch) -> np.ndarray:
+    """Word starts by the split pattern of byte-level BPE: runs of a class with at most one space before, runs of white
+    space without what belongs to the run after it, and contractions after an apostrophe."""
+    cls, data = batch.cls, batch.data
+    before, after = np.append(np.uint8(END), cls[:-1]), np.append(cls[1:], np.uint8(END))
+    blank = cls >= SPACE
+    ahead = blank & (after >= LETTER) & (after <= OTHER)
+    out = np.where(blank, (before < SPACE) | ahead, (cls != before) & (before != SPACE))
+    # White space of several bytes begins at its first.
+    tail = np.flatnonzero(ahead & (data & 0xC0 == 0x80))
+    if len(tail):
+        out[tail] = False
+        out[tail - 1 - (data[tail - 1] & 0xC0 == 0x80)] = True
+    quote = np.flatnonzero((data == 0x27) & out & (cls != END))
+    if len(quote):
+        one, two = data[quote + 1], data[quote + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long_ = np.isin(one.astype(np.uint16) << 8 | two, [a << 8 | b for a, b in (b"re", b"ve", b"ll")])
+        quote, width = quote[short | long_], np.where(short, 2, 3)[short | long_]
+        out[quote + 1] = False
+        out[quote + width] |= cls[quote + width] == LETTER
+    return out
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ... as one array."""
     ends = np.cumsum(sizes)
@@ -143,7 +166,7 @@ class WordTable:
     """Numbers words from 0 on. It holds at most `most` words after `prune`, which keeps those used last."""
 
     def __init__(self, most: int):
-        self.most, self.bits = most, max(10, int(2 * most - 1).bit_length())
+        self.most, self.bits = most, 12
         self._clear()
         self.seen = np.zeros(1 << 10, np.int64)
         self.now = 0
@@ -247,12 +270,27 @@ class WordTable:
         self.seen[out] = self.now
         return out, new
 
+    def enter(self, k1: np.ndarray, k2: np.ndarray) -> None:
+        """Gives words of at most 16 bytes, all new and different, the next numbers."""
+        self._grow(len(k1))
+        self._put(k1, k2, np.arange(self.size, self.size + len(k1)))
+        self.size += len(k1)
+        self.seen = _room(self.seen, self.size)
+
+    def short_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two numbers of each word of at most 16 bytes, and its own."""
+        used = self.k1 != 0
+        return self.k1[used], self.k2[used], self.word[used].astype(np.int64)
+
     def prune(self) -> np.ndarray | None:
         """Beyond `most` words, keeps half as many, those used last, and returns their old numbers in the order of the new ones."""
         if self.size <= self.most:
             return None
+        return self.keep(np.sort(np.argpartition(self.seen[: self.size], self.size - self.most // 2)[self.size - self.most // 2 :]))
+
+    def keep(self, kept: np.ndarray) -> np.ndarray:
+        """From now on, only these words, numbered in this order."""
         seen = self.seen[: self.size]
-        kept = np.sort(np.argpartition(seen, self.size - self.most // 2)[self.size - self.most // 2 :])
         number = np.full(self.size, -1, np.int64)
         number[kept] = np.arange(len(kept))
         used = np.flatnonzero(self.k1)

@@ -80,6 +80,29 @@ def test_piece_query(spark, sf_dir, odd_docs, no_docs, sp):
     assert pieces.digests(no_docs, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_texts_encoded_together_equal_the_library(hf, monkeypatch):
+    monkeypatch.setattr(counts, "CACHE", 500)  # so that words are dropped and come again
+    monkeypatch.setattr(counts, "JOINED", 5)
+    bpe = counts.ByteBpe(P.path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    signs = ["'", "'s", "'ll", "'re", "'t", "s", "ll", "Don't", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\u3000", "\u2019s", "\u00e9t\u00e9", "\u4e2d\u6587", "12", "\u0663", "\u2167", "-", "...", "\U0001f600", "abcdefghijklmnopqrstu", "\u085f"]
+    texts = [t or "" for t in ODD_TEXTS] + noise(1500, 8) + ["".join(r.choice(signs) for _ in range(r.randrange(25))) for _ in range(3000)]
+    for at in range(0, len(texts), 200):
+        flat, sizes = bpe.encode_texts([t.encode() for t in texts[at : at + 200]])
+        found = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert found == [hf.encode(t, add_special_tokens=False).ids for t in texts[at : at + 200]]
+
+
+def test_summaries_of_words_keep_the_frequent_ones(hf):
+    bpe = counts.ByteBpe(P.path("byte_bpe_50k.json"))
+    import pyarrow as pa
+
+    texts = [" ".join(["often"] * 30 + [f"once{k}x{j}" for j in range(20)]) for k in range(60)]
+    found = counts._summary(bpe, (pa.RecordBatch.from_arrays([pa.array(texts[k : k + 6])], ["text"]) for k in range(0, 60, 6)), 8)
+    assert found.words()[0] == " often" and len(found.words()) <= 8 and found.counts[0] >= 60 * 29 - 60 * 40 / 8
+    assert np.all(np.diff(found.counts) <= 0) or len(found.counts) < 8
+
+
 def test_token_counts(spark, sf_dir, odd_docs, no_docs, hf):
     brute = lambda rows: [(d, len(t.encode()), (n := len(hf.encode(t, add_special_tokens=False).ids)), n > 1024) for d, t in rows]
     same_rows(queries.op6_token_counts(spark, sf_dir).collect(), brute(texts_by_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
