@@ -36,7 +36,7 @@ from foliant.llm.batches import bytes_of, id_and_text, map_texts, python_stage,
 #: Pre-tokens in the broadcast table.
 FREQUENT = 32_768
 #: Pre-tokens that a worker keeps; beyond, half of them go, those not used for longest.
-CACHE = 1 << 19
+CACHE = 400_000
 #: Words that are encoded in one text.
 JOINED = 128
 
@@ -242,7 +242,8 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         found = _first_tier(token, k1, k2).find(joined, first, size)
         missed = found < 0
         n = np.where(missed, 0, tokens[found] if len(tokens) else 0)
-        n[missed] = bpe.ids.sizes[bpe.numbers(joined, first[missed], size[missed])]
+        numbers = bpe.numbers(joined, first[missed], size[missed])
+        n[missed] = bpe.ids.sizes[numbers]
         n_tokens = np.diff(np.append(0, np.cumsum(n))[np.cumsum(counts)], prepend=0)
         whole = np.flatnonzero(flags)
         n_tokens[whole] = [len(i) for i in bpe.encode_all([rows[k].decode() for k in whole])]

@@ -43,7 +43,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIXED = re.compile(rf"[^\W\d_][\W\d_]|[^{SPACE}\w][^\W\d_]|[\d_][^\W\d_]")
 _CLASSES = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*[\d_]+(?:[\d_]|[^\w{SPACE}])*|{SPACE}*[^\w{SPACE}](?:[\d_]|[^\w{SPACE}])*|{SPACE}+").findall
 #: Words whose ids a worker keeps; segments of texts that are cut at spaces alone.
-CACHE_WORDS, CACHE_SEGMENTS = 1 << 19, 20_000
+CACHE_WORDS, CACHE_SEGMENTS = 400_000, 20_000
 #: Bits of the table of pairs of pieces whose compatibility a worker keeps; a later pair takes the place of an earlier one.
 PAIR_BITS = 20
 #: So few words are finished one by one.

@@ -222,10 +222,10 @@ class WordTable:
             left, at = left[go], (at[go] + 1) & last
 
     def _grow(self, n: int) -> None:
-        """Room for n more words, at half load at most."""
-        if self.size + n > 1 << (self.bits - 1):
+        """Room for n more words; at most two thirds of the places are taken."""
+        if 3 * (self.size + n) > 2 << self.bits:
             k1, k2, word = self.k1[self.k1 != 0], self.k2[self.k1 != 0], self.word[self.k1 != 0]
-            self.bits = int(2 * (self.size + n)).bit_length()
+            self.bits = int(3 * (self.size + n) // 2).bit_length()
             self.k1, self.k2 = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
             self.word = np.zeros(1 << self.bits, np.int32)
             self._put(k1, k2, word)

@@ -106,6 +106,8 @@ def test_summaries_of_words_keep_the_frequent_ones(hf):
 def test_token_counts(spark, sf_dir, odd_docs, no_docs, hf):
     brute = lambda rows: [(d, len(t.encode()), (n := len(hf.encode(t, add_special_tokens=False).ids)), n > 1024) for d, t in rows]
     same_rows(queries.op6_token_counts(spark, sf_dir).collect(), brute(texts_by_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    same_rows(counts.count_tokens(texts, P.path("byte_bpe_50k.json"), frequent_size=1).collect(), [r[:3] for r in brute(texts_by_id(texts))])
     for size in (1, 50):
         same_rows(counts.count_tokens(odd_docs, P.path("byte_bpe_50k.json"), frequent_size=size).collect(), [r[:3] for r in brute(texts_by_id(odd_docs))])
     assert counts.count_tokens(no_docs, P.path("byte_bpe_50k.json")).count() == 0
