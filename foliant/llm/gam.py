@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.batches import id_and_text, map_texts, remainder
+from foliant.llm.batches import id_and_text, map_texts, python_stage, remainder
 from foliant.llm.rules import statistics
 from foliant.llm.storage import materialise
 
@@ -191,5 +191,5 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
             score = model.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    scored = featured.mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = python_stage(featured, run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score", "predicted")

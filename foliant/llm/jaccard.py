@@ -11,8 +11,10 @@ first step on, so copies cost nothing more.
    each shingle once per chunk, however frequent, and answers each chunk with how common
    its shingles are. Documents with more lonely shingles than |A| - T have no partner.
 3. The others need to meet only on a prefix of |A| - T + 1 shingles in one common order,
-   rarest first. Components over shared prefix shingles are the blocks.
-4. In a block (cut into sub-blocks of bounded size, of which every two meet in a task) a
+   rarest first. Components over shared prefix shingles are blocks; where a component is large and
+   the classes that share one shingle are few beside it, its shingles are blocks instead.
+4. Large blocks are cut into sub-blocks of bounded size, by classes of set sizes (only
+   neighbouring ones can link) and at random in them. Two sub-blocks meet in a task of their own, where a
    T-occurrence search runs for each document: DivideSkip takes the longest inverted lists
    apart, merges the short ones, and probes the long ones by binary search for candidates
    only. A task returns the links of a spanning forest, never all pairs of a group.
@@ -26,6 +28,7 @@ are ignored (`groups`) or kept (`one_of_each`).
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,11 +36,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.batches import bytes_of, slices
+from foliant.llm.batches import bytes_of, python_stage, slices
 from foliant.llm.graph import components
+from foliant.llm.marks import marks, with_mark
 from foliant.llm.storage import materialise
+from foliant.shipping import ship
 
 SIZE, PERCENT = 4, 85
 #: Share of the hash space whose shingles are posted; sets up to SMALL_POST shingles are posted whole,
@@ -122,7 +127,7 @@ def _chunks(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
                     names,
                 )
 
-    return rows.mapInArrow(run, "chunk long, ids array<long>, keys array<long>, n array<int>, posted array<int>, cls array<binary>, hashes binary")
+    return python_stage(rows, run, "chunk long, ids array<long>, keys array<long>, n array<int>, posted array<int>, cls array<binary>, hashes binary")
 
 
 def _postings(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
@@ -162,7 +167,7 @@ def _post(chunks: DataFrame, buckets: int) -> DataFrame:
                 load = [np.concatenate([_six(h[a:b]), _six(cls[a:b]), many[None, a:b].astype(np.uint8)]).tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([row["chunk"]] * len(ids), pa.int64()), pa.array(load, pa.binary())], ["bucket", "chunk", "load"])
 
-    return chunks.select("chunk", "posted", "cls", "hashes").mapInArrow(run, "bucket long, chunk long, load binary")
+    return python_stage(chunks.select("chunk", "posted", "cls", "hashes"), run, "bucket long, chunk long, load binary")
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -179,7 +184,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 def _candidates(chunks: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """(cls, key, keys): the classes that may have a partner, with the shingles of their prefix."""
+    """(cls, n, key, keys): the classes that may have a partner, with the size of the set and the shingles of its prefix."""
     joined = chunks.select("chunk", "keys", "n", "posted", "cls", "hashes", "buckets").join(answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("answers")), "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +194,7 @@ def _candidates(chunks: DataFrame, answers: DataFrame, percent: int) -> DataFram
                 place = _postings(row, row["buckets"])[4]
                 h = np.frombuffer(row["hashes"], np.uint64)
                 own, at = codes[place], 0
-                cls, text_keys, keys = [], [], []
+                cls, sizes, text_keys, keys = [], [], [], []
                 for k, (n, m) in enumerate(zip(row["n"], row["posted"], strict=True)):
                     s, c = h[at : at + m], own[at : at + m]
                     at += m
@@ -204,11 +209,12 @@ def _candidates(chunks: DataFrame, answers: DataFrame, percent: int) -> DataFram
                     order = np.lexsort((s, np.where(low, c, 0), ~low))[: may_miss + 1]
                     order = order[(c[order] > 0) | ~low[order]]
                     cls.append(row["cls"][k])
+                    sizes.append(n)
                     text_keys.append(row["keys"][k])
                     keys.append(s[order].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(text_keys, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["cls", "key", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), pa.array(text_keys, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["cls", "n", "key", "keys"])
 
-    return joined.mapInArrow(run, "cls binary, key long, keys array<long>")
+    return python_stage(joined, run, "cls binary, n int, key long, keys array<long>")
 
 
 def _filter_of(keys: DataFrame) -> bytes:
@@ -225,7 +231,7 @@ def _filter_of(keys: DataFrame) -> bytes:
         a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
         return zlib.compress((a | b).tobytes(), 1)
 
-    return keys.mapInArrow(bits, "bits binary").rdd.map(lambda r: bytes(r["bits"])).treeReduce(both, depth=3)
+    return python_stage(keys, bits, "bits binary").rdd.map(lambda r: bytes(r["bits"])).treeReduce(both, depth=3)
 
 
 def _bits(keys: np.ndarray) -> list[np.ndarray]:
@@ -234,7 +240,7 @@ def _bits(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, found: DataFrame, size: int, text_col: str) -> DataFrame:
-    """(cls, n, hashes) of the candidate classes, from a second reading of the texts. The filter spares most texts; the join with the classes is what decides."""
+    """(cls, hashes) of the candidate classes, from a second reading of the texts. The filter spares most texts; the join with the classes is what decides."""
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select("key")))
     text = F.col(text_col).cast("string")
 
@@ -246,10 +252,10 @@ def _sets(docs: DataFrame, found: DataFrame, size: int, text_col: str) -> DataFr
                 hit &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
             for part in slices(batch.filter(pa.array(hit)), "text"):
                 sets = [shingles(t, size) for t in bytes_of(part)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "hashes"])
 
-    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, "cls binary, n int, hashes binary")
-    one = rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    rows = python_stage(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), run, "cls binary, hashes binary")
+    one = rows.groupBy("cls").agg(F.first("hashes").alias("hashes"))
     return one.join(found.select("cls").distinct(), "cls", "left_semi")
 
 
@@ -320,41 +326,74 @@ def links(index: list[np.ndarray], queries: list[np.ndarray] | None, percent: in
     return out
 
 
+def _work(load: Column) -> Column:
+    """What a block of so many shingles costs, if its sub-blocks meet."""
+    return load * (1 + F.ceil(load / SUB_BLOCK))
+
+
 def _blocks(found: DataFrame) -> DataFrame:
-    """(node, label): classes that share a shingle of their prefixes, directly or through others."""
-    keys = materialise(found.select("cls", F.explode("keys").alias("h")).distinct(), "keys")
+    """(cls, n, block): the classes that must meet, some in several blocks."""
+    keys = materialise(found.select("cls", "n", F.explode("keys").alias("h")).distinct(), "keys")
     lead = keys.groupBy("h").agg(F.min("cls").alias("b"), F.count("*").alias("c")).filter("c > 1").select("h", "b")
-    return components(keys.join(lead, "h").select(F.col("cls").alias("a"), "b"))
+    shared = materialise(keys.join(lead, "h"), "shared")
+    labels = components(shared.select(F.col("cls").alias("a"), "b")).withColumnRenamed("node", "cls")
+    whole = materialise(shared.select("cls", "n").distinct().join(labels, "cls"), "blocks")
+    large = materialise(whole.groupBy("label").agg(F.sum("n").alias("load")).filter(F.col("load") > SUB_BLOCK), "large")
+    own = whole.select("cls", "n", F.col("label").alias("block"))
+    if large.isEmpty():
+        return own
+    # Large components whose shingles make less work one by one: of a chain of texts with little in common, say.
+    held = materialise(shared.join(whole.select("cls", "label"), "cls").join(large, "label"), "held")
+    single = held.groupBy("label", "load", "h").agg(F.sum("n").alias("own")).groupBy("label", "load").agg(F.sum(_work(F.col("own"))).alias("work"))
+    cut = materialise(single.filter(F.col("work") < _work(F.col("load"))).select("label"), "cut")
+    return own.join(cut, F.col("block") == cut["label"], "left_anti").unionByName(held.join(cut, "label").select("cls", "n", F.unhex(F.hex("h")).alias("block")))
 
 
 def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """(a, b): linked classes."""
-    rows = materialise(sets.join(blocks.withColumnRenamed("node", "cls"), "cls"), "sets")
-    parts = rows.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(SUB_BLOCK)).cast("int").alias("parts"))
-    dealt = rows.join(parts, "label").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "hashes")
+    # Sets that link are of the same class of sizes or of neighbouring ones; its width is a little more than the ratio of sizes.
+    size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9)).cast("long")
+    sized, long_ = blocks.withColumn("size", size), lambda x: F.lit(x).cast("long")
+    parts = sized.groupBy("block", "size").agg(F.sum("n").alias("load")).groupBy("block").agg(F.sum("load").alias("load"), F.map_from_entries(F.collect_list(F.struct("size", F.ceil(F.col("load") / SUB_BLOCK).cast("long").alias("p")))).alias("parts"))
+    cut = F.col("load") > SUB_BLOCK
+    parts = materialise(parts.select("block", cut.alias("cut"), F.when(cut, F.col("parts")).otherwise(F.create_map(long_(0), long_(1))).alias("parts")), "parts")
+    code = lambda s, part: F.struct(s.alias("s"), part.alias("p"))
+    near = lambda s: F.coalesce(F.try_element_at("parts", s), long_(0))
+    rows = sized.join(parts, "block").withColumn("size", F.when(F.col("cut"), F.col("size")).otherwise(0))
+    dealt = rows.withColumn("own", code(F.col("size"), F.pmod(F.xxhash64("cls"), near(F.col("size")))))
+
+    def others(d: int) -> Column:
+        """The sub-blocks of the class of sizes that is d further on."""
+        at = F.col("size") + d
+        return F.when(near(at) > 0, F.transform(F.sequence(long_(1), near(at)), lambda p: code(at, p - 1))).otherwise(F.array().cast("array<struct<s:bigint,p:bigint>>"))
+
+    dealt = dealt.select("cls", "block", "own", F.explode(F.concat(*map(others, (-1, 0, 1)))).alias("other"))
+    dealt = dealt.select("cls", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    dealt = dealt.select("cls", "block", "i", "j", (F.col("own") == F.col("i")).alias("left")).join(sets, "cls")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sides: tuple[list, list] = ([], [])
-        for own, cls, raw in sorted(zip(group.column("own").to_pylist(), group.column("cls").to_pylist(), group.column("hashes").to_pylist(), strict=True)):
-            sides[own != i].append((cls, np.frombuffer(raw, np.uint64)))
-        left, right = sides if i != j else (sides[0], sides[0])
-        made = links([s for _, s in left], None if i == j else [s for _, s in right], percent)
+        for left, cls, raw in sorted(zip(group.column("left").to_pylist(), group.column("cls").to_pylist(), group.column("hashes").to_pylist(), strict=True)):
+            sides[not left].append((cls, np.frombuffer(raw, np.uint64)))
+        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        left, right = (sides[0], sides[0]) if same else sides
+        made = links([s for _, s in left], None if same else [s for _, s in right], percent)
         return pa.table({"a": pa.array([left[x][0] for x, _ in made], pa.binary()), "b": pa.array([right[y][0] for _, y in made], pa.binary())})
 
-    return dealt.groupBy("label", "i", "j").applyInArrow(run, "a binary, b binary")
+    # Dealt out by meeting: the join before may have left a block in one partition, which would do for the grouping.
+    return dealt.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _grouped(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, n, cls, label) for each document."""
+    ship(docs.sparkSession)
     chunks = materialise(_chunks(docs, percent, size, id_col, text_col), "chunks")
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("posted", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = 1 + total // BUCKET
     chunks = chunks.withColumn("buckets", F.lit(buckets))
     answers = _post(chunks, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, codes binary")
     found = materialise(_candidates(chunks, answers, percent), "candidates")
-    labels = components(_links(_sets(docs, found, size, text_col), _blocks(found), percent))
+    labels = components(_links(materialise(_sets(docs, found, size, text_col), "sets"), _blocks(found), percent))
     rows = chunks.select(F.explode(F.arrays_zip("ids", "keys", "n", "cls")).alias("r")).select(F.col("r.ids").alias("doc_id"), F.col("r.keys").alias("key"), F.col("r.n").alias("n"), F.col("r.cls").alias("cls"))
     return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
@@ -369,11 +408,18 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, id_col: st
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they were, without those of a group but its first (smallest id, a null id last; then smallest text key). Of repeated rows (id and text) one stays."""
-    rows = _grouped(docs, percent, size, id_col, text_col).filter("n > 0")
+    """The documents, all columns as they were, without those of a group but its first (smallest id, a null id last; then smallest text key).
+    Of repeated rows (id and text) the one whose other columns come first as JSON stays. Only texts that may go are shuffled."""
+    rows = materialise(_grouped(docs, percent, size, id_col, text_col).select("doc_id", "key", "n", "label"), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
-    heads = rows.groupBy("label").agg(F.min(rank).alias("head"))
-    gone = rows.withColumn("rank", rank).join(heads, "label").filter("rank <> head").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))})
+    heads = rows.filter("n > 0").groupBy("label").agg(F.min(rank).alias("head"))
+    gone = rows.filter("n > 0").withColumn("rank", rank).join(heads, "label").filter("rank <> head").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = materialise(gone, "gone")
+    again = rows.groupBy("doc_id", "key").count().filter("count > 1").select("key")
+    held = materialise(marks(gone.select(F.col("__key").alias("x")).unionByName(again.select(F.col("key").alias("x")))), "marks")
+    own = with_mark(docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))}), "__key", held)
     same = own["__id"].eqNullSafe(gone["__id"]) & (own["__key"] == gone["__key"])
-    return own.join(gone, same, "left_anti").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    left = own.filter("__hit").join(gone, same, "left_anti")
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    left = left.groupBy("__id", "__key").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit("")).alias("__row")).select("__row.*")
+    return own.filter("not __hit").select(*docs.columns).unionByName(left)

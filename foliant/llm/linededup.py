@@ -25,11 +25,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.llm.marks import marked, marks
 from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
-#: Bits of the filters that keep rows without a match out of shuffles; of fixed size, whatever the input.
-FILTER_BITS = 1 << 24
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
 COUNTED = " etaonirsldhucmpg"
 
@@ -78,27 +77,15 @@ def _keys(lines: DataFrame, k: int) -> DataFrame:
     return keys.filter("s is not null").select("s", F.col("h1").alias("id"), F.when(F.col("at") > k, 1).otherwise(0).alias("kind"))
 
 
-def _marks(values: DataFrame) -> DataFrame:
-    """A bit filter of the column `x`: at most FILTER_BITS / 64 rows, whatever the input."""
-    bit = F.pmod("x", F.lit(FILTER_BITS))
-    return values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-
-
-def _marked(rows: DataFrame, column: str, marks: DataFrame) -> DataFrame:
-    """The rows whose value of `column` may be in the filter, which is broadcast: its size is bounded."""
-    hit = rows.withColumn("__bit", F.pmod(column, F.lit(FILTER_BITS))).withColumn("word", F.shiftright("__bit", 6)).join(F.broadcast(marks), "word")
-    return hit.filter(F.expr("shiftright(bits, cast(__bit & 63 as int)) & 1 = 1")).select(*rows.columns)
-
-
 def _near(lines: DataFrame, k: int) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different one within k edits."""
     keys = _keys(lines, k)
     shared = keys.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("kind").alias("c")).filter("a <> b and c = 0").select("s")
     shared = materialise(shared, "shared")
     # Inner joins with unique keys: a semi join would be pushed below the filter, and all rows would be shuffled.
-    hits = materialise(_marked(keys, "s", _marks(shared.select(F.col("s").alias("x")))).join(shared, "s").distinct(), "keys")
+    hits = materialise(marked(keys, "s", marks(shared.select(F.col("s").alias("x")))).join(shared, "s").distinct(), "keys")
     ids = materialise(hits.select("id").distinct(), "ids")
-    texts = _marked(lines.withColumn("id", F.col("h1")), "id", _marks(ids.select(F.col("id").alias("x")))).join(ids, "id")
+    texts = marked(lines.withColumn("id", F.col("h1")), "id", marks(ids.select(F.col("id").alias("x")))).join(ids, "id")
     texts = texts.groupBy("id", "h1", "h2").agg(F.min(_rank()).alias("head"), F.first("line").alias("line"))
     texts = texts.select("*", F.length("line").alias("n"), *[(F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{j}") for j, c in enumerate(COUNTED)])
     rows = materialise(texts.join(hits, "id"), "lines")
@@ -121,7 +108,7 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     again = materialise(again.groupBy("h1", "h2").agg(F.bool_or("near").alias("near")), "again")
     # Only lines that recur or have a near one go on.
     placed = lines.select("h1", "h2", "doc_id", "key", "pos", (F.length("line") < min_chars).alias("short"))
-    placed = materialise(_marked(placed, "h1", _marks(again.select(F.col("h1").alias("x")))).join(again, ["h1", "h2"]), "placed")
+    placed = materialise(marked(placed, "h1", marks(again.select(F.col("h1").alias("x")))).join(again, ["h1", "h2"]), "placed")
     # Written, so that the join below has two plain sides and a very common line can be split over tasks.
     heads = materialise(placed.groupBy("h1", "h2").agg(F.min(_rank()).alias("head")), "heads")
     judged = placed.join(heads, ["h1", "h2"]).withColumn("equal", _rank() != F.col("head")).filter("equal or near")

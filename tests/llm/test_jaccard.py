@@ -61,6 +61,39 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     same_rows(jaccard.groups(docs).collect(), wanted)
 
 
+def test_components_with_little_in_common_are_searched_by_shingle(spark, monkeypatch):
+    # Each text shares all its shingles with the texts beside it, seven of eight with the next, which is not enough for a link.
+    base = [f"w{k}" for k in range(420)]
+    rows = [(k, " ".join(base[k : k + 11])) for k in range(400)] + [(1000 + k, " ".join([*base[k : k + 40], "end"])) for k in (3, 3, 4, 99, 200, 201)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kinds = []
+    real = jaccard._blocks
+    monkeypatch.setattr(jaccard, "SUB_BLOCK", 200)
+    monkeypatch.setattr(jaccard, "_blocks", lambda found: kinds.append(real(found)) or kinds[-1])
+    same_rows(jaccard.groups(docs).collect(), brute(rows))
+    assert any(len(r["block"]) <= 8 for r in kinds[0].collect())
+
+
+def test_two_sub_blocks_meet_in_a_task_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SUB_BLOCK", 300)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sets = spark.createDataFrame([(bytes([k] * 16), b"12345678") for k in range(9)], "cls binary, hashes binary")
+    blocks = sets.selectExpr("cls", "100 as n", "unhex('00') as block")
+    for threshold in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        plan = jaccard._links(sets, blocks, 85)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        below = plan[plan.index("FlatMapGroupsInArrow") :].splitlines()[1:4]
+        assert any("Exchange hashpartitioning(" in x and " i#" in x and " j#" in x for x in below), below
+
+
+def test_repeated_rows_leave_a_defined_one(spark):
+    rows = [(1, "a b c d e f", x) for x in ("de", "en", None, "ar")] + [(2, "other words here now", "x"), (None, "a b c d e f", "y"), (3, None, "z"), (3, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (1, 3, 7):
+        assert sorted(map(str, map(tuple, jaccard.one_of_each(docs.repartition(n)).collect()))) == sorted(map(str, [(1, "a b c d e f", "ar"), (2, "other words here now", "x"), (3, None, "q")]))
+
+
 def test_query(spark, sf_dir):
     same_rows(queries.op2_jaccard(spark, sf_dir).collect(), brute(texts_by_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
