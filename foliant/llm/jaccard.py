@@ -393,7 +393,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, id_col: str, text_col: st
     chunks = chunks.withColumn("buckets", F.lit(buckets))
     answers = _post(chunks, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, codes binary")
     found = materialise(_candidates(chunks, answers, percent), "candidates")
-    labels = components(_links(materialise(_sets(docs, found, size, text_col), "sets"), _blocks(found), percent))
+    labels = components(_links(materialise(_sets(docs, found, size, text_col), "sets"), materialise(_blocks(found), "own"), percent))
     rows = chunks.select(F.explode(F.arrays_zip("ids", "keys", "n", "cls")).alias("r")).select(F.col("r.ids").alias("doc_id"), F.col("r.keys").alias("key"), F.col("r.n").alias("n"), F.col("r.cls").alias("cls"))
     return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 

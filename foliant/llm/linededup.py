@@ -1,14 +1,16 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 A line of at least `min_chars` characters goes when an earlier line (smaller document id, a
-null id last, then text key, then place) is equal to it or at most `max_edits` edits away. With
+null id last, then text key, then place) is equal to it or within so many edits: `max_edits`, and more
+for longer lines (`wider`); lengths count in steps of STEP characters, and the shorter of two lines decides. With
 `short`, a shorter line that is not blank goes when an earlier line is equal to it; else it stays.
 
-Near lines are found as follows. Each is cut into max_edits + 1 segments of even length; one of
-them must occur unchanged in every line within max_edits edits, near the same place. Index
-keys are (length, segment number, segment); a line probes, for each length from its own down to
-max_edits less, only the substrings whose start the multi-match-aware bounds allow. Keys that
-one line alone has are dropped before any text is moved. Texts of the rest meet on their key:
+Near lines are found as follows. With k edits, k + 1 segments of equal length are laid out, for all lines of one step of
+lengths alike, the first ones from the start of a line and the last ones from its end. Of two lines within k edits, one has a
+segment i unchanged in the other with i - 1 edits before it and k + 1 - i after it at most, so that it stands there at most
+that far from its place, counted from the nearer end. Index keys are (step, segment number, segment); a line probes the
+places around, and lines just above a step of lengths also take part in the step below. Keys that one line alone has are
+dropped before any text is moved. Texts of the rest meet on their key:
 first counts of frequent letters (each edit changes them by two at most), then the banded edit
 distance decide. A left-semi join asks only whether an earlier match exists, so a group of
 alike lines yields a row for each line, never its pairs.
@@ -29,6 +31,10 @@ from foliant.llm.marks import marked, marks
 from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
+#: From so many characters on, so many edits.
+WIDER = ((120, 3), (200, 4))
+#: Lengths for which segments are laid out alike.
+STEP = 16
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
 COUNTED = " etaonirsldhucmpg"
 
@@ -45,41 +51,51 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("key"), F.col("pos"))
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """First place (1-based) and length of segment i (from 1) of k + 1 in a line of that length; the last ones take what is left over."""
-    base = F.floor(length / (k + 1)).cast("int")
-    short = (k + 1) - length % (k + 1)
-    return base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1, base + (F.lit(i) > short).cast("int")
-
-
-def _places(k: int) -> list[tuple[int, int, int, Column, Column]]:
-    """(how much shorter the other line is, segment, shift, first place, length) of all keys of a line of length n.
-    The first k + 1 are its index keys, which are at once its probes without a shift among lines of its own length."""
-    n = F.col("n")
-    out = [(0, i, 0, *_segment(n, i, k)) for i in range(1, k + 2)]
-    for less in range(k + 1):
-        for i in range(1, k + 2):
-            at, size = _segment(n - less, i, k)
-            for d in range(max(1 - i, less - (k + 1 - i)), min(i - 1, less + (k + 1 - i)) + 1):
-                if less or d:
-                    out.append((less, i, d, at + d, size))
+def _base(n: Column, least: int) -> Column:
+    """The smallest length of the step of lengths that a length is in."""
+    return (n - (n - least) % STEP).cast("int")
+
+
+def _edits(base: Column, k: int, wider: tuple[tuple[int, int], ...]) -> Column:
+    out = F.lit(k)
+    for length, more in sorted(wider):
+        out = F.when(base >= length, max(k, more)).otherwise(out)
+    return out
+
+
+def _laid_out(base: Column, k: int) -> list[Column]:
+    """The keys of a line of length n in the step of lengths from `base`, the last bit of each telling whether it only probes."""
+    n, size, out = F.col("n"), F.floor(base / (k + 1)).cast("int"), []
+    for i in range(1, k + 2):
+        reach = min(i - 1, k + 1 - i)
+        first = size * (i - 1) + 1 if i - 1 <= k + 1 - i else n - size * (k + 2 - i) + 1
+        for d in range(-reach, reach + 1):
+            key = F.xxhash64(base, F.lit(i), F.substring(F.col("line"), (first + d).cast("int"), size))
+            out.append(F.shiftleft(key, 1).bitwiseOR(F.lit(int(d != 0)).cast("long")))
     return out
 
 
-def _keys(lines: DataFrame, k: int) -> DataFrame:
+def _keys(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ...]) -> DataFrame:
     """(s, id, kind): the keys of each line; kind 0 is an index key, 1 one that only probes."""
-    places = _places(k)
-    cut = lines.select("h1", "line", F.length("line").alias("n"))
-    # Places are columns of their own, so that they are not computed again in each key.
-    cut = cut.select("h1", "line", "n", *[x.cast("int").alias(f"{c}{j}") for j, p in enumerate(places) for c, x in (("a", p[3]), ("b", p[4]))])
-    one = lambda j, less, i: F.when((F.col(f"a{j}") >= 1) & (F.col(f"a{j}") + F.col(f"b{j}") - 1 <= F.col("n")), F.xxhash64(F.col("n") - less, F.lit(i), F.substring(F.col("line"), F.col(f"a{j}"), F.col(f"b{j}"))))
-    keys = cut.select("h1", F.posexplode(F.array(*[one(j, less, i) for j, (less, i, *_) in enumerate(places)])).alias("at", "s"))
-    return keys.filter("s is not null").select("s", F.col("h1").alias("id"), F.when(F.col("at") > k, 1).otherwise(0).alias("kind"))
-
-
-def _near(lines: DataFrame, k: int) -> DataFrame:
-    """(h1, h2) of the lines that have an earlier, different one within k edits."""
-    keys = _keys(lines, k)
+    cut = lines.select("h1", "line", F.length("line").alias("n")).withColumn("base", _base(F.col("n"), least))
+    cut = cut.withColumns({"k": _edits(F.col("base"), k, wider), "below": _edits(F.col("base") - STEP, k, wider)})
+    kinds = sorted({k, *(max(k, more) for _, more in wider)})
+
+    def keys(base: Column, edits: Column) -> Column:
+        out = F.array().cast("array<bigint>")
+        for e in kinds:
+            out = F.when(edits == e, F.array(*_laid_out(base, e))).otherwise(out)
+        return out
+
+    base = F.col("base")
+    both = (base > least) & (F.col("n") < base + F.col("below"))
+    found = F.when(both, F.concat(keys(base, F.col("k")), keys(base - STEP, F.col("below")))).otherwise(keys(base, F.col("k")))
+    return cut.select(F.col("h1").alias("id"), F.explode(found).alias("v")).select(F.shiftrightunsigned("v", 1).alias("s"), "id", F.col("v").bitwiseAND(F.lit(1)).cast("int").alias("kind"))
+
+
+def _near(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier, different one within k edits, or more for longer ones."""
+    keys = _keys(lines, k, least, wider)
     shared = keys.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("kind").alias("c")).filter("a <> b and c = 0").select("s")
     shared = materialise(shared, "shared")
     # Inner joins with unique keys: a semi join would be pushed below the filter, and all rows would be shuffled.
@@ -88,23 +104,25 @@ def _near(lines: DataFrame, k: int) -> DataFrame:
     texts = marked(lines.withColumn("id", F.col("h1")), "id", marks(ids.select(F.col("id").alias("x")))).join(ids, "id")
     texts = texts.groupBy("id", "h1", "h2").agg(F.min(_rank()).alias("head"), F.first("line").alias("line"))
     texts = texts.select("*", F.length("line").alias("n"), *[(F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{j}") for j, c in enumerate(COUNTED)])
+    texts = texts.withColumn("k", _edits(_base(F.col("n"), least), k, wider))
     rows = materialise(texts.join(hits, "id"), "lines")
     moved = lambda a, b: sum((F.abs(F.col(f"{a}.c{j}") - F.col(f"{b}.c{j}")) for j in range(len(COUNTED))), F.lit(0))
     found = []
     for mine, other in (("kind = 0", "kind >= 0"), ("kind = 1", "kind = 0")):
         x, y = rows.filter(mine).alias("x"), rows.filter(other).alias("y")
-        same = (F.col("x.s") == F.col("y.s")) & (F.col("y.head") < F.col("x.head")) & (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (moved("x", "y") <= 2 * k)
-        found.append(x.join(y, same & (F.levenshtein("x.line", "y.line", k) >= 0), "left_semi").select("h1", "h2"))
+        most = F.least("x.k", "y.k")
+        same = (F.col("x.s") == F.col("y.s")) & (F.col("y.head") < F.col("x.head")) & (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (moved("x", "y") <= 2 * most)
+        found.append(x.join(y, same & F.expr("levenshtein(x.line, y.line, least(x.k, y.k)) >= 0"), "left_semi").select("h1", "h2"))
     return found[0].unionByName(found[1]).distinct()
 
 
-def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, wider: tuple[tuple[int, int], ...] = WIDER) -> DataFrame:
     """A row for each document (id and text) with lines to remove: doc_id, key (hash of the text), the places (0-based,
     ascending) of the long lines that equal an earlier one, of those that are only near one, and of the short lines that equal one."""
     lines = _lines(docs, id_col, text_col, min_chars, short)
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2", F.lit(False).alias("near"))
     if max_edits:
-        again = again.unionByName(_near(_lines(docs, id_col, text_col, min_chars), max_edits).withColumn("near", F.lit(True)))
+        again = again.unionByName(_near(_lines(docs, id_col, text_col, min_chars), max_edits, min_chars, wider).withColumn("near", F.lit(True)))
     again = materialise(again.groupBy("h1", "h2").agg(F.bool_or("near").alias("near")), "again")
     # Only lines that recur or have a near one go on.
     placed = lines.select("h1", "h2", "doc_id", "key", "pos", (F.length("line") < min_chars).alias("short"))
@@ -116,19 +134,19 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     return judged.groupBy("doc_id", "key").agg(places(F.expr("equal and not short")).alias("equal"), places(~F.col("equal")).alias("near"), places(F.expr("equal and short")).alias("short"))
 
 
-def with_removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def with_removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, wider: tuple[tuple[int, int], ...] = WIDER) -> DataFrame:
     """doc_id, n_lines, and the places of lines to remove (`equal`, `near`, and `short` if asked for) of every document."""
     text = F.col(text_col).cast("string")
-    found = removals(docs, max_edits, min_chars, id_col, text_col, short).withColumnsRenamed({"doc_id": "i", "key": "k"})
+    found = removals(docs, max_edits, min_chars, id_col, text_col, short, wider).withColumnsRenamed({"doc_id": "i", "key": "k"})
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))
     own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
     none = F.array().cast("array<int>")
     return own.join(found, own["doc_id"].eqNullSafe(found["i"]) & (own["key"] == found["k"]), "left").select("doc_id", "n_lines", *[F.coalesce(c, none).alias(c) for c in ("equal", "near", "short")[: 3 if short else 2]])
 
 
-def drop_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, wider: tuple[tuple[int, int], ...] = WIDER) -> DataFrame:
     """The documents, all columns as they were but the text, which loses its repeated lines. A document that loses all its lines goes."""
-    found = removals(docs, max_edits, min_chars, id_col, text_col, short).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.concat("equal", "near", "short").alias("__gone"))
+    found = removals(docs, max_edits, min_chars, id_col, text_col, short, wider).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.concat("equal", "near", "short").alias("__gone"))
     text = F.col(text_col).cast("string")
     joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__k")), "left")
     kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), at))

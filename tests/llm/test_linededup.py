@@ -58,6 +58,51 @@ def test_equal_to_brute_force(spark):
         same_rows(linededup.with_removals(docs, k, 8).collect(), brute(rows, k, 8))
 
 
+def edits_for(n, least, k, wider):
+    base = n - (n - least) % linededup.STEP
+    return max([k, *(more for length, more in wider if base >= length)])
+
+
+def brute_wider(rows, k, least, wider):
+    """The places of near lines by document, comparing every two lines; the shorter one decides how many edits."""
+    lines = sorted((d, p, line) for d, t in rows for p, line in enumerate(t.split("\n")) if len(line) >= least)
+    different = {}
+    for d, p, line in lines:
+        different.setdefault(line, (d, p))
+    near = set()
+    for line, at in different.items():
+        for other, before in different.items():
+            if before < at:
+                most = edits_for(min(len(line), len(other)), least, k, wider)
+                near |= {line} if abs(len(line) - len(other)) <= most and sum(abs(line.count(c) - other.count(c)) for c in set(line + other)) <= 2 * most and distance(line, other) <= most else set()
+    return sorted((d, p) for d, p, line in lines if line in near and different[line] == (d, p))
+
+
+def test_longer_lines_may_differ_more(spark):
+    for seed, (k, least, wider) in enumerate([(1, 8, ((24, 2), (40, 4))), (2, 10, ((26, 3), (42, 5))), (0, 9, ((25, 1),))]):
+        r = random.Random(seed)
+        bases = ["".join(r.choice("abc é") for _ in range(r.choice([8, 10, 23, 24, 25, 26, 27, 39, 40, 41, 42, 43, 57, 58, 59]))) for _ in range(16)]
+        rows = [(i, "\n".join(edited(r, r.choice(bases), r.randrange(7)) for _ in range(4))) for i in range(70)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = [(x["doc_id"], p) for x in linededup.with_removals(docs, k, least, wider=wider).collect() for p in x["near"]]
+        wanted = brute_wider(rows, k, least, wider)
+        assert len(wanted) > 10 and sorted(found) == wanted
+
+
+def test_near_lines_of_the_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    r = random.Random(4)
+    long = sorted({line for _, t in rows for line in t.split("\n") if len(line) >= linededup.MIN_CHARS})[::9]
+    rows += [(10_000 + i, "\n".join(edited(r, r.choice(long), r.randrange(6)) for _ in range(3))) for i in range(60)]
+    found = {x["doc_id"]: x for x in linededup.with_removals(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    wanted = brute_wider(rows, linededup.MAX_EDITS, linededup.MIN_CHARS, linededup.WIDER)
+    assert len(wanted) > 50 and sorted((d, p) for d, x in found.items() for p in x["near"]) == wanted
+    made = {x["doc_id"]: (x["n_near"], x["removed"]) for x in queries.op9_lines(spark, sf_dir).collect()}
+    # Rows that come later change nothing for those before.
+    assert made == {d: (len(x["near"]), sorted([*x["equal"], *x["near"], *x["short"]])) for d, x in found.items() if d < 10_000}
+
+
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = queries.op9_lines(spark, sf_dir)
