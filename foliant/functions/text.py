@@ -74,7 +74,9 @@ def to_number(value: Column) -> Column:
     """With both comma and dot the comma is the decimal sign; a lone comma is too. Null if it is no number."""
     v = F.trim(value)
     spanish = v.contains(",") & v.contains(".")
-    return F.when(spanish, F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(v, F.lit(","), F.lit("."))).try_cast("double")
+    plain = F.when(spanish, F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(v, F.lit(","), F.lit(".")))
+    # A cast alone would take what Java writes after numbers, "14d" or "7f".
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | plain.rlike(r"(?i)^[+-]?(nan|inf|infinity)$"), plain.try_cast("double"))
 
 
 def year_in(name: Column) -> Column:

@@ -11,7 +11,9 @@ Arrow batch function, on segments, which are bounded by a document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -44,8 +46,10 @@ def anchored(rows: DataFrame) -> DataFrame:
     """Lines (as from `lines`) with `is_anchor`, `num` and `segment`, the number of anchors so far in the stream."""
     order = Window.partitionBy(*STREAM).orderBy("unit_no", "line_no")
     # A header may run on: its number can stand on the next line that is not blank.
+    # Read backwards, what is ahead is what came last: a running value, where a frame to the end would be walked again for each line.
     filled = F.when(F.trim("line") != "", F.col("line"))
-    ahead = F.first(filled, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*STREAM).orderBy(F.desc("unit_no"), F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(filled, ignorenulls=True).over(back)
     rows = rows.withColumn("text2", F.concat("line", F.lit("\n"), F.coalesce(ahead, F.lit(""))))
     t, head = F.col("text2"), F.substring(F.ltrim(F.regexp_replace("line", r"^[ \t]+", "")), 1, 1)
     capital = head == F.upper(head)
@@ -119,38 +123,33 @@ def pack(text: str, count: Callable[[str], int], cap: int) -> list[str]:
     return [*done, rest] if rest else done
 
 
-def _pages(pieces: list[dict]) -> Callable[[int], int]:
-    starts, at = [], 0
-    for p in pieces:
-        starts.append((at, p["page"]))
-        at += len(p["text"])
-
-    def page(offset: int) -> int:
-        return next((n for a, n in reversed(starts) if a <= offset), starts[0][1] if starts else 1)
-
-    return page
+def placed(text: str, pieces: list[str]) -> list[tuple[int, int]]:
+    """Where each piece of a text stands, judged by its first 40 characters: their first occurrence, else the start."""
+    begins = [max(0, text.find(p[:40])) for p in pieces]
+    return [(at, at + len(p)) for at, p in zip(begins, pieces, strict=True)]
 
 
 def chunks_of(pieces: list[dict], article: bool, count: Callable[[str], int], target: int, cap: int) -> list[dict]:
-    """The chunks of one segment: an article whole or in pieces that repeat its first line, anything else packed to the target."""
+    """The chunks of one segment: an article whole or in pieces that repeat its first line, anything else packed to the target.
+
+    The contents and the spans of the segment they stand for are made as two lists; pages come from the spans by bisection.
+    Pieces of an article stand for all of it, so that each is cited with all its pages."""
     raw = "".join(p["text"] for p in pieces)
-    page, out = _pages(pieces), []
-
-    def emit(content: str, first: int, end: int) -> None:
-        if content := content.strip():
-            out.append({"content": content, "page_from": page(first), "page_to": page(max(first, end - 1)), "token_count": count(content)})
-
-    if not article:
-        for piece in pack(raw, count, target):
-            first = max(0, raw.find(piece[:40]))
-            emit(piece, first, first + len(piece))
-    elif count(raw.strip()) <= cap:
-        emit(raw, 0, len(raw))
-    else:
-        head = next((x.strip() for x in raw.strip().splitlines() if x.strip()), "")
-        for k, piece in enumerate(pack(raw, count, cap)):
-            emit(f"{head}\n{piece}" if k and head and not piece.startswith(head) else piece, 0, len(raw))
-    return out
+    whole = raw.strip()
+    contents = pack(raw, count, cap if article else target)
+    if article:
+        first_line, _, _ = whole.partition("\n")
+        head = f"{first_line.strip()}\n"
+        contents = contents[:1] + [p if p.startswith(head[:-1]) else head + p for p in contents[1:]]
+    spans = [(0, len(raw))] * len(contents) if article else placed(raw, contents)
+    starts = list(accumulate((len(p["text"]) for p in pieces), initial=0))[:-1]
+    # Units without text begin where the next one does, which counts.
+    page = lambda at: pieces[bisect_right(starts, at) - 1]["page"]
+    return [
+        {"content": c.strip(), "page_from": page(a), "page_to": page(max(a, b - 1)), "token_count": count(c.strip())}
+        for c, (a, b) in zip(contents, spans, strict=True)
+        if c.strip()
+    ]
 
 
 CHUNK = "array<struct<content:string,page_from:int,page_to:int,token_count:int>>"

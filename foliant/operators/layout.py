@@ -69,14 +69,18 @@ def marked(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFAULT
 
 
 def band_semi_join(left: DataFrame, right: DataFrame, keys: list[str], column: str, width: float) -> DataFrame:
-    """The rows of left that have a row of right with equal keys and a value of `column` less than `width` away.
+    """The rows of left, each as often as it is there, that have a row of right with equal keys and a value of `column` less than `width` away.
 
-    Values are binned by width and a row looks in three bins, so that the join is an equality join on keys and bin."""
+    Values are binned by width and rows of right stand in three bins, so that the join is a left-semi equality join on keys and bin:
+    it stops at the first match and makes no pairs."""
     spot = F.floor(F.col(column) / width)
-    l = left.withColumn("__bin", F.explode(F.sequence(spot - 1, spot + 1)))
-    r = right.select(*keys, F.col(column).alias("__v"), spot.alias("__bin")).distinct()
-    met = l.join(r, [*keys, "__bin"]).filter(F.abs(F.col(column) - F.col("__v")) < width)
-    return met.select(*left.columns).distinct()
+    l = left.withColumn("__bin", spot)
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(column).alias("__v"), F.explode(F.sequence(spot - 1, spot + 1)).alias("__near")).distinct()
+    same = [l[k] == r[f"__{k}"] for k in keys]
+    met = (l["__bin"] == r["__near"]) & (F.abs(l[column] - r["__v"]) < width)
+    for condition in same:
+        met = condition & met
+    return l.join(r, met, "left_semi").drop("__bin")
 
 
 def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -88,6 +92,13 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     side = F.when((F.col("x0") < center - gutter) & (F.col("x1") > center + gutter), "s").when(F.col("x_mid") < center, "l").otherwise("r")
     half = F.when(F.col("x_mid") < center, "l").otherwise("r")
     b = blocks.withColumns({"side": side, "half": half, "chars": F.length("text")})
+    # Right blocks that stand in a row with a left one, over a window of values instead of every two of a page.
+    row = Window.partitionBy("doc_id", "page").orderBy("y0")
+    y = F.when(F.col("side") == "r", F.col("y0"))
+    above = F.max(y).over(row.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.min(y).over(row.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = lambda other: F.coalesce(F.abs(F.col("y0") - other) < ROW_TOLERANCE, F.lit(False))
+    b = b.withColumn("paired", near(above) | near(below))
     vol = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("chars"))), F.lit(0)).alias(f"{s}vol")
     of = lambda f, s, c: f(F.when(F.col("side") == s, F.col(c)))
     text = lambda h: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("half") == h, F.struct("block_no", "text")))), lambda x: x["text"]), " ").alias(f"{h}text")
@@ -96,15 +107,13 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         *[vol(s) for s in "lrs"],
         *[F.count_if(F.col("side") == s).alias(f"{s}n") for s in "lr"],
         *[of(f, s, c).alias(f"{s}_{c}") for s in "lr" for f, c in ((F.min, "y0"), (F.max, "y1"))],
-        F.collect_list(F.when(F.col("side") == "l", F.col("y0"))).alias("ly"),
-        F.collect_list(F.when(F.col("side") == "r", F.col("y0"))).alias("ry"),
+        F.count_if((F.col("side") == "l") & F.col("paired")).alias("paired"),
         F.count_if((F.col("side") != "s") & (F.col("chars") < SHORT_CELL)).alias("short"),
         text("l"),
         text("r"),
     )
-    paired = F.size(F.filter("ly", lambda y: F.exists("ry", lambda z: F.abs(y - z) < ROW_TOLERANCE)))
     sides = F.col("ln") + F.col("rn")
-    tabular = (F.col("ln") >= 3) & (paired > 0.6 * F.col("ln")) & (sides > 0) & (F.col("short") > 0.5 * sides)
+    tabular = (F.col("ln") >= 3) & (F.col("paired") > 0.6 * F.col("ln")) & (sides > 0) & (F.col("short") > 0.5 * sides)
     span = lambda s: F.coalesce(F.col(f"{s}_y1") - F.col(f"{s}_y0"), F.lit(0.0))
     overlap = F.coalesce(F.greatest(F.lit(0.0), F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0")), F.lit(0.0))
     overlap = F.when((F.col("ln") > 0) & (F.col("rn") > 0), overlap).otherwise(0.0)

@@ -78,12 +78,9 @@ def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
 
     Requests are broadcast in blocks of at most BLOCK_REQUESTS, each block against all chunks;
     the ranking keeps each task's best before it shuffles."""
-    n = requests.count()
-    parts = max(1, -(-n // BLOCK_REQUESTS))
     most = requests.agg(F.max("k")).first()[0] or 0
     out = None
-    for p in range(parts):
-        block = requests if parts == 1 else requests.filter(F.pmod(F.xxhash64("req_id"), F.lit(parts)) == p)
+    for block in blocks_of(requests, "req_id"):
         pairs = batch_pairs(chunks, block).withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vec"))).drop("embedding", "query_vec")
         rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
         # The constant limit is what lets each task keep its own best before the shuffle.
@@ -98,13 +95,26 @@ def fan_out(hits: DataFrame) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n", "rank")
 
 
-def nearest(left: DataFrame, right: DataFrame, same_row: bool = False) -> DataFrame:
+def blocks_of(requests: DataFrame, key: str) -> list[DataFrame]:
+    """The rows in blocks of about BLOCK_REQUESTS at most, dealt by the hash of a key; they are counted."""
+    parts = max(1, -(-requests.count() // BLOCK_REQUESTS))
+    return [requests] if parts == 1 else [requests.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
+
+
+def nearest(left: DataFrame, right: DataFrame, same_row: bool = False, among: Column | None = None) -> DataFrame:
     """For each row of left (id, embedding) the row of right with the largest dot product, the smallest id among equals.
 
-    left is broadcast and must be small (a sample or a block of queries). Unless same_row, rows of the same id do not match."""
-    pairs = right.select(F.col("id").alias("near_id"), F.col("embedding").alias("e")).join(F.broadcast(left.select("id", "embedding")), F.lit(True) if same_row else F.col("id") != F.col("near_id"))
-    pairs = pairs.select("id", "near_id", vectors.dot(F.col("embedding"), F.col("e")).alias("similarity"))
-    return pairs.groupBy("id").agg(F.max_by(F.struct("near_id", "similarity"), F.struct("similarity", -F.col("near_id"))).alias("m")).select("id", "m.near_id", "m.similarity")
+    Rows of left are broadcast in blocks of at most BLOCK_REQUESTS, each against all of right. Unless same_row, rows of the same id do
+    not match; `among` is a further condition between the columns of left and those of right under names with `near_` before them."""
+    corpus = right.select(*[F.col(c).alias(f"near_{c}") for c in right.columns])
+    out = None
+    for block in blocks_of(left, "id"):
+        on = F.lit(True) if same_row else F.col("id") != F.col("near_id")
+        pairs = corpus.join(F.broadcast(block), on if among is None else on & among)
+        pairs = pairs.select("id", "near_id", vectors.dot(F.col("embedding"), F.col("near_embedding")).alias("similarity"))
+        best = pairs.groupBy("id").agg(F.max_by(F.struct("near_id", "similarity"), F.struct("similarity", -F.col("near_id"))).alias("m")).select("id", "m.near_id", "m.similarity")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def self_retrieval(queries: DataFrame, corpus: DataFrame, gate: float = 0.85) -> DataFrame:

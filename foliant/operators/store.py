@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCOPE = ["convenio_id", "territory_id", "sector_id", "validity_start", "validity_end", "retrieval_status", "authority_level"]
@@ -30,43 +33,115 @@ def replaced(table: DataFrame, documents: DataFrame, new: DataFrame) -> DataFram
 
 
 class ChunkStore:
-    """A Parquet table in buckets of documents. A replacement rewrites the buckets it touches and no other."""
+    """A Parquet table in buckets of documents. A replacement rewrites the buckets it touches and no other.
+
+    The folder holds `buckets/<bucket>/<version>` and `versions/<n>`, an immutable list of the version of each bucket. Writers add
+    new bucket versions beside the old ones and then create the next list, which is one rename; readers take the last list.
+    So a reader sees all of a replacement or nothing, and a writer that fails leaves only folders that no list names. Of two
+    writers that meet, the second one finds the name of its list taken, and replaces again on top of the first.
+    The number of buckets belongs to the table and is set with its first list: about one for each `bucket_rows` chunks then."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, bucket_rows: int = 500_000):
+        self.spark, self.path, self._wanted, self._bucket_rows = spark, path.rstrip("/"), buckets, bucket_rows
 
     def _fs(self):
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def read(self) -> DataFrame:
+    def _listed(self) -> tuple[int, int | None, dict[int, str]]:
+        """The number of the last list (0 for none), the number of buckets, and the version of each bucket that holds rows."""
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.path}/versions")):
+            return 0, None, {}
+        names = [f.getPath().getName() for f in fs.listStatus(path(f"{self.path}/versions"))]
+        last = max((int(n) for n in names if n.isdigit()), default=0)
+        if not last:
+            return 0, None, {}
+        stream = fs.open(path(f"{self.path}/versions/{last}"))
+        try:
+            found = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return last, found["buckets"], {int(b): v for b, v in found["versions"].items()}
+
+    def _publish(self, number: int, buckets: int, versions: dict[int, str]) -> bool:
+        """Creates the next list; False if another writer has made one of that number."""
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return self.spark.createDataFrame([], f"{SCHEMA}, created_at timestamp, updated_at timestamp, bucket int")
-        return self.spark.read.schema(f"{SCHEMA}, created_at timestamp, updated_at timestamp, bucket int").parquet(self.path)
+        draft = path(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps({"buckets": buckets, "versions": versions}).encode()))
+        out.close()
+        final = path(f"{self.path}/versions/{number}")
+        done = not fs.exists(final) and fs.rename(draft, final)
+        if not done:
+            fs.delete(draft, False)
+        return done
+
+    @property
+    def buckets(self) -> int | None:
+        """How many buckets the table has; None before the first replacement."""
+        return self._listed()[1]
+
+    def _rows(self, versions: dict[int, str]) -> DataFrame:
+        schema = f"{SCHEMA}, created_at timestamp, updated_at timestamp, bucket int"
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/buckets/{b}/{v}" for b, v in sorted(versions.items())])
 
-    def _bucket(self):
-        return F.pmod(F.col("document_id"), F.lit(self.buckets)).cast("int")
+    def read(self) -> DataFrame:
+        return self._rows(self._listed()[2])
 
     def document(self, document_id: int) -> DataFrame:
         """One document's chunks; only its bucket is read."""
-        return self.read().filter((F.col("bucket") == document_id % self.buckets) & (F.col("document_id") == document_id))
+        _, buckets, versions = self._listed()
+        own = document_id % buckets if buckets else 0
+        return self._rows({b: v for b, v in versions.items() if b == own}).filter(F.col("document_id") == document_id)
 
     def replace(self, documents: DataFrame, new: DataFrame) -> None:
-        """Deletes all chunks of `documents` and inserts `new`; doing it twice leaves the same rows."""
-        touched = [r["bucket"] for r in documents.select(self._bucket().alias("bucket")).distinct().collect()]
+        """Deletes all chunks of `documents` and inserts `new`, all at once; doing it twice leaves the same rows."""
+        while not self._replaced(documents, new):
+            pass
+
+    def _replaced(self, documents: DataFrame, new: DataFrame) -> bool:
+        number, buckets, versions = self._listed()
+        if buckets is None:
+            buckets = self._wanted or max(64, -(-new.count() // self._bucket_rows))
+        bucket = F.pmod(F.col("document_id"), F.lit(buckets)).cast("int")
+        touched = [r["bucket"] for r in documents.select(bucket.alias("bucket")).distinct().collect()]
         if not touched:
-            return
-        old = self.read().filter(F.col("bucket").isin(*touched))
-        stamped = new.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "bucket": self._bucket()})
+            return True
+        old = self._rows({b: versions[b] for b in touched if b in versions})
+        stamped = new.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "bucket": bucket})
         rows = replaced(old, documents, stamped.select(*old.columns))
-        fs, path = self._fs()
-        stage = f"{self.path}.stage"
-        rows.repartition("bucket").sortWithinPartitions("bucket", "document_id", "chunk_index").write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        for b in touched:  # a bucket that is now empty has no staged folder, and only goes
-            fs.delete(path(f"{self.path}/bucket={b}"), True)
-            if fs.exists(path(f"{stage}/bucket={b}")):
-                fs.mkdirs(path(self.path))
-                fs.rename(path(f"{stage}/bucket={b}"), path(f"{self.path}/bucket={b}"))
+        version, (fs, path) = uuid.uuid4().hex, self._fs()
+        stage = f"{self.path}/.stage-{version}"
+        # Dealt by document, not by bucket: a large bucket is written by many tasks, each in files of its own.
+        rows.repartition("document_id").sortWithinPartitions("bucket", "document_id", "chunk_index").withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(stage)
+        for b in touched:  # a bucket that is now empty has no staged folder, and only goes from the list
+            versions.pop(b, None)
+            if fs.exists(path(f"{stage}/b={b}")):
+                fs.mkdirs(path(f"{self.path}/buckets/{b}"))
+                fs.rename(path(f"{stage}/b={b}"), path(f"{self.path}/buckets/{b}/{version}"))
+                versions[b] = version
         fs.delete(path(stage), True)
+        fs.mkdirs(path(f"{self.path}/versions"))
+        return self._publish(number + 1, buckets, versions)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes all lists but the last `keep` and the bucket versions that none of those names. Not while a writer works."""
+        last, *_ = self._listed()
+        fs, path = self._fs()
+        held: set[tuple[str, str]] = set()
+        for f in fs.listStatus(path(f"{self.path}/versions")) if last else []:
+            name = f.getPath().getName()
+            if not name.isdigit() or int(name) <= last - keep:
+                fs.delete(f.getPath(), False)
+                continue
+            stream = fs.open(f.getPath())
+            held |= set(json.loads(bytes(stream.readAllBytes()).decode())["versions"].items())
+            stream.close()
+        for b in fs.listStatus(path(f"{self.path}/buckets")) if fs.exists(path(f"{self.path}/buckets")) else []:
+            for v in fs.listStatus(b.getPath()):
+                if (b.getPath().getName(), v.getPath().getName()) not in held:
+                    fs.delete(v.getPath(), True)

@@ -47,7 +47,7 @@ CHUNK_COLUMNS = """
   CASE WHEN vec_id % 6 = 0 THEN NULL ELSE make_date(2024, 1 + label, 1) END AS validity_end,
   CASE WHEN vec_id % 3 = 0 THEN 'eu' ELSE 'es' END AS language, embedding
 """
-CHUNKS = f"chunks AS (SELECT c.*, substr(d.text, 1, 200) AS content FROM (SELECT {CHUNK_COLUMNS} FROM embeddings) c LEFT JOIN documents d ON d.doc_id = c.id)"
+CHUNKS = f"chunks AS (SELECT c.*, d.text AS content FROM (SELECT {CHUNK_COLUMNS} FROM embeddings) c LEFT JOIN documents d ON d.doc_id = c.id)"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +153,8 @@ DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOU
 SELECT id, near_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near_id) AS n FROM p) WHERE n = 1""")
 def nearest_other_label(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    pairs = e.select(F.col("id").alias("near_id"), F.col("embedding").alias("e"), F.col("label").alias("l")).join(F.broadcast(e.filter("id % 50 = 0")), (F.col("id") != F.col("near_id")) & (F.col("label") != F.col("l")))
-    pairs = pairs.select("id", "near_id", vectors.dot(F.col("embedding"), F.col("e")).alias("s"))
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("near_id", "s"), F.struct("s", -F.col("near_id"))).alias("m"))
-    return best.select("id", "m.near_id", F.round("m.s", 6).alias("similarity"))
+    found = retrieval.nearest(e.filter("id % 50 = 0"), e, among=F.col("label") != F.col("near_label"))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS near_id, {DOT} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0),
@@ -223,7 +221,7 @@ def dehyphenate_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.join_lines(lines).alias("joined"))
 
 
-@query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS lead, array_to_string(list_transform(string_split(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 30), ''), lambda c, i: CASE WHEN i % 3 = 0 AND c <> ' ' THEN c || ' ' ELSE c END), '') AS broken FROM documents")
+@query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS lead, array_to_string(list_transform(string_split(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120), ''), lambda c, i: CASE WHEN i % 3 = 0 AND c <> ' ' THEN c || ' ' ELSE c END), '') AS broken FROM documents")
 def text_previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 120).alias("lead"), T.with_artifacts(T.preview(F.col("text"), 120)).alias("broken"))
 
@@ -531,7 +529,7 @@ def salary_warnings(spark, sf_dir):
     return salary.warnings(cells(spark))
 
 
-_TEXTS = ["1.652,13", "1652,13", "1.652", "12", " 7,5 ", "-3", "€ 5", "", None, "abc", "1,2,3"]
+_TEXTS = ["1.652,13", "1652,13", "1.652", "12", " 7,5 ", "-3", "€ 5", "", None, "abc", "1,2,3", "14d", "7f", "1,5D", "1e3", "0x10", "+4", ".5", "5."]
 _NAMES = ["smi 26", "Tablas 2025", "tabla 1999-2001", "x12", "2.026", "año 25 y 26", None, "sin"]
 
 

@@ -314,3 +314,58 @@ def test_artifacts_over_the_whole_preview(spark, sf_dir):
     rows = reference.text_previews(spark, sf_dir).collect()
     assert any(len(r["lead"]) == 120 for r in rows)
     assert all(r["broken"] == "".join(c + (" " if i % 3 == 2 and c != " " else "") for i, c in enumerate(r["lead"])) for r in rows)
+
+
+def test_band_semi_join_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 11.0), (2, 5.0), (1, None), (None, 5.0)], "k int, v double")
+    right = spark.createDataFrame([(1, 5.5), (1, 4.0), (2, 11.1), (None, 5.0)], "k int, v double")
+    found = layout.band_semi_join(left, right, ["k"], "v", 6.0)
+    assert sorted((r["k"], r["v"]) for r in found.collect()) == [(1, 5.0), (1, 5.0), (1, 11.0)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_look_ahead_is_a_running_window(spark):
+    plan = chunking.anchored(chunking.lines(units(spark, "a")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
+def test_store_replaces_all_at_once(spark, tmp_path):
+    target = store.ChunkStore(spark, f"file://{tmp_path}/chunks")
+    rows = lambda *ids: spark.createDataFrame([(d, c, 1, 1, f"{d}-{c}", 1, [0.5], *[None] * 7) for d, c in ids], store.SCHEMA)
+    named = lambda *ids: spark.createDataFrame([(d,) for d in ids], "document_id long")
+    assert target.read().count() == 0 and target.buckets is None
+    target.replace(named(1, 2, 66), rows((1, 0), (1, 1), (2, 0), (66, 0)))
+    assert target.buckets == 64
+    before = target.read()
+    real = store.ChunkStore._publish
+    try:  # a writer that ends before its list is there leaves no trace in what is read
+        store.ChunkStore._publish = lambda self, *a: 1 / 0
+        with pytest.raises(ZeroDivisionError):
+            target.replace(named(2), rows((2, 7)))
+    finally:
+        store.ChunkStore._publish = real
+    kept = lambda frame: sorted((r["document_id"], r["chunk_index"]) for r in frame.collect())
+    assert kept(target.read()) == [(1, 0), (1, 1), (2, 0), (66, 0)]
+    taken = []
+    try:  # another writer takes the next number first
+        def late(self, number, buckets, versions):
+            if not taken:
+                taken.append(number)
+                real(self, number, buckets, {**self._listed()[2]})
+            return real(self, number, buckets, versions)
+
+        store.ChunkStore._publish = late
+        target.replace(named(2), rows((2, 9)))
+    finally:
+        store.ChunkStore._publish = real
+    assert kept(target.read()) == [(1, 0), (1, 1), (2, 9), (66, 0)]
+    assert kept(target.document(66)) == [(66, 0)] and kept(before) == [(1, 0), (1, 1), (2, 0), (66, 0)]
+    target.vacuum()
+    assert kept(target.read()) == [(1, 0), (1, 1), (2, 9), (66, 0)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    e = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(40)], "id long, embedding array<float>")
+    whole = retrieval.nearest(e, e).collect()
+    monkeypatch.setattr(retrieval, "BLOCK_REQUESTS", 9)
+    assert sorted(retrieval.nearest(e, e).collect()) == sorted(whole) and len(whole) == 40
