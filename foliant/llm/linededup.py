@@ -32,7 +32,7 @@ from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
 #: From so many characters on, so many edits.
-WIDER = ((120, 3), (200, 4))
+WIDER = ((240, 3),)
 #: Lengths for which segments are laid out alike.
 STEP = 16
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
@@ -63,34 +63,42 @@ def _edits(base: Column, k: int, wider: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
-def _laid_out(base: Column, k: int) -> list[Column]:
-    """The keys of a line of length n in the step of lengths from `base`, the last bit of each telling whether it only probes."""
-    n, size, out = F.col("n"), F.floor(base / (k + 1)).cast("int"), []
-    for i in range(1, k + 2):
-        reach = min(i - 1, k + 1 - i)
-        first = size * (i - 1) + 1 if i - 1 <= k + 1 - i else n - size * (k + 2 - i) + 1
-        for d in range(-reach, reach + 1):
-            key = F.xxhash64(base, F.lit(i), F.substring(F.col("line"), (first + d).cast("int"), size))
-            out.append(F.shiftleft(key, 1).bitwiseOR(F.lit(int(d != 0)).cast("long")))
-    return out
+def _layout(k: int) -> list[tuple[int, int, bool]]:
+    """(segment, places it is off, whether it is counted from the start) of the keys for k edits; the index keys are those not off."""
+    reach = lambda i: min(i - 1, k + 1 - i)
+    return [(i, d, i - 1 <= k + 1 - i) for i in range(1, k + 2) for d in range(-reach(i), reach(i) + 1)]
 
 
 def _keys(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(s, id, kind): the keys of each line; kind 0 is an index key, 1 one that only probes."""
-    cut = lines.select("h1", "line", F.length("line").alias("n")).withColumn("base", _base(F.col("n"), least))
-    cut = cut.withColumns({"k": _edits(F.col("base"), k, wider), "below": _edits(F.col("base") - STEP, k, wider)})
-    kinds = sorted({k, *(max(k, more) for _, more in wider)})
+    """(s, id, kind): the keys of each line; kind 0 is an index key, 1 one that only probes.
 
-    def keys(base: Column, edits: Column) -> Column:
-        out = F.array().cast("array<bigint>")
-        for e in kinds:
-            out = F.when(edits == e, F.array(*_laid_out(base, e))).otherwise(out)
-        return out
-
-    base = F.col("base")
-    both = (base > least) & (F.col("n") < base + F.col("below"))
-    found = F.when(both, F.concat(keys(base, F.col("k")), keys(base - STEP, F.col("below")))).otherwise(keys(base, F.col("k")))
-    return cut.select(F.col("h1").alias("id"), F.explode(found).alias("v")).select(F.shiftrightunsigned("v", 1).alias("s"), "id", F.col("v").bitwiseAND(F.lit(1)).cast("int").alias("kind"))
+    A line is exploded into the numbers of its keys and one expression makes any of them: an expression for each would
+    be generated code too long for the JVM to compile."""
+    cut = lines.select(F.col("h1").alias("id"), "line", F.length("line").alias("n")).withColumn("base", _base(F.col("n"), least))
+    cut = cut.withColumns({"k": _edits(F.col("base"), k, wider), "below": _edits(F.col("base") - STEP, k, wider)})
+    layouts = {e: _layout(e) for e in range(max(k, *(more for _, more in wider), 0) + 1)}
+    rows = [row for e in layouts for row in layouts[e]]
+    starts, at = [], 0
+    for e in layouts:
+        starts.append(at)
+        at += len(layouts[e])
+    literal = lambda values: F.array(*map(F.lit, values))
+    of = lambda values, at: F.get(literal(values), at)
+    sizes = [len(x) for x in layouts.values()]
+    # Lines just above a step of lengths take part in the step below too.
+    both = (F.col("base") > least) & (F.col("n") < F.col("base") + F.col("below"))
+    cut = cut.withColumn("own", of(sizes, F.col("k"))).withColumn("all", F.col("own") + F.when(both, of(sizes, F.col("below"))).otherwise(0))
+    # Bytes of a line of ASCII are cut without counting its characters; the bytes that are hashed are the same.
+    cut = cut.withColumn("raw", F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary")))
+    one = cut.select("id", "line", "raw", "n", "base", "k", "below", "own", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    first = F.col("j") < F.col("own")
+    one = one.select("id", "line", "raw", "n", F.when(first, F.col("base")).otherwise(F.col("base") - STEP).alias("b"), F.when(first, F.col("k")).otherwise(F.col("below")).alias("e"), F.when(first, F.col("j")).otherwise(F.col("j") - F.col("own")).alias("j"))
+    one = one.withColumn("j", of(starts, F.col("e")) + F.col("j")).withColumn("size", F.floor(F.col("b") / (F.col("e") + 1)).cast("int"))
+    one = one.withColumns({"i": of([r[0] for r in rows], F.col("j")), "d": of([r[1] for r in rows], F.col("j")), "left": of([r[2] for r in rows], F.col("j"))})
+    place = F.when(F.col("left"), F.col("size") * (F.col("i") - 1)).otherwise(F.col("n") - F.col("size") * (F.col("e") + 2 - F.col("i"))) + 1 + F.col("d")
+    segment = F.when(F.col("raw").isNotNull(), F.substring("raw", place, F.col("size"))).otherwise(F.substring("line", place, F.col("size")).cast("binary"))
+    # An array of one is exploded so that what uses the key does not compute it again.
+    return one.select(F.explode(F.array(F.xxhash64("b", "i", segment))).alias("s"), "id", (F.col("d") != 0).cast("int").alias("kind"))
 
 
 def _near(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -121,7 +129,7 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     ascending) of the long lines that equal an earlier one, of those that are only near one, and of the short lines that equal one."""
     lines = _lines(docs, id_col, text_col, min_chars, short)
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2", F.lit(False).alias("near"))
-    if max_edits:
+    if max_edits or wider:
         again = again.unionByName(_near(_lines(docs, id_col, text_col, min_chars), max_edits, min_chars, wider).withColumn("near", F.lit(True)))
     again = materialise(again.groupBy("h1", "h2").agg(F.bool_or("near").alias("near")), "again")
     # Only lines that recur or have a near one go on.
