@@ -10,16 +10,21 @@ its own cutoffs from labelled rows, split in two by the crc32 of their id:
   (Clopper-Pearson) upper bound on the share of good texts that the *whole verdict* rejects
   must be at most `risk`. Prefixes are tested in order and the walk stops before the first
   that fails (fixed-sequence testing), and the error level is divided by the number of
-  strata (Bonferroni), so that with probability `confidence` every stratum's false rejection
+  strata with labels (Bonferroni), so that with probability `confidence` every stratum's false rejection
   is limited at once.
 
+The bound needs independent trials. So of the labelled rows of a stratum with equal texts one counts, that of the smallest id (none if
+their labels differ), and copies never stand in both halves. Near copies do count as trials of their own.
+
 The bound needs no inversion: it is at most r exactly if P(Binomial(n, r) <= k) <= delta
 for k rejected among n good texts.
 
+Strata are as many as there are: their paths and cutoffs are tables, made by aggregations and windows over rows of
+(stratum, step), and joined. A stratum without labelled rows has no cutoff, so that only the base test rejects there.
+
 Defined cases: a null or empty text has zero for every statistic and fails the base test.
 Labels that are null, contradict each other or belong to no document are left out, as are
-null ids. A null stratum is the stratum "". Beyond `max_strata` strata (those with most
-labelled rows, ties by name) texts belong to the stratum "*", which pools the rest. Without
+null ids. A null stratum is the stratum "". Without
 labels no cutoff is admissible and only the base test rejects. Repeated rows are each
 judged.
 """
@@ -32,10 +37,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from foliant.llm.batches import map_texts, remainder
+from foliant.llm.marks import marked, marks
 from foliant.llm.storage import materialise
 
 #: Statistic and its cutoffs. A text is rejected when its statistic is above.
@@ -93,7 +99,8 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they were, with the struct column `__counts`; one pass, no shuffle."""
+    """The rows, all columns as they were, with the struct column `__counts` and a hash of the text, `__seen`; one pass, no shuffle."""
+    docs = docs.withColumn("__seen", F.xxhash64(F.col(text_col).cast("string")))
     kind = StructType([StructField(c, LongType()) for c in COUNTS])
     out = StructType([*docs.schema.fields, StructField("__counts", kind)])
 
@@ -141,67 +148,53 @@ def admissible(rejected: int, good: int, risk: float, delta: float) -> bool:
     return binomial_cdf(rejected, good, risk) <= delta
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", risk: float = 0.03, confidence: float = 0.95, max_strata: int = 64) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled rows. What comes to the driver are sums, a row for each of at most max_strata + 1 strata."""
+STEPS: list[tuple[str, float]] = [(rule, c) for rule, ladder in RULES.items() for c in ladder]
+
+
+def _trials(counted: DataFrame, labels: DataFrame, stratum: str, id_col: str) -> DataFrame:
+    """(s, q, design, one column for each rule): the labelled rows that pass the base test, those of equal text once."""
     known = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("q"), F.max("quality").alias("__q")).filter("__id is not null and q = __q").select("__id", "q")
     stats = rule_statistics()
-    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), *[v.alias(k) for k, v in stats.items()])
-    rows = materialise(rows.join(known, "__id").withColumn("design", remainder("__id", 2) == 0).drop("__id"), "calibration")
-    top = [r["s"] for r in rows.groupBy("s").count().orderBy(F.desc("count"), "s").limit(max_strata).collect()]
-    rows = rows.withColumn("s", F.when(F.col("s").isin(top), F.col("s")).otherwise("*")) if top else rows
-    steps = [(rule, c) for rule, ladder in RULES.items() for c in ladder]
-    sums = [F.sum(F.when((F.col(r) > c) & (F.col("q") == q), 1).otherwise(0)).alias(f"r{j}_{q}") for j, (r, c) in enumerate(steps) for q in (0, 1)]
-    paths: dict[str, list[tuple[str, float]]] = {}
-    for row in rows.filter("design").groupBy("s").agg(*sums).collect():
-        order = sorted((row[f"r{j}_1"], -row[f"r{j}_0"], j) for j in range(len(steps)) if row[f"r{j}_0"])
-        paths[row["s"]] = [steps[j] for _, _, j in order]
-    if not paths:
-        return {}
+    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), "__seen", F.struct(*[v.alias(k) for k, v in stats.items()]).alias("stats"))
+    rows = rows.join(known, "__id").groupBy("s", "__seen").agg(F.min("q").alias("q"), F.max("q").alias("__q"), F.min(F.struct("__id", "stats")).alias("r")).filter("q = __q")
+    return materialise(rows.select("s", "q", (remainder("r.__id", 2) == 0).alias("design"), "r.stats.*"), "calibration")
+
+
+def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", risk: float = 0.03, confidence: float = 0.95) -> DataFrame:
+    """(s, one column for each rule): the cutoff of each stratum and rule, null where none is admissible; a row for each stratum that has one."""
+    rows = _trials(counted, labels, stratum, id_col)
+    rejects = F.array(*[F.col(rule) > c for rule, c in STEPS])
+    hits = rows.select("s", "q", "design", F.monotonically_increasing_id().alias("row"), F.posexplode(rejects).alias("j", "hit")).filter("hit")
+    hits = materialise(hits.drop("hit"), "rejections")
+    by = Window.partitionBy("s")
+    path = hits.filter("design").groupBy("s", "j").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("bad")).filter("bad > 0")
+    path = path.withColumn("pos", F.row_number().over(by.orderBy("good", F.desc("bad"), "j"))).select("s", "j", "pos")
+    first = lambda on, steps: hits.filter(on).join(steps, ["s", "j"]).groupBy("s", "row").agg(F.min("pos").alias("pos"))
     # A step that rejects no bad text beyond those before it could only cost good ones.
-    caught = {(r["s"], r["first"]) for r in rows.filter("design and q = 0").groupBy("s", _first(paths).alias("first")).count().collect()}
-    paths = {s: [step for j, step in enumerate(path) if (s, j) in caught] for s, path in paths.items()}
-    held: dict[str, dict[int | None, int]] = {}
-    for row in rows.filter("not design and q = 1").groupBy("s", _first(paths).alias("first")).count().collect():
-        held.setdefault(row["s"], {})[row["first"]] = row["count"]
-    delta = (1 - confidence) / len(paths)
-    cutoffs: dict[str, dict[str, float]] = {}
-    for s, path in paths.items():
-        counts, rejected, own = held.get(s, {}), 0, {}
-        for j, (rule, c) in enumerate(path):
-            rejected += counts.get(j, 0)
-            if not admissible(rejected, sum(counts.values()), risk, delta):
-                break
-            own[rule] = min(c, own.get(rule, c))
-        cutoffs[s] = own
-    return cutoffs
-
-
-def _first(paths: dict[str, list[tuple[str, float]]]) -> Column:
-    """The first step on the path of its stratum that rejects a row; null if none does."""
-    first = F.lit(None).cast("int")
-    for s, path in paths.items():
-        hit = [F.when(F.col(rule) > c, F.lit(j)) for j, (rule, c) in enumerate(path)]
-        if hit:
-            first = F.when(F.col("s") == s, F.least(*hit) if len(hit) > 1 else hit[0]).otherwise(first)
-    return first
-
-
-def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", counts: str = "__counts") -> Column:
-    """True for texts that pass the base test and every cutoff of their stratum."""
+    useful = path.join(first("design and q = 0", path).select("s", "pos").distinct(), ["s", "pos"])
+    walk = materialise(useful.withColumn("pos", F.row_number().over(by.orderBy("pos"))), "walk")
+    lost = first("not design and q = 1", walk).groupBy("s", "pos").agg(F.count("*").alias("lost"))
+    sizes = rows.groupBy("s").agg(F.count_if("design").alias("designed"), F.count_if(~F.col("design") & (F.col("q") == 1)).alias("n"))
+    strata = F.broadcast(sizes.filter("designed > 0").agg(F.count("*").alias("strata")))
+    tested = walk.join(lost, ["s", "pos"], "left").join(sizes, "s").crossJoin(strata)
+    tested = tested.withColumn("k", F.sum(F.coalesce("lost", F.lit(0))).over(by.orderBy("pos")))
+    holds = F.udf(lambda k, n, strata: admissible(k, n, risk, (1 - confidence) / strata), "boolean")
+    tested = tested.withColumn("ok", holds("k", "n", "strata")).withColumn("all_ok", F.min("ok").over(by.orderBy("pos")))
+    number = {j: c for j, (_, c) in enumerate(STEPS)}
+    cutoff = F.get(F.array(*[F.lit(c) for c in number.values()]), F.col("j"))
+    of = lambda rule: F.min(F.when(F.get(F.array(*[F.lit(r) for r, _ in STEPS]), F.col("j")) == rule, cutoff)).alias(rule)
+    return tested.filter("all_ok").groupBy("s").agg(*map(of, RULES))
+
+
+def with_verdict(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang", counts: str = "__counts") -> DataFrame:
+    """The rows with the flag `__kept`: whether they pass the base test and every cutoff of their stratum."""
+    own = materialise(cutoffs.select(F.col("s").alias("__s"), F.struct(*RULES).alias("__cut")), "cutoffs")
     stats = rule_statistics(counts)
-    s = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-
-    def rejects(own: dict[str, float]) -> Column:
-        out = F.lit(False)
-        for rule, c in sorted(own.items()):
-            out = out | (stats[rule] > c)
-        return out
-
-    bad = rejects(cutoffs.get("*", {}))
-    for name, own in cutoffs.items():
-        if name != "*":
-            bad = F.when(s == name, rejects(own)).otherwise(bad)
-    return ~base_failed(counts) & ~bad
+    bad = F.lit(False)
+    for rule in RULES:
+        bad = bad | F.coalesce(stats[rule] > F.col(f"__cut.{rule}"), F.lit(False))
+    joined = counted.join(own, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__s"), "left")
+    return joined.withColumn("__kept", ~base_failed(counts) & ~bad).drop("__s", "__cut")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = 0.03, confidence: float = 0.95) -> DataFrame:
@@ -209,12 +202,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counted = materialise(with_counts(ids).drop("text"), "counts")
     cutoffs = calibrate(counted, labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality"), risk=risk, confidence=confidence)
-    return counted.select("doc_id", "lang", *[F.col(f"__counts.{c}").alias(c) for c in COUNTS], base_failed().alias("base_failed"), verdict(cutoffs).alias("kept"))
+    return with_verdict(counted, cutoffs).select("doc_id", "lang", *[F.col(f"__counts.{c}").alias(c) for c in COUNTS], base_failed().alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = 0.03, confidence: float = 0.95) -> DataFrame:
-    """The documents, all columns as they were, that pass. Counts are taken once for the calibration and once while filtering, so that texts are never shuffled."""
+    """The documents, all columns as they were, that pass. For the calibration only texts with a label are counted: those are found
+    by their ids alone, and no other text is shuffled or read twice by Python."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = with_counts(ids).drop("text")
-    cutoffs = calibrate(counted, labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality"), risk=risk, confidence=confidence)
-    return with_counts(docs, text_col).filter(verdict(cutoffs, stratum)).drop("__counts")
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality").filter("doc_id is not null and quality is not null")
+    held = marks(known.select(F.xxhash64("doc_id").alias("x")))
+    labelled = marked(ids.withColumn("__h", F.xxhash64("doc_id")), "__h", materialise(held, "marks")).drop("__h")
+    cutoffs = calibrate(with_counts(labelled).drop("text"), known, risk=risk, confidence=confidence)
+    return with_verdict(with_counts(docs, text_col), cutoffs, stratum).filter("__kept").select(*docs.columns)

@@ -77,7 +77,7 @@ WITH t AS (
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM again) GROUP BY doc_id),
 c AS (
-  SELECT doc_id, s, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  SELECT doc_id, s, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echo
   FROM t LEFT JOIN rep USING (doc_id)
@@ -86,7 +86,8 @@ c AS (
          CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN n_letters > 0 THEN n_upper / n_letters ELSE 0 END AS shout_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share,
          CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN n_echo / n_words ELSE 0 END AS echo_share FROM c
 ), known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
-r AS (SELECT st.*, q, {_CRC} % 2 = 0 AS design FROM st JOIN known USING (doc_id) WHERE NOT base_failed),
+one AS (SELECT min(doc_id) AS doc_id FROM st JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY s, text HAVING min(q) = max(q)),
+r AS (SELECT st.*, q, {_CRC} % 2 = 0 AS design FROM st JOIN known USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM one)),
 steps AS (SELECT * FROM (VALUES {_STEPS}) v(j, rule, cut)),
 hit AS (SELECT r.doc_id, r.s, r.q, r.design, j, rule, cut, CASE rule {_STAT} END > cut AS rejects FROM r, steps),
 sums AS (SELECT s, j, count(*) FILTER (rejects AND q = 1) AS good, count(*) FILTER (rejects AND q = 0) AS bad FROM hit WHERE design GROUP BY s, j),
@@ -96,7 +97,7 @@ walk AS (SELECT s, j, row_number() OVER (PARTITION BY s ORDER BY pos) AS pos FRO
 good AS (SELECT s, count(*) AS n FROM r WHERE NOT design AND q = 1 GROUP BY s),
 first AS (SELECT s, h.doc_id, min(pos) AS pos FROM hit h JOIN walk USING (s, j) WHERE NOT design AND q = 1 AND rejects GROUP BY s, h.doc_id),
 tested AS (SELECT s, j, pos, coalesce(n, 0) AS n, (SELECT count(*) FROM first f WHERE f.s = walk.s AND f.pos <= walk.pos) AS k FROM walk LEFT JOIN good USING (s)),
-bound AS (SELECT *, n > 0 AND k <= 0.03 * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.03) + (n - i) * ln(0.97)))) <= 0.05 / (SELECT count(DISTINCT s) FROM sums) AS ok FROM tested),
+bound AS (SELECT *, n > 0 AND k <= 0.03 * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.03) + (n - i) * ln(0.97)))) <= 0.05 / (SELECT count(DISTINCT s) FROM r WHERE design) AS ok FROM tested),
 cuts AS (SELECT b.s, rule, min(cut) AS cut FROM bound b JOIN steps USING (j) WHERE b.pos < coalesce((SELECT min(x.pos) FROM bound x WHERE x.s = b.s AND NOT x.ok), 1000) GROUP BY b.s, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.s = st.s AND CASE cuts.rule {_STAT.replace("THEN ", "THEN st.")} END > cuts.cut) AS kept FROM st

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -42,8 +43,46 @@ def test_cutoffs_reject_bad_texts_only_when_proven(spark):
     assert all(kept[i] == (i % 4 > 0) for i in range(1800))
     few, few_labels = labelled(spark, 60)
     assert all(r["kept"] for r in rules.judge(few, few_labels).collect())
-    strata = rules.calibrate(rules.with_counts(docs), labels, max_strata=1)
-    assert set(strata) == {"", "*"} or set(strata) <= {"", "de", "en", "*"} and "*" in strata
+
+
+def test_as_many_strata_as_there_are(spark):
+    docs, labels = labelled(spark, 1800)
+    docs = docs.unionByName(docs.selectExpr("doc_id + 10000 as doc_id", "text", "'only' || doc_id % 5 as lang"))
+    found = rules.calibrate(rules.with_counts(docs), labels.unionByName(labels.selectExpr("doc_id + 10000 as doc_id", "quality"))).collect()
+    assert {"", "de", "en"} <= {r["s"] for r in found} and "*" not in {r["s"] for r in found}
+    # A stratum without labels of its own has no cutoff, whatever others have.
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(docs, labels).collect()}
+    assert all(kept[i] == (i % 4 > 0) for i in range(1800)) and all(kept[10_000 + i] for i in range(1800))
+
+
+def test_copies_count_once(spark):
+    good, bad = (" ".join(f"word{i} goes{i * 7} here" for i in range(30)), " ".join(f"w{i}$$$ {i}%%%" for i in range(40)))
+    docs = spark.createDataFrame([(i, good if i % 4 else bad, "en") for i in range(1200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(1200)], "doc_id long, quality int")
+    trials = rules._trials(rules.with_counts(docs), labels, "lang", "doc_id")
+    assert sorted(r["q"] for r in trials.collect()) == [0, 1]
+    turned = labels.selectExpr("doc_id", "case when doc_id = 4 then 1 else quality end as quality")
+    assert [r["q"] for r in rules._trials(rules.with_counts(docs), turned, "lang", "doc_id").collect()] == [1]
+    assert all(r["kept"] for r in rules.judge(docs, labels).collect())
+
+
+def test_false_rejection_stays_below_the_risk():
+    """Draws of copies of texts with one statistic: the walk by the same functions, many times."""
+    r = random.Random(7)
+    risk, delta, ladder, exceeded, used = 0.1, 0.05, (0.9, 0.8, 0.7, 0.6, 0.5), 0, 0
+    for _ in range(1000):
+        # The statistic of a good text is uniform, so that a cutoff c rejects 1 - c of them; each stands there in up to 30 copies.
+        seen = {round(r.random(), 9) for _ in range(300)}
+        rows = [x for x in seen for _ in range(r.choice([1, 1, 2, 30]))]
+        trials = set(rows)
+        cut = None
+        for c in ladder:
+            if not rules.admissible(sum(x > c for x in trials), len(trials), risk, delta):
+                break
+            cut = c
+        used += cut is not None
+        exceeded += cut is not None and 1 - cut > risk + 1e-12
+    assert exceeded <= 65, exceeded  # 5 in 100 draws, and room for chance
 
 
 def test_odd_labels_and_columns(spark, odd_docs, no_docs):
