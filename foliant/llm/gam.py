@@ -8,7 +8,7 @@ tree of four quadrants would still gain, and the best are boosted in the same wa
 scored by adding its bins' entries, for whole batches at once.
 
 The labelled rows to learn from are bounded: at most `max_rows`, those whose hashed id is
-smallest. Features are counted over whole texts of all rows.
+smallest (of rows with one id the one whose features come first). Features are counted over whole texts of all rows.
 
 Defined cases: a null or empty text has zero for every feature and is scored like any other.
 Without labels every score is 0.5; with one class only, scores are that class's smoothed share. Null or
@@ -173,9 +173,21 @@ def agreed_labels(labels: DataFrame, column: str, id_col: str = "doc_id") -> Dat
     return labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(column).alias("y"), F.max(column).alias("__y")).filter("doc_id is not null and y = __y and y in (0, 1)").select("doc_id", "y")
 
 
+def smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of doc_id (fewer only if there are fewer, or by a chance that is next to none).
+
+    A threshold from a count leaves each task about twice its share, so that no task sorts or sends `most` rows of its own."""
+    hashed = rows.withColumn("__h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    n = rows.count()
+    if n > 4 * most:
+        hashed = hashed.filter(F.col("__h") < int((2 * most + 100) / n * (1 << 40)))
+    return hashed.orderBy("__h", "doc_id").limit(most).drop("__h")
+
+
 def fit(featured: DataFrame, labels: DataFrame, learn: Column, column: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Learns from the labelled rows for which `learn` (an expression over doc_id) holds."""
-    rows = featured.join(agreed_labels(labels, column).filter(learn), "doc_id").select("doc_id", "features", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_rows).toPandas()
+    rows = featured.join(agreed_labels(labels, column).filter(learn), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("y").alias("y"))
+    rows = smallest_hashes(materialise(rows, "labelled"), max_rows).toPandas()
     return train(np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 

@@ -8,8 +8,9 @@ differs between the classes by at least MIN_Z standard errors are kept, MAX_GRAM
 that long clean texts gather no weight from noise.
 
 The labelled rows to learn from are bounded: at most `max_rows` of each class, those whose
-hashed id is smallest. N-gram counts of these are summed by Spark. Every text is scored whole,
-through a bounded cache of words in each worker process.
+hashed id is smallest. N-gram counts of these are summed by Spark. Every text is scored whole:
+the different words of many texts are looked up together in a bounded table of each worker process, which
+holds the known n-grams of each word.
 
 Defined cases: a null or empty text has no n-grams and scores like any text without known
 ones. Without labels every score is 0.5; with one class only, that class's smoothed share. Null or contradicting labels are
@@ -20,27 +21,31 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.llm import words as W
 from foliant.llm.batches import id_and_text, map_texts, remainder, texts_of
-from foliant.llm.gam import agreed_labels
+from foliant.llm.gam import agreed_labels, smallest_hashes
 from foliant.llm.storage import materialise
 
 #: Labelled rows to learn from at most, of each class.
 MAX_ROWS = 3_000
+#: Tasks that the labelled texts are dealt out to.
+SAMPLE_TASKS = 16
 SIZES = (3, 4, 5, 6, 7)
 MAX_GRAMS = 20_000
 MIN_Z = 4.0
 MIN_TEXTS = 3
 PENALTY = 1e-5
-#: Words in the cache of a worker; a full cache is emptied. Longer words are looked up each time.
-CACHE, CACHE_CHARS = 300_000, 40
+#: Steps of the fit at most, and the relative decrease of the loss over CHECKED of them at which it has converged.
+STEPS, CHECKED, CONVERGED = 5_000, 50, 1e-5
+#: Words that a worker keeps; beyond, half of them go, those not used for longest.
+CACHE = 200_000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -55,6 +60,16 @@ def words_of(text: str) -> set[str]:
     return set(_WORDS(text.lower()))
 
 
+def held(texts: list[str], number: dict[str, int], new: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the numbers of its n-grams, ascending, and how many of its words hold each; unknown n-grams get a number or are passed over."""
+    of: dict[str, np.ndarray] = {}
+    for text in texts:
+        for w in (words := words_of(text)):
+            if w not in of:
+                of[w] = np.array([number.setdefault(g, len(number)) for g in grams(w)] if new else [number[g] for g in grams(w) if g in number], np.int64)
+        yield np.unique(np.concatenate([np.empty(0, np.int64), *map(of.__getitem__, words)]), return_counts=True)
+
+
 @dataclass
 class Model:
     bias: float = 0.0
@@ -63,36 +78,66 @@ class Model:
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-_CACHE: dict[str, dict[str, tuple[str, ...]]] = {}
+class Scorer:
+    """A model and the words of one worker process."""
+
+    def __init__(self, model: Model):
+        self.bias, self.number = model.bias, {g: k for k, g in enumerate(model.weight)}
+        self.weight = np.array(list(model.weight.values()), float)
+        word = re.compile(r"\w").match
+        self.classes = W.class_table(lambda c: W.LETTER if word(c) else W.OTHER)
+        self.table, self.grams = W.WordTable(CACHE), W.Payload(np.int32)
+
+    def known(self, word: str) -> list[int]:
+        return sorted(self.number[g] for g in grams(word) if g in self.number)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The probability that each text is toxic."""
+        n, total = len(self.weight), np.full(len(texts), self.bias)
+        if n and texts:
+            kept = self.table.prune()
+            if kept is not None:
+                self.grams.keep(kept)
+            batch = W.Batch([t.lower().encode("utf-8", "surrogatepass") for t in texts], self.classes)
+            flags = batch.unsure()
+            first, size, counts = batch.words(W.class_runs(batch), flags)
+            owner = np.repeat(np.arange(len(texts)), counts)
+            word = batch.cls[first] == W.LETTER
+            slots, new = self.table.place(batch, first[word], size[word])
+            found = [self.known(w.decode("utf-8", "surrogatepass")) for w in new]
+            self.grams.append(np.array([g for f in found for g in f], np.int32), np.array([len(f) for f in found], np.int64))
+            # Each word of a text once, then each of its n-grams with the number of words that hold it.
+            pair = np.unique(owner[word] * self.table.size + slots)
+            held, sizes = self.grams.take(pair % max(1, self.table.size))
+            hit = np.repeat(pair // max(1, self.table.size), sizes) * n + held
+            for k in np.flatnonzero(flags).tolist():
+                hit = np.append(hit, [k * n + g for w in words_of(texts[k]) for g in self.known(w)]).astype(np.int64)
+            hit, times = np.unique(hit, return_counts=True)
+            total = total + np.bincount(hit // n, self.weight[hit % n] * np.log2(1 + times), len(texts))
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of a model, made once by each worker process."""
+    if model.token not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.token] = Scorer(model)
+    return _SCORERS[model.token]
 
 
 def score(model: Model, text: str) -> float:
     """The probability that a text is toxic."""
-    if model.token not in _CACHE:
-        _CACHE.clear()
-        _CACHE[model.token] = {}
-    cache, weight = _CACHE[model.token], model.weight
-    found: Counter[str] = Counter()
-    if weight:
-        for w in words_of(text):
-            hit = cache.get(w)
-            if hit is None:
-                hit = tuple(g for g in grams(w) if g in weight)
-                if len(w) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = hit
-            if hit:
-                found.update(hit)
-    total = model.bias + sum(weight[g] * log2(1 + found[g]) for g in sorted(found))
-    return 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
+    return float(scorer(model).scores([text])[0])
 
 
 def sample(texts: DataFrame, labels: DataFrame, learn: Column, column: str, max_rows: int) -> DataFrame:
     """(y, text) of the labelled texts to learn from. The ids that are broadcast are at most 2 * max_rows."""
     known = agreed_labels(labels, column).filter(learn).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    return materialise(texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("y", "text"), "learn")
+    chosen = [smallest_hashes(known.filter(F.col("y") == y), max_rows) for y in (0, 1)]
+    return materialise(texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("y", "text").repartition(SAMPLE_TASKS), "learn")
 
 
 def fit(texts: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
@@ -106,11 +151,11 @@ def fit(texts: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic
         return Model(float(np.log(share / (1 - share))))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums = Counter(), Counter()
-        for y, text in zip(batch.column("y").to_pylist(), texts_of(batch), strict=True):
-            sums[y].update(set().union(*map(grams, words_of(text))))
-        names = list(sums[0].keys() | sums[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[0][g] for g in names], pa.int64()), pa.array([sums[1][g] for g in names], pa.int64())], ["gram", "neg", "pos"])
+        number: dict[str, int] = {}
+        of = np.array(batch.column("y").to_pylist(), int)
+        found = [ids for ids, _ in held(texts_of(batch), number, True)]
+        sums = [np.bincount(np.concatenate([np.empty(0, np.int64), *(f for f, y in zip(found, of) if y == k)]), minlength=len(number)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(x, pa.int64()) for x in sums)], ["gram", "neg", "pos"])
 
     both = (F.col("neg") + F.col("pos")) / (neg + pos)
     z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(both * (1 - both) * (1 / neg + 1 / pos))
@@ -121,8 +166,8 @@ def fit(texts: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic
     ratio = np.array([np.log((r["pos"] + 1) / (pos + 2)) - np.log((r["neg"] + 1) / (neg + 2)) for r in kept])
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(Counter(number[g] for w in words_of(t) for g in grams(w) if g in number).items()) for t in texts_of(batch)]
-        columns = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+        found = list(held(texts_of(batch), number, False))
+        columns = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column("y"), *columns], ["y", "found", "times"])
 
     sparse = map_texts(rows, "text", encode, "y int, found array<int>, times array<int>").toPandas()
@@ -138,9 +183,15 @@ def _logistic(y: np.ndarray, found: list[np.ndarray], times: list[np.ndarray], r
     size = np.sqrt(np.bincount(owner, value**2, len(y)).max(initial=1.0))
     w = np.zeros(len(ratio) + 1)
     ahead, last, rate = w.copy(), w.copy(), 4 / (size**2 + 1)
-    for k in range(1500):
-        z = ahead[-1] + np.bincount(owner, value * ahead[column], len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    before = np.inf
+    for k in range(STEPS):
+        z = np.clip(ahead[-1] + np.bincount(owner, value * ahead[column], len(y)), -30, 30)
+        error = (1 / (1 + np.exp(-z)) - y) / len(y)
+        if k % CHECKED == 0:
+            loss = np.mean(np.log1p(np.exp(z)) - y * z) + PENALTY / 2 * np.sum(ahead[:-1] ** 2)
+            if before - loss <= CONVERGED * abs(loss):
+                break
+            before = loss
         slope = np.append(np.bincount(column, value * error[owner], len(ratio)), error.sum())
         slope[:-1] += PENALTY * ahead[:-1]
         last, w = w, ahead - rate * slope
@@ -154,8 +205,8 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, remainder("doc_id", modulus) != held, column, max_rows))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [float(score(model.value, t)) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
+        scores = scorer(model.value).scores(texts_of(batch))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
     scored = map_texts(texts, "text", run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score", "predicted")

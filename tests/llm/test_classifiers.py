@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import gam, queries, toxicity
 from tests.llm.conftest import same_rows
@@ -59,3 +62,85 @@ def test_ngram_weights_find_words_inside_words(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], NO_LABELS)
     out = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
     assert np.mean([x["predicted"] == (x["doc_id"] % 3 == 0) for x in out if x["held_out"]]) == 1
+
+
+def test_scores_equal_a_plain_loop_over_ngrams():
+    r = random.Random(5)
+    letters = ["a", "b", "ab", "ba", " ", "  ", "-", "\n", "É", "ß", "中", "_", "7", "\U00020001", "\x00", "İ"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(400)] + ["", "ab" * 4000]
+    weight = {g: r.uniform(-1, 1) for g in {g for t in texts[:50] for w in toxicity.words_of(t) for g in toxicity.grams(w)}}
+    model = toxicity.Model(-0.3, weight)
+
+    def plain(text):
+        total = model.bias
+        words = set(re.findall(r"\w+", text.lower()))
+        for g, v in weight.items():
+            total += v * math.log2(1 + sum(any(f" {w} "[i : i + len(g)] == g for i in range(len(w) + 3 - len(g))) for w in words))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
+
+    scorer = toxicity.Scorer(model)
+    scorer.table.most = 40  # so that words are dropped and come again
+    for at in range(0, len(texts), 60):
+        found = scorer.scores(texts[at : at + 60])
+        assert np.allclose(found, [plain(t) for t in texts[at : at + 60]], atol=1e-12)
+
+
+def test_ngram_model_equals_a_plain_fit(spark):
+    """Ratios and kept n-grams by plain counting, weights by plain gradient descent to the same minimum."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcd") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(12)] + ["zzq"] * (i % 3 == 0 and r.random() < 0.8))) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], NO_LABELS)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+    y = np.array([float(i % 3 == 0) for i in range(240)])
+    sets = [set().union(*map(toxicity.grams, toxicity.words_of(t))) for _, t in rows]
+    kept = {}
+    for g in set().union(*sets):
+        pos, neg = (sum(g in s for s, v in zip(sets, y) if v == k) for k in (1, 0))
+        both = (pos + neg) / 240
+        if pos + neg >= toxicity.MIN_TEXTS and both < 1 and abs(pos / 80 - neg / 160) / math.sqrt(both * (1 - both) * (1 / 80 + 1 / 160)) >= toxicity.MIN_Z:
+            kept[g] = math.log((pos + 1) / 82) - math.log((neg + 1) / 162)
+    assert model.weight.keys() == kept.keys() and len(kept) > 2
+    names = list(kept)
+    x = np.array([[kept[g] * math.log2(1 + sum(g in toxicity.grams(w) for w in toxicity.words_of(t))) for g in names] for _, t in rows])
+    loss = lambda w, b: np.mean(np.log1p(np.exp(x @ w + b)) - y * (x @ w + b)) + toxicity.PENALTY / 2 * w @ w
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / 240
+        w, b = w - 0.5 * (x.T @ error + toxicity.PENALTY * w), b - 0.5 * error.sum()
+    assert abs(loss(np.array([model.weight[g] / kept[g] for g in names]), model.bias) - loss(w, b)) < 2e-3
+
+
+def test_trees_and_scores_of_the_additive_model_equal_plain_loops():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        g, h = r.normal(size=7), r.uniform(0.1, 1, 7)
+        gain = lambda cuts: sum(g[a:b].sum() ** 2 / (h[a:b].sum() + gam.SMOOTH) for a, b in zip([0, *cuts], [*cuts, 7]))
+        cuts = []
+        for _ in range(2):  # a cut that gains nothing is not made
+            best = max((c for c in range(1, 7) if c not in cuts), key=lambda c: gain(sorted([*cuts, c])))
+            if gain(sorted([*cuts, best])) <= gain(cuts) + 1e-9:
+                break
+            cuts = sorted([*cuts, best])
+        wanted = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + gam.SMOOTH)) for a, b in zip([0, *cuts], [*cuts, 7])])
+        assert np.allclose(gam._grow(g, h), wanted)
+        g2, h2 = r.normal(size=(4, 5)), r.uniform(0.1, 1, (4, 5))
+        best = max(((i, j) for i in range(3) for j in range(4)), key=lambda c: sum(g2[a, b].sum() ** 2 / (h2[a, b].sum() + gam.SMOOTH) for a in (slice(0, c[0] + 1), slice(c[0] + 1, None)) for b in (slice(0, c[1] + 1), slice(c[1] + 1, None))))
+        found = gam._quadrants(g2, h2)[1]
+        for a in (slice(0, best[0] + 1), slice(best[0] + 1, None)):
+            for b in (slice(0, best[1] + 1), slice(best[1] + 1, None)):
+                assert np.allclose(found[a, b], g2[a, b].sum() / (h2[a, b].sum() + gam.SMOOTH))
+    x = r.uniform(size=(300, 4))
+    model = gam.train(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, s in zip(x[:50], model.score(x[:50])):
+        at = [sum(v > e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.intercept + sum(t[k] for t, k in zip(model.tables, at)) + sum(t[at[j], at[k]] for (j, k), t in model.pairs.items())
+        assert abs(s - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(9000).selectExpr("id as doc_id")
+    found = [r["doc_id"] for r in gam.smallest_hashes(rows, 300).collect()]
+    order = [r["doc_id"] for r in rows.orderBy(F.expr(f"pmod(xxhash64(doc_id), {1 << 40})"), "doc_id").limit(300).collect()]
+    assert sorted(found) == sorted(order)
+    assert gam.smallest_hashes(rows, 20_000).count() == 9000
