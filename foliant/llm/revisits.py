@@ -13,7 +13,7 @@ each bucket, one row each, is carried the same way.
 Defined cases: a null URL has no canonical form, and such a revisit stays unresolved (`no-url`);
 one without an earlier response is `no-response`; without a validator of its own `no-validator`,
 and where the validators differ or the response has none `mismatch`. A null time sorts before all
-others; equal times are ordered by record id. Headers that are null count as none; header names are compared in
+others; equal times are ordered by record id, then by digest, length and headers. Headers that are null count as none; header names are compared in
 lower case (the last of equal names, in order of their spelling, counts). Repeated rows are each resolved. Extra columns are ignored.
 """
 
@@ -21,20 +21,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Header fields that a 304 response may carry, and query parameters that only track.
+# Header fields that a 304 response may carry.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)"
+#: Query parameters that only track, and prefixes of hosts that name the same site; patterns that a caller may replace.
+TRACKING, SAME_SITE = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)", r"(?:www\.|m\.)+"
 
 
-def canonical_url(url: Column) -> Column:
-    """Without scheme, user, a leading www. or m., default port, fragment, tracking parameters and a trailing slash; host in lower case, parameters sorted."""
+def canonical_url(url: Column, tracking: str = TRACKING, same_site: str = SAME_SITE) -> Column:
+    """Without scheme, user, a prefix of the host like www., its scheme's default port, fragment, tracking parameters and a trailing slash; host in lower case, parameters sorted."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
+    for scheme, port in (("http", 80), ("https", 443)):
+        u = F.regexp_replace(u, rf"^((?i:{scheme})://[^/?]*):{port}([/?].*)?$", "$1$2")
     u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", "")
     host = F.lower(F.regexp_extract(u, r"^//(?:[^/?@]*@)?([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(?:80|443)$", ""), r"^(?:www\.|m\.)+", "")
+    host = F.regexp_replace(host, f"^(?:{same_site})", "")
     rest = F.regexp_replace(u, r"^//[^/?]*", "")
     path = F.regexp_replace(F.split(rest, r"\?", 2)[0], "/+$", "")
-    params = F.filter(F.split(F.coalesce(F.try_element_at(F.split(rest, r"\?", 2), F.lit(2)), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike(f"^(?i:{TRACKING})(?:=|$)"))
+    params = F.filter(F.split(F.coalesce(F.try_element_at(F.split(rest, r"\?", 2), F.lit(2)), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike(f"^(?i:{tracking})(?:=|$)"))
     query = F.array_join(F.array_sort(params), "&")
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
@@ -51,21 +54,22 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame, bucket_seconds: int = 86_400, tracking: str = TRACKING, same_site: str = SAME_SITE) -> DataFrame:
     """Every revisit among `records` (record_id, url, captured_at, kind, status, headers, digest, length), resolved.
 
     kind is "response" or "revisit"; only responses with status 200 count as full.
     Returns record_id, canonical, outcome (resolved by "etag" or "last-modified", else why
     not), refers_to, status, headers, digest and length of the response where resolved."""
     bucket = F.coalesce(F.floor(F.unix_timestamp("captured_at") / bucket_seconds), F.lit(-(2**62)))
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "captured_at", "kind", "status", _lowered(F.col("headers")).alias("headers"), "digest", "length").filter("kind = 'revisit' or (kind = 'response' and status = 200)")
+    rows = records.select("record_id", canonical_url(F.col("url"), tracking, same_site).alias("canonical"), "captured_at", "kind", "status", _lowered(F.col("headers")).alias("headers"), "digest", "length").filter("kind = 'revisit' or (kind = 'response' and status = 200)")
     rows = rows.withColumn("bucket", bucket)
     full = F.when(F.col("kind") == "response", F.struct("record_id", "status", "headers", "digest", "length"))
     known = rows.filter("canonical is not null").withColumn("full", full)
-    order = [F.col("captured_at").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
+    tie = F.struct("digest", "length", F.array_sort(F.map_entries("headers")).alias("h"))
+    order = [F.col("captured_at").asc_nulls_first(), F.col("record_id").asc_nulls_first(), tie]
     inside = Window.partitionBy("canonical", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("inside", F.last("full", ignorenulls=True).over(inside)).filter("kind = 'revisit'")
-    ends = known.filter("kind = 'response'").groupBy("canonical", "bucket").agg(F.max_by("full", F.struct(F.col("captured_at").isNotNull(), "captured_at", "record_id")).alias("end"))
+    ends = known.filter("kind = 'response'").groupBy("canonical", "bucket").agg(F.max_by("full", F.struct(F.col("captured_at").isNotNull(), "captured_at", "record_id", tie)).alias("end"))
     needed = near.filter("inside is null").select("canonical", "bucket").distinct()
     steps = ends.unionByName(needed, allowMissingColumns=True).groupBy("canonical", "bucket").agg(F.first("end", ignorenulls=True).alias("end"))
     before = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,12 +39,12 @@ OP7 = r"""
 WITH p AS (
   SELECT page_id, html, (page_id % 999983) * 7919 % 104729 AS mark, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT), 0) AS number, url AS original FROM pages
 ), r AS (
-  SELECT page_id AS record_id, mark % 3 = 0 AS revisit, regexp_replace(regexp_replace(trim(regexp_replace(original, '/[0-9]+', '/' || CAST(number % 20 AS VARCHAR), 'g')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:(//)', '\1') AS u,
+  SELECT page_id AS record_id, mark % 3 = 0 AS revisit, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(original, '/[0-9]+', '/' || CAST(number % 20 AS VARCHAR), 'g')), '#.*$', ''), '^((?i:http)://[^/?]*):80([/?].*)?$', '\1\2'), '^((?i:https)://[^/?]*):443([/?].*)?$', '\1\2'), '^[A-Za-z][A-Za-z0-9+.-]*:(//)', '\1') AS u,
          CASE WHEN mark % 5 < 3 THEN CASE WHEN mark % 2 = 0 THEN 'W/' ELSE '' END || '"' || CAST(number % 4 + mark % 2 AS VARCHAR) || '"' END AS etag,
          CASE WHEN mark % 7 < 4 THEN CAST(number % 3 + mark % 2 AS VARCHAR) END AS modified,
          sha256(html) AS digest, CAST(octet_length(encode(html)) AS BIGINT) AS length FROM p
 ), parts AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^//(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)$', ''), '^(?:www\.|m\.)+', '') AS host, regexp_replace(u, '^//[^/?]*', '') AS rest FROM r
+  SELECT *, regexp_replace(lower(regexp_extract(u, '^//(?:[^/?@]*@)?([^/?]*)', 1)), '^(?:www\.|m\.)+', '') AS host, regexp_replace(u, '^//[^/?]*', '') AS rest FROM r
 ), cut AS (
   SELECT *, regexp_replace(CASE WHEN strpos(rest, '?') > 0 THEN rest[: strpos(rest, '?') - 1] ELSE rest END, '/+$', '') AS path,
          array_to_string(list_sort(list_filter(string_split(CASE WHEN strpos(rest, '?') > 0 THEN rest[strpos(rest, '?') + 1 :] ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:(?:utm_[a-z]+|ref|fbclid|gclid|sessionid|sid))(?:=|$)'))), '&') AS query FROM parts

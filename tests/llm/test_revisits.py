@@ -1,9 +1,11 @@
 import datetime as dt
+import gzip
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from foliant.llm import revisits
+from foliant.llm import revisits, warc
 from tests.llm.conftest import same_rows
 
 SCHEMA = "record_id long, url string, captured_at timestamp, kind string, status int, headers map<string,string>, digest string, length long, payload string, outcome string"
@@ -21,6 +23,52 @@ def test_canonical_url(spark):
     assert {r["url"]: r["c"] for r in frame.collect()} == {**cases, None: None}
 
 
+def test_canonical_rules_are_parameters_and_ports_belong_to_schemes(spark):
+    cases = {"http://m.a.com:443/?ref=1": "m.a.com:443?ref=1", "https://www.a.com:443/?utm_x=1": "a.com", "HTTPS://a.com:443": "a.com", "https://a.com:80/x": "a.com:80/x", "http://a.com:8080": "a.com:8080"}
+    frame = spark.createDataFrame([(k,) for k in cases], "url string").select("url", revisits.canonical_url(F.col("url"), "utm_[a-z]+", r"www\.").alias("c"))
+    assert {r["url"]: r["c"] for r in frame.collect()} == cases
+
+
+def test_equal_ids_and_times_have_an_order(spark):
+    at = dt.datetime(2024, 1, 1)
+    full = [(1, "u", at, "response", 200, {"etag": "a"}, d, n, "p", "x") for d, n in (("d2", 1), ("d1", 7), ("d2", 2), (None, 9))]
+    rows = [*full, (2, "u", at, "revisit", 304, {"etag": "a"}, "", 0, "", ""), (3, "u", at + dt.timedelta(days=9), "revisit", 304, {"etag": "a"}, "", 0, "", "")]
+    for n in (1, 2, 5):
+        found = revisits.resolve(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
+        assert {(r["record_id"], r["digest"], r["length"]) for r in found} == {(2, "d2", 2), (3, "d2", 2)}
+
+
+def record(kind, uri, date, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{uri}:{date}>", "WARC-Target-URI": uri, "WARC-Date": date, **more, "Content-Length": str(len(block))}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_files(spark, tmp_path):
+    payloads = [bytes(range(256)) * 40, b"", b"caf\xc3\xa9\r\n\r\nmore", b"x" * 70_000]
+    http = lambda status, tag, body=b"": f"HTTP/1.1 {status} X\r\nETag: {tag}\r\nSet-Cookie: a\r\nset-cookie: b\r\nX-Long: one\r\n  two\r\n\r\n".encode() + body
+    records = [record("warcinfo", "", "2024-01-01T00:00:00Z", b"software: x\r\n")]
+    for k, body in enumerate(payloads):
+        records.append(record("response", f"http://h/{k}", f"2024-01-02T00:00:0{k}Z", http(200, f'"{k}"', body)))
+        records.append(record("revisit", f"http://h/{k}", f"2024-01-03T00:00:0{k}Z", http(304, f'W/"{k}"'), **{"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/server-not-modified"}))
+    records.append(record("revisit", "http://h/0", "2024-01-04T00:00:00Z", b"", **{"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}))
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:4]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[4:])))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1000", before):  # cut into many splits, and whole
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = warc.read_records(spark, str(tmp_path))
+        rows = found.collect()
+        assert len(rows) == len(records) and all(r["whole"] and r["version"] == "1.0" for r in rows)
+        captures = warc.captures(found)
+        held = {r["url"]: r for r in captures.filter("kind = 'response'").collect()}
+        assert {u: bytes(r["payload"]) for u, r in held.items()} == {f"http://h/{k}": p for k, p in enumerate(payloads)}
+        assert held["http://h/0"]["headers"] == {"etag": '"0"', "set-cookie": "a, b", "x-long": "one two"} and held["http://h/0"]["digest"] == "sha1:" + hashlib.sha1(payloads[0]).hexdigest()
+        done = {r["record_id"]: r for r in revisits.resolve(captures).collect()}
+        assert {(r["outcome"], r["refers_to"], r["length"]) for r in done.values()} == {("etag", f"<urn:http://h/{k}:2024-01-02T00:00:0{k}Z>", len(p)) for k, p in enumerate(payloads)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def brute(rows):
     low = lambda h: {k.lower(): v for k, v in sorted((h or {}).items())}
     order = lambda r: (r[2] is not None, r[2] or dt.datetime.min, r[0])
