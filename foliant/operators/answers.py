@@ -11,6 +11,18 @@ AUTHORITY_LABEL = {"national_law": "ley nacional / Estatuto (base mínima)", "of
 ROUTES = ("salary", "prose", "off_domain")
 MARKER = r"\[Fuente\s+(\d+)\]"
 
+# How the prompts close.
+CLOSING = (
+    "Recuerda: prioriza el convenio donde regule el tema; usa la ley nacional solo para lo que el convenio no cubra. Enuncia el contenido "
+    "sustantivo y deja que [Fuente N] indique la procedencia — no escribas frases sobre de qué documento procede un dato. CADA afirmación "
+    "sustantiva lleva su propio [Fuente N]; si ninguna fuente la respalda, OMÍTELA (no enuncies datos que no puedas citar). Responde en el "
+    "idioma de la pregunta y devuelve solo el JSON."
+)
+GROUND_CLOSING = (
+    "Clasifica cada afirmación (sustantiva/procedencia) y evalúa el entrañamiento SOLO de las sustantivas. Recuerda la guía de precisión: "
+    "una cifra/regla con envoltorio atributivo es sustantiva. Devuelve solo el JSON."
+)
+
 ANSWER_SCHEMA = "answer string, confidence string, cited_sources array<string>"
 ROUTE_SCHEMA = "label string, confidence string, subqueries array<string>"
 CLAIM_SCHEMA = "claims array<struct<claim:string,tipo:string,grounded:boolean,supporting_source:string>>"
@@ -119,7 +131,7 @@ def claim_gate(outputs: DataFrame) -> DataFrame:
     return out.withColumn("grounded", (F.col("substantive_count") >= 1) & (F.size("ungrounded") == 0))
 
 
-def user_prompt(question: Column, chunks: Column, closing: str = "Devuelve solo el JSON.") -> Column:
+def user_prompt(question: Column, chunks: Column, closing: str = CLOSING) -> Column:
     """The question and its numbered sources with their authority and pages."""
 
     def source(c: Column, i: Column) -> Column:
@@ -130,7 +142,7 @@ def user_prompt(question: Column, chunks: Column, closing: str = "Devuelve solo
     return F.array_join(F.concat(head, F.transform(chunks, source), F.array(F.lit(""), F.lit(closing))), "\n")
 
 
-def ground_prompt(question: Column, answer: Column, chunks: Column, closing: str = "Devuelve solo el JSON.") -> Column:
+def ground_prompt(question: Column, answer: Column, chunks: Column, closing: str = GROUND_CLOSING) -> Column:
     """The question, the answer and its cited sources, tables marked as such."""
     source = lambda c, i: F.concat(F.lit("[Fuente "), (i + 1).cast("string"), F.lit("]"), F.when(c["is_tabular"], " [TABLA/COLUMNAS]").otherwise(""), F.lit(": "), c["content"])
     head = F.array(F.concat(F.lit("Pregunta: "), question), F.lit(""), F.concat(F.lit("Respuesta propuesta:\n"), answer), F.lit(""), F.lit("FUENTES citadas:"))

@@ -5,7 +5,7 @@ There is no approximate index: every eligible chunk is ranked. Ties in distance
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -52,6 +52,17 @@ def count_eligible(chunks: DataFrame, convenio_id: int | None = None, include_na
     return chunks.filter(eligible(convenio_id, include_national_law, statuses, as_of)).agg(F.count("*").alias("eligible"))
 
 
+def answerable(chunks: DataFrame, query: str, embed: Callable[[str], Sequence[float]], convenio_id: int | None = None, include_national_law: bool = True, statuses: Sequence[str] = ("active",), as_of: date | None = None, k: int = 8) -> DataFrame:
+    """Text in, hits out: the k nearest eligible chunks, in order (`rank`, from 1), each with the number of all eligible ones.
+
+    Ranking and counting share one scan: the count is a sum over the partitions, and a row of it alone stays if nothing is eligible."""
+    scope = (convenio_id, include_national_law, statuses, as_of)
+    hits = retrieve(chunks, embed(query), *scope, k=k)
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id"))  # of at most k rows
+    total = count_eligible(chunks, *scope).withColumnRenamed("eligible", "eligible_total")
+    return total.join(hits.withColumn("rank", rank), F.lit(True), "left")
+
+
 def _live() -> Column:
     """Status and validity between a request (aliased q) and a chunk (aliased c), of which anything may be null."""
     day = F.col("q.as_of_date")

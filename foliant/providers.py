@@ -95,6 +95,11 @@ def embedded(rows: DataFrame, text_col: str = "content", factory: Callable[[], E
     return rows.mapInArrow(run, schema)
 
 
+def embed_query(text: str, factory: Callable[[], Embedder] = StubEmbedder) -> list[float]:
+    """The vector of one query text, made where it is called."""
+    return [float(x) for x in made(factory).embed([text])[0]]
+
+
 def asked(prompts: DataFrame, call: str, api_key: str, factory: Callable[[], AnswerProvider] = StubProvider, settings: Settings = DEFAULT) -> DataFrame:
     """Rows (turn_id, prompt) answered: turn_id, raw_text, stop_reason, error.
 

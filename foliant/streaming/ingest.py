@@ -1,4 +1,4 @@
-"""Continuous ingest, an extension: a stream of units replaces the chunks of the documents it names.
+"""Ingest of documents, from parser to store, and continuous ingest, an extension: a stream of units replaces the chunks of the documents it names.
 
 Each micro-batch goes through the same operators as a batch run and through ChunkStore.replace,
 which is idempotent, so a batch that is run again leaves the same rows.
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliant import providers
 from foliant.config import DEFAULT, Settings
-from foliant.operators import chunking, store
+from foliant.operators import chunking, layout, store
 
 UNIT_SCHEMA = "doc_id long, lang string, unit_no int, page int, text string"
 
@@ -25,6 +25,30 @@ def ingest(units: DataFrame, scopes: DataFrame, target: store.ChunkStore, factor
     target.replace(units.select(F.col("doc_id").alias("document_id")).distinct(), store.assemble(made.drop("language"), vectors, scopes))
 
 
+def pages_of(objects: DataFrame, parser: Callable[[], providers.PageParser], settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Blocks, as the layout operators take them, and page counts (doc_id, page_count) of objects (doc_id, path, content)."""
+    parsed = providers.parsed_layout(objects, parser).join(objects.select("doc_id", "path"), "path")
+    boxes = parsed.select("doc_id", "page", F.explode("boxes").alias("b")).select("doc_id", "page", "b.*")
+    glyphs = parsed.select("doc_id", "page", F.explode("glyphs").alias("g")).select("doc_id", "page", "g.*")
+    return layout.blocks_of(glyphs, boxes, settings), parsed.groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("page_count"))
+
+
+def ingest_documents(objects: DataFrame, scopes: DataFrame, target: store.ChunkStore, parser: Callable[[], providers.PageParser], factory: Callable[[], providers.Embedder] = providers.StubEmbedder, settings: Settings = DEFAULT) -> DataFrame:
+    """Parses, lays out, chunks, embeds and stores objects (doc_id, path, content), replacing what the store holds of them.
+
+    Returns for each document the chunks written, in all and by language, and the statistics of its extraction. A document
+    without text loses its chunks. A path stands for one document."""
+    blocks, counts = pages_of(objects, parser, settings)
+    units, stats = layout.language_streams(blocks, counts, settings)
+    made = chunking.chunks(units, settings=settings).withColumnRenamed("doc_id", "document_id")
+    vectors = providers.embedded(made.select("document_id", "chunk_index", "content"), factory=factory, settings=settings)
+    documents = objects.select(F.col("doc_id").cast("long").alias("document_id")).distinct()
+    target.replace(documents, store.assemble(made.drop("language"), vectors, scopes))
+    written = made.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks_written"), *[F.count_if(F.col("language") == x).alias(f"chunks_{x}") for x in ("es", "eu")])
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks_written", "chunks_es", "chunks_eu")]
+    return objects.select("doc_id").distinct().join(written, "doc_id", "left").join(stats, "doc_id", "left").select("doc_id", *zero, *[c for c in stats.columns if c != "doc_id"])
+
+
 def stream(spark: SparkSession, source: str, scopes: DataFrame, target: store.ChunkStore, checkpoint: str, factory: Callable[[], providers.Embedder] = providers.StubEmbedder) -> StreamingQuery:
     """Takes new Parquet files of units (whole documents) under `source` as they come."""
     units = spark.readStream.schema(UNIT_SCHEMA).parquet(source)

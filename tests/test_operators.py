@@ -369,3 +369,54 @@ def test_nearest_in_blocks(spark, monkeypatch):
     whole = retrieval.nearest(e, e).collect()
     monkeypatch.setattr(retrieval, "BLOCK_REQUESTS", 9)
     assert sorted(retrieval.nearest(e, e).collect()) == sorted(whole) and len(whole) == 40
+
+
+def test_text_in_hits_out(spark):
+    texts = ["vacaciones anuales", "jornada de trabajo", "salario base mensual", "permiso retribuido"]
+    rows = [(k, 1, k, 1, 1, t, providers.embed_query(t), "active" if k < 3 else "archived", None, 7, None, None) for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, page_from int, page_to int, content string, embedding array<float>, retrieval_status string, authority_level string, convenio_id long, validity_start date, validity_end date")
+    found = retrieval.answerable(chunks, "el salario base", providers.embed_query, convenio_id=7, k=2).orderBy("rank").collect()
+    assert [(r["rank"], r["eligible_total"]) for r in found] == [(1, 3), (2, 3)] and found[0]["content"] == texts[2] and found[0]["score"] > found[1]["score"]
+    (none,) = retrieval.answerable(chunks, "x", providers.embed_query, convenio_id=8).collect()
+    assert none["eligible_total"] == 0 and none["id"] is None
+
+
+class Bulletin(providers.PageParser):
+    """Each line of the bytes is a block of its own; a form feed begins a page."""
+
+    def pages(self, content):
+        for k, page in enumerate(content.decode().split("\f")):
+            lines = page.split("\n")
+            boxes = [dict(block_no=n, pw=600.0, ph=800.0, x0=40.0, x1=560.0, y0=200.0 + 20 * n, y1=215.0 + 20 * n) for n in range(len(lines))]
+            glyphs = [dict(block_no=n, line_no=0, glyph_no=g, c=c, x0=5.0 * g, x1=5.0 * g + 5) for n, line in enumerate(lines) for g, c in enumerate(line)]
+            # White space is found again from the gaps between glyphs.
+            yield {"page_number": k + 1, "text": page, "image": None, "boxes": boxes, "glyphs": glyphs}
+
+
+def test_ingest_from_parser_to_store(spark, tmp_path):
+    target = store.ChunkStore(spark, f"file://{tmp_path}/chunks", buckets=4)
+    scopes = spark.createDataFrame([(1, 7, None, None, None, None, "active", "official_convenio")], "document_id long, " + ", ".join(f"{c} {t}" for c, t in zip(store.SCOPE, ("long", "long", "long", "date", "date", "string", "string"), strict=True)))
+
+    def put(*rows):
+        objects = spark.createDataFrame([(d, f"/{d}.pdf", bytearray(t.encode())) for d, t in rows], "doc_id long, path string, content binary")
+        return {r["doc_id"]: r for r in ingest.ingest_documents(objects, scopes, target, Bulletin).collect()}
+
+    out = put((1, "Artículo 1. Objeto\ntexto uno\fArtículo 2. Fin"), (2, "solo texto"))
+    assert stored(spark, target) == [(1, 0, "Artículo 1. Objeto\n\ntexto uno"), (1, 1, "Artículo 2. Fin"), (2, 0, "solo texto")]
+    assert (out[1]["chunks_written"], out[1]["chunks_es"], out[1]["chunks_eu"], out[1]["page_count"], out[1]["blocks_total"]) == (2, 2, 0, 2, 3)
+    row = target.document(1).orderBy("chunk_index").first()
+    assert row["convenio_id"] == 7 and len(row["embedding"]) == 1024 and target.document(2).first()["convenio_id"] is None
+    out = put((1, ""))
+    assert stored(spark, target) == [(2, 0, "solo texto")] and out[1]["chunks_written"] == 0
+
+
+def test_settings_of_a_store(spark):
+    objects.use_store(spark, "http://localhost:9000", fs__s3a__connection__maximum="64")
+    conf = spark._jsc.hadoopConfiguration()
+    assert [conf.get(k) for k in ("fs.s3a.path.style.access", "fs.s3a.endpoint", "fs.s3a.connection.maximum")] == ["true", "http://localhost:9000", "64"]
+
+
+def test_prompts_close_as_they_should(spark):
+    row = spark.sql("select array(named_struct('page_from', 1, 'page_to', 2, 'authority_level', 'national_law', 'content', 'c', 'is_tabular', true)) as s")
+    a, b = row.select(answers.user_prompt(F.lit("q"), F.col("s")), answers.ground_prompt(F.lit("q"), F.lit("r"), F.col("s"))).first()
+    assert a.endswith("p. 1–2): c\n\n" + answers.CLOSING) and b.endswith("[TABLA/COLUMNAS]: c\n\n" + answers.GROUND_CLOSING)
