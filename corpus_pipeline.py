@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
 returns a DataFrame, which is written and read again as the next one's documents. All but the
 last return the columns of documents.
+
+Defined cases, at every stage: a null or empty text fails the base test and goes at the first stage; later stages
+given one keep it (line dedup, decontamination), keep one of each id (near duplicates: they are no copies of each other), and encode it to no ids.
+Repeated rows (equal id and text) are judged alike, and near duplicates leaves one of them, defined by the other columns. Rows with a null id
+come after all others. Ties go to the smaller id, then the smaller hash of the text. Empty tables stay empty; extra columns are
+kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

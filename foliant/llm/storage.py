@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.shipping import ship
 
+#: Tables made by this driver process and not yet deleted.
+_MADE: list[str] = []
 #: Used where spark.checkpoint.dir is unset, and then only when the executors are in this machine.
 LOCAL_DIR = "/tmp/checkpoints"
 
@@ -25,14 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that was never used; the files under a local master go when Python ends."""
+    """A path in the shared folder that was never used; what is there goes with `release`, or when Python ends."""
     ship(spark)
     path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local["):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    if not _MADE:
+        # Registered after the context's own handler, so that it runs before the context stops.
+        atexit.register(_release_at_exit)
+    _MADE.append(path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this driver process, through the file system they are in, and returns how many
+    there were. Results that read from them must be written before."""
+    paths, jvm = [_MADE.pop() for _ in range(len(_MADE))], spark._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    local = [p.removeprefix("file://") for p in _MADE if p.startswith("file://")]
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            release(spark)
+    for path in local:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet and reads it back: cuts the lineage, survives lost executors, and lets readers prune columns."""
     spark = df.sparkSession

@@ -34,3 +34,34 @@ def test_stages_follow_each_other(spark, sf_dir):
 def test_run_gives_what_the_stages_give(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "ids", "decoded"] and 0 < out.count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, sf_dir)
+        rows = out.collect()
+        assert 0 <= len(rows) <= odd_docs.count(), name
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in odd_docs.collect()}
+        assert stage(spark, no_docs, sf_dir).count() == 0
+        if name != "sentencepiece_coding":
+            assert out.columns == odd_docs.columns
+    held = {n: {r["doc_id"] for r in f(spark, odd_docs, sf_dir).collect()} for n, f in corpus_pipeline.STAGES[:-1]}
+    assert not {0, 1} & held["quality_rules"] and {0, 1} <= held["line_dedup"] and {0, 1} <= held["near_duplicates"] and {0, 1} <= held["benchmark_decontamination"]
+
+
+def test_near_lines_go_in_the_pipeline(spark, sf_dir):
+    line = "a line of a document that stands in another one with hardly any difference"
+    rows = [(1, f"{line}\nfirst", "en", "s", 1), (2, f"second\n{line[:30]}{line[31:]}!", "en", "s", 1), (3, f"{line[:-12]}\nthird", "en", "s", 1)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: f"{line}\nfirst", 2: "second", 3: f"{line[:-12]}\nthird"}
+
+
+def test_intermediate_tables_can_be_released(spark, sf_dir):
+    from foliant.llm import storage
+
+    made = storage.materialise(spark.range(5), "x")
+    path = storage._MADE[-1]
+    assert made.count() == 5 and storage.release(spark) > 0 and not storage._MADE
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
