@@ -26,21 +26,42 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(at, step)
 
 
-def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """`mapInArrow` for workers that have this package, wherever the driver found it."""
+#: What worker processes keep between tasks, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str, held: dict | None = None) -> dict:
+    """A dict for what an operator keeps between the tasks of a worker process."""
+    return _KEPT.setdefault(operator, {} if held is None else held)
+
+
+def keep_only(operator: str) -> None:
+    """Drops what other operators keep in this process, so that the stages of a pipeline do not add up their memory."""
+    for name, held in _KEPT.items():
+        if name != operator:
+            held.clear()
+
+
+def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, operator: str = "") -> DataFrame:
+    """`mapInArrow` for workers that have this package, wherever the driver found it; of what workers keep only the operator's own stays."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(operator)
+        yield from run(batches)
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone, schema)
 
 
-def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, operator: str = "", most: int = SLICE_BYTES) -> DataFrame:
     """Runs `fn` over slices of Arrow batches. No shuffle, nothing is gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield fn(part)
 
-    return python_stage(df, run, schema)
+    return python_stage(df, run, schema, operator)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from foliant.llm import words as W
-from foliant.llm.batches import bytes_of, id_and_text, map_texts, python_stage, slices
+from foliant.llm.batches import bytes_of, id_and_text, kept, map_texts, python_stage, slices
 
 #: Pre-tokens in the broadcast table.
 FREQUENT = 32_768
 #: Pre-tokens that a worker keeps; beyond, half of them go, those not used for longest.
-CACHE = 400_000
+CACHE = 250_000
 #: Words that are encoded in one text.
 JOINED = 128
 
@@ -148,7 +148,7 @@ class ByteBpe:
         return flat, np.diff(ends, prepend=0)
 
 
-_MODELS: dict[str, ByteBpe] = {}
+_MODELS: dict[str, ByteBpe] = kept("counts")
 
 
 def model(file: str) -> ByteBpe:
@@ -208,7 +208,7 @@ def frequent(texts: DataFrame, file: str, size: int = FREQUENT) -> tuple[np.ndar
         s = _summary(model(file), batches, size)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (s.k1, s.k2, s.counts)], ["k1", "k2", "counts"])
 
-    rows = python_stage(texts.select("text"), summary, "k1 binary, k2 binary, counts binary").rdd
+    rows = python_stage(texts.select("text"), summary, "k1 binary, k2 binary, counts binary", "counts").rdd
     parts = rows.map(lambda r: Summary(np.frombuffer(r["k1"], np.uint64), np.frombuffer(r["k2"], np.uint64), np.frombuffer(r["counts"], np.int64)))
     total = parts.treeReduce(lambda a, b: a.plus(b).pruned(size), depth=3)
     return total.k1, total.k2, model(file).encode_words(total.words())[1]
@@ -249,4 +249,4 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         n_tokens[whole] = [len(i) for i in bpe.encode_all([rows[k].decode() for k in whole])]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, rows)), pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_texts(texts, "text", run, COUNT_SCHEMA)
+    return map_texts(texts, "text", run, COUNT_SCHEMA, "counts")

@@ -26,7 +26,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.batches import bytes_of, id_and_text, map_texts
+from foliant.llm.batches import bytes_of, id_and_text, kept, map_texts
 
 #: Bytes of benchmark text behind one broadcast; a larger benchmark is searched in several passes.
 SHARD_BYTES = 8 << 20
@@ -134,7 +134,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict[str, Windows] = {}
+_BUILT: dict[str, Windows] = kept("decontaminate")
 
 
 def _windows(token: str, items, window: int) -> Windows:
@@ -177,7 +177,7 @@ def _pass(df: DataFrame, items, window: int) -> DataFrame:
         }
         return pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    return map_texts(df, "text", run, df.schema)
+    return map_texts(df, "text", run, df.schema, "decontaminate")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -202,5 +202,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
             tables = _windows(token, items, window)
             return batch.filter(pa.array([not tables.search(words_of(t))[1] for t in bytes_of(batch, text_col)], pa.bool_()))
 
-        docs = map_texts(docs, text_col, run, docs.schema)
+        docs = map_texts(docs, text_col, run, docs.schema, "decontaminate")
     return docs

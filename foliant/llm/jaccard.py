@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.batches import bytes_of, python_stage, slices
+from foliant.llm.batches import bytes_of, kept, python_stage, slices
 from foliant.llm.graph import components
 from foliant.llm.marks import marks, with_mark
 from foliant.llm.storage import materialise
@@ -72,7 +72,7 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
+_HASHES = kept("jaccard", _Hashes())
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -127,7 +127,7 @@ def _chunks(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
                     names,
                 )
 
-    return python_stage(rows, run, "chunk long, ids array<long>, keys array<long>, n array<int>, posted array<int>, cls array<binary>, hashes binary")
+    return python_stage(rows, run, "chunk long, ids array<long>, keys array<long>, n array<int>, posted array<int>, cls array<binary>, hashes binary", "jaccard")
 
 
 def _postings(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
@@ -167,7 +167,7 @@ def _post(chunks: DataFrame, buckets: int) -> DataFrame:
                 load = [np.concatenate([_six(h[a:b]), _six(cls[a:b]), many[None, a:b].astype(np.uint8)]).tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([row["chunk"]] * len(ids), pa.int64()), pa.array(load, pa.binary())], ["bucket", "chunk", "load"])
 
-    return python_stage(chunks.select("chunk", "posted", "cls", "hashes"), run, "bucket long, chunk long, load binary")
+    return python_stage(chunks.select("chunk", "posted", "cls", "hashes"), run, "bucket long, chunk long, load binary", "jaccard")
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -214,7 +214,7 @@ def _candidates(chunks: DataFrame, answers: DataFrame, percent: int) -> DataFram
                     keys.append(s[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), pa.array(text_keys, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["cls", "n", "key", "keys"])
 
-    return python_stage(joined, run, "cls binary, n int, key long, keys array<long>")
+    return python_stage(joined, run, "cls binary, n int, key long, keys array<long>", "jaccard")
 
 
 def _filter_of(keys: DataFrame) -> bytes:
@@ -231,7 +231,7 @@ def _filter_of(keys: DataFrame) -> bytes:
         a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
         return zlib.compress((a | b).tobytes(), 1)
 
-    return python_stage(keys, bits, "bits binary").rdd.map(lambda r: bytes(r["bits"])).treeReduce(both, depth=3)
+    return python_stage(keys, bits, "bits binary", "jaccard").rdd.map(lambda r: bytes(r["bits"])).treeReduce(both, depth=3)
 
 
 def _bits(keys: np.ndarray) -> list[np.ndarray]:
@@ -254,7 +254,7 @@ def _sets(docs: DataFrame, found: DataFrame, size: int, text_col: str) -> DataFr
                 sets = [shingles(t, size) for t in bytes_of(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "hashes"])
 
-    rows = python_stage(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), run, "cls binary, hashes binary")
+    rows = python_stage(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), run, "cls binary, hashes binary", "jaccard")
     one = rows.groupBy("cls").agg(F.first("hashes").alias("hashes"))
     return one.join(found.select("cls").distinct(), "cls", "left_semi")
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliant.llm import words as W
-from foliant.llm.batches import bytes_of, id_and_text, map_texts
+from foliant.llm.batches import bytes_of, id_and_text, kept, map_texts
 
 SPACE = "▁"
 #: Hardly a piece joins a letter with another character than spaces before it, so that segments can be cut there.
@@ -43,9 +43,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIXED = re.compile(rf"[^\W\d_][\W\d_]|[^{SPACE}\w][^\W\d_]|[\d_][^\W\d_]")
 _CLASSES = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*[\d_]+(?:[\d_]|[^\w{SPACE}])*|{SPACE}*[^\w{SPACE}](?:[\d_]|[^\w{SPACE}])*|{SPACE}+").findall
 #: Words whose ids a worker keeps; segments of texts that are cut at spaces alone.
-CACHE_WORDS, CACHE_SEGMENTS = 400_000, 20_000
+CACHE_WORDS, CACHE_SEGMENTS = 250_000, 10_000
+#: Bytes of text that are encoded together; the numbers in decimal and the bytes take about ten times as much.
+SLICE = 1 << 20
 #: Bits of the table of pairs of pieces whose compatibility a worker keeps; a later pair takes the place of an earlier one.
-PAIR_BITS = 20
+PAIR_BITS = 19
 #: So few words are finished one by one.
 FEW = 24
 #: Characters that the table of the automaton knows, those of most pieces, and how long a word is read by it; others are read one by one.
@@ -353,7 +355,7 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
-_MODELS: dict[str, Pieces] = {}
+_MODELS: dict[str, Pieces] = kept("pieces")
 
 
 def pieces(model_file: str) -> Pieces:
@@ -389,7 +391,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             decoded = [model.decode(alone[k]) if k in alone else x for k, x in enumerate(decoded)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_texts(id_and_text(docs, id_col, text_col), "text", run, ENCODED_SCHEMA)
+    return map_texts(id_and_text(docs, id_col, text_col), "text", run, ENCODED_SCHEMA, "pieces", SLICE)
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,4 +417,4 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
             right[k] = sha256(model.decode(ids).encode()).hexdigest()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_texts(id_and_text(docs, id_col, text_col), "text", run, DIGEST_SCHEMA)
+    return map_texts(id_and_text(docs, id_col, text_col), "text", run, DIGEST_SCHEMA, "pieces", SLICE)

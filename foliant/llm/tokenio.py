@@ -52,7 +52,7 @@ def write_ids(docs: DataFrame, path: str, file: str, end_id: int = 0, id_col: st
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(at + bounds[:-1], pa.int64()), pa.array(sizes + 1, pa.int64()), lists], ["doc_id", "part", "offset", "n_tokens", "ids"])
                 at += int(bounds[-1])
 
-    python_stage(ordered.drop("tie"), run, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    python_stage(ordered.drop("tie"), run, FILE_SCHEMA, "counts").write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -79,5 +79,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             n = pa.array(np.diff(bounds), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("offset"), n, pa.array(crc, pa.int64())], ["doc_id", "part", "offset", "n_tokens", "ids_crc32"])
 
-    rows = python_stage(read_ids(spark, path), run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
+    rows = python_stage(read_ids(spark, path), run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long", "counts")
     return rows.join(starts(spark, path), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.llm import words as W
-from foliant.llm.batches import id_and_text, map_texts, remainder, texts_of
+from foliant.llm.batches import id_and_text, kept, map_texts, remainder, texts_of
 from foliant.llm.gam import agreed_labels, smallest_hashes
 from foliant.llm.storage import materialise
 
@@ -117,7 +117,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = kept("toxicity")
 
 
 def scorer(model: Model) -> Scorer:
@@ -208,5 +208,5 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
         scores = scorer(model.value).scores(texts_of(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    scored = map_texts(texts, "text", run, "doc_id long, score double, predicted int")
+    scored = map_texts(texts, "text", run, "doc_id long, score double, predicted int", "toxicity")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -123,8 +123,12 @@ def byte_bpe_runs(batch: Batch) -> np.ndarray:
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ... as one array."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Payload:
@@ -132,13 +136,13 @@ class Payload:
 
     def __init__(self, dtype):
         self.flat, self.used = np.empty(1 << 12, dtype), 0
-        self.starts, self.sizes, self.n = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), 0
+        self.starts, self.sizes, self.n = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int32), 0
 
     def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         self.flat = _room(self.flat, self.used + len(flat))
         self.starts, self.sizes = _room(self.starts, self.n + len(sizes)), _room(self.sizes, self.n + len(sizes))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.sizes[self.n : self.n + len(sizes)] = sizes
         self.used, self.n = self.used + len(flat), self.n + len(sizes)
 
@@ -157,7 +161,7 @@ class Payload:
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     if n <= len(array):
         return array
-    out = np.empty(max(n, 2 * len(array)), array.dtype)
+    out = np.empty(max(n, len(array) + len(array) // 2), array.dtype)
     out[: len(array)] = array
     return out
 
