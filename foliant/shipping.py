@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 _SHIPPED = "_foliant_shipped"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows in an Arrow batch. Spark's default of 10,000 long texts would take hundreds of MB outside the heap, which executors keep.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def ship(spark: SparkSession) -> None:
