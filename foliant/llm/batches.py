@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,9 +40,13 @@ def kept(operator: str, held: dict | None = None) -> dict:
 
 def keep_only(operator: str) -> None:
     """Drops what other operators keep in this process, so that the stages of a pipeline do not add up their memory."""
-    for name, held in _KEPT.items():
-        if name != operator:
-            held.clear()
+    others = [held for name, held in _KEPT.items() if name != operator and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # what is freed goes back to the system, where the C library can do so
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, operator: str = "") -> DataFrame:

@@ -50,7 +50,7 @@ SIZE, PERCENT = 4, 85
 THETA = np.uint64(int(0.35 * 2**64))
 SMALL_TEST = 64
 #: Postings in a bucket and in a sub-block, on average.
-BUCKET, SUB_BLOCK = 1 << 20, 120_000
+BUCKET, SUB_BLOCK = 1 << 19, 120_000
 #: Bytes of text in a chunk (a single text is never cut); its row stays well below what the JVM treats as huge.
 CHUNK_BYTES = 512 << 10
 #: Bits of the filter that spares texts without a candidate a second reading; of fixed size.

@@ -43,11 +43,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIXED = re.compile(rf"[^\W\d_][\W\d_]|[^{SPACE}\w][^\W\d_]|[\d_][^\W\d_]")
 _CLASSES = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*[\d_]+(?:[\d_]|[^\w{SPACE}])*|{SPACE}*[^\w{SPACE}](?:[\d_]|[^\w{SPACE}])*|{SPACE}+").findall
 #: Words whose ids a worker keeps; segments of texts that are cut at spaces alone.
-CACHE_WORDS, CACHE_SEGMENTS = 250_000, 10_000
+CACHE_WORDS, CACHE_SEGMENTS = 160_000, 10_000
 #: Bytes of text that are encoded together; the numbers in decimal and the bytes take about ten times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Bits of the table of pairs of pieces whose compatibility a worker keeps; a later pair takes the place of an earlier one.
-PAIR_BITS = 19
+PAIR_BITS = 18
 #: So few words are finished one by one.
 FEW = 24
 #: Characters that the table of the automaton knows, those of most pieces, and how long a word is read by it; others are read one by one.
@@ -141,7 +141,7 @@ class Pieces:
                 at = node
             own[at] = self.id[p]
         parent, char, self.longest = np.array(parent), np.array(char), np.array(own)
-        self.next, fail = np.zeros((len(parent), len(common)), np.int32), np.zeros(len(parent), np.int64)
+        self.next, fail = np.zeros((len(parent), len(common)), np.uint16 if len(parent) < 1 << 16 else np.int32), np.zeros(len(parent), np.int64)
         levels = [np.zeros(1, np.int64), *map(np.array, levels)]
         for depth, nodes in enumerate(levels):
             if depth > 1:
