@@ -343,7 +343,7 @@ def _blocks(found: DataFrame) -> DataFrame:
     if large.isEmpty():
         return own
     # Large components whose shingles make less work one by one: of a chain of texts with little in common, say.
-    held = materialise(shared.join(whole.select("cls", "label"), "cls").join(large, "label"), "held")
+    held = materialise(shared.join(materialise(whole.join(large, "label").select("cls", "label", "load"), "members"), "cls"), "held")
     single = held.groupBy("label", "load", "h").agg(F.sum("n").alias("own")).groupBy("label", "load").agg(F.sum(_work(F.col("own"))).alias("work"))
     cut = materialise(single.filter(F.col("work") < _work(F.col("load"))).select("label"), "cut")
     return own.join(cut, F.col("block") == cut["label"], "left_anti").unionByName(held.join(cut, "label").select("cls", "n", F.unhex(F.hex("h")).alias("block")))
