@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import counts, decontaminate, gam, jaccard, linededup, pieces, revisits, rules, sql, tokenio, toxicity
+from foliant.llm import counts, decontaminate, exactdedup, gam, jaccard, linededup, pieces, resample, revisits, rules, sql, tokenio, toxicity
 from foliant.llm.storage import fresh_path
 
 
@@ -66,11 +66,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, n=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_pieces, op4_quality, op5_rules, op6_token_counts, op7_revisits, op8_token_files, op9_lines, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_pieces, op4_quality, op5_rules, op6_token_counts, op7_revisits, op8_token_files, op9_lines, op10_toxicity, op11_exact, op12_resample, pipeline)}
 ORACLE: dict[str, str] = sql.ORACLE

@@ -103,4 +103,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.s = st.s AND CASE cuts.rule {_STAT.replace("THEN ", "THEN st.")} END > cuts.cut) AS kept FROM st
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_jaccard": OP2, "op5_rules": OP5, "op7_revisits": OP7}
+OP11 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id, max(chars) OVER (PARTITION BY norm) AS best, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, chars = best AND doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM k
+"""
+
+# Words as op1 reads them; crc32 by a table of 256 entries, over the hex digits of the bytes; each different word once.
+OP12 = r"""
+WITH fold AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', 0, NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), crc AS (
+  SELECT list(list_reduce([n] || list_transform(range(8), lambda i: i::BIGINT), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256))::BIGINT AS n)
+), distinct_words AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM fold),
+bucketed AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: (16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM distinct_words, crc
+), s AS (SELECT bucket, count(*) AS s FROM fold JOIN bucketed USING (w) WHERE side = 'd' GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM fold JOIN bucketed USING (w) WHERE side = 'b' GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)
+), sums AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS g FROM fold JOIN bucketed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) d LEFT JOIN sums USING (r)
+), placed AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM placed)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT 10 * count(*) // 100 FROM ranked WHERE able) THEN place END AS rank FROM ranked
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_jaccard": OP2, "op5_rules": OP5, "op7_revisits": OP7, "op11_exact": OP11, "op12_resample": OP12}
