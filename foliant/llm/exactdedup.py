@@ -73,8 +73,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rounds = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
     rounds = rounds.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)"))
     sizes = rounds.groupBy("depth", "bucket").agg(F.sum("n").alias("size"))
-    # Splitting ends in the first round in which the bucket fits.
-    ends = rounds.join(sizes, ["depth", "bucket"]).filter((F.col("size") <= capacity) | (F.col("depth") == MAX_DEPTH))
+    # Splitting ends in the first round in which the bucket fits. There are fewer than 2^(MAX_DEPTH + 1) buckets of all rounds.
+    ends = rounds.join(F.broadcast(sizes), ["depth", "bucket"]).filter((F.col("size") <= capacity) | (F.col("depth") == MAX_DEPTH))
     return ends.groupBy("slot").agg(F.min("depth").alias("depth"), F.min_by("bucket", "depth").alias("bucket"))
 
 
