@@ -16,9 +16,11 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant.config import DEFAULT, Settings
+from foliant.functions.text import word_count
+from foliant.functions.tokens import Counter, Words, counted
 from foliant.shipping import ship
 
 # How article headers, their ordinals and dispositions are written.
@@ -33,6 +35,12 @@ DISPOSITION = r"(?iu)^[ \t]*Disposici[óo]n(?U:\s)+(?:adicional|transitoria|fina
 STREAM = ["doc_id", "lang"]
 
 
+def line_units(docs: DataFrame, page_lines: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Plain texts as streams of one unit for each line, a page for so many lines. A null text has no units."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.posexplode(F.split(text_col, "\n")).alias("unit_no", "text"))
+    return rows.select("doc_id", "lang", "unit_no", (F.floor(F.col("unit_no") / page_lines) + 1).cast("int").alias("page"), "text")
+
+
 def lines(units: DataFrame) -> DataFrame:
     """The lines of each stream in order, with what separates each from the next: a line break, or a blank line between units."""
     parts = units.select(*STREAM, "unit_no", "page", F.split("text", "\n").alias("l"))
@@ -78,34 +86,64 @@ def segments(units: DataFrame) -> DataFrame:
     return out.select(*STREAM, "segment", total.alias("n_anchors"), F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["page"].alias("page"))).alias("pieces"))
 
 
-def count_words(text: str) -> int:
-    """The default token counter."""
-    return len(text.split())
-
-
-def _grown(parts: list[str], joint: str, count: Callable[[str], int], cap: int, too_big: Callable[[str, bool], tuple[list[str], str]]) -> tuple[list[str], str]:
-    """Joins parts as long as the whole keeps to the cap; too_big says what becomes of a part that does not fit (whether something was waiting before it)."""
-    done, waiting = [], ""
-    for part in parts:
-        both = f"{waiting}{joint}{part}".strip() if waiting else part.strip()
-        if count(both) <= cap:
-            waiting = both
-            continue
-        had = bool(waiting)
-        if had:
-            done.append(waiting)
-        more, waiting = too_big(part, had)
-        done += more
+#: The default token counter.
+count_words = Words()
+
+
+def _reach(joined: Callable[[int], str], at: int, n: int, guess: int, count: Counter, cap: int) -> int:
+    """The largest place up to n to which parts can be joined within the cap, for a counter that never falls as text is added.
+
+    The search begins at a guess and gallops from there: a counter that adds up is called twice, any other a few times."""
+    fits = lambda to: count(joined(to)) <= cap
+    low, high, step = at, n + 1, 1
+    if guess > at and fits(guess):
+        low = guess
+        while low + step <= n and fits(low + step):
+            low, step = low + step, 2 * step
+        high = min(low + step, n + 1)
+    else:
+        high = max(guess, at + 1)
+        while high - step > at and not fits(high - step):
+            high, step = high - step, 2 * step
+        low = max(high - step, at)
+        if low == at and high == at + 1 and guess <= at and fits(high):
+            return _reach(joined, at, n, high, count, cap)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return low
+
+
+def _grown(parts: list[str], joint: str, count: Counter, cap: int, too_big: Callable[[str, bool], tuple[list[str], str]]) -> tuple[list[str], str]:
+    """Joins parts as long as the whole keeps to the cap; too_big says what becomes of a part that does not fit (whether something was waiting before it).
+
+    Each part is counted once; sums of these counts say where the longest run of parts that fits should end, and the counter settles it."""
+    parts = [p for p in parts if p.strip()]
+    sums = list(accumulate(counted(count, [p.strip() for p in parts]), initial=0))
+    done, waiting, at = [], "", 0
+    while at < len(parts):
+        joined = lambda to: joint.join([waiting, *map(str.rstrip, parts[at:to])] if waiting else [parts[at].strip(), *map(str.rstrip, parts[at + 1 : to])])  # noqa: B023, E731
+        room = cap - (count(waiting) if waiting else 0) + sums[at]
+        to = _reach(joined, at, len(parts), bisect_right(sums, room) - 1, count, cap)
+        if to > at:
+            waiting, at = joined(to), to
+        if at < len(parts):
+            had = bool(waiting)
+            if had:
+                done.append(waiting)
+            more, waiting = too_big(parts[at], had)
+            done += more
+            at += 1
     return done, waiting
 
 
-def split_words(text: str, count: Callable[[str], int], cap: int) -> list[str]:
+def split_words(text: str, count: Counter, cap: int) -> list[str]:
     """Pieces of whole words; a single word beyond the cap stands alone."""
     done, rest = _grown(text.split(), " ", count, cap, lambda w, had: ([], w) if had else ([w], ""))
     return [*done, rest] if rest else done
 
 
-def pack(text: str, count: Callable[[str], int], cap: int) -> list[str]:
+def pack(text: str, count: Counter, cap: int) -> list[str]:
     """Pieces of at most `cap` tokens: whole paragraphs, else sentences, else words.
 
     A sentence that is too long for a piece of its own is cut into words only if nothing was waiting before it; otherwise it waits whole."""
@@ -129,7 +167,7 @@ def placed(text: str, pieces: list[str]) -> list[tuple[int, int]]:
     return [(at, at + len(p)) for at, p in zip(begins, pieces, strict=True)]
 
 
-def chunks_of(pieces: list[dict], article: bool, count: Callable[[str], int], target: int, cap: int) -> list[dict]:
+def chunks_of(pieces: list[dict], article: bool, count: Counter, target: int, cap: int) -> list[dict]:
     """The chunks of one segment: an article whole or in pieces that repeat its first line, anything else packed to the target.
 
     The contents and the spans of the segment they stand for are made as two lists; pages come from the spans by bisection.
@@ -155,7 +193,7 @@ def chunks_of(pieces: list[dict], article: bool, count: Callable[[str], int], ta
 CHUNK = "array<struct<content:string,page_from:int,page_to:int,token_count:int>>"
 
 
-def chunks(units: DataFrame, count: Callable[[str], int] = count_words, settings: Settings = DEFAULT) -> DataFrame:
+def chunks(units: DataFrame, count: Counter = count_words, settings: Settings = DEFAULT) -> DataFrame:
     """(doc_id, chunk_index, content, page_from, page_to, token_count, language) in order of page, Spanish before Basque."""
     kind = pa.list_(pa.struct([("content", pa.string()), ("page_from", pa.int32()), ("page_to", pa.int32()), ("token_count", pa.int32())]))
     target, cap = settings.chunk_token_target, settings.chunk_token_cap
@@ -174,9 +212,7 @@ def chunks(units: DataFrame, count: Callable[[str], int] = count_words, settings
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), "c.content", "c.page_from", "c.page_to", "c.token_count", F.col("lang").alias("language"))
 
 
-def article_lengths(units: DataFrame, count=None) -> DataFrame:
-    """Tokens of each article segment before it is cut, by a column function (words by default)."""
-    from foliant.functions.text import word_count
-
+def article_lengths(units: DataFrame, count: Callable[[Column], Column] = word_count) -> DataFrame:
+    """Tokens of each article segment before it is cut, by a column function: words, or `tokens.column` of a counter."""
     rows = segments(units).filter("segment > 0").withColumn("text", F.trim(F.array_join(F.transform("pieces", lambda p: p["text"]), "")))
-    return rows.filter("text <> ''").select(*STREAM, "segment", (count or word_count)(F.col("text")).alias("tokens"))
+    return rows.filter("text <> ''").select(*STREAM, "segment", count(F.col("text")).alias("tokens"))

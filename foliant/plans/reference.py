@@ -456,11 +456,78 @@ def article_token_lengths(spark, sf_dir):
     return chunking.article_lengths(unit_rows(spark))
 
 
-@query()
+TARGET, PAGE_LINES = 512, 6
+
+
+def pack_sql(target: int, page_lines: int) -> str:
+    """Tables up to `packed` (doc_id, lang, chunk_index, content, page_from, page_to, token_count): the lines of documents as streams
+    without articles. The fold over paragraphs, sentences of long ones and words of long sentences is a recursion over all documents at once."""
+    return f"""
+raw AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l, replace(text, chr(10), chr(10) || chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
+par AS (SELECT doc_id, i, p, len(regexp_extract_all(p, '\\S+')) AS n
+  FROM (SELECT doc_id, generate_subscripts(q, 1) AS i, unnest(q) AS p FROM (SELECT doc_id, string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS q FROM raw)) x WHERE regexp_matches(p, '\\S')),
+sen AS (SELECT doc_id, i, generate_subscripts(q, 1) AS j, unnest(q) AS p FROM (SELECT doc_id, i, string_split(regexp_replace(p, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS q FROM par WHERE n > {target})),
+it AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, p, n, j > 0 AS sent, j > 0 AND row_number() OVER (PARTITION BY doc_id, i ORDER BY j) = 1 AS opens FROM (
+  SELECT doc_id, i, 0 AS j, p, n FROM par WHERE n <= {target} UNION ALL SELECT doc_id, i, j, p, len(regexp_extract_all(p, '\\S+')) FROM sen WHERE regexp_matches(p, '\\S'))),
+step AS (SELECT *, sent AND n > {target} AS huge, CAST(ceil(n / {target}) AS BIGINT) AS cuts FROM it),
+fold AS (
+  SELECT doc_id, k, CAST(1 AS BIGINT) AS a, CASE WHEN huge THEN cuts ELSE 1 END AS z, CASE WHEN huge THEN 0 ELSE n END AS waits, huge AS words FROM step WHERE k = 1
+  UNION ALL
+  SELECT s.doc_id, s.k, CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.z ELSE f.z + 1 END, CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.z WHEN s.huge AND f.w = 0 THEN f.z + s.cuts ELSE f.z + 1 END,
+         CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.w + s.n WHEN s.huge AND f.w = 0 THEN 0 ELSE s.n END, s.huge AND f.w = 0
+  FROM (SELECT f.*, s.k AS next, CASE WHEN s.opens THEN 0 ELSE f.waits END AS w FROM fold f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.k + 1) f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.next),
+made AS (
+  SELECT doc_id, a AS c, ltrim(string_agg(CASE WHEN sent THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(p, '\\s+$', ''), '' ORDER BY k), ' ' || chr(10)) AS content FROM fold JOIN step USING (doc_id, k) WHERE NOT words GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, a + c - 1, array_to_string(w[(c - 1) * {target} + 1 : c * {target}], ' ') FROM (SELECT doc_id, a, unnest(range(1, z - a + 2)) AS c, regexp_extract_all(p, '\\S+') AS w FROM fold JOIN step USING (doc_id, k) WHERE words)),
+entire AS (SELECT doc_id, 1 AS c, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS content FROM raw WHERE regexp_matches(raw, '\\S') AND len(regexp_extract_all(raw, '\\S+')) <= {target}),
+cut AS (SELECT * FROM entire UNION ALL SELECT * FROM made WHERE doc_id NOT IN (SELECT doc_id FROM entire)),
+spot AS (SELECT doc_id, lang, c, content, greatest(strpos(raw, left(content, 40)) - 1, 0) AS b, l FROM cut JOIN raw USING (doc_id)),
+begins AS (SELECT doc_id, u, sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY u) - length(t) - 2 AS s FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS u, unnest(l) AS t FROM raw)),
+paged AS (SELECT spot.doc_id, lang, c, content, max(u) FILTER (s <= b) AS u0, max(u) FILTER (s <= greatest(b, b + length(content) - 1)) AS u1 FROM spot JOIN begins USING (doc_id) GROUP BY ALL),
+packed AS (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY u0 // {page_lines}, c) - 1 AS INT) AS chunk_index, content, CAST(u0 // {page_lines} + 1 AS INT) AS page_from, CAST(u1 // {page_lines} + 1 AS INT) AS page_to,
+  CAST(len(regexp_extract_all(content, '\\S+')) AS INT) AS token_count FROM paged)
+"""
+
+
+PACK = pack_sql(TARGET, PAGE_LINES)
+
+
+def document_units(spark, sf_dir) -> DataFrame:
+    return chunking.line_units(table(spark, sf_dir, "documents"), PAGE_LINES)
+
+
+@query(f"WITH RECURSIVE {PACK} SELECT doc_id, chunk_index, content, page_from, page_to, token_count, lang AS language FROM packed")
 def chunk_pack(spark, sf_dir):
-    """Documents as streams of one unit for each line; packing is a sequential fold, so there is no SQL."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.lit("es").alias("lang"), F.posexplode(F.split("text", "\n")).alias("unit_no", "text"))
-    return chunking.chunks(lines.select("doc_id", "lang", "unit_no", (F.floor(F.col("unit_no") / 6) + 1).cast("int").alias("page"), "text"))
+    """Documents as streams of one unit for each line."""
+    return chunking.chunks(document_units(spark, sf_dir))
+
+
+OVERS = ", ".join(f"count(*) FILTER (t > {x}) AS over_{x}" for x in analytics.THRESHOLDS) + ", count(*) FILTER (t > 800 AND t <= 1024) AS band_800_1024"
+
+
+def report_sql(chunks: str, levels: dict[str, str]) -> str:
+    """The report over rows (.., t); levels: the name of each, and its columns."""
+    every = sorted({c for names in levels.values() for c in names.split("+") if c})
+    one = lambda level, names: f"SELECT '{level}' AS level, {', '.join(c if c in names.split('+') else f'NULL AS {c}' for c in every)}, count(*) AS chunks, sum(t)::BIGINT AS tokens, list_sort(list(t)) AS l, max(t) AS max, {OVERS} FROM {chunks} {'GROUP BY ' + names.replace('+', ', ') if names else ''}"
+    at = ", ".join(f"l[CAST(floor(chunks * {p}) AS BIGINT) + 1] AS {n}" for n, p in analytics.PLACES.items())
+    return f"SELECT * EXCLUDE l, {at} FROM ({' UNION ALL '.join(one(k, v) for k, v in levels.items())})"
+
+
+@query(f"WITH RECURSIVE {PACK}, x AS (SELECT p.lang, d.source, p.doc_id, CAST(token_count AS BIGINT) AS t FROM packed p JOIN documents d USING (doc_id)) " + report_sql("x", {"all": "", "lang": "lang", "source": "source", "lang+source": "lang+source", "lang+source+doc_id": "lang+source+doc_id"}))
+def chunk_report(spark, sf_dir):
+    """Chunks and token lengths over the corpus, by language, by source, by both, and by document."""
+    made = chunking.chunks(document_units(spark, sf_dir)).withColumnRenamed("language", "lang")
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return analytics.report(made.join(sources, "doc_id"), [[], ["lang"], ["source"], ["lang", "source"], ["lang", "source", "doc_id"]])
+
+
+@query("""WITH s AS (SELECT list_sort(list(l_extendedprice)) AS l, count(*) AS n FROM lineitem)
+SELECT n, l[CAST(floor(n * 0.01) AS BIGINT) + 1] AS p01, l[CAST(floor(n * 0.5) AS BIGINT) + 1] AS median, l[CAST(floor(n * 0.999) AS BIGINT) + 1] AS p999 FROM s""")
+def price_quantiles(spark, sf_dir):
+    """Exact quantiles of a column with very many values."""
+    n, (p01, median, p999) = analytics.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.999])
+    return spark.createDataFrame([(n, p01, median, p999)], "n long, p01 double, median double, p999 double")
 
 
 # --- salary grids ---
