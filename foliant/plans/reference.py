@@ -1,12 +1,12 @@
 """Queries over the driver's tables that exercise the document-analytics operators, and the same in DuckDB SQL.
 
-The driver's tables have no scopes, geometry, cells or model output: chunks are derived from embeddings and
-documents by a fixed rule (CHUNKS, the same text in both engines), and the small inputs are literal rows.
+The driver's tables have no scopes, geometry, cells or model output; these are derived from them by fixed rules, in
+one text for both engines: chunks from embeddings and documents, blocks, glyphs and article headers from the lines of documents, worksheets
+from lineitem, model output from conversations.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import date
 
@@ -190,11 +190,12 @@ def registry_lookup(spark, sf_dir):
     return find_document(registry, "%RC1%")
 
 
-@query("SELECT 1 AS ok")
+@query("SELECT source, 1 AS ok FROM documents GROUP BY source")
 def liveness(spark, sf_dir):
+    """The session answers, and so does each source of the registry."""
     from foliant.sources.objects import is_alive
 
-    return spark.range(1).select(F.lit(int(is_alive(spark))).alias("ok"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.lit(int(is_alive(spark)))).alias("ok"))
 
 
 # --- text functions ---
@@ -374,20 +375,52 @@ def extraction_stats(spark, sf_dir):
     return layout.language_streams(b, doc_pages(b))[1]
 
 
-GLYPH_ROWS = [(1, 1, 0, 0, i, c, x, x + w) for i, (c, x, w) in enumerate([("h", 0.0, 5.0), ("i", 5.2, 3.0), (" ", 8.0, 1.0), ("t", 8.4, 5.0), ("z", 15.0, 5.0), ("a", 20.1, 5.0), ("-", 25.0, 3.0)])]
-GLYPH_ROWS += [(1, 1, 0, 1, i, c, 4.0 * i + (6.0 if i > 3 else 0.0), 4.0 * i + (6.0 if i > 3 else 0.0) + 4.0) for i, c in enumerate("menapuz")]
-GLYPH_ROWS += [(1, 1, 1, 0, 0, "X", 0.0, 9.0), (1, 1, 2, 0, 0, "a", 1.0, 1.0), (1, 1, 2, 0, 1, "b", 1.2, 1.2), (1, 1, 2, 0, 2, "c", 1.6, 1.6)]
-GLYPH_ROWS += [(2, 1, 0, 0, i, "x", 2.0 * i, 2.0 * i + 2.0) for i in range(30)] + [(2, 1, 1, 0, 0, " ", 0.0, 2.0)]
-GLYPHS = "doc_id, page, block_no, line_no, glyph_no, c, x0, x1"
+def over(spark, text: str, **tables: DataFrame) -> DataFrame:
+    """Spark SQL over frames under the names that the same text uses in DuckDB."""
+    return spark.sql(text.format(**{k: f"{{{k}}}" for k in tables}), **tables)
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """Rows as a SQL VALUES list."""
-    text = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({columns}))"
+# --- packing: the fold over paragraphs, sentences of long ones and words of long sentences, as a recursion over all texts at once ---
+
+# From `raw` (id, raw, target) to `cut` (id, c, content).
+FOLD = """
+par AS (SELECT id, target, i, p, len(regexp_extract_all(p, '\\S+')) AS n
+  FROM (SELECT id, target, generate_subscripts(q, 1) AS i, unnest(q) AS p FROM (SELECT id, target, string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS q FROM raw)) WHERE regexp_matches(p, '\\S')),
+sen AS (SELECT id, target, i, generate_subscripts(q, 1) AS j, unnest(q) AS p FROM (SELECT id, target, i, string_split(regexp_replace(p, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS q FROM par WHERE n > target)),
+it AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY i, j) AS k, p, n, j > 0 AS sent, j > 0 AND row_number() OVER (PARTITION BY id, i ORDER BY j) = 1 AS opens FROM (
+  SELECT id, target, i, 0 AS j, p, n FROM par WHERE n <= target UNION ALL SELECT id, target, i, j, p, len(regexp_extract_all(p, '\\S+')) FROM sen WHERE regexp_matches(p, '\\S'))),
+step AS (SELECT *, sent AND n > target AS huge, CAST(ceil(n / target) AS BIGINT) AS cuts FROM it),
+fold AS (
+  SELECT id, k, CAST(1 AS BIGINT) AS a, CASE WHEN huge THEN cuts ELSE 1 END AS z, CASE WHEN huge THEN 0 ELSE n END AS waits, huge AS words FROM step WHERE k = 1
+  UNION ALL
+  SELECT s.id, s.k, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z ELSE f.z + 1 END, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z WHEN s.huge AND f.w = 0 THEN f.z + s.cuts ELSE f.z + 1 END,
+         CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.w + s.n WHEN s.huge AND f.w = 0 THEN 0 ELSE s.n END, s.huge AND f.w = 0
+  FROM (SELECT f.id, f.z, s.k AS next, CASE WHEN s.opens THEN 0 ELSE f.waits END AS w FROM fold f JOIN step s ON s.id = f.id AND s.k = f.k + 1) f JOIN step s ON s.id = f.id AND s.k = f.next),
+made AS (
+  SELECT id, a AS c, ltrim(string_agg(CASE WHEN sent THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(p, '\\s+$', ''), '' ORDER BY k), ' ' || chr(10)) AS content FROM fold JOIN step USING (id, k) WHERE NOT words GROUP BY ALL
+  UNION ALL
+  SELECT id, a + c - 1, array_to_string(w[(c - 1) * target + 1 : c * target], ' ') FROM (SELECT id, target, a, unnest(range(1, z - a + 2)) AS c, regexp_extract_all(p, '\\S+') AS w FROM fold JOIN step USING (id, k) WHERE words)),
+entire AS (SELECT id, 1 AS c, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS content FROM raw WHERE regexp_matches(raw, '\\S') AND len(regexp_extract_all(raw, '\\S+')) <= target),
+cut AS (SELECT * FROM entire UNION ALL SELECT * FROM made WHERE id NOT IN (SELECT id FROM entire))
+"""
+
+
+# Glyphs of all lines, three to a block: five units a place, gaps that shake, a glyph without width now and then, and blanks that are glyphs too.
+GLYPHS = """
+  SELECT doc_id, 1 AS page, CAST(floor(n / 3) AS INT) AS block_no, CAST(n % 3 AS INT) AS line_no, CAST(i AS INT) AS glyph_no, c,
+         CAST(5 * i AS DOUBLE) + CAST(i % 3 AS DOUBLE) * CAST(0.4 AS DOUBLE) AS x0,
+         CAST(5 * i AS DOUBLE) + CAST(i % 3 AS DOUBLE) * CAST(0.4 AS DOUBLE) + CASE WHEN (i + n) % 17 = 16 THEN CAST(0 AS DOUBLE) ELSE CAST(4.2 AS DOUBLE) END AS x1
+  FROM {glyphs}
+"""
 
 
-DESPACED = f"""g AS (SELECT * FROM {_values(GLYPH_ROWS, GLYPHS)} WHERE trim(c) <> ''),
+def glyphs(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return over(spark, GLYPHS, glyphs=lines.filter("line <> ''").select("doc_id", "n", F.posexplode(F.split("line", "")).alias("i", "c")))
+
+
+DESPACED = f"""glyphs AS (SELECT doc_id, n, generate_subscripts(string_split(line, ''), 1) - 1 AS i, unnest(string_split(line, '')) AS c FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''),
+g AS (SELECT * FROM ({GLYPHS.format(glyphs="glyphs")}) WHERE trim(c) <> ''),
 m AS (SELECT doc_id, page, block_no, line_no, coalesce(median(x1 - x0) FILTER (x1 > x0), 1.0) AS med FROM g GROUP BY ALL),
 w AS (SELECT g.*, x0 - lag(x1) OVER (PARTITION BY doc_id, page, block_no, line_no ORDER BY glyph_no) >= 0.3 * med AS gap FROM g JOIN m USING (doc_id, page, block_no, line_no)),
 t AS (SELECT doc_id, page, block_no, line_no, string_agg(CASE WHEN gap THEN ' ' ELSE '' END || c, '' ORDER BY glyph_no) AS text, count(*) AS n FROM w GROUP BY ALL)"""
@@ -395,94 +428,71 @@ t AS (SELECT doc_id, page, block_no, line_no, string_agg(CASE WHEN gap THEN ' '
 
 @query(f"WITH {DESPACED} SELECT doc_id, page, block_no, line_no, text, CAST(CASE WHEN n > 1 THEN len(list_filter(string_split(text, ' '), lambda x: length(x) > 28)) ELSE 0 END AS INT) AS long_tokens FROM t")
 def despace_lines(spark, sf_dir):
-    return layout.lines(spark.createDataFrame(GLYPH_ROWS, "doc_id int, page int, block_no int, line_no int, glyph_no int, c string, x0 double, x1 double"))
+    return layout.lines(glyphs(spark, sf_dir))
 
 
-@query(f"WITH {DESPACED} SELECT doc_id, block_no, trim(replace(replace(string_agg(trim(text), chr(1) ORDER BY line_no), '-' || chr(1), ''), chr(1), ' ')) AS text FROM t GROUP BY ALL")
+@query(f"WITH {DESPACED} SELECT doc_id, block_no, trim(replace(replace(string_agg(trim(text), chr(1) ORDER BY line_no), '-' || chr(1), ''), chr(1), ' ')) AS text FROM t GROUP BY doc_id, page, block_no")
 def despace_blocks(spark, sf_dir):
-    rows = spark.createDataFrame(GLYPH_ROWS, "doc_id int, page int, block_no int, line_no int, glyph_no int, c string, x0 double, x1 double")
-    return layout.block_texts(rows).select("doc_id", "block_no", "text")
-
-
-UNIT_ROWS = [
-    (1, "es", 0, 1, "CONVENIO COLECTIVO del sector"),
-    (1, "es", 1, 1, "Artículo 1. Ámbito"),
-    (1, "es", 2, 1, "según el artículo 22 del Estatuto"),
-    (1, "es", 3, 2, "Art. 9.1 es un subapartado"),
-    (1, "es", 4, 2, "Artículo 9.º Vacaciones"),
-    (1, "es", 5, 2, "artículo 8 del texto"),
-    (1, "es", 6, 3, "artículo 10 minúscula en orden"),
-    (1, "es", 7, 3, "ART 13.a letra"),
-    (1, "es", 8, 3, "ARTÍCULO 16.- Uno"),
-    (1, "es", 9, 3, "Artículo 16 Dos"),
-    (1, "es", 10, 4, "Artículo 8.ºbis Horas"),
-    (1, "es", 11, 4, "ARTÍCULO NOVENO Otro"),
-    (1, "es", 12, 5, "Disposición adicional primera"),
-    (1, "es", 13, 5, "disposición final en minúscula"),
-    (1, "eu", 0, 1, "1. artikulua Eremua"),
-    (1, "eu", 1, 2, "12 ARTIKULUA"),
-    (1, "eu", 2, 2, "testua 3. artikulua"),
-    (2, "es", 0, 1, "anexo sin artículos"),
-]
+    return layout.block_texts(glyphs(spark, sf_dir)).select("doc_id", "block_no", "text")
+
+
+# Lines of documents as units, some of them made into the headers that articles have, in every form, and into what only looks like one.
+UNITS_OF = """
+  SELECT doc_id, CASE WHEN n % 5 = 4 THEN 'eu' ELSE 'es' END AS lang, CAST(n AS INT) AS unit_no, CAST(floor(n / 6) AS INT) + 1 AS page,
+         CASE WHEN n % 29 = 3 THEN concat('Artículo ', (n * 7 + doc_id) % 60, '. ', line) WHEN n % 29 = 7 THEN concat('artículo ', (n * 7 + doc_id) % 60, ' ', line)
+              WHEN n % 29 = 9 THEN concat('Art. ', n % 60, '.1 ', line) WHEN n % 29 = 11 THEN concat('ART ', n % 60, '.a ', line) WHEN n % 29 = 13 THEN concat('ARTÍCULO NOVENO ', line)
+              WHEN n % 29 = 16 THEN concat('Disposición final ', line) WHEN n % 29 = 18 THEN concat('disposición adicional ', line) WHEN n % 29 IN (14, 24) THEN concat(n % 60, '. artikulua ', line)
+              WHEN n % 29 = 21 THEN concat('según el artículo 22 ', line) ELSE line END AS text
+  FROM {lines}
+"""
+
+
+def article_units(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return over(spark, UNITS_OF, lines=lines)
+
+
 _LEAD = r"^[ \t]*(?:ART[ÍI]CULO|Art[íi]culo|Art\.|ART\.|art\.|art[íi]culo|ART)\s+"
 ANCHORS = f"""
 x AS (SELECT *, regexp_matches(text, '{_LEAD}[0-9]') AND NOT regexp_matches(text, '{_LEAD}[0-9]{{1,3}}\\.[0-9]') AND NOT (regexp_matches(text, '{_LEAD}[0-9]{{1,3}}\\.[A-Za-z]') AND NOT regexp_matches(text, '{_LEAD}[0-9]{{1,3}}\\.[A-Za-z][A-Za-z]')) AS article,
-  regexp_matches(text, '(?i)^[ \\t]*[0-9]{{1,3}}\\.?\\s*artikulua') AS basque, substr(ltrim(text), 1, 1) = upper(substr(ltrim(text), 1, 1)) AS capital FROM {_values(UNIT_ROWS, "doc_id, lang, unit_no, page, text")}),
+  regexp_matches(text, '(?i)^[ \\t]*[0-9]{{1,3}}\\.?\\s*artikulua') AS basque, substr(ltrim(text), 1, 1) = upper(substr(ltrim(text), 1, 1)) AS capital FROM ({UNITS_OF.format(lines="(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents)")})),
 n AS (SELECT *, CASE WHEN article THEN CAST(regexp_extract(text, '{_LEAD}([0-9]{{1,3}})', 1) AS INT) WHEN basque THEN CAST(regexp_extract(text, '^[ \\t]*([0-9]{{1,3}})', 1) AS INT) END AS num FROM x),
 o AS (SELECT *, coalesce(max(num) OVER (PARTITION BY doc_id, lang ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM n),
 a AS (SELECT *, basque OR (article AND (capital OR num >= top)) OR (capital AND (regexp_matches(text, '(?i)^[ \\t]*ART[ÍI]CULO\\s+(?:primero|noveno)\\b') OR regexp_matches(text, '(?i)^[ \\t]*Disposici[óo]n\\s+(?:adicional|transitoria|final|derogatoria)'))) AS is_anchor FROM o)
 """
 
 
-def unit_rows(spark) -> DataFrame:
-    return spark.createDataFrame(UNIT_ROWS, "doc_id int, lang string, unit_no int, page int, text string")
-
-
 @query(f"WITH {ANCHORS} SELECT doc_id, lang, unit_no, num, is_anchor, CAST(sum(CAST(is_anchor AS INT)) OVER (PARTITION BY doc_id, lang ORDER BY unit_no) AS BIGINT) AS segment FROM a")
 def anchors(spark, sf_dir):
-    return chunking.anchored(chunking.lines(unit_rows(spark))).select("doc_id", "lang", "unit_no", "num", "is_anchor", "segment")
+    return chunking.anchored(chunking.lines(article_units(spark, sf_dir))).select("doc_id", "lang", "unit_no", "num", "is_anchor", "segment")
 
 
-@query(f"""WITH {ANCHORS}, g AS (SELECT *, sum(CAST(is_anchor AS INT)) OVER (PARTITION BY doc_id, lang ORDER BY unit_no) AS segment FROM a),
-c AS (SELECT doc_id, lang, segment, string_agg(text, chr(10) || chr(10) ORDER BY unit_no) AS content, min(page) AS page_from, max(page) AS page_to FROM g GROUP BY ALL)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_from, lang = 'eu', segment) - 1 AS INT) AS chunk_index, content, page_from, page_to, CAST(len(regexp_extract_all(content, '\\S+')) AS INT) AS token_count, lang AS language FROM c""")
+@query(f"""WITH RECURSIVE {ANCHORS}, g AS (SELECT *, sum(CAST(is_anchor AS INT)) OVER (PARTITION BY doc_id, lang ORDER BY unit_no) AS segment, lead(unit_no) OVER (PARTITION BY doc_id, lang ORDER BY unit_no) IS NULL AS ends FROM a),
+u AS (SELECT doc_id, lang, segment, doc_id || '/' || lang || '/' || segment AS id, unit_no, page, text || CASE WHEN ends THEN '' ELSE chr(10) || chr(10) END AS text FROM g),
+raw AS (SELECT id, doc_id, lang, segment, string_agg(text, '' ORDER BY unit_no) AS raw, CASE WHEN segment > 0 THEN 800 ELSE 512 END AS target, min(page) AS first_page, max(page) FILTER (text <> '') AS last_page FROM u GROUP BY ALL), {FOLD},
+begins AS (SELECT id, page, sum(length(text)) OVER (PARTITION BY id ORDER BY unit_no) - length(text) AS s FROM u),
+spot AS (SELECT *, trim(string_split(regexp_replace(raw, '^\\s+', ''), chr(10))[1]) AS head, greatest(strpos(raw, left(content, 40)) - 1, 0) AS b FROM cut JOIN raw USING (id)),
+paged AS (SELECT id, doc_id, lang, segment, c, CASE WHEN segment > 0 AND c > 1 AND NOT starts_with(content, head) THEN head || chr(10) || content ELSE content END AS content, CASE WHEN segment > 0 THEN first_page ELSE arg_max(page, s) FILTER (s <= b) END AS page_from,
+  CASE WHEN segment > 0 THEN last_page ELSE arg_max(page, s) FILTER (s <= greatest(b, b + length(content) - 1)) END AS page_to FROM spot JOIN begins USING (id) GROUP BY id, doc_id, lang, segment, c, content, head, first_page, last_page)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_from, lang = 'eu', segment, c) - 1 AS INT) AS chunk_index, content, page_from, page_to, CAST(len(regexp_extract_all(content, '\\S+')) AS INT) AS token_count, lang AS language FROM paged""")
 def article_chunks(spark, sf_dir):
-    return chunking.chunks(unit_rows(spark))
+    return chunking.chunks(article_units(spark, sf_dir))
 
 
 @query(f"""WITH {ANCHORS}, g AS (SELECT *, sum(CAST(is_anchor AS INT)) OVER (PARTITION BY doc_id, lang ORDER BY unit_no) AS segment FROM a)
 SELECT doc_id, lang, CAST(segment AS BIGINT) AS segment, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS INT) AS tokens FROM g WHERE segment > 0 GROUP BY ALL""")
 def article_token_lengths(spark, sf_dir):
-    return chunking.article_lengths(unit_rows(spark))
+    return chunking.article_lengths(article_units(spark, sf_dir))
 
 
 TARGET, PAGE_LINES = 512, 6
 
 
 def pack_sql(target: int, page_lines: int) -> str:
-    """Tables up to `packed` (doc_id, lang, chunk_index, content, page_from, page_to, token_count): the lines of documents as streams
-    without articles. The fold over paragraphs, sentences of long ones and words of long sentences is a recursion over all documents at once."""
+    """Tables up to `packed` (doc_id, lang, chunk_index, content, page_from, page_to, token_count): the lines of documents as streams without articles."""
     return f"""
-raw AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l, replace(text, chr(10), chr(10) || chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
-par AS (SELECT doc_id, i, p, len(regexp_extract_all(p, '\\S+')) AS n
-  FROM (SELECT doc_id, generate_subscripts(q, 1) AS i, unnest(q) AS p FROM (SELECT doc_id, string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS q FROM raw)) x WHERE regexp_matches(p, '\\S')),
-sen AS (SELECT doc_id, i, generate_subscripts(q, 1) AS j, unnest(q) AS p FROM (SELECT doc_id, i, string_split(regexp_replace(p, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS q FROM par WHERE n > {target})),
-it AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, p, n, j > 0 AS sent, j > 0 AND row_number() OVER (PARTITION BY doc_id, i ORDER BY j) = 1 AS opens FROM (
-  SELECT doc_id, i, 0 AS j, p, n FROM par WHERE n <= {target} UNION ALL SELECT doc_id, i, j, p, len(regexp_extract_all(p, '\\S+')) FROM sen WHERE regexp_matches(p, '\\S'))),
-step AS (SELECT *, sent AND n > {target} AS huge, CAST(ceil(n / {target}) AS BIGINT) AS cuts FROM it),
-fold AS (
-  SELECT doc_id, k, CAST(1 AS BIGINT) AS a, CASE WHEN huge THEN cuts ELSE 1 END AS z, CASE WHEN huge THEN 0 ELSE n END AS waits, huge AS words FROM step WHERE k = 1
-  UNION ALL
-  SELECT s.doc_id, s.k, CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.z ELSE f.z + 1 END, CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.z WHEN s.huge AND f.w = 0 THEN f.z + s.cuts ELSE f.z + 1 END,
-         CASE WHEN f.w > 0 AND f.w + s.n <= {target} THEN f.w + s.n WHEN s.huge AND f.w = 0 THEN 0 ELSE s.n END, s.huge AND f.w = 0
-  FROM (SELECT f.*, s.k AS next, CASE WHEN s.opens THEN 0 ELSE f.waits END AS w FROM fold f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.k + 1) f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.next),
-made AS (
-  SELECT doc_id, a AS c, ltrim(string_agg(CASE WHEN sent THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(p, '\\s+$', ''), '' ORDER BY k), ' ' || chr(10)) AS content FROM fold JOIN step USING (doc_id, k) WHERE NOT words GROUP BY ALL
-  UNION ALL
-  SELECT doc_id, a + c - 1, array_to_string(w[(c - 1) * {target} + 1 : c * {target}], ' ') FROM (SELECT doc_id, a, unnest(range(1, z - a + 2)) AS c, regexp_extract_all(p, '\\S+') AS w FROM fold JOIN step USING (doc_id, k) WHERE words)),
-entire AS (SELECT doc_id, 1 AS c, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS content FROM raw WHERE regexp_matches(raw, '\\S') AND len(regexp_extract_all(raw, '\\S+')) <= {target}),
-cut AS (SELECT * FROM entire UNION ALL SELECT * FROM made WHERE doc_id NOT IN (SELECT doc_id FROM entire)),
-spot AS (SELECT doc_id, lang, c, content, greatest(strpos(raw, left(content, 40)) - 1, 0) AS b, l FROM cut JOIN raw USING (doc_id)),
+raw AS (SELECT doc_id AS id, doc_id, lang, string_split(text, chr(10)) AS l, replace(text, chr(10), chr(10) || chr(10)) AS raw, {target} AS target FROM documents WHERE text IS NOT NULL), {FOLD},
+spot AS (SELECT doc_id, lang, c, content, greatest(strpos(raw, left(content, 40)) - 1, 0) AS b, l FROM cut JOIN raw USING (id)),
 begins AS (SELECT doc_id, u, sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY u) - length(t) - 2 AS s FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS u, unnest(l) AS t FROM raw)),
 paged AS (SELECT spot.doc_id, lang, c, content, max(u) FILTER (s <= b) AS u0, max(u) FILTER (s <= greatest(b, b + length(content) - 1)) AS u1 FROM spot JOIN begins USING (doc_id) GROUP BY ALL),
 packed AS (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY u0 // {page_lines}, c) - 1 AS INT) AS chunk_index, content, CAST(u0 // {page_lines} + 1 AS INT) AS page_from, CAST(u1 // {page_lines} + 1 AS INT) AS page_to,
@@ -532,29 +542,45 @@ def price_quantiles(spark, sf_dir):
 
 # --- salary grids ---
 
-_GRID = {
-    "smi 26": [["Convenio", None, None, None, None], ["Grupo", "Categoría", "SB", "TOTAL", "1742"], ["2.1'", "Monitor  de\ntiempo libre", "1.000,50", 1652.135, "9,75"], ["", "Solo etiqueta", None, "n/d", None], ["3.1", None, 900, None, 8.5], [None, None, 1, 2, 3]],
-    "Tablas 2025": [["nota", None], ["Nivel", "Bruto anual", "Bruto Año", "Plus nocturno.", "Hora nocturna", "x"], ["3.1", "14.000,00", "15000", "1.652", "abc", "7"], ["Jefe", None, 12.5, None, 3.25, None]],
-    "junk": [["texto", "más texto"], ["uno", "dos"]],
-    "one": [["total"], ["hora"]],
-}
-CELL_ROWS = [
-    (1, n, name, r, c, None if v is None else str(v), None if v is None else type(v).__name__.replace("str", "string"))
-    for n, (name, rows) in enumerate(_GRID.items())
-    for r, row in enumerate(rows)
-    for c, v in enumerate(row)
-]
-CELLS = "wb_id, sheet_no, sheet, row_no, col_no, v, v_type"
+# Worksheets from lineitem: a workbook for each supplier, three sheets in each (and one that is no grid), a title or more above the headers, whose
+# wording changes from sheet to sheet; numbers typed, in Spanish and plain writing, missing, or not numbers at all.
+CELLS = """
+  SELECT wb_id, sheet_no, concat(CASE sheet_no WHEN 0 THEN 'Tablas 20' WHEN 1 THEN 'smi ' WHEN 2 THEN 'anexo ' ELSE 'notas ' END, wb_id % 30 + 10) AS sheet, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no,
+         CASE WHEN row_no < head THEN CASE WHEN col_no = 0 THEN concat('Convenio ', wb_id) END
+              WHEN row_no = head AND sheet_no = 3 THEN concat('texto ', col_no)
+              WHEN row_no = head THEN CASE col_no WHEN 0 THEN 'Grupo' WHEN 1 THEN CASE WHEN wb_id % 2 = 0 THEN 'Categoría' ELSE '' END WHEN 2 THEN CASE wb_id % 3 WHEN 0 THEN 'TOTAL' WHEN 1 THEN ' Bruto  Año' ELSE 'SB' END
+                WHEN 3 THEN CASE WHEN wb_id % 4 = 0 THEN '1742' ELSE 'Precio/hora' END WHEN 4 THEN CASE wb_id % 5 WHEN 0 THEN 'Pagas extra' WHEN 1 THEN 'Importe anual' WHEN 2 THEN 'Antigüedad' ELSE 'Plus nocturno.' END ELSE 'x' END
+              WHEN col_no = 0 THEN CASE WHEN q % 4 = 0 THEN NULL WHEN q % 4 = 1 THEN concat(q % 9, '.', q % 5, CASE WHEN q % 3 = 0 THEN chr(39) ELSE '' END) ELSE concat('G', q % 9) END
+              WHEN col_no = 1 THEN CASE WHEN q % 7 = 0 THEN NULL ELSE concat(' Nivel  ', flag, ' ', q % 11, ' "') END
+              WHEN col_no = 2 THEN CASE q % 6 WHEN 0 THEN concat(CAST(floor(cents / 100000) AS BIGINT), '.', lpad(CAST(CAST(floor(cents / 100) AS BIGINT) % 1000 AS STRING), 3, '0'), ',', lpad(CAST(cents % 100 AS STRING), 2, '0'))
+                WHEN 1 THEN concat(CAST(floor(cents / 100) AS BIGINT), ',', lpad(CAST(cents % 100 AS STRING), 2, '0')) WHEN 2 THEN NULL WHEN 3 THEN 'n/d' ELSE CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING) END
+              WHEN col_no = 3 THEN concat(CASE WHEN q % 13 = 0 THEN ' ' ELSE '' END, q, ',', cents % 10)
+              WHEN col_no = 4 THEN CASE WHEN q % 5 = 0 THEN '' ELSE CAST(q * 3 AS STRING) END END AS v,
+         CASE WHEN row_no > head AND ((col_no = 2 AND q % 6 > 3) OR (col_no = 4 AND q % 5 <> 0)) THEN 'int' ELSE 'string' END AS v_type
+  FROM {grid}
+"""
+# One row for each cell, before it has a value: the items of a sheet, numbered, below the rows of titles and headers. `each` repeats a row for each column.
+GRID = """
+  SELECT wb_id, sheet_no, head, row_no, q, cents, flag, col_no FROM (
+    SELECT wb_id, sheet_no, wb_id % 4 AS head, wb_id % 4 + n AS row_no, q, cents, flag FROM (
+      SELECT l_suppkey AS wb_id, CAST(l_partkey % 4 AS INT) AS sheet_no, CAST(l_quantity AS BIGINT) AS q, 2 * CAST(round(l_extendedprice * 50) AS BIGINT) AS cents, l_returnflag AS flag,
+             row_number() OVER (PARTITION BY l_suppkey, l_partkey % 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) AS n FROM lineitem)
+    UNION ALL
+    SELECT wb_id, sheet_no, head, {top}, 0, 0, '' FROM (SELECT DISTINCT l_suppkey AS wb_id, CAST(l_partkey % 4 AS INT) AS sheet_no, l_suppkey % 4 AS head FROM lineitem) {rows}
+  ) {each}
+"""
 
 
-def cells(spark) -> DataFrame:
-    return spark.createDataFrame(CELL_ROWS, "wb_id int, sheet_no int, sheet string, row_no int, col_no int, v string, v_type string")
+def cells(spark, sf_dir) -> DataFrame:
+    grid = GRID.format(top="row_no", rows="LATERAL VIEW explode(sequence(0L, head)) r AS row_no", each="LATERAL VIEW explode(sequence(0, CASE sheet_no WHEN 2 THEN 4 ELSE 5 END)) c AS col_no")
+    return over(spark, CELLS, grid=spark.sql(grid.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem")))
 
 
+CELL_SQL = CELLS.format(grid="(" + GRID.format(top="row_no", rows=", unnest(range(0, head + 1)) r(row_no)", each=", unnest(range(0, CASE sheet_no WHEN 2 THEN 5 ELSE 6 END)) c(col_no)") + ")")
 _MONEY_SQL = "(" + ",".join("'" + m.replace("'", "''") + "'" for m in salary.MONEY) + ")"
 _LABEL_SQL = "trim(lower(trim(regexp_replace(strip_accents(coalesce(v, '')), '\\s+', ' ', 'g'))), ' .:·-')"
 HEADERS = f"""
-x AS (SELECT *, {_LABEL_SQL} AS label FROM {_values(CELL_ROWS, CELLS)}),
+x AS (SELECT *, {_LABEL_SQL} AS label FROM ({CELL_SQL})),
 m AS (SELECT *, label IN {_MONEY_SQL} OR regexp_full_match(label, '[0-9]{{3,4}}') AS money FROM x),
 w AS (SELECT wb_id, sheet_no, sheet, max(col_no) + 1 AS width FROM m GROUP BY ALL),
 sc AS (SELECT wb_id, sheet_no, sheet, row_no, count(*) FILTER (money) AS score FROM m WHERE row_no < 12 GROUP BY ALL),
@@ -564,7 +590,7 @@ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wb_id, sheet_no O
 
 @query(f"WITH {HEADERS} SELECT w.wb_id, w.sheet_no, w.sheet, width, h.row_no AS header_row FROM w LEFT JOIN h USING (wb_id, sheet_no, sheet)")
 def salary_headers(spark, sf_dir):
-    return salary.headers(cells(spark))
+    return salary.headers(cells(spark, sf_dir))
 
 
 _NUMBER_SQL = "CASE WHEN trim(v) LIKE '%,%' AND trim(v) LIKE '%.%' THEN TRY_CAST(replace(replace(trim(v), '.', ''), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(trim(v), ',', '.') AS DOUBLE) END"
@@ -588,14 +614,15 @@ rows AS (SELECT wb_id, sheet_no, sheet, row_no, coalesce(TRY_CAST(nullif(regexp_
 
 @query(f"WITH {HEADERS}, {SALARY_ROWS} SELECT * FROM rows")
 def salary_rows(spark, sf_dir):
-    return salary.rows(cells(spark)).drop("raw_values", "validity_start", "validity_end")
+    return salary.rows(cells(spark, sf_dir)).drop("raw_values", "validity_start", "validity_end")
 
 
-@query()
+@query(f"""WITH {HEADERS}, {SALARY_ROWS}, k AS (SELECT wb_id, sheet_no, row_no, coalesce(nullif(label, ''), 'col' || CAST(col_no AS VARCHAR)) AS k, arg_max(v, col_no) AS v FROM d WHERE grid AND coalesce(v, '') <> '' GROUP BY ALL)
+SELECT wb_id, sheet, row_no, list_sort(list(k || '=' || v)) AS raw FROM k JOIN rows USING (wb_id, sheet_no, row_no) GROUP BY ALL""")
 def salary_raw_values(spark, sf_dir):
-    """The open map of each row, as sorted entries; tested against written-out rows."""
+    """The open map of each row, as sorted entries."""
     raw = F.array_sort(F.transform(F.map_entries("raw_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return salary.rows(cells(spark)).select("sheet", "row_no", raw.alias("raw"))
+    return salary.rows(cells(spark, sf_dir)).select("wb_id", "sheet", "row_no", raw.alias("raw"))
 
 
 @query(f"""WITH {HEADERS}, {SALARY_ROWS}, c AS (SELECT wb_id, sheet_no, count(*) AS n, any_value(year) AS year FROM rows GROUP BY ALL)
@@ -603,73 +630,99 @@ SELECT w.wb_id, w.sheet_no, w.sheet, CASE WHEN width < 2 OR heights.n < 2 THEN '
   ELSE 'sheet ''' || w.sheet || ''': header on row ' || CAST(h.row_no AS VARCHAR) || ', ' || CAST(coalesce(c.n, 0) AS VARCHAR) || ' category rows, year ' || CAST(c.year AS VARCHAR) END AS warning
 FROM w JOIN (SELECT wb_id, sheet_no, max(row_no) + 1 AS n FROM x GROUP BY ALL) heights USING (wb_id, sheet_no) LEFT JOIN h USING (wb_id, sheet_no, sheet) LEFT JOIN c USING (wb_id, sheet_no)""")
 def salary_warnings(spark, sf_dir):
-    return salary.warnings(cells(spark))
+    return salary.warnings(cells(spark, sf_dir))
 
 
-_TEXTS = ["1.652,13", "1652,13", "1.652", "12", " 7,5 ", "-3", "€ 5", "", None, "abc", "1,2,3", "14d", "7f", "1,5D", "1e3", "0x10", "+4", ".5", "5."]
-_NAMES = ["smi 26", "Tablas 2025", "tabla 1999-2001", "x12", "2.026", "año 25 y 26", None, "sin"]
+# Prices and quantities in every writing that a cell can have, and names of sheets made of counts and sources.
+WRITTEN = """
+  SELECT l_orderkey, l_linenumber, CASE l_partkey % 16 WHEN 0 THEN concat(e, '.', m, ',', c) WHEN 1 THEN concat(e, m, ',', c) WHEN 2 THEN concat(e, '.', m) WHEN 3 THEN e WHEN 4 THEN concat(' ', e, ',', c, ' ') WHEN 5 THEN concat('-', e)
+    WHEN 6 THEN concat('€ ', e) WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN concat(e, ',', m, ',', c) WHEN 10 THEN concat(e, 'd') WHEN 11 THEN concat('0x', e) WHEN 12 THEN concat(e, 'e3') WHEN 13 THEN concat('+', e) WHEN 14 THEN concat('.', m) ELSE concat(e, '.') END AS v
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(floor(l_extendedprice / 1000) AS BIGINT) AS STRING) AS e, lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS STRING), 3, '0') AS m, lpad(CAST(CAST(l_quantity AS BIGINT) AS STRING), 2, '0') AS c FROM {lineitem})
+"""
+NAMED = "CASE doc_id % 7 WHEN 0 THEN concat('smi ', n_chars % 100) WHEN 1 THEN concat('Tablas ', n_chars) WHEN 2 THEN concat('x', n_chars % 100) WHEN 3 THEN concat('año ', n_chars % 100, ' y 26') WHEN 4 THEN concat(2000 + n_chars % 60, '-', 1990 + n_chars % 60) WHEN 5 THEN NULL ELSE source END"
 
 
-@query(f"SELECT v, {_NUMBER_SQL} AS number, {_IS_NUMBER.replace('v_type', chr(39) + 'string' + chr(39))} AS is_number FROM {_values([(t,) for t in _TEXTS], 'v')}")
+@query(f"SELECT l_orderkey, l_linenumber, v, {_NUMBER_SQL} AS number, {_IS_NUMBER.replace('v_type', chr(39) + 'string' + chr(39))} AS is_number FROM ({WRITTEN.format(lineitem='lineitem')})")
 def to_number(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TEXTS], "v string").select("v", T.to_number(F.col("v")).alias("number"), T.is_number(F.col("v"), F.lit("string")).alias("is_number"))
+    rows = over(spark, WRITTEN, lineitem=table(spark, sf_dir, "lineitem"))
+    return rows.select("l_orderkey", "l_linenumber", "v", T.to_number(F.col("v")).alias("number"), T.is_number(F.col("v"), F.lit("string")).alias("is_number"))
 
 
-@query(f"SELECT v, coalesce(TRY_CAST(nullif(regexp_extract(v, '((?:19|20)[0-9]{{2}})', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(v, '\\b([0-9]{{2}})\\b', 1), '') AS INT) + 2000) AS year FROM {_values([(t,) for t in _NAMES], 'v')}")
+@query(f"SELECT doc_id, v, coalesce(TRY_CAST(nullif(regexp_extract(v, '((?:19|20)[0-9]{{2}})', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(v, '\\b([0-9]{{2}})\\b', 1), '') AS INT) + 2000) AS year FROM (SELECT doc_id, {NAMED} AS v FROM documents)")
 def year_from_sheet(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _NAMES], "v string").select("v", T.year_in(F.col("v")).alias("year"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{NAMED} AS v").select("doc_id", "v", T.year_in(F.col("v")).alias("year"))
 
 
 # --- answers ---
 
-_CHUNK = "chunks array<struct<chunk_id:long,document_id:long,page_from:int,page_to:int,content:string,score:double,authority_level:string,is_tabular:boolean>>"
-_SOURCES = [(11, 1, 3, 4, "uno", 0.91, "official_convenio", False), (12, 1, None, None, "dos", 0.95, "national_law", True), (11, 1, 3, 3, "uno otra vez", 0.5, "official_convenio", False), (14, 2, 5, 5, "cuatro", 0.4, None, False)]
-_ANSWERS = [
-    (1, "¿q?", '```json\n{"answer": "A [Fuente 2], B [Fuente 1] .", "cited_sources": [2, 1], "confidence": 0.9}\n```', _SOURCES),
-    (2, "¿q?", 'Sea: {"answer": "C [Fuente 3] y [Fuente 1] y [Fuente 9] ; D [Fuente 4]", "cited_sources": [3, "1", 9, 0, "x", 3], "confidence": "0.5"} fin', _SOURCES),
-    (3, "¿q?", "nada", _SOURCES),
-    (4, "¿q?", '{"answer": "  ", "cited_sources": [], "confidence": null}', []),
-    (5, "¿q?", '{"answer": "E [Fuente 1]", "cited_sources": null}', _SOURCES),
-]
+# Model output made of the turns of conversations: in a fence, among other words, plain, cut off, or no JSON at all. `a` is what is said, as a JSON string.
+_TURN = "conv_id * 1000 + turn AS turn_id, conv_id, turn, (conv_id + turn) % 8 AS s, coalesce(text, '') AS said"
+_MARKED = "concat(said, ' [Fuente ', (turn % 4) + 1, '], B [Fuente  ', (conv_id % 4) + 1, '] ; C [Fuente 9] .')"
+RAW_ANSWER = """CASE s WHEN 0 THEN concat('```json', chr(10), '{"answer": ', a, ', "cited_sources": [2, 1], "confidence": 0.9}', chr(10), '```') WHEN 1 THEN concat('Sea: {"answer": ', a, ', "cited_sources": [3, "1", 9, 0, "x", 3], "confidence": "0.5"} fin')
+  WHEN 2 THEN concat('nada: ', said) WHEN 3 THEN '{"answer": "  ", "cited_sources": [], "confidence": null}' WHEN 4 THEN concat('{"answer": ', a, ', "cited_sources": null}') WHEN 5 THEN concat('{"answer": ', a)
+  WHEN 6 THEN concat('{"cited_sources": [4, 3, 2, 1], "confidence": 1, "answer": ', a, '}') ELSE concat('{"answer": ', a, ', "cited_sources": [', turn % 5, ']}') END"""
+RAW_ROUTE = """CASE s WHEN 0 THEN concat('{"label": " Salary ", "confidence": 0.8, "subqueries": [" a ", "", ', a, ']}') WHEN 1 THEN '{"label": "other", "confidence": "x"}' WHEN 2 THEN said WHEN 3 THEN 'texto {"label": "off_domain", "subqueries": null} más'
+  WHEN 4 THEN '{"confidence": 1}' WHEN 5 THEN concat('{"label": ', a, '}') WHEN 6 THEN '{"label": "PROSE", "confidence": 0.25, "subqueries": ["x"]}' ELSE '{broken' END"""
+RAW_CLAIMS = """CASE s WHEN 0 THEN concat('{"claims": [{"claim": ', a, ', "tipo": "sustantiva", "grounded": true, "supporting_source": 1}, {"claim": "b", "tipo": "Procedencia", "grounded": false}]}')
+  WHEN 1 THEN '{"claims": [{"claim": "b", "tipo": "procedencia", "grounded": true}]}' WHEN 2 THEN concat('{"claims": [{"claim": ', a, ', "tipo": "??", "grounded": false}, {"claim": " ", "tipo": "sustantiva", "grounded": false}]}')
+  WHEN 3 THEN '{"claims": [{"claim": "", "tipo": "sustantiva", "grounded": false}]}' WHEN 4 THEN '{"claims": []}' WHEN 5 THEN '{broken' WHEN 6 THEN said
+  ELSE concat('```{"all_grounded": true, "claims": [{"claim": ', a, ', "grounded": ', CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END, '}]}```') END"""
+STOP = "CASE WHEN turn % 5 = 4 THEN 'max_tokens' WHEN turn % 5 = 3 THEN NULL ELSE 'end_turn' END"
+#: Fields of the source at place p of a turn.
+SOURCE = {
+    "chunk_id": "CAST(10 + (turn + p * p) % 3 AS BIGINT)", "document_id": "CAST(conv_id % 5 AS BIGINT)", "page_from": "CASE WHEN p <> 2 THEN CAST(p AS INT) END", "page_to": "CASE WHEN p <> 2 THEN CAST(p + turn % 2 AS INT) END",
+    "content": "concat(p, ': ', said)", "score": "CAST((conv_id * 7 + p * 13) % 100 AS DOUBLE) / CAST(100 AS DOUBLE)", "authority_level": "CASE (conv_id + p) % 5 WHEN 0 THEN 'national_law' WHEN 1 THEN 'internal_hr_ruling' WHEN 2 THEN NULL WHEN 3 THEN 'otro' ELSE 'official_convenio' END", "is_tabular": "p = 2",
+}
+_QUOTED = "substr(x, 6, length(x) - 6)"
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr(*_split(_TURN))
+    return rows.withColumn("x", F.to_json(F.struct(F.expr(_MARKED).alias("x")))).withColumn("a", F.expr(_QUOTED))
+
+
 _ENVELOPE = r"coalesce(nullif(regexp_extract(trim(raw_text), '(?s)```(?:json)?\s*(\{.*?\})\s*```', 1), ''), nullif(regexp_extract(trim(raw_text), '(?s)\{.*\}', 0), ''), trim(raw_text))"
 
 
-def _parsed(rows: list[tuple], columns: str) -> str:
-    """The rows with the envelope of their raw text as JSON, null where it is none."""
-    return f"e AS (SELECT *, {_ENVELOPE} AS env FROM {_values(rows, columns)}), j AS (SELECT *, CASE WHEN json_valid(env) AND env LIKE '{{%' THEN CAST(env AS JSON) END AS js FROM e)"
+def _parsed(raw: str, *more: str) -> str:
+    """The turns with the envelope of their raw text as JSON, null where it is none."""
+    return f"""said AS (SELECT *, {_QUOTED} AS a FROM (SELECT *, CAST(to_json({{'x': {_MARKED}}}) AS VARCHAR) AS x FROM (SELECT {_TURN} FROM conversations))), r AS (SELECT turn_id, {", ".join([*more, ""])} {raw} AS raw_text FROM said),
+e AS (SELECT *, {_ENVELOPE} AS env FROM r), j AS (SELECT *, CASE WHEN json_valid(env) AND env LIKE '{{%' THEN CAST(env AS JSON) END AS js FROM e)"""
 
 
-_SOURCE_VALUES = _values([(t, i + 1, *c) for t, _, _, cs in _ANSWERS for i, c in enumerate(cs)], "turn_id, pos, chunk_id, document_id, page_from, page_to, content, score, authority_level, is_tabular")
-_SYNTHESIS = f"""WITH {_parsed([a[:3] for a in _ANSWERS], "turn_id, question, raw_text")}, src AS {_SOURCE_VALUES},
+_SOURCES_OF = f"src AS (SELECT turn_id, p AS pos, {', '.join(f'{x} AS {n}' for n, x in SOURCE.items())} FROM said, unnest(range(1, 5)) t(p) WHERE s <> 3)"
+_SYNTHESIS = f"""WITH {_parsed(RAW_ANSWER)}, {_SOURCES_OF},
 c AS (SELECT turn_id, unnest(from_json(coalesce(js->'cited_sources', '[]'), '["JSON"]')) AS c, generate_subscripts(from_json(coalesce(js->'cited_sources', '[]'), '["JSON"]'), 1) AS n FROM j WHERE js IS NOT NULL AND json_type(js->'cited_sources') = 'ARRAY'),
 p AS (SELECT turn_id, CAST(TRY_CAST(c->>'$' AS DOUBLE) AS INT) AS pos, min(n) AS n FROM c WHERE TRY_CAST(c->>'$' AS DOUBLE) IS NOT NULL GROUP BY ALL),
 v AS (SELECT p.turn_id, p.pos, p.n, s.chunk_id, s.authority_level FROM p JOIN src s USING (turn_id, pos)),
 d AS (SELECT turn_id, chunk_id, min(n) AS n, dense_rank() OVER (PARTITION BY turn_id ORDER BY min(n)) AS display FROM v GROUP BY turn_id, chunk_id),
 marks AS (SELECT v.turn_id, map(list(v.pos), list(d.display)) AS m FROM v JOIN d USING (turn_id, chunk_id) GROUP BY v.turn_id),
 pieces AS (SELECT turn_id, js->>'answer' AS a, string_split_regex(coalesce(js->>'answer', ''), '\\[Fuente\\s+[0-9]+\\]') AS t, regexp_extract_all(coalesce(js->>'answer', ''), '\\[Fuente\\s+([0-9]+)\\]', 1) AS x FROM j),
-said AS (SELECT turn_id, array_to_string(list_transform(t, lambda y, i: y || CASE WHEN i <= len(x) AND m[CAST(x[i] AS INT)] IS NOT NULL THEN '[Fuente ' || CAST(m[CAST(x[i] AS INT)] AS VARCHAR) || ']' ELSE '' END), '') AS a FROM pieces LEFT JOIN marks USING (turn_id)),
+told AS (SELECT turn_id, array_to_string(list_transform(t, lambda y, i: y || CASE WHEN i <= len(x) AND m[CAST(x[i] AS INT)] IS NOT NULL THEN '[Fuente ' || CAST(m[CAST(x[i] AS INT)] AS VARCHAR) || ']' ELSE '' END), '') AS a FROM pieces LEFT JOIN marks USING (turn_id)),
 lv AS (SELECT v.turn_id, v.authority_level AS l, CASE v.authority_level WHEN 'internal_hr_ruling' THEN 0 WHEN 'official_convenio' THEN 0 WHEN 'national_law' THEN 1 ELSE 99 END AS r FROM v JOIN (SELECT turn_id, chunk_id, min(n) AS n FROM v GROUP BY ALL) f ON f.turn_id = v.turn_id AND f.chunk_id = v.chunk_id AND f.n = v.n WHERE v.authority_level <> '' GROUP BY ALL),
-o AS (SELECT j.turn_id, CASE WHEN js IS NULL THEN '' ELSE trim(regexp_replace(regexp_replace(said.a, '\\s{{2,}}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')) END AS answer,
+o AS (SELECT j.turn_id, CASE WHEN js IS NULL THEN '' ELSE trim(regexp_replace(regexp_replace(told.a, '\\s{{2,}}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')) END AS answer,
   coalesce((SELECT string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY display) FROM d WHERE d.turn_id = j.turn_id), '') AS cited, CAST((SELECT count(*) FROM d WHERE d.turn_id = j.turn_id) AS INT) AS citation_count,
   CASE WHEN js IS NULL THEN 0.0::DOUBLE ELSE coalesce((SELECT round(max(score), 6) FROM src WHERE src.turn_id = j.turn_id), 0.0) END AS top_chunk_score,
   CASE WHEN js IS NULL THEN 0.0::DOUBLE ELSE coalesce(TRY_CAST(js->>'confidence' AS DOUBLE), 0.0) END AS confidence,
-  coalesce((SELECT string_agg(l, ',' ORDER BY r, l) FROM lv WHERE lv.turn_id = j.turn_id), '') AS authorities, js IS NULL AS parse_error FROM j JOIN said USING (turn_id))
+  coalesce((SELECT string_agg(l, ',' ORDER BY r, l) FROM lv WHERE lv.turn_id = j.turn_id), '') AS authorities, js IS NULL AS parse_error FROM j JOIN told USING (turn_id))
 SELECT *, citation_count >= 1 AND answer <> '' AS grounded FROM o"""
 
 
-def answer_rows(spark) -> DataFrame:
-    return spark.createDataFrame(_ANSWERS, f"turn_id int, question string, raw_text string, {_CHUNK}")
+def answer_rows(spark, sf_dir) -> DataFrame:
+    fields = ", ".join(f"'{n}', {x}" for n, x in SOURCE.items())
+    return turns(spark, sf_dir).withColumn("c", F.expr(f"transform(sequence(1, 4), p -> named_struct({fields}))")).selectExpr("turn_id", "said", f"{RAW_ANSWER} AS raw_text", "CASE WHEN s = 3 THEN slice(c, 1, 0) ELSE c END AS chunks")
 
 
 @query(_SYNTHESIS)
 def citation_map(spark, sf_dir):
-    out = answers.synthesis(answer_rows(spark))
+    out = answers.synthesis(answer_rows(spark, sf_dir))
     cited = F.array_join(F.transform("citations", lambda c: c["chunk_id"].cast("string")), ",")
     return out.select("turn_id", "answer", cited.alias("cited"), "citation_count", "top_chunk_score", "confidence", F.array_join("authority_used", ",").alias("authorities"), "parse_error", "grounded")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, text || ' [Fuente ' || CAST(turn % 4 + 1 AS VARCHAR) || '] fin [Fuente 9] .' AS a FROM conversations)
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(a, '[Fuente 2]', '[Fuente #1]'), '[Fuente 1]', ''), '[Fuente 3]', '[Fuente #2]'), '[Fuente 4]', ''), '[Fuente 9]', ''), '\\s{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g'), '#', '', 'g')) AS answer FROM t WHERE text NOT LIKE '%#%' AND text NOT LIKE '%[Fuente%'""")
+@query(r"""WITH t AS (SELECT conv_id, turn, text || ' [Fuente ' || CAST(turn % 4 + 1 AS VARCHAR) || '] fin [Fuente 9] .' AS a FROM conversations),
+p AS (SELECT *, string_split_regex(a, '\[Fuente\s+[0-9]+\]') AS t, regexp_extract_all(a, '\[Fuente\s+([0-9]+)\]', 1) AS x FROM t)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(array_to_string(list_transform(t, lambda y, i: y || CASE TRY_CAST(x[i] AS INT) WHEN 2 THEN '[Fuente 1]' WHEN 3 THEN '[Fuente 2]' ELSE '' END), ''), '\s{2,}', ' ', 'g'), '\s+([.,;:])', '\1', 'g')) AS answer FROM p""")
 def renumber_markers(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     answer = F.concat("text", F.lit(" [Fuente "), (F.col("turn") % 4 + 1).cast("string"), F.lit("] fin [Fuente 9] ."))
@@ -677,30 +730,15 @@ def renumber_markers(spark, sf_dir):
     return rows.select("conv_id", "turn", answers.renumber(answer, mapping).alias("answer"))
 
 
-_ROUTES = [(1, '{"label": " Salary ", "confidence": 0.8, "subqueries": [" a ", "", "b"]}'), (2, '{"label": "other", "confidence": "x"}'), (3, "no json"), (4, 'texto {"label": "off_domain", "subqueries": null} más'), (5, '{"confidence": 1}')]
-
-
-@query(f"""WITH {_parsed(_ROUTES, "turn_id, raw_text")}, n AS (SELECT *, lower(trim(coalesce(js->>'label', 'prose'))) AS name FROM j)
+@query(f"""WITH {_parsed(RAW_ROUTE)}, n AS (SELECT *, lower(trim(coalesce(js->>'label', 'prose'))) AS name FROM j)
 SELECT turn_id, CASE WHEN js IS NOT NULL AND name IN {answers.ROUTES} THEN name ELSE 'prose' END AS label, CASE WHEN js IS NULL THEN 0.0::DOUBLE ELSE coalesce(TRY_CAST(js->>'confidence' AS DOUBLE), 0.0) END AS confidence,
   coalesce(array_to_string(list_filter(list_transform(CAST(CASE WHEN json_type(js->'subqueries') = 'ARRAY' THEN js->'subqueries' END AS VARCHAR[]), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS subqueries,
   CASE WHEN js IS NULL THEN 'router_parse_error' ELSE 'llm' END AS reason FROM n""")
 def router_normalise(spark, sf_dir):
-    return answers.route(spark.createDataFrame(_ROUTES, "turn_id int, raw_text string")).withColumn("subqueries", F.array_join("subqueries", "|"))
-
-
-_GATES = [
-    (1, [{"claim": "a", "tipo": "sustantiva", "grounded": True, "supporting_source": 1}, {"claim": "b", "tipo": "Procedencia", "grounded": False}], "end_turn"),
-    (2, [{"claim": "b", "tipo": "procedencia", "grounded": True}], "end_turn"),
-    (3, [{"claim": "c", "tipo": "??", "grounded": False}, {"claim": " ", "tipo": "sustantiva", "grounded": False}], None),
-    (4, [{"claim": "", "tipo": "sustantiva", "grounded": False}], "end_turn"),
-    (5, [], "max_tokens"),
-]
-
-
-_GATE_ROWS = [(t, json.dumps({"claims": c, "all_grounded": True}), s) for t, c, s in _GATES] + [(6, "{broken", "end_turn")]
+    return answers.route(turns(spark, sf_dir).selectExpr("turn_id", f"{RAW_ROUTE} AS raw_text")).withColumn("subqueries", F.array_join("subqueries", "|"))
 
 
-@query(f"""WITH {_parsed(_GATE_ROWS, "turn_id, raw_text, stop_reason")},
+@query(f"""WITH {_parsed(RAW_CLAIMS, f"{STOP} AS stop_reason")},
 o AS (SELECT turn_id, coalesce(stop_reason = 'max_tokens', false) AS cut, js IS NOT NULL AS ok, CASE WHEN js IS NOT NULL AND stop_reason IS DISTINCT FROM 'max_tokens' THEN from_json(js->'claims', '["JSON"]') ELSE [] END AS claims FROM j),
 s AS (SELECT *, list_filter(claims, lambda c: lower(trim(coalesce(c->>'tipo', ''))) NOT IN ('procedencia', 'provenance')) AS sub FROM o),
 u AS (SELECT *, list_transform(list_filter(sub, lambda c: NOT coalesce(CAST(c->>'grounded' AS BOOLEAN), false) AND trim(coalesce(c->>'claim', '')) <> ''), lambda c: trim(c->>'claim')) AS loose FROM s),
@@ -708,7 +746,7 @@ k AS (SELECT *, CASE WHEN cut THEN ['<grounding check truncated>'] WHEN NOT ok T
 SELECT turn_id, CAST(len(claims) AS INT) AS n_claims, CAST(len(sub) AS INT) AS substantive_count, CAST(len(claims) - len(sub) AS INT) AS provenance_count, array_to_string(noted, '|') AS ungrounded,
   CASE WHEN cut THEN 'grounding_truncated' WHEN NOT ok THEN 'parse_error' ELSE 'checked' END AS outcome, len(sub) >= 1 AND len(noted) = 0 AS grounded FROM k""")
 def claim_gate(spark, sf_dir):
-    out = answers.claim_gate(spark.createDataFrame(_GATE_ROWS, "turn_id int, raw_text string, stop_reason string"))
+    out = answers.claim_gate(turns(spark, sf_dir).selectExpr("turn_id", f"{RAW_CLAIMS} AS raw_text", f"{STOP} AS stop_reason"))
     return out.select("turn_id", F.size("claims").alias("n_claims"), "substantive_count", "provenance_count", F.array_join("ungrounded", "|").alias("ungrounded"), "outcome", "grounded")
 
 
@@ -722,15 +760,16 @@ def prompt_build(spark, sf_dir):
     return rows.select("document_id", answers.user_prompt(F.concat(F.lit("¿"), F.col("document_id").cast("string"), F.lit("?")), F.col("chunks")).alias("prompt"))
 
 
-@query(f"""SELECT 'Pregunta: q' || chr(10) || chr(10) || 'Respuesta propuesta:' || chr(10) || 'r' || chr(10) || chr(10) || 'FUENTES citadas:' || chr(10)
-  || string_agg('[Fuente ' || CAST(pos AS VARCHAR) || ']' || CASE WHEN is_tabular THEN ' [TABLA/COLUMNAS]' ELSE '' END || ': ' || content, chr(10) ORDER BY pos) || chr(10) || chr(10) || '{answers.GROUND_CLOSING}' AS prompt FROM {_SOURCE_VALUES} WHERE turn_id = 1""")
+@query(f"""WITH {_parsed(RAW_ANSWER)}, {_SOURCES_OF}
+SELECT turn_id, 'Pregunta: q' || chr(10) || chr(10) || 'Respuesta propuesta:' || chr(10) || any_value(said.said) || chr(10) || chr(10) || 'FUENTES citadas:' || chr(10)
+  || string_agg('[Fuente ' || CAST(pos AS VARCHAR) || ']' || CASE WHEN is_tabular THEN ' [TABLA/COLUMNAS]' ELSE '' END || ': ' || content, chr(10) ORDER BY pos) || chr(10) || chr(10) || '{answers.GROUND_CLOSING}' AS prompt FROM src JOIN said USING (turn_id) GROUP BY turn_id""")
 def ground_prompt_build(spark, sf_dir):
-    return answer_rows(spark).filter("turn_id = 1").select(answers.ground_prompt(F.lit("q"), F.lit("r"), F.col("chunks")).alias("prompt"))
+    return answer_rows(spark, sf_dir).filter("size(chunks) > 0").select("turn_id", answers.ground_prompt(F.lit("q"), F.col("said"), F.col("chunks")).alias("prompt"))
 
 
-@query(f"WITH {_parsed([a[:3] for a in _ANSWERS], 'turn_id, question, raw_text')} SELECT turn_id, js IS NOT NULL AS is_json FROM j")
+@query(f"WITH {_parsed(RAW_ANSWER)} SELECT turn_id, js IS NOT NULL AS is_json FROM j")
 def envelope_parse(spark, sf_dir):
-    return answer_rows(spark).select("turn_id", answers.parsed(F.col("raw_text"), answers.ANSWER_SCHEMA)[1].alias("is_json"))
+    return answer_rows(spark, sf_dir).select("turn_id", answers.parsed(F.col("raw_text"), answers.ANSWER_SCHEMA)[1].alias("is_json"))
 
 
 @query("SELECT doc_id, 'documents/' || CAST(doc_id AS VARCHAR) || '/pages/' || lpad(CAST(n_chars % 9 + 1 AS VARCHAR), 4, '0') || '.jpg' AS image_key FROM documents")
@@ -740,8 +779,12 @@ def page_image_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", page_image_key(F.col("doc_id").cast("string"), (F.col("n_chars") % 9 + 1).cast("int")).alias("image_key"))
 
 
-@query("SELECT DISTINCT 8 AS top_k, 512 AS chunk_token_target, 800 AS chunk_token_cap, 1024 AS embed_dim, 'http://localhost' AS router_endpoint FROM region")
+@query("""SELECT doc_id, CASE WHEN n <= 512 THEN 'whole' WHEN n <= 800 THEN 'article' ELSE 'cut' END AS kind, 8 AS top_k, 1024 AS embed_dim, 'http://localhost' AS router_endpoint FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents)""")
 def config_projection(spark, sf_dir):
+    """What the settings mean for each document, the settings being a table of one row."""
     from foliant.config import Settings
 
-    return Settings.of(spark).public(spark).select(*[F.col(c).cast("int").alias(c) for c in ("top_k", "chunk_token_target", "chunk_token_cap", "embed_dim")], "router_endpoint")
+    n = T.word_count(F.coalesce("text", F.lit("")))
+    kind = F.when(n <= F.col("chunk_token_target"), "whole").when(n <= F.col("chunk_token_cap"), "article").otherwise("cut")
+    own = table(spark, sf_dir, "documents").join(F.broadcast(Settings.of(spark).public(spark)))
+    return own.select("doc_id", kind.alias("kind"), *[F.col(c).cast("int").alias(c) for c in ("top_k", "embed_dim")], "router_endpoint")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from foliant import providers
 from foliant.config import Settings
-from foliant.functions import text as T, vectors
-from foliant.operators import answers, chunking, layout, retrieval, salary, store
+from foliant.functions import text as T, tokens, vectors
+from foliant.operators import analytics, answers, chunking, layout, retrieval, salary, store
 from foliant.plans import reference
 from foliant.sources import objects, workbook
 from foliant.streaming import ingest
+from tests import written
 
 words = chunking.count_words
 
@@ -234,10 +235,106 @@ def test_workbooks(spark, tmp_path):
     assert (row["year"], row["job_category_name"], row["gross_annual"], row["base_salary_monthly"], row["hourly_rate"]) == (2026, "A", 14000.5, 1000.04, 9.0)
 
 
-def test_salary_raw_values(spark, sf_dir):
-    rows = {(r["sheet"], r["row_no"]): r["raw"] for r in reference.salary_raw_values(spark, sf_dir).collect()}
-    assert rows["smi 26", 2] == ["1742=9,75", "sb=1.000,50", "total=1652.135"]
-    assert rows["Tablas 2025", 2] == ["bruto ano=15000", "bruto anual=14.000,00", "hora nocturna=abc", "plus nocturno=1.652", "x=7"]
+def test_salary_grids_written_out(spark):
+    cells = spark.createDataFrame(written.CELLS, written.CELL_SCHEMA)
+    rows = {(r["sheet"], r["row_no"]): r for r in salary.rows(cells).collect()}
+    assert rows.keys() == {("smi 26", 2), ("smi 26", 4), ("Tablas 2025", 2), ("Tablas 2025", 3)}
+    assert rows["smi 26", 2]["raw_values"] == {"1742": "9,75", "sb": "1.000,50", "total": "1652.135"}
+    assert rows["Tablas 2025", 2]["raw_values"] == {"bruto ano": "15000", "bruto anual": "14.000,00", "hora nocturna": "abc", "plus nocturno": "1.652", "x": "7"}
+    first = rows["smi 26", 2]
+    assert (first["year"], first["group_code"], first["job_category_name"], first["gross_annual"], first["hourly_rate"]) == (2026, "2.1", "Monitor de tiempo libre", 1652.14, 9.75)
+    heads = {r["sheet"]: (r["width"], r["header_row"]) for r in salary.headers(cells).collect()}
+    assert heads == {"smi 26": (5, 1), "Tablas 2025": (6, 1), "junk": (2, None), "one": (1, None)}
+
+
+def test_anchors_written_out(spark):
+    units = spark.createDataFrame(written.UNITS, written.UNIT_SCHEMA)
+    assert {(r["lang"], r["unit_no"]) for r in chunking.anchored(chunking.lines(units)).filter("is_anchor").collect()} == written.ANCHORED
+    assert [r["content"] for r in chunking.chunks(units).filter("doc_id = 1 and language = 'eu'").orderBy("chunk_index").collect()] == ["1. artikulua Eremua", "12 ARTIKULUA\n\ntestua 3. artikulua"]
+
+
+def test_glyphs_written_out(spark):
+    found = {(r["doc_id"], r["block_no"], r["line_no"]): (r["text"], r["long_tokens"]) for r in layout.lines(spark.createDataFrame(written.GLYPHS, written.GLYPH_SCHEMA)).collect()}
+    assert found == {(1, 0, 0): ("hit za-", 0), (1, 0, 1): ("mena puz", 0), (1, 1, 0): ("X", 0), (1, 2, 0): ("ab c", 0), (2, 0, 0): ("x" * 30, 1)}
+
+
+def test_answers_written_out(spark):
+    out = {r["turn_id"]: r for r in answers.synthesis(spark.createDataFrame(written.ANSWERS, f"turn_id int, question string, raw_text string, {written.SOURCE_SCHEMA}")).collect()}
+    assert {t: (r["answer"], [c["chunk_id"] for c in r["citations"]], r["confidence"], r["parse_error"], r["grounded"]) for t, r in out.items()} == {
+        1: ("A [Fuente 1], B [Fuente 2].", [12, 11], 0.9, False, True),
+        2: ("C [Fuente 1] y [Fuente 1] y; D", [11], 0.5, False, True),
+        3: ("", [], 0.0, True, False),
+        4: ("", [], 0.0, False, False),
+        5: ("E", [], 0.0, False, False),
+    }
+
+
+def test_numbers_and_years_written_out(spark):
+    one = lambda f, cases: {r["v"]: r["x"] for r in spark.createDataFrame([(k,) for k in cases], "v string").select("v", f(F.col("v")).alias("x")).collect()}
+    assert one(T.to_number, written.NUMBERS) == written.NUMBERS and one(T.year_in, written.YEARS) == written.YEARS
+
+
+def pieces_one_by_one(parts, joint, count, cap, too_big):
+    """The fold that packing stands for: a part at a time, the whole counted at each step."""
+    done, waiting = [], ""
+    for part in parts:
+        both = f"{waiting}{joint}{part}".strip() if waiting else part.strip()
+        if count(both) <= cap:
+            waiting = both
+            continue
+        had = bool(waiting)
+        done += [waiting] if had else []
+        more, waiting = too_big(part, had)
+        done += more
+    return done, waiting
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .;\né", max_size=120), st.integers(1, 9), st.sampled_from([words, len, lambda t: 3 * len(t.split()) + len(t) // 4]))
+def test_galloping_packs_as_the_fold_does(text, cap, count):
+    galloping, chunking._grown = chunking._grown, pieces_one_by_one
+    try:
+        wanted = chunking.pack(text, count, cap)
+    finally:
+        chunking._grown = galloping
+    assert chunking.pack(text, count, cap) == wanted
+
+
+def test_packing_counts_a_bounded_number_of_times():
+    for n in (500, 4000):
+        seen = []
+        count = lambda t: seen.append(len(t)) or len(t.split())  # noqa: B023, E731
+        chunking.pack(" ".join(["word"] * n) + ".", count, 50)
+        assert sum(seen) < 12 * 5 * n
+
+
+def test_subword_counters(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    count, texts = tokens.Subwords(path), ["hola mundo", "", "ñandú 12", None]
+    assert count.many(texts[:3]) == [count(t) for t in texts[:3]] and count("") == 0
+    assert [r["n"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tokens.column(count)(F.col("t")).alias("n")).collect()] == [*count.many(texts[:3]), 0]
+    assert tokens.Subwords("/opt/tokenizers/piece_bpe_32k.model")("hola mundo") > 1
+    units = spark.createDataFrame([(1, "es", k, 1, "Artículo " + str(k) + ". " + "palabra larga " * 400) for k in range(1, 4)], "doc_id long, lang string, unit_no int, page int, text string")
+    made = chunking.chunks(units, count).collect()
+    assert all(r["token_count"] == count(r["content"]) for r in made) and len(made) > 3
+    lengths = {r["segment"]: r["tokens"] for r in chunking.article_lengths(units, tokens.column(count)).collect()}
+    assert len(lengths) == 3 and min(lengths.values()) > 800
+
+
+@pytest.mark.parametrize("few,accuracy", [(1, 4), (3, 10), (1000, 100)])
+def test_quantiles_of_any_column(spark, few, accuracy):
+    r = random.Random(few)
+    for n in (0, 1, 7, 300):
+        values = [r.choice([None, r.random() ** 9 * 1e6, float(r.randrange(3)), 5.0]) for _ in range(n)]
+        places, known = [0, 0.1, 0.5, 0.99, 1.0], sorted(v for v in values if v is not None)
+        got = analytics.quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", places, few, accuracy)
+        assert got == (len(known), [known[int(len(known) * p)] if int(len(known) * p) < len(known) else None for p in places])
+
+
+def test_a_report_counts_chunks_without_tokens(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", None), (None, 5)], "lang string, token_count int")
+    found = {(r["level"], r["lang"]): (r["chunks"], r["tokens"], r["median"], r["max"]) for r in analytics.report(rows, [[], ["lang"]]).collect()}
+    assert found == {("all", None): (3, 8, 5, 5), ("lang", "a"): (2, 3, 3, 3), ("lang", None): (1, 5, 5, 5)}
 
 
 def test_labels(spark):
@@ -250,7 +347,7 @@ def test_renumbered_answers_name_only_displayed_sources(spark):
     r = random.Random(9)
     sources = [(k % 3, k, None, None, f"t{k}", 0.1 * k, None, False) for k in range(4)]
     rows = [(t, "q", '{"answer": "' + " ".join(f"x [Fuente {r.randrange(6)}]" for _ in range(5)) + f'", "cited_sources": {[r.randrange(6) for _ in range(3)]}' + "}", sources) for t in range(50)]
-    out = answers.synthesis(spark.createDataFrame(rows, f"turn_id long, question string, raw_text string, {reference._CHUNK}")).collect()
+    out = answers.synthesis(spark.createDataFrame(rows, f"turn_id long, question string, raw_text string, {written.SOURCE_SCHEMA}")).collect()
     import re
 
     assert all({int(n) for n in re.findall(r"\[Fuente (\d+)\]", x["answer"])} <= set(range(1, x["citation_count"] + 1)) for x in out)
