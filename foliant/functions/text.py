@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from foliant.functions.unicode import without_marks
+
 # Very common Spanish function words.
 SPANISH_WORDS = (
     "de la el los las que en por para con del al un una se su sus lo como más es son será ser este esta estos estas no y o le "
@@ -53,15 +55,10 @@ def with_artifacts(text: Column) -> Column:
 
 #: Characters that a normalised label does not begin or end with.
 LABEL_EDGES = " .:·-"
-# Accented Latin letters and the letters without.
-_ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝªº"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCYao"
-
 
 def label(text: Column) -> Column:
     """A header or label without accents, in lower case, with single spaces and bare ends. Null is the empty label."""
-    plain = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}", "")
-    return F.coalesce(F.btrim(F.lower(squeeze(plain)), F.lit(LABEL_EDGES)), F.lit(""))
+    return F.coalesce(F.btrim(F.lower(squeeze(without_marks(text))), F.lit(LABEL_EDGES)), F.lit(""))
 
 
 def is_number(value: Column, kind: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliant import providers
 from foliant.config import Settings
 from foliant.functions import text as T, tokens, vectors
+from foliant.functions.unicode import without_marks
 from foliant.operators import analytics, answers, chunking, layout, retrieval, salary, store
 from foliant.plans import reference
 from foliant.sources import objects, workbook
@@ -337,8 +338,19 @@ def test_a_report_counts_chunks_without_tokens(spark):
     assert found == {("all", None): (3, 8, 5, 5), ("lang", "a"): (2, 3, 3, 3), ("lang", None): (1, 5, 5, 5)}
 
 
+def test_every_code_point_is_decomposed(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    # Some in a row, so that marks and others meet; every character once.
+    texts = ["".join(chars[k : k + 40]) for k in range(0, len(chars), 40)] + ["Convenío ﬁnal ½ 각 é́x", "", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", without_marks(F.col("t")).alias("t")).collect()
+    bare = lambda t: t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert {r["i"]: r["t"] for r in found} == {i: bare(t) for i, t in enumerate(texts)}
+
+
 def test_labels(spark):
-    cases = {" Año.  de\nAntigüedad: ": "ano. de antiguedad", "COMP.": "comp", "café": "cafe", "·x·": "x", None: ""}
+    cases = {" Año.  de\nAntigüedad: ": "ano. de antiguedad", "COMP.": "comp", "café": "cafe", "·x·": "x", "Ｔｏｔａｌ": "total", "Ǆ ½": "dz 1⁄2", None: ""}
     frame = spark.createDataFrame([(k,) for k in cases], "v string").select("v", T.label(F.col("v")).alias("l"))
     assert {r["v"]: r["l"] for r in frame.collect()} == cases
 
