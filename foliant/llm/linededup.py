@@ -32,7 +32,7 @@ from foliant.llm.storage import materialise
 
 MAX_EDITS, MIN_CHARS = 2, 40
 #: From so many characters on, so many edits.
-WIDER = ((240, 3),)
+WIDER = ((160, 3), (480, 4))
 #: Lengths for which segments are laid out alike.
 STEP = 16
 #: Characters whose counts are compared before the distance. Any choice gives the same result.
@@ -103,11 +103,12 @@ def _keys(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ..
 
 def _near(lines: DataFrame, k: int, least: int, wider: tuple[tuple[int, int], ...]) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different one within k edits, or more for longer ones."""
-    keys = _keys(lines, k, least, wider)
+    # Keys are made once and written: to make them again costs more than to read them.
+    keys = materialise(_keys(lines, k, least, wider), "keys")
     shared = keys.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("kind").alias("c")).filter("a <> b and c = 0").select("s")
     shared = materialise(shared, "shared")
     # Inner joins with unique keys: a semi join would be pushed below the filter, and all rows would be shuffled.
-    hits = materialise(marked(keys, "s", marks(shared.select(F.col("s").alias("x")))).join(shared, "s").distinct(), "keys")
+    hits = materialise(marked(keys, "s", marks(shared.select(F.col("s").alias("x")))).join(shared, "s").distinct(), "hits")
     ids = materialise(hits.select("id").distinct(), "ids")
     texts = marked(lines.withColumn("id", F.col("h1")), "id", marks(ids.select(F.col("id").alias("x")))).join(ids, "id")
     texts = texts.groupBy("id", "h1", "h2").agg(F.min(_rank()).alias("head"), F.first("line").alias("line"))
@@ -154,9 +155,11 @@ def with_removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
 def drop_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, wider: tuple[tuple[int, int], ...] = WIDER) -> DataFrame:
     """The documents, all columns as they were but the text, which loses its repeated lines. A document that loses all its lines goes."""
-    found = removals(docs, max_edits, min_chars, id_col, text_col, short, wider).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.concat("equal", "near", "short").alias("__gone"))
-    text = F.col(text_col).cast("string")
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__k")), "left")
-    kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), at))
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept)).filter("__kept is null or size(__kept) > 0")
-    return out.select(*[F.coalesce(F.array_join("__kept", "\n"), F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    found = removals(docs, max_edits, min_chars, id_col, text_col, short, wider).select(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.concat("equal", "near", "short").alias("gone"))
+    # The caller's row travels as one column, so that no name of its own can meet one of these.
+    rows = docs.select(F.struct("*").alias("own"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
+    text = F.col("own").getField(text_col)
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    kept = F.filter(F.split(text.cast("string"), "\n"), lambda line, at: ~F.array_contains(F.col("gone"), at))
+    out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).filter("kept is null or size(kept) > 0")
+    return out.select(*[(F.coalesce(F.array_join("kept", "\n"), text) if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns])
