@@ -134,10 +134,12 @@ def score(model: Model, text: str) -> float:
 
 
 def sample(texts: DataFrame, labels: DataFrame, learn: Column, column: str, max_rows: int) -> DataFrame:
-    """(y, text) of the labelled texts to learn from. The ids that are broadcast are at most 2 * max_rows."""
+    """(y, text) of the labelled texts to learn from, at most 2 * max_rows: one row for each id, of repeated ids the text with the smallest hash."""
     known = agreed_labels(labels, column).filter(learn).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = [smallest_hashes(known.filter(F.col("y") == y), max_rows) for y in (0, 1)]
-    return materialise(texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("y", "text").repartition(SAMPLE_TASKS), "learn")
+    found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text")).alias("r")).select("r.y", "r.text")
+    return materialise(one.repartition(SAMPLE_TASKS), "learn")
 
 
 def fit(texts: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic", max_rows: int = MAX_ROWS) -> Model:

@@ -144,3 +144,17 @@ def test_samples_are_the_smallest_hashes(spark):
     order = [r["doc_id"] for r in rows.orderBy(F.expr(f"pmod(xxhash64(doc_id), {1 << 40})"), "doc_id").limit(300).collect()]
     assert sorted(found) == sorted(order)
     assert gam.smallest_hashes(rows, 20_000).count() == 9000
+
+
+def test_a_repeated_document_counts_once_in_the_sample(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from foliant.llm import toxicity
+    from foliant.llm.batches import id_and_text
+
+    texts = id_and_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = labels.filter("toxic = 1").first()["doc_id"]
+    many = texts.unionByName(texts.filter(F.col("doc_id") == toxic).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("c"))
+    sizes = {r["y"]: r["count"] for r in toxicity.sample(many, labels, F.lit(True), "toxic", 20).groupBy("y").count().collect()}
+    assert 0 < sizes[1] <= 20 and sizes[0] == 20
