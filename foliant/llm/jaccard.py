@@ -417,9 +417,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, id_co
     gone = materialise(gone, "gone")
     again = rows.groupBy("doc_id", "key").count().filter("count > 1").select("key")
     held = materialise(marks(gone.select(F.col("__key").alias("x")).unionByName(again.select(F.col("key").alias("x")))), "marks")
-    own = with_mark(docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(F.col(text_col).cast("string"))}), "__key", held)
-    same = own["__id"].eqNullSafe(gone["__id"]) & (own["__key"] == gone["__key"])
-    left = own.filter("__hit").join(gone, same, "left_anti")
-    others = [F.col(c) for c in docs.columns if c != text_col]
-    left = left.groupBy("__id", "__key").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit("")).alias("__row")).select("__row.*")
-    return own.filter("not __hit").select(*docs.columns).unionByName(left)
+    # The caller's row travels as one column, so that no name of its own can meet one of these.
+    own = with_mark(docs.select(F.struct("*").alias("own"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key")), "key", held)
+    left = own.filter("__hit").join(gone, own["id"].eqNullSafe(gone["__id"]) & (own["key"] == gone["__key"]), "left_anti")
+    others = [F.col("own").getField(c).alias(c) for c in docs.columns if c != text_col]
+    left = left.groupBy("id", "key").agg(F.min_by("own", F.to_json(F.struct(*others)) if others else F.lit("")).alias("own"))
+    return own.filter("not __hit").select("own.*").unionByName(left.select("own.*"))

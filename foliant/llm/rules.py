@@ -36,7 +36,9 @@ from itertools import count
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -98,18 +100,22 @@ def statistics(text: str) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they were, with the struct column `__counts` and a hash of the text, `__seen`; one pass, no shuffle."""
-    docs = docs.withColumn("__seen", F.xxhash64(F.col(text_col).cast("string")))
+def _counted(rows: DataFrame, column: str, field: str | None = None) -> DataFrame:
+    """The rows with the struct column `__counts` of a text, which is a column or a field of one; one pass, no shuffle."""
     kind = StructType([StructField(c, LongType()) for c in COUNTS])
-    out = StructType([*docs.schema.fields, StructField("__counts", kind)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*(statistics(t or "") for t in batch.column(text_col).to_pylist()), strict=True)) or [[]] * len(COUNTS)
+        texts = batch.column(column) if field is None else pc.struct_field(batch.column(column), [field])
+        columns = list(zip(*(statistics(t or "") for t in texts.to_pylist()), strict=True)) or [[]] * len(COUNTS)
         made = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(COUNTS))
         return pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "__counts"])
 
-    return map_texts(docs, text_col, run, out)
+    return map_texts(rows, column, run, StructType([*rows.schema.fields, StructField("__counts", kind)]))
+
+
+def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with `__counts` and a hash of the text, `__seen`."""
+    return _counted(docs.withColumn("__seen", F.xxhash64(F.col(text_col).cast("string"))), text_col)
 
 
 def _share(above: str, below: str, counts: str) -> Column:
@@ -178,7 +184,11 @@ def calibrate(counted: DataFrame, labels: DataFrame, stratum: str = "lang", id_c
     strata = F.broadcast(sizes.filter("designed > 0").agg(F.count("*").alias("strata")))
     tested = walk.join(lost, ["s", "pos"], "left").join(sizes, "s").crossJoin(strata)
     tested = tested.withColumn("k", F.sum(F.coalesce("lost", F.lit(0))).over(by.orderBy("pos")))
-    holds = F.udf(lambda k, n, strata: admissible(k, n, risk, (1 - confidence) / strata), "boolean")
+
+    @F.pandas_udf("boolean")
+    def holds(k: pd.Series, n: pd.Series, strata: pd.Series) -> pd.Series:
+        return pd.Series([admissible(int(a), int(b), risk, (1 - confidence) / c) for a, b, c in zip(k, n, strata, strict=True)], dtype=bool)
+
     tested = tested.withColumn("ok", holds("k", "n", "strata")).withColumn("all_ok", F.min("ok").over(by.orderBy("pos")))
     number = {j: c for j, (_, c) in enumerate(STEPS)}
     cutoff = F.get(F.array(*[F.lit(c) for c in number.values()]), F.col("j"))
@@ -213,4 +223,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col:
     held = marks(known.select(F.xxhash64("doc_id").alias("x")))
     labelled = marked(ids.withColumn("__h", F.xxhash64("doc_id")), "__h", materialise(held, "marks")).drop("__h")
     cutoffs = calibrate(with_counts(labelled).drop("text"), known, risk=risk, confidence=confidence)
-    return with_verdict(with_counts(docs, text_col), cutoffs, stratum).filter("__kept").select(*docs.columns)
+    # The caller's row travels as one column, so that no name of its own can meet one of these.
+    rows = docs.select(F.struct("*").alias("own"), F.col(stratum).cast("string").alias("lang"))
+    return with_verdict(_counted(rows, "own", text_col), cutoffs).filter("__kept").select("own.*")

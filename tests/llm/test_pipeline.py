@@ -65,3 +65,18 @@ def test_intermediate_tables_can_be_released(spark, sf_dir):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    names = "bits word x y z s b __hit __s __k __row __kept __seen __counts __id __key own id key gone kept i k lang_ r h label head".split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    wide = docs.selectExpr("*", *[f"doc_id + {j} AS `{n}`" for j, n in enumerate(names)], "map('a', doc_id) AS `a map`")
+    # A few repeats, so that every path of the stages is taken.
+    wide = wide.unionByName(wide.limit(5)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        plain = stage(spark, wide.select(*docs.columns), sf_dir)
+        assert out.schema.simpleString() == wide.schema.simpleString(), name
+        rows = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect()), name
+        assert all(r[n] == r["doc_id"] + j for r in rows for j, n in enumerate(names)), name
