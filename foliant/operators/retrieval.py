@@ -1,6 +1,7 @@
-"""Scope-filtered exact retrieval: a filter that reaches the scan, a distance for what is left, the top k.
+"""Scope-filtered exact retrieval: a filter that reaches the scan, the few that can be among the nearest, their ranks, their texts.
 
-There is no approximate index: every eligible chunk is ranked. Ties in distance go by id.
+There is no approximate index: every eligible chunk is weighed, by `scoring` and only as far as it takes to know that it is out. Those left are ranked by
+their exact distance, and only then is text read, for the hits alone. Ties in distance go by id, which names one chunk.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant.functions import vectors
+from foliant.operators import scoring
 
 HIT = ["id", "document_id", "chunk_index", "page_from", "page_to", "content", "retrieval_status", "authority_level", "convenio_id"]
 #: Requests that one pass may broadcast: with vectors of 1,024 floats about 40 MB.
@@ -32,15 +34,34 @@ def eligible(convenio_id: int | None, include_national_law: bool, statuses: Sequ
     return out
 
 
+#: What ranking needs of a hit; its text comes later.
+NARROW = [c for c in HIT if c != "content"]
+
+
+def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked hits (of NARROW and more) with their content."""
+    return hits.join(chunks.select(F.col("id").alias("of"), "content"), F.col("id") == F.col("of"), "left").drop("of")
+
+
+def _nearest_few(found: DataFrame, k: Column) -> DataFrame:
+    """Of the candidates of all tasks those within scoring.SLACK of the k-th best of their request."""
+    order = Window.partitionBy("request").orderBy(F.desc_nulls_last("cosine"), "id")
+    ranked = found.filter("id is not null").withColumn("n", F.row_number().over(order))
+    bar = F.min(F.when(F.col("n") == k, F.col("cosine"))).over(Window.partitionBy("request"))
+    return ranked.withColumn("bar", bar).filter((F.col("n") <= k) | F.col("bar").isNull() | (F.col("cosine") >= F.col("bar") - scoring.SLACK))
+
+
 def _ranked(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     near = rows.withColumn("distance", vectors.cosine_distance(F.col("embedding"), vectors.literal(query)))
-    top = near.select(*HIT, "distance").orderBy(F.asc_nulls_last("distance"), "id").limit(k)
-    return top.withColumn("score", F.round(1 - F.col("distance"), 6)).drop("distance")
+    top = near.select(*NARROW, "distance").orderBy(F.asc_nulls_last("distance"), "id").limit(k)
+    return _with_text(top, rows).select(*HIT, F.round(1 - F.col("distance"), 6).alias("score"))
 
 
 def retrieve(chunks: DataFrame, query: Sequence[float], convenio_id: int | None = None, include_national_law: bool = True, statuses: Sequence[str] = ("active",), as_of: date | None = None, k: int = 8) -> DataFrame:
     """The k nearest eligible chunks."""
-    return _ranked(chunks.filter(eligible(convenio_id, include_national_law, statuses, as_of)), query, k)
+    rows = chunks.filter(eligible(convenio_id, include_national_law, statuses, as_of))
+    few = _nearest_few(scoring.candidates(rows, [list(query)], [k]), F.lit(k)).select(F.col("id").alias("of"))
+    return _ranked(rows.join(few, F.col("id") == F.col("of"), "left_semi"), query, k)
 
 
 def retrieve_in_document(chunks: DataFrame, query: Sequence[float], document_id: int, k: int = 8) -> DataFrame:
@@ -63,41 +84,43 @@ def answerable(chunks: DataFrame, query: str, embed: Callable[[str], Sequence[fl
     return total.join(hits.withColumn("rank", rank), F.lit(True), "left")
 
 
-def _live() -> Column:
-    """Status and validity between a request (aliased q) and a chunk (aliased c), of which anything may be null."""
-    day = F.col("q.as_of_date")
-    start = day.isNull() | F.col("c.validity_start").isNull() | (F.col("c.validity_start") <= day)
-    end = day.isNull() | F.col("c.validity_end").isNull() | (F.col("c.validity_end") >= day)
-    return F.array_contains("q.statuses", F.col("c.retrieval_status")) & start & end
-
-
-def batch_pairs(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """The eligible pairs of chunks (c) and requests (q), which are broadcast.
-
-    The scope is a disjunction; its halves are a hash join on the agreement and, for national law alone, a
-    join of that part of the chunks with the requests that want it."""
-    c, q = chunks.alias("c"), F.broadcast(requests.alias("q"))
-    same = F.col("c.convenio_id") == F.col("q.convenio_id")
-    own = c.join(q, same & _live())
-    law = c.filter("authority_level = 'national_law'").join(F.broadcast(requests.filter("include_national_law").alias("q")), ~F.coalesce(same, F.lit(False)) & _live())
-    columns = ["q.req_id", "q.k", "q.query_vec", "c.embedding", *[f"c.{x}" for x in HIT]]
-    return own.select(*columns).unionByName(law.select(*columns))
-
-
 def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """The k nearest eligible chunks for each row of requests (req_id, query_vec, convenio_id, include_national_law, statuses, as_of_date, k).
 
-    Requests are broadcast in blocks of at most BLOCK_REQUESTS, each block against all chunks;
-    the ranking keeps each task's best before it shuffles."""
-    most = requests.agg(F.max("k")).first()[0] or 0
+    Requests go to the workers in blocks of at most BLOCK_REQUESTS, each block against all chunks; each task gives only
+    its own best, without text."""
     out = None
+    kind = requests.schema["req_id"].dataType.simpleString()
     for block in blocks_of(requests, "req_id"):
-        pairs = batch_pairs(chunks, block).withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vec"))).drop("embedding", "query_vec")
-        rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
-        # The constant limit is what lets each task keep its own best before the shuffle.
-        found = pairs.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k")))
-        out = found if out is None else out.unionByName(found)
-    return out.select("req_id", "rank", *HIT, F.round(1 - F.col("distance"), 6).alias("score"))
+        found = _weighed(chunks, block)
+        for rows, candidates in found:
+            names = chunks.sparkSession.createDataFrame([(n, r["req_id"], r["k"]) for n, r in enumerate(rows)], f"request int, req_id {kind}, k int")
+            few = _nearest_few(candidates.join(F.broadcast(names), "request"), F.col("k")).select("req_id", "k", F.col("id").alias("near_id"))
+            pairs = few.join(F.broadcast(block.select("req_id", "query_vec")), "req_id").join(chunks.select("embedding", *NARROW), F.col("near_id") == F.col("id")).drop("near_id")
+            pairs = pairs.withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vec"))).drop("embedding", "query_vec")
+            rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
+            hits = pairs.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
+            out = hits if out is None else out.unionByName(hits)
+    return _with_text(out, chunks).select("req_id", "rank", *HIT, F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+def _weighed(chunks: DataFrame, block: DataFrame) -> list[tuple[list, DataFrame]]:
+    """The requests of a block, by the length of their vectors, with their candidates."""
+    rows = block.select("req_id", "query_vec", "convenio_id", "include_national_law", "statuses", "as_of_date", "k").collect()
+    widths: dict[int, list] = {}
+    for r in rows:
+        widths.setdefault(len(r["query_vec"] or ()), []).append(r)
+    of = lambda own: scoring.candidates(chunks, [list(r["query_vec"] or ()) for r in own], [r["k"] or 0 for r in own], [r.asDict() for r in own])
+    return [(own, of(own)) for own in (widths.values() or [[]])]
+
+
+def weighing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """How many vectors counted for any request of its block, and how many products were computed to the end: what `retrieve_batch` costs."""
+    work = [scoring.work(found) for block in blocks_of(requests, "req_id") for _, found in _weighed(chunks, block)]
+    out = work[0]
+    for more in work[1:]:
+        out = out.unionByName(more)
+    return out.agg(F.sum("seen").alias("seen"), F.sum("scored").alias("scored"))
 
 
 def fan_out(hits: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.functions import text as T, vectors
-from foliant.operators import analytics, answers, chunking, layout, retrieval, salary, store
+from foliant.operators import analytics, answers, chunking, intervals, layout, retrieval, salary, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,6 +146,15 @@ def subquery_fan_out(spark, sf_dir):
     return retrieval.fan_out(retrieval.retrieve_batch(chunks(spark, sf_dir), requests(spark, sf_dir)))
 
 
+@query(f"""WITH {CHUNKS}, q AS (SELECT vec_id AS req_id, make_date(2022 + vec_id % 4, 1 + vec_id % 12, 1 + vec_id % 28) AS as_of FROM embeddings)
+SELECT q.req_id, c.convenio_id, count(*) AS eligible, min(c.id) AS first_id FROM q JOIN chunks c ON (c.validity_start IS NULL OR c.validity_start <= q.as_of) AND (c.validity_end IS NULL OR c.validity_end >= q.as_of) AND c.convenio_id IS NOT NULL AND c.convenio_id % 3 = q.req_id % 3 GROUP BY ALL""")
+def batch_as_of(spark, sf_dir):
+    """For many dates at once the chunks that hold at each, by agreement: every request asks for the agreements of its third."""
+    c = table(spark, sf_dir, "embeddings").selectExpr(*_split(CHUNK_COLUMNS)).withColumn("third", F.col("convenio_id") % 3).select("id", "convenio_id", "third", "validity_start", "validity_end")
+    q = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS req_id", "make_date(2022 + vec_id % 4, 1 + vec_id % 12, 1 + vec_id % 28) AS as_of", "vec_id % 3 AS third")
+    return intervals.holding(c, "validity_start", "validity_end", q, "as_of", ["third"]).groupBy("req_id", "convenio_id").agg(F.count("*").alias("eligible"), F.min("id").alias("first_id"))
+
+
 DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
