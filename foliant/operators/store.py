@@ -32,6 +32,10 @@ def replaced(table: DataFrame, documents: DataFrame, new: DataFrame) -> DataFram
     return table.join(documents.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
 
 
+#: How often a replacement begins anew because another writer was first.
+ATTEMPTS = 20
+
+
 class ChunkStore:
     """A Parquet table in buckets of documents. A replacement rewrites the buckets it touches and no other.
 
@@ -39,6 +43,7 @@ class ChunkStore:
     new bucket versions beside the old ones and then create the next list, which is one rename; readers take the last list.
     So a reader sees all of a replacement or nothing, and a writer that fails leaves only folders that no list names. Of two
     writers that meet, the second one finds the name of its list taken, and replaces again on top of the first.
+    This needs a file system whose rename is one step and refuses a name that exists, as HDFS; on an object store let one writer work at a time.
     The number of buckets belongs to the table and is set with its first list: about one for each `bucket_rows` chunks then."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, bucket_rows: int = 500_000):
@@ -100,12 +105,19 @@ class ChunkStore:
 
     def replace(self, documents: DataFrame, new: DataFrame) -> None:
         """Deletes all chunks of `documents` and inserts `new`, all at once; doing it twice leaves the same rows."""
-        while not self._replaced(documents, new):
-            pass
+        for _ in range(ATTEMPTS):
+            if self._replaced(documents, new):
+                return
+        raise RuntimeError(f"{ATTEMPTS} other writers came first at {self.path}")
 
     def _replaced(self, documents: DataFrame, new: DataFrame) -> bool:
         number, buckets, versions = self._listed()
         if buckets is None:
+            if not self._wanted:
+                # Written before it is counted, so that what makes the rows runs once.
+                first = f"{self.path}/.first-{uuid.uuid4().hex}"
+                new.write.parquet(first)
+                new = self.spark.read.schema(new.schema).parquet(first)
             buckets = self._wanted or max(64, -(-new.count() // self._bucket_rows))
         bucket = F.pmod(F.col("document_id"), F.lit(buckets)).cast("int")
         touched = [r["bucket"] for r in documents.select(bucket.alias("bucket")).distinct().collect()]

@@ -1,7 +1,8 @@
 """Ingest of documents, from parser to store, and continuous ingest, an extension: a stream of units replaces the chunks of the documents it names.
 
 Each micro-batch goes through the same operators as a batch run and through ChunkStore.replace,
-which is idempotent, so a batch that is run again leaves the same rows.
+which is idempotent, so a batch that is run again leaves the same rows. What is costly is made once and written: pages when their object is
+parsed, chunks before they are embedded, stored and counted.
 """
 
 from __future__ import annotations
@@ -14,36 +15,67 @@ from pyspark.sql.streaming import StreamingQuery
 from foliant import providers
 from foliant.config import DEFAULT, Settings
 from foliant.operators import chunking, layout, store
+from foliant.shared import unused_path
+from foliant.shipping import ship
 
 UNIT_SCHEMA = "doc_id long, lang string, unit_no int, page int, text string"
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = unused_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _stored(units: DataFrame, documents: DataFrame, scopes: DataFrame, target: store.ChunkStore, factory: Callable[[], providers.Embedder], settings: Settings) -> DataFrame:
+    """Chunks, embeds and stores `documents` (document_id), and returns their chunks."""
+    ship(units.sparkSession)
+    made = _written(chunking.chunks(units, settings=settings).withColumnRenamed("doc_id", "document_id"), "chunks")
+    vectors = providers.embedded(made.select("document_id", "chunk_index", "content"), factory=factory, settings=settings)
+    target.replace(documents, _written(store.assemble(made.drop("language"), vectors.drop("content"), scopes), "assembled"))
+    return made
+
+
 def ingest(units: DataFrame, scopes: DataFrame, target: store.ChunkStore, factory: Callable[[], providers.Embedder] = providers.StubEmbedder, settings: Settings = DEFAULT) -> None:
     """Chunks, embeds and stores the documents in `units`; one whose units hold no text loses its chunks."""
-    made = chunking.chunks(units, settings=settings).withColumnRenamed("doc_id", "document_id")
-    vectors = providers.embedded(made.select("document_id", "chunk_index", "content"), factory=factory, settings=settings)
-    target.replace(units.select(F.col("doc_id").alias("document_id")).distinct(), store.assemble(made.drop("language"), vectors, scopes))
+    _stored(units, units.select(F.col("doc_id").alias("document_id")).distinct(), scopes, target, factory, settings)
+
+
+def parsed_once(objects: DataFrame, parser: Callable[[], providers.PageParser], pages: str) -> DataFrame:
+    """(doc_id, page, boxes, glyphs) of objects (doc_id, path, content), from a folder of parsed pages that belongs to one parser.
 
+    Objects are known by the hash of their content: what the folder does not hold is parsed and added, once for each content; the rest is only read.
+    The folder holds `pages` and `parsed`, the hashes whose pages are all there; pages of a run that failed between the two are
+    parsed again, and read once."""
+    spark = objects.sparkSession
+    named = objects.select("doc_id", "content", F.sha2("content", 256).alias("hash"))
+    layout_of = providers.parsed_layout(spark.createDataFrame([], "path string, content binary"), parser).withColumnRenamed("path", "hash")
+    for name, schema in (("pages", layout_of.schema), ("parsed", "hash string")):  # folders to read from
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{pages}/{name}")
+    known = spark.read.schema("hash string").parquet(f"{pages}/parsed").distinct()
+    fresh = _written(named.join(known, "hash", "left_anti").dropDuplicates(["hash"]).select("hash", "content"), "fresh")
+    providers.parsed_layout(fresh.withColumnRenamed("hash", "path"), parser).withColumnRenamed("path", "hash").write.mode("append").parquet(f"{pages}/pages")
+    fresh.select("hash").write.mode("append").parquet(f"{pages}/parsed")
+    held = spark.read.schema(layout_of.schema).parquet(f"{pages}/pages").join(named.select("hash").distinct(), "hash", "left_semi")
+    return named.select("doc_id", "hash").join(held.dropDuplicates(["hash", "page"]), "hash").drop("hash")
 
-def pages_of(objects: DataFrame, parser: Callable[[], providers.PageParser], settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Blocks, as the layout operators take them, and page counts (doc_id, page_count) of objects (doc_id, path, content)."""
-    parsed = providers.parsed_layout(objects, parser).join(objects.select("doc_id", "path"), "path")
+
+def pages_of(objects: DataFrame, parser: Callable[[], providers.PageParser], settings: Settings = DEFAULT, pages: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks, as the layout operators take them, and page counts (doc_id, page_count) of objects (doc_id, path, content). `pages`: a folder of parsed pages to keep."""
+    parsed = _written(parsed_once(objects, parser, pages or unused_path(objects.sparkSession, "pages")), "parsed")
     boxes = parsed.select("doc_id", "page", F.explode("boxes").alias("b")).select("doc_id", "page", "b.*")
     glyphs = parsed.select("doc_id", "page", F.explode("glyphs").alias("g")).select("doc_id", "page", "g.*")
     return layout.blocks_of(glyphs, boxes, settings), parsed.groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("page_count"))
 
 
-def ingest_documents(objects: DataFrame, scopes: DataFrame, target: store.ChunkStore, parser: Callable[[], providers.PageParser], factory: Callable[[], providers.Embedder] = providers.StubEmbedder, settings: Settings = DEFAULT) -> DataFrame:
+def ingest_documents(objects: DataFrame, scopes: DataFrame, target: store.ChunkStore, parser: Callable[[], providers.PageParser], factory: Callable[[], providers.Embedder] = providers.StubEmbedder, settings: Settings = DEFAULT, pages: str | None = None) -> DataFrame:
     """Parses, lays out, chunks, embeds and stores objects (doc_id, path, content), replacing what the store holds of them.
 
     Returns for each document the chunks written, in all and by language, and the statistics of its extraction. A document
-    without text loses its chunks. A path stands for one document."""
-    blocks, counts = pages_of(objects, parser, settings)
+    without text loses its chunks. With a folder for `pages` an object whose content was parsed before is not parsed again."""
+    blocks, counts = pages_of(objects, parser, settings, pages)
     units, stats = layout.language_streams(blocks, counts, settings)
-    made = chunking.chunks(units, settings=settings).withColumnRenamed("doc_id", "document_id")
-    vectors = providers.embedded(made.select("document_id", "chunk_index", "content"), factory=factory, settings=settings)
-    documents = objects.select(F.col("doc_id").cast("long").alias("document_id")).distinct()
-    target.replace(documents, store.assemble(made.drop("language"), vectors, scopes))
+    made = _stored(units, objects.select(F.col("doc_id").cast("long").alias("document_id")).distinct(), scopes, target, factory, settings)
     written = made.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks_written"), *[F.count_if(F.col("language") == x).alias(f"chunks_{x}") for x in ("es", "eu")])
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks_written", "chunks_es", "chunks_eu")]
     return objects.select("doc_id").distinct().join(written, "doc_id", "left").join(stats, "doc_id", "left").select("doc_id", *zero, *[c for c in stats.columns if c != "doc_id"])

@@ -519,6 +519,58 @@ def test_ingest_from_parser_to_store(spark, tmp_path):
     assert stored(spark, target) == [(2, 0, "solo texto")] and out[1]["chunks_written"] == 0
 
 
+class CountingParser(Bulletin):
+    """Leaves a file for each call."""
+
+    calls = None
+
+    def pages(self, content):
+        import uuid
+        from pathlib import Path
+
+        Path(self.calls, uuid.uuid4().hex).write_bytes(content)
+        yield from super().pages(content)
+
+
+class CountingEmbedder(providers.StubEmbedder):
+    calls = None
+
+    def embed(self, texts):
+        import uuid
+        from pathlib import Path
+
+        Path(self.calls, uuid.uuid4().hex).write_text("\0".join(texts))
+        return super().embed(texts)
+
+
+def test_objects_are_parsed_and_chunks_embedded_once(spark, tmp_path):
+    import functools
+
+    seen, asked = tmp_path / "seen", tmp_path / "asked"
+    seen.mkdir(), asked.mkdir()
+    parser, model = functools.partial(counting, CountingParser, str(seen)), functools.partial(counting, CountingEmbedder, str(asked))
+    target = store.ChunkStore(spark, f"file://{tmp_path}/chunks")
+    scopes = spark.createDataFrame([], "document_id long, " + ", ".join(f"{c} {t}" for c, t in zip(store.SCOPE, ("long", "long", "long", "date", "date", "string", "string"), strict=True)))
+
+    def put(*rows):
+        objects = spark.createDataFrame([(d, f"/{d}.pdf", bytearray(t.encode())) for d, t in rows], "doc_id long, path string, content binary")
+        return {r["doc_id"]: r["chunks_written"] for r in ingest.ingest_documents(objects, scopes, target, parser, model, pages=f"file://{tmp_path}/pages").collect()}
+
+    assert put((1, "Artículo 1. Uno\nArtículo 2. Dos"), (2, "texto"), (3, "texto")) == {1: 2, 2: 1, 3: 1}
+    assert sorted(p.read_bytes() for p in seen.iterdir()) == [b"Art\xc3\xadculo 1. Uno\nArt\xc3\xadculo 2. Dos", b"texto"]
+    assert sorted(t for p in asked.iterdir() for t in p.read_text().split("\0")) == ["Artículo 1. Uno", "Artículo 2. Dos", "texto", "texto"]
+    # The same bytes again, under another id too, and one new object.
+    assert put((1, "Artículo 1. Uno\nArtículo 2. Dos"), (9, "texto"), (4, "nuevo")) == {1: 2, 9: 1, 4: 1}
+    assert len(list(seen.iterdir())) == 3
+    assert [r[:2] for r in stored(spark, target)] == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (9, 0)]
+
+
+def counting(kind, calls):
+    made = kind()
+    made.calls = calls
+    return made
+
+
 def test_settings_of_a_store(spark):
     objects.use_store(spark, "http://localhost:9000", fs__s3a__connection__maximum="64")
     conf = spark._jsc.hadoopConfiguration()
