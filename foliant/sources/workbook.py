@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 from io import BytesIO
+from typing import IO
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from foliant.shipping import ship
 
@@ -41,26 +44,62 @@ def _texts(node: ET.Element) -> str:
     return "".join(t.text or "" for r in node if r.tag in (f"{_MAIN}t", f"{_MAIN}r") for t in ([r] if r.tag == f"{_MAIN}t" else r.findall(f"{_MAIN}t")))
 
 
-def cells(content: bytes) -> Iterator[tuple[int, str, int, int, str | None, str | None]]:
-    """(sheet_no, sheet, row_no, col_no, value, type) in workbook order."""
-    with zipfile.ZipFile(BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = [_texts(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_PACKAGE}Relationship")}
-        for sheet_no, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")):
-            target = targets[sheet.get(f"{_REL}id")].lstrip("/")
+class Workbook:
+    """An open workbook: its sheets by name, and the cells of each, read row by row."""
+
+    def __init__(self, file: IO[bytes]):
+        self.zip = zipfile.ZipFile(file)
+        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ET.fromstring(self.zip.read("xl/_rels/workbook.xml.rels")).iter(f"{_PACKAGE}Relationship")}
+        #: (name, part of the zip, bytes of it) of each sheet, in order.
+        self.sheets = []
+        for sheet in ET.fromstring(self.zip.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets[sheet.get(f"{_REL}id")]
             part = target if target.startswith("xl/") else f"xl/{target}"
-            following = 0
-            for row in ET.fromstring(z.read(part)).iter(f"{_MAIN}row"):
+            self.sheets.append((sheet.get("name"), part, self.zip.getinfo(part).file_size))
+
+    @cached_property
+    def shared(self) -> list[str]:
+        """Texts that cells name by number; read when a sheet is."""
+        if "xl/sharedStrings.xml" not in self.zip.namelist():
+            return []
+        with self.zip.open("xl/sharedStrings.xml") as f:
+            return [_texts(si) for si in _items(f, "si")]
+
+    def cells(self, sheet_no: int) -> Iterator[tuple[int, str, int, int, str | None, str | None]]:
+        """(sheet_no, sheet, row_no, col_no, value, type) of one sheet; a row at a time is in memory, besides the shared texts."""
+        name, part, _ = self.sheets[sheet_no]
+        following = 0
+        with self.zip.open(part) as f:
+            for row in _items(f, "row"):
                 row_no = int(row.get("r", following + 1)) - 1
                 following = row_no + 1
                 at = 0
                 for c in row.iter(f"{_MAIN}c"):
                     col = _column(c.get("r")) if c.get("r") else at
                     for k in range(at, col):
-                        yield sheet_no, sheet.get("name"), row_no, k, None, None
+                        yield sheet_no, name, row_no, k, None, None
                     at = col + 1
-                    yield (sheet_no, sheet.get("name"), row_no, col, *_value(c, shared))
+                    yield (sheet_no, name, row_no, col, *_value(c, self.shared))
+
+
+def _items(file: IO[bytes], name: str) -> Iterator[ET.Element]:
+    """The elements of a name that follow each other in a part, each forgotten after its use."""
+    above: list[ET.Element] = []
+    for event, node in ET.iterparse(file, ("start", "end")):
+        if event == "start":
+            above.append(node)
+            continue
+        above.pop()
+        if node.tag == f"{_MAIN}{name}":
+            yield node
+            above[-1].clear()
+
+
+def cells(content: bytes) -> Iterator[tuple[int, str, int, int, str | None, str | None]]:
+    """(sheet_no, sheet, row_no, col_no, value, type) in workbook order."""
+    book = Workbook(BytesIO(content))
+    for sheet_no in range(len(book.sheets)):
+        yield from book.cells(sheet_no)
 
 
 def _value(c: ET.Element, shared: list[str]) -> tuple[str | None, str | None]:
@@ -80,7 +119,10 @@ def _value(c: ET.Element, shared: list[str]) -> tuple[str | None, str | None]:
 
 
 class WorkbookSource(DataSource):
-    """Workbooks under `path` (a file, or a folder of .xlsx files); wb_id numbers them in order of name."""
+    """Workbooks under `path` (a file, or a folder of .xlsx files); wb_id numbers them in order of name.
+
+    Each sheet is a task of its own. With the option pushdown=true, for sessions with spark.sql.python.filterPushdown.enabled, a filter
+    on `sheet` (= or IN) keeps other sheets from being opened."""
 
     @classmethod
     def name(cls) -> str:
@@ -90,30 +132,51 @@ class WorkbookSource(DataSource):
         return CELL_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (_PushingReader if pushing else _Reader)(self.options["path"])
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.wanted = path, None
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        info = store.get_file_info(base)
-        files = [base] if info.is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".xlsx"))
-        return [InputPartition((k, f)) for k, f in enumerate(files)]
+        store, base = self._store()
+        files = [base] if store.get_file_info(base).is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".xlsx"))
+
+        def sheets(file: str) -> list[str]:
+            """Only the list of sheets is read, from the end of the file and one small part."""
+            with store.open_input_file(file) as f:
+                return [name for name, _, _ in Workbook(f).sheets]
+
+        with ThreadPoolExecutor(16) as pool:
+            found = list(pool.map(sheets, files))
+        return [InputPartition((wb, file, n)) for wb, (file, names) in enumerate(zip(files, found, strict=True)) for n, name in enumerate(names) if self.wanted is None or name in self.wanted]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pyarrow import fs
+        if partition is None:  # no sheet is wanted
+            return
+        number, file, sheet_no = partition.value
+        with self._store()[0].open_input_file(file) as f:
+            for row in Workbook(f).cells(sheet_no):
+                yield (number, *row)
+
 
-        number, file = partition.value
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        with store.open_input_stream(file) as f:
-            content = f.read()
-        for row in cells(content):
-            yield (number, *row)
+class _PushingReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            names = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if names is not None and f.attribute == ("sheet",):
+                self.wanted = names if self.wanted is None else self.wanted & names
+            else:
+                yield f
 
 
 def cells_of(objects: DataFrame) -> DataFrame:
@@ -134,3 +197,13 @@ def cells_of(objects: DataFrame) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
+
+
+def salary_tables(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From workbooks as objects (path, content) to typed salary rows and to what was done with each sheet, both with the workbook's path."""
+    from pyspark.sql import functions as F
+
+    from foliant.operators import salary
+
+    found, paths = cells_of(objects), objects.select(F.xxhash64("path").alias("wb_id"), "path")
+    return salary.rows(found).join(paths, "wb_id"), salary.warnings(found).join(paths, "wb_id")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from foliant import providers
 from foliant.config import Settings
@@ -236,6 +237,49 @@ def test_workbooks(spark, tmp_path):
     assert (row["year"], row["job_category_name"], row["gross_annual"], row["base_salary_monthly"], row["hourly_rate"]) == (2026, "A", 14000.5, 1000.04, 9.0)
 
 
+def test_each_sheet_is_a_task_and_others_stay_shut(spark, tmp_path):
+    for name in ("a", "b"):
+        workbook_bytes(tmp_path / f"{name}.xlsx", [("smi 26", [["Grupo", "total anual", "hora"], ["A", 14000, 9]]), ("notas", [["uno"]]), ("x", [["dos"]])])
+    # A sheet that cannot be read does not matter to those that leave it out.
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    broken = next(n for n in parts if n.endswith("sheet2.xml"))
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        for n, p in parts.items():
+            z.writestr(n, b"<broken" if n == broken else p)
+    workbook.register(spark)
+    reader = workbook._PushingReader(str(tmp_path))
+    assert len(reader.partitions()) == 6
+    assert list(reader.pushFilters([EqualTo(("sheet",), "x"), EqualTo(("v",), "dos")])) == [EqualTo(("v",), "dos")] and len(reader.partitions()) == 2
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda: spark.read.format("workbook").option("pushdown", "true").load(str(tmp_path))
+        assert read().filter("sheet in ('smi 26', 'x')").count() == 14
+        assert read().filter("sheet = 'x' and v = 'dos'").count() == 2 and read().filter("sheet = 'none'").count() == 0
+        with pytest.raises(Exception, match="not well-formed|unclosed token"):
+            read().filter("sheet = 'notas'").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_large_sheet_is_read_row_by_row(tmp_path):
+    import tracemalloc
+
+    workbook_bytes(tmp_path / "a.xlsx", [("s", [[k, k + 0.5, True] for k in range(40_000)])])
+    tracemalloc.start()
+    with open(tmp_path / "a.xlsx", "rb") as f:
+        assert sum(1 for _ in workbook.Workbook(f).cells(0)) == 120_000
+    assert tracemalloc.get_traced_memory()[1] < 5e6  # the sheet alone is 4 MB of XML, and some 40 MB as a tree
+    tracemalloc.stop()
+
+
+def test_salary_tables_from_bytes(spark, tmp_path):
+    workbook_bytes(tmp_path / "a.xlsx", [("smi 26", [["x"], ["Grupo", None, "total anual", "hora"], ["A", None, 14000.5, 9]]), ("notas", [["uno", True], ["dos", 1]])])
+    rows, said = workbook.salary_tables(objects.read_objects(spark, str(tmp_path), "*.xlsx"))
+    assert [(r["sheet"], r["job_category_name"], r["gross_annual"]) for r in rows.collect()] == [("smi 26", "A", 14000.5)] and rows.first()["path"].endswith("a.xlsx")
+    assert {r["sheet"]: r["warning"] for r in said.collect()} == {"smi 26": "sheet 'smi 26': header on row 1, 1 category rows, year 2026", "notas": "sheet 'notas' skipped (no salary-grid header found)"}
+
+
 def test_salary_grids_written_out(spark):
     cells = spark.createDataFrame(written.CELLS, written.CELL_SCHEMA)
     rows = {(r["sheet"], r["row_no"]): r for r in salary.rows(cells).collect()}
