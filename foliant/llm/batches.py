@@ -34,13 +34,13 @@ _KEPT: dict[str, dict] = {}
 
 
 def kept(operator: str, held: dict | None = None) -> dict:
-    """A dict for what an operator keeps between the tasks of a worker process."""
+    """A dict for what an operator keeps between the tasks of a worker process; one with several names them operator:what."""
     return _KEPT.setdefault(operator, {} if held is None else held)
 
 
 def keep_only(operator: str) -> None:
     """Drops what other operators keep in this process, so that the stages of a pipeline do not add up their memory."""
-    others = [held for name, held in _KEPT.items() if name != operator and held]
+    others = [held for name, held in _KEPT.items() if name.partition(":")[0] != operator and held]
     for held in others:
         held.clear()
     if others:

@@ -214,7 +214,7 @@ def frequent(texts: DataFrame, file: str, size: int = FREQUENT) -> tuple[np.ndar
     return total.k1, total.k2, model(file).encode_words(total.words())[1]
 
 
-_FIRST: dict[str, W.WordTable] = {}
+_FIRST: dict[str, W.WordTable] = kept("counts:first")
 
 
 def _first_tier(token: str, k1: np.ndarray, k2: np.ndarray) -> W.WordTable:

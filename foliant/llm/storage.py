@@ -5,32 +5,18 @@ from __future__ import annotations
 import atexit
 import contextlib
 import shutil
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.shared import unused_path
 from foliant.shipping import ship
 
 #: Tables made by this driver process and not yet deleted.
 _MADE: list[str] = []
-#: Used where spark.checkpoint.dir is unset, and then only when the executors are in this machine.
-LOCAL_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only for a local master without that setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{LOCAL_DIR}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that was never used; what is there goes with `release`, or when Python ends."""
     ship(spark)
-    path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+    path = unused_path(spark, name)
     if not _MADE:
         # Registered after the context's own handler, so that it runs before the context stops.
         atexit.register(_release_at_exit)

@@ -42,8 +42,8 @@ MAX_GRAMS = 20_000
 MIN_Z = 4.0
 MIN_TEXTS = 3
 PENALTY = 1e-5
-#: Steps of the fit at most, and the relative decrease of the loss over CHECKED of them at which it has converged.
-STEPS, CHECKED, CONVERGED = 5_000, 50, 1e-5
+#: Steps of the fit at most, the relative decrease of the loss at which it has converged, and the steps that it remembers.
+STEPS, CONVERGED, MEMORY = 500, 1e-6, 10
 #: Words that a worker keeps; beyond, half of them go, those not used for longest.
 CACHE = 200_000
 
@@ -178,26 +178,44 @@ def fit(texts: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic
 
 
 def _logistic(y: np.ndarray, found: list[np.ndarray], times: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features, by Nesterov's accelerated gradient."""
+    """Weights of the scaled features and the bias, by steps of limited-memory BFGS that each lower the loss."""
     owner = np.repeat(np.arange(len(y)), [len(f) for f in found])
     column = np.concatenate(found) if found else np.empty(0, int)
     value = ratio[column] * np.log2(1 + np.concatenate(times)) if times else np.empty(0)
-    size = np.sqrt(np.bincount(owner, value**2, len(y)).max(initial=1.0))
-    w = np.zeros(len(ratio) + 1)
-    ahead, last, rate = w.copy(), w.copy(), 4 / (size**2 + 1)
-    before = np.inf
-    for k in range(STEPS):
-        z = np.clip(ahead[-1] + np.bincount(owner, value * ahead[column], len(y)), -30, 30)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.clip(w[-1] + np.bincount(owner, value * w[column], len(y)), -30, 30)
         error = (1 / (1 + np.exp(-z)) - y) / len(y)
-        if k % CHECKED == 0:
-            loss = np.mean(np.log1p(np.exp(z)) - y * z) + PENALTY / 2 * np.sum(ahead[:-1] ** 2)
-            if before - loss <= CONVERGED * abs(loss):
-                break
-            before = loss
         slope = np.append(np.bincount(column, value * error[owner], len(ratio)), error.sum())
-        slope[:-1] += PENALTY * ahead[:-1]
-        last, w = w, ahead - rate * slope
-        ahead = w + k / (k + 3) * (w - last)
+        slope[:-1] += PENALTY * w[:-1]
+        return float(np.mean(np.log1p(np.exp(z)) - y * z) + PENALTY / 2 * np.sum(w[:-1] ** 2)), slope
+
+    w = np.zeros(len(ratio) + 1)
+    now, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        # The direction: the slope, bent by what the last steps told about the curvature.
+        way, shares = slope.copy(), []
+        for step, turn in reversed(past):
+            shares.append(step @ way / (step @ turn))
+            way -= shares[-1] * turn
+        way *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(slope), 1e-12)
+        for (step, turn), share in zip(past, reversed(shares), strict=True):
+            way += step * (share - turn @ way / (step @ turn))
+        length, fall = 1.0, slope @ way
+        while True:
+            then, there = loss(w - length * way)
+            if then <= now - 1e-4 * length * fall or length < 1e-9:
+                break
+            length /= 2
+        if then >= now:
+            break
+        step, turn = -length * way, there - slope
+        if step @ turn > 1e-12:
+            past = [*past, (step, turn)][-MEMORY:]
+        w, gained, now, slope = w + step, now - then, then, there
+        if gained <= CONVERGED * now:
+            break
     return w[:-1], float(w[-1])
 
 

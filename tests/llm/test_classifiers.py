@@ -158,3 +158,37 @@ def test_a_repeated_document_counts_once_in_the_sample(spark, sf_dir):
     many = texts.unionByName(texts.filter(F.col("doc_id") == toxic).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("c"))
     sizes = {r["y"]: r["count"] for r in toxicity.sample(many, labels, F.lit(True), "toxic", 20).groupBy("y").count().collect()}
     assert 0 < sizes[1] <= 20 and sizes[0] == 20
+
+
+def test_the_fit_finds_the_minimum(spark):
+    import numpy as np
+
+    from foliant.llm import toxicity
+
+    r = np.random.default_rng(5)
+    found = [np.unique(r.integers(0, 30, 8)) for _ in range(200)]
+    times = [r.integers(1, 5, len(f)).astype(float) for f in found]
+    ratio = r.normal(size=30)
+    y = np.array([float(7 in f or r.random() < 0.2) for f in found])
+    w, bias = toxicity._logistic(y, found, times, ratio)
+    x = np.zeros((200, 30))
+    for row, f, t in zip(x, found, times):
+        row[f] = ratio[f] * np.log2(1 + t)
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    slope = x.T @ (p - y) / len(y) + toxicity.PENALTY * w
+    assert np.abs(slope).max() < 1e-3 and abs(np.mean(p - y)) < 1e-3
+
+
+def test_what_reaches_the_driver_is_bounded(spark, monkeypatch):
+    """More labels than the samples may hold: op4 and op10 take no more rows than that to the driver."""
+    from pyspark.sql import functions as F
+
+    from foliant.llm import gam, toxicity
+    from foliant.llm.batches import id_and_text
+
+    labels = spark.range(48_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), (F.col("id") % 3 == 0).cast("int").alias("quality"))
+    texts = labels.select("doc_id", F.concat(F.lit("text "), F.when(F.col("toxic") == 1, "bad ").otherwise("good "), (F.col("doc_id") % 97).cast("string")).alias("text"))
+    assert toxicity.sample(id_and_text(texts), labels, F.lit(True), "toxic", 300).count() == 600
+    seen, train = [], gam.train
+    monkeypatch.setattr(gam, "train", lambda x, y: seen.append(len(y)) or train(x[:500], y[:500]))
+    assert gam.classify(texts, labels).count() == 48_000 and seen == [gam.MAX_ROWS] == [20_000]

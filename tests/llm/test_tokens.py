@@ -136,3 +136,49 @@ def test_token_files(spark, sf_dir, odd_docs, no_docs, hf):
     same_rows([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows[1:]], [(d, n, c) for d, _, n, c in brute([x for x in texts_by_id(odd_docs) if x[0] is not None])])
     tokenio.write_ids(no_docs, path := fresh_path(spark, "t"), P.path("byte_bpe_50k.json"))
     assert tokenio.digests(spark, path).count() == 0
+
+
+def scanned(frame):
+    """Rows that the scans of an executed query gave."""
+    frame.collect()
+    plan, rows, todo = frame._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan"):
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_lookups_skip_row_groups_and_files_hold_bloom_filters(spark, tmp_path):
+    from foliant.llm import tokenio
+    from foliant.llm.queries import tokenizer_file
+
+    n = 20_000
+    docs = spark.range(n).selectExpr("id * 3 AS doc_id", "concat('word ', id) AS text")
+    path = f"file://{tmp_path}/ids"
+    tokenio.write_ids(docs.coalesce(1), path, tokenizer_file("byte_bpe_50k.json"))
+    rows = tokenio.read_ids(spark, path)
+    assert scanned(rows) == n
+    # One key, and a key that is not there: groups of 1,000 rows are skipped by minima and maxima.
+    assert rows.filter("doc_id = 3000").count() == 1 and scanned(rows.filter("doc_id = 3000")) <= 1000
+    assert scanned(rows.filter("doc_id > 59000")) <= 2000
+    # Within a group a key that is not there (3 does not divide it) is told by the Bloom filter alone.
+    absent = [scanned(rows.filter(f"doc_id = {k}")) for k in range(3001, 3031, 3)]
+    assert sorted(absent)[len(absent) // 2] == 0
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    kinds = set()
+    for file in tmp_path.glob("ids/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        batches = reader.rows()
+        for stripe in range(reader.getStripes().size()):
+            streams = batches.readStripeFooter(reader.getStripes().get(stripe)).getStreamsList()
+            kinds |= {streams.get(i).getKind().name() for i in range(streams.size())}
+        batches.close()
+        reader.close()
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
