@@ -23,11 +23,16 @@ def line_key(text: Column) -> Column:
     return F.lower(squeeze(text))
 
 
+def words_of(text: Column, words: list[str] = SPANISH_WORDS) -> tuple[Column, Column]:
+    """How many alphabetic tokens there are, and how many of them are among `words`."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúüñ]+"), F.lit(0))
+    return F.size(tokens), F.size(F.filter(tokens, lambda t: t.isin(*words)))
+
+
 def word_share(text: Column, words: list[str] = SPANISH_WORDS) -> Column:
     """Share of the alphabetic tokens that are among `words`; 0 without tokens."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúüñ]+"), F.lit(0))
-    n = F.size(tokens)
-    return F.when(n > 0, F.size(F.filter(tokens, lambda t: t.isin(*words))) / n).otherwise(F.lit(0.0))
+    n, known = words_of(text, words)
+    return F.when(n > 0, known / n).otherwise(F.lit(0.0))
 
 
 def join_lines(lines: Column) -> Column:

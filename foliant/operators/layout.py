@@ -60,12 +60,19 @@ def repeating(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFA
     return pages.filter((F.col("page_count") > 1) & (F.col("pages") >= F.greatest(F.lit(2.0), settings.repeat_page_fraction * F.col("page_count")))).select("doc_id", "key")
 
 
-def marked(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The blocks with the flag `furniture`: in a margin, and repeating or known boilerplate."""
+def _marked(blocks: DataFrame, doc_pages: DataFrame, settings: Settings) -> DataFrame:
+    """The blocks with the flag `furniture` and, where it is one, the repeating line as `again`."""
     again = repeating(blocks, doc_pages, settings).withColumn("again", F.lit(True))
     keyed = blocks.withColumn("key", T.line_key(F.col("text"))).join(again, ["doc_id", "key"], "left")
     known = (F.length("key") <= settings.furniture_key_chars) & F.col("text").rlike(BOILERPLATE)
-    return keyed.withColumn("furniture", in_margin(settings) & (F.coalesce("again", F.lit(False)) | known)).drop("key", "again")
+    repeats = F.coalesce("again", F.lit(False))
+    keyed = keyed.withColumns({"furniture": in_margin(settings) & (repeats | known), "again": F.when(in_margin(settings) & repeats, F.col("key"))})
+    return keyed.drop("key")
+
+
+def marked(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The blocks with the flag `furniture`: in a margin, and repeating or known boilerplate."""
+    return _marked(blocks, doc_pages, settings).drop("again")
 
 
 def band_semi_join(left: DataFrame, right: DataFrame, keys: list[str], column: str, width: float) -> DataFrame:
@@ -91,17 +98,21 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     center, gutter = F.col("pw") / 2, GUTTER * F.col("pw")
     side = F.when((F.col("x0") < center - gutter) & (F.col("x1") > center + gutter), "s").when(F.col("x_mid") < center, "l").otherwise("r")
     half = F.when(F.col("x_mid") < center, "l").otherwise("r")
-    b = blocks.withColumns({"side": side, "half": half, "chars": F.length("text")})
+    # Blocks are joined by spaces, which are in no word: words and function words of a side are sums over its blocks.
+    words, known = T.words_of(F.col("text"))
+    b = blocks.withColumns({"side": side, "half": half, "chars": F.length("text"), "words": words, "known": known})
     # Right blocks that stand in a row with a left one, over a window of values instead of every two of a page.
     row = Window.partitionBy("doc_id", "page").orderBy("y0")
     y = F.when(F.col("side") == "r", F.col("y0"))
     above = F.max(y).over(row.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    below = F.min(y).over(row.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Read backwards, what is below came before: a running value, where a frame to the end would be walked again for each block.
+    back = Window.partitionBy("doc_id", "page").orderBy(F.desc("y0"))
+    below = F.min(y).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     near = lambda other: F.coalesce(F.abs(F.col("y0") - other) < ROW_TOLERANCE, F.lit(False))
     b = b.withColumn("paired", near(above) | near(below))
     vol = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("chars"))), F.lit(0)).alias(f"{s}vol")
     of = lambda f, s, c: f(F.when(F.col("side") == s, F.col(c)))
-    text = lambda h: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("half") == h, F.struct("block_no", "text")))), lambda x: x["text"]), " ").alias(f"{h}text")
+    total = lambda h, c: F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{h}{c}")
     p = b.groupBy("doc_id", "page").agg(
         F.min_by("ph", "block_no").alias("ph"),
         *[vol(s) for s in "lrs"],
@@ -109,8 +120,7 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         *[of(f, s, c).alias(f"{s}_{c}") for s in "lr" for f, c in ((F.min, "y0"), (F.max, "y1"))],
         F.count_if((F.col("side") == "l") & F.col("paired")).alias("paired"),
         F.count_if((F.col("side") != "s") & (F.col("chars") < SHORT_CELL)).alias("short"),
-        text("l"),
-        text("r"),
+        *[total(h, c) for h in "lr" for c in ("words", "known")],
     )
     sides = F.col("ln") + F.col("rn")
     tabular = (F.col("ln") >= 3) & (F.col("paired") > 0.6 * F.col("ln")) & (sides > 0) & (F.col("short") > 0.5 * sides)
@@ -121,7 +131,7 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     two = (F.col("ln") >= 2) & (F.col("rn") >= 2) & (most > 0) & (fewest >= 0.55 * most) & (span("l") >= 0.5 * F.col("ph")) & (span("r") >= 0.5 * F.col("ph")) & (overlap >= 0.4 * F.col("ph"))
     two = two & (F.col("lvol") + F.col("rvol") > 0) & (F.col("svol") <= 0.15 * (F.col("lvol") + F.col("rvol"))) & ~F.col("tabular")
     p = p.withColumn("tabular", tabular).withColumn("two_column", two).withColumn("has_straddle", F.col("svol") > 0)
-    p = p.withColumns({"l_ratio": T.word_share(F.col("ltext")), "r_ratio": T.word_share(F.col("rtext"))})
+    p = p.withColumns({f"{h}_ratio": F.when(F.col(f"{h}words") > 0, F.col(f"{h}known") / F.col(f"{h}words")).otherwise(0.0) for h in "lr"})
     low, high = F.least("l_ratio", "r_ratio"), F.greatest("l_ratio", "r_ratio")
     return p.select("doc_id", "page", "two_column", "tabular", "has_straddle", "l_ratio", "r_ratio", (F.col("two_column") & (low < 0.05) & (high > 0.07)).alias("bilingual"))
 
@@ -139,20 +149,19 @@ def units(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     return b.select("doc_id", "lang", (F.row_number().over(order) - 1).alias("unit_no"), "page", "text")
 
 
-def stats(all_blocks: DataFrame, layout: DataFrame, doc_pages: DataFrame, again: DataFrame) -> DataFrame:
-    """Counters and lists of each document; all_blocks holds the flag `furniture`."""
-    b = all_blocks.groupBy("doc_id").agg(F.count("*").alias("blocks_total"), F.count_if(~F.col("furniture")).alias("column_blocks_kept"), F.count_if("furniture").alias("furniture_blocks_stripped"), F.sum("long_tokens").alias("long_token_flags"))
+def stats(all_blocks: DataFrame, layout: DataFrame, doc_pages: DataFrame) -> DataFrame:
+    """Counters and lists of each document; all_blocks holds the flag `furniture` and the repeating lines as `again`."""
+    b = all_blocks.groupBy("doc_id").agg(F.count("*").alias("blocks_total"), F.count_if(~F.col("furniture")).alias("column_blocks_kept"), F.count_if("furniture").alias("furniture_blocks_stripped"), F.sum("long_tokens").alias("long_token_flags"), F.sort_array(F.collect_set("again")).alias("repeating_furniture_lines"))
     unclear = (F.col("bilingual") & F.col("has_straddle")) | (~F.col("two_column") & F.col("tabular"))
     p = layout.groupBy("doc_id").agg(F.count_if("two_column").alias("two_column_pages"), F.count_if("bilingual").alias("bilingual_pages"), F.count_if(~F.col("two_column")).alias("single_column_pages"), F.count_if("tabular").alias("tabular_pages"), F.sort_array(F.collect_set(F.when(unclear, F.col("page")))).alias("pages_not_cleanly_split"))
-    k = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("repeating_furniture_lines"))
-    out = doc_pages.join(b, "doc_id", "left").join(p, "doc_id", "left").join(k, "doc_id", "left")
+    out = doc_pages.join(b, "doc_id", "left").join(p, "doc_id", "left")
     counts = ["blocks_total", "column_blocks_kept", "furniture_blocks_stripped", "long_token_flags", "two_column_pages", "bilingual_pages", "single_column_pages", "tabular_pages"]
     return out.select("doc_id", "page_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("repeating_furniture_lines", F.array().cast("array<string>")).alias("repeating_furniture_lines"), F.coalesce("pages_not_cleanly_split", F.array().cast("array<int>")).alias("pages_not_cleanly_split"))
 
 
 def language_streams(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Units and statistics of documents whose blocks and page counts are given."""
-    flagged = marked(blocks, doc_pages, settings)
-    kept = flagged.filter(~F.col("furniture"))
+    flagged = _marked(blocks, doc_pages, settings)
+    kept = flagged.filter(~F.col("furniture")).drop("again")
     layout = pages(kept, settings)
-    return units(kept, layout), stats(flagged, layout, doc_pages, repeating(blocks, doc_pages, settings))
+    return units(kept, layout), stats(flagged, layout, doc_pages)

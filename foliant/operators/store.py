@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SCOPE = ["convenio_id", "territory_id", "sector_id", "validity_start", "validity_end", "retrieval_status", "authority_level"]
 SCHEMA = (
@@ -27,6 +27,31 @@ def assemble(chunks: DataFrame, embeddings: DataFrame, scopes: DataFrame) -> Dat
     return scoped.select("document_id", "chunk_index", "page_from", "page_to", "content", F.coalesce("token_count", F.lit(0)).alias("token_count"), "embedding", *SCOPE)
 
 
+#: Folders of agreements in a layout by scope.
+SLOTS = 64
+
+
+def _places(slots: Column) -> dict[str, Column]:
+    """Where a layout by scope puts a chunk: whether it is national law, and the slot of its agreement (-1 without one)."""
+    return {"law": F.coalesce(F.col("authority_level") == "national_law", F.lit(False)), "slot": F.coalesce(F.pmod("convenio_id", slots), F.lit(-1)).cast("int")}
+
+
+def write_by_scope(chunks: DataFrame, path: str, slots: int = SLOTS, file_rows: int = 1_000_000) -> None:
+    """Writes the chunks laid out for retrieval by scope, beside a table that is laid out by document.
+
+    Folders are national law or not and slots of agreements, so that a scope opens its own alone; files follow status and validity,
+    whose minima and maxima let a reader pass over the rest. Rows are dealt by ranges, so a large agreement is written by many tasks."""
+    order = ["law", "slot", "retrieval_status", "validity_start", "validity_end", "id"]
+    rows = chunks.withColumn("slots", F.lit(slots)).withColumns(_places(F.lit(slots)))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", file_rows).partitionBy("slots", "law", "slot").parquet(path)
+
+
+def read_by_scope(spark: SparkSession, path: str, convenio_id: int | None, include_national_law: bool = True) -> DataFrame:
+    """The chunks of a layout by scope that an agreement or national law can be answered from; folders of others are not opened."""
+    own = F.lit(False) if convenio_id is None else F.col("slot") == F.pmod(F.lit(convenio_id), F.col("slots"))
+    return spark.read.parquet(path).filter(own | F.col("law") if include_national_law else own).drop("slots", "law", "slot")
+
+
 def replaced(table: DataFrame, documents: DataFrame, new: DataFrame) -> DataFrame:
     """The table without any chunk of `documents` (document_id) and with the new rows. A document with no new rows just goes."""
     return table.join(documents.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.functions import text as T, vectors
 from foliant.operators import analytics, answers, chunking, intervals, layout, retrieval, salary, store
+from foliant.shared import unused_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,6 +106,15 @@ def retrieve_asof(spark, sf_dir):
     return retrieval.retrieve(chunks(spark, sf_dir), query_vector(spark, sf_dir), convenio_id=3, statuses=("active", "archived"), as_of=date(2024, 3, 15), k=12)
 
 
+@query(_top(f"(convenio_id = 3 OR authority_level = 'national_law') AND retrieval_status IN ('active', 'archived') AND (validity_start IS NULL OR validity_start <= DATE '2024-03-15') AND (validity_end IS NULL OR validity_end >= DATE '2024-03-15')", 12))
+def retrieve_by_scope(spark, sf_dir):
+    """As retrieve_asof, from chunks that were written by scope."""
+    path = unused_path(spark, "by-scope")
+    store.write_by_scope(chunks(spark, sf_dir), path)
+    rows = store.read_by_scope(spark, path, 3)
+    return retrieval.retrieve(rows, query_vector(spark, sf_dir), convenio_id=3, statuses=("active", "archived"), as_of=date(2024, 3, 15), k=12)
+
+
 @query(_top("document_id = 20", 3))
 def sandbox_topk(spark, sf_dir):
     return retrieval.retrieve_in_document(chunks(spark, sf_dir), query_vector(spark, sf_dir), 20, k=3)

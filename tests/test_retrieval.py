@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import vectors
-from foliant.operators import intervals, retrieval, scoring
+from foliant.operators import intervals, retrieval, scoring, store
 from foliant.plans import reference
 
 CHUNK = "id long, document_id long, chunk_index int, page_from int, page_to int, content string, retrieval_status string, authority_level string, convenio_id long, embedding array<float>, validity_start date, validity_end date"
@@ -124,3 +124,31 @@ def test_intervals_against_comparisons(spark):
     assert got == sorted((x["i"], x["j"]) for x in rows.alias("r").join(days.alias("s"), (F.col("r.k") == F.col("s.k")) & ((F.col("a").isNull()) | (F.col("a") <= F.col("d"))) & (F.col("b").isNull() | (F.col("b") >= F.col("d"))) & F.col("d").isNotNull()).collect())
     plan = intervals.holding(rows, "a", "b", days, "d", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def files_read(frame):
+    frame.collect()
+    out, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan"):
+            out += node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_a_scope_opens_its_own_files(spark, odd_chunks, tmp_path):
+    chunks, some = odd_chunks
+    path = str(tmp_path / "scoped")
+    store.write_by_scope(chunks, path, slots=4, file_rows=100)
+    whole, every = spark.read.parquet(path), files_read(spark.read.parquet(path))
+    assert sorted(r["id"] for r in whole.collect()) == sorted(r["id"] for r in chunks.collect())
+    for convenio, law in ((1, True), (2, False), (5, False), (None, True), (None, False)):
+        rows = store.read_by_scope(spark, path, convenio, law)
+        scope = retrieval.eligible(convenio, law, ("active",), None)
+        assert sorted(r["id"] for r in rows.filter(scope).collect()) == sorted(r["id"] for r in chunks.filter(scope).collect())
+        assert files_read(store.read_by_scope(spark, path, convenio, law)) < every
+    assert files_read(store.read_by_scope(spark, path, None, False)) == 0
