@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliant import providers
 from foliant.functions import text as T, vectors
-from foliant.operators import analytics, answers, chunking, intervals, layout, retrieval, salary, store
+from foliant.operators import analytics, answering, answers, chunking, intervals, layout, retrieval, salary, store
 from foliant.shared import unused_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -791,6 +793,15 @@ def envelope_parse(spark, sf_dir):
     return answer_rows(spark, sf_dir).select("turn_id", answers.parsed(F.col("raw_text"), answers.ANSWER_SCHEMA)[1].alias("is_json"))
 
 
+@query()
+def answered_turns(spark, sf_dir):
+    """The questions of conversations on the whole way to checked answers, with the stubs of models, so there is no SQL."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS turn_id", "text AS question", "CAST(conv_id % 10 AS BIGINT) AS convenio_id", "turn % 2 = 0 AS include_national_law", "array('active') AS statuses", "CAST(NULL AS DATE) AS as_of_date", "3 AS k")
+    dim = table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
+    out = answering.answered(asked, chunks(spark, sf_dir), "no key", embedder=partial(providers.StubEmbedder, dim))
+    return out.withColumn("citations", F.transform("citations", lambda c: c["chunk_id"]))
+
+
 @query("SELECT doc_id, 'documents/' || CAST(doc_id AS VARCHAR) || '/pages/' || lpad(CAST(n_chars % 9 + 1 AS VARCHAR), 4, '0') || '.jpg' AS image_key FROM documents")
 def page_image_keys(spark, sf_dir):
     from foliant.sources.objects import page_image_key

@@ -15,7 +15,7 @@ from foliant import providers
 from foliant.config import Settings
 from foliant.functions import text as T, tokens, vectors
 from foliant.functions.unicode import without_marks
-from foliant.operators import analytics, answers, chunking, layout, retrieval, salary, store
+from foliant.operators import analytics, answering, answers, chunking, layout, retrieval, salary, store
 from foliant.plans import reference
 from foliant.sources import objects, workbook
 from foliant.streaming import ingest
@@ -615,6 +615,56 @@ def counting(kind, calls):
     return made
 
 
+class Scripted(providers.AnswerProvider):
+    """Splits questions at '/', fails on some, cites the last source first, and leaves a file for each call."""
+
+    calls = None
+
+    def _seen(self, name):
+        import uuid
+        from pathlib import Path
+
+        Path(self.calls, f"{name}-{uuid.uuid4().hex}").touch()
+
+    def classify(self, prompt, api_key, max_tokens):
+        self._seen("classify")
+        if "fails" in prompt:
+            raise RuntimeError(api_key)
+        return '{"label": "%s", "confidence": 1, "subqueries": %s}' % ("salary" if "sueldo" in prompt else "prose", str(prompt.split("/")).replace("'", '"') if "/" in prompt else "[]")
+
+    def synthesise(self, prompt, api_key, max_tokens):
+        self._seen("synthesise")
+        n = len(re.findall(r"\[Fuente \d+\]", prompt))
+        return '{"answer": "x [Fuente %d], y [Fuente 1].", "cited_sources": [%d, 1], "confidence": 0.5}' % (n, n) if "mudo" not in prompt else "nada"
+
+    def ground(self, prompt, api_key, max_tokens):
+        self._seen("ground")
+        return '{"claims": [{"claim": "x", "tipo": "sustantiva", "grounded": %s}]}' % ("false" if "duda" in prompt else "true"), "end_turn"
+
+
+def test_questions_to_checked_answers(spark, tmp_path):
+    import functools
+
+    texts = ["vacaciones anuales", "jornada de trabajo", "salario base", "permiso retribuido"]
+    rows = [(k, 1, k, 1, 1, t, providers.embed_query(t), "active", None, 7, None, None) for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, page_from int, page_to int, content string, embedding array<float>, retrieval_status string, authority_level string, convenio_id long, validity_start date, validity_end date")
+    asked = {1: "vacaciones anuales/jornada de trabajo", 2: "el sueldo", 3: "fails permiso retribuido", 4: "mudo", 5: "duda sobre salario base", 6: "nadie"}
+    questions = spark.createDataFrame([(t, q, 7 if t != 6 else 8, False, ["active"], None, 2) for t, q in asked.items()], "turn_id long, question string, convenio_id long, include_national_law boolean, statuses array<string>, as_of_date date, k int")
+    out = {r["turn_id"]: r for r in answering.answered(questions, chunks, "k", functools.partial(counting, Scripted, str(tmp_path))).collect()}
+    assert {t: (r["label"], r["reason"], r["n_sources"], r["answer"], r["grounded"], r["outcome"], r["claims_grounded"]) for t, r in out.items()} == {
+        1: ("prose", "llm", 2, "x [Fuente 1], y [Fuente 2].", True, "checked", True),
+        2: ("salary", "llm", None, None, None, None, None),
+        3: ("prose", "router_parse_error", 2, "x [Fuente 1], y [Fuente 2].", True, "checked", True),
+        4: ("prose", "llm", 2, "", False, None, None),
+        5: ("prose", "llm", 2, "x [Fuente 1], y [Fuente 2].", True, "checked", False),
+        6: ("prose", "llm", None, None, None, None, None),
+    }
+    # Each sub-query brings its own best chunk; the last source is cited first.
+    assert sorted(c["chunk_id"] for c in out[1]["citations"]) == [0, 1] and out[5]["ungrounded"] == ["x"]
+    calls = [p.name.partition("-")[0] for p in tmp_path.iterdir()]
+    assert {c: calls.count(c) for c in set(calls)} == {"classify": 6, "synthesise": 4, "ground": 3}
+
+
 def test_settings_of_a_store(spark):
     objects.use_store(spark, "http://localhost:9000", fs__s3a__connection__maximum="64")
     conf = spark._jsc.hadoopConfiguration()
