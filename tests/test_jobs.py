@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.tokens import Subwords
 from foliant.operators import chunking
 from jobs import chunk_stream, common, corpus_report
 
@@ -39,6 +40,29 @@ def test_report_reruns_and_keeps_other_labels(spark, sf_dir, tmp_path):
     assert len(list((tmp_path / "out/report/run=a").glob("level=*"))) == 5
 
 
+def test_report_tells_what_moved(spark, tmp_path):
+    put = lambda name, rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name)) or str(tmp_path / name)
+    old = put("old", [(1, "a b c", "es", "s"), (2, "d e", "es", None), (3, "f", None, "s"), (4, "g g g", "es", "s")])
+    new = put("new", [(1, "a b c", "es", "s"), (2, "d e f", "es", None), (4, "g g g", "eu", "s"), (5, "h", "es", "s")])
+    out = str(tmp_path / "out")
+    corpus_report.run(spark, old, out, label="old")
+    for _ in range(2):
+        corpus_report.run(spark, new, out, label="new", against="old")
+        found = spark.read.schema(corpus_report.MOVED).parquet(f"{out}/moved/run=new")
+        assert {(r["kind"], r["lang"], r["doc_id"], r["tokens_was"], r["tokens_now"]) for r in found.collect()} == {("changed", "es", 2, 2, 3), ("gone", None, 3, 1, None), ("gone", "es", 4, 3, None), ("new", "eu", 4, None, 3), ("new", "es", 5, None, 1)}
+        assert found.count() == 5
+
+
+def test_report_counts_with_a_tokenizer(spark, sf_dir, tmp_path):
+    words = corpus_report.run(spark, f"{sf_dir}/documents.parquet", str(tmp_path / "w")).filter("level = 'all'").first()
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    pieces = corpus_report.run(spark, f"{sf_dir}/documents.parquet", str(tmp_path / "p"), tokenizer=path).filter("level = 'all'").first()
+    assert pieces["chunks"] > words["chunks"] and pieces["tokens"] > 2 * words["tokens"] and pieces["median"] <= 512
+    count = Subwords(path)
+    made = spark.read.parquet(f"{tmp_path}/p/chunks/run=current").select("content", "token_count").limit(20).collect()
+    assert all(count(r["content"]) == r["token_count"] for r in made)
+
+
 def test_report_over_odd_rows(spark, tmp_path):
     docs = [(1, "one two\nthree", "es", None, 5), (2, None, "es", "s", 5), (3, "  ", "eu", "s", 5), (4, "four", None, "s", 5), (None, "no id", "es", "s", 5)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, token_count int").write.parquet(str(tmp_path / "docs"))
