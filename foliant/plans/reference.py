@@ -38,6 +38,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- packing: the fold over paragraphs, sentences of long ones and words of long sentences, as a recursion over all texts at once ---
+
+# From `raw` (id, raw, target) to `cut` (id, c, content).
+FOLD = """
+par AS (SELECT id, target, i, p, len(regexp_extract_all(p, '\\S+')) AS n
+  FROM (SELECT id, target, generate_subscripts(q, 1) AS i, unnest(q) AS p FROM (SELECT id, target, string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS q FROM raw)) WHERE regexp_matches(p, '\\S')),
+sen AS (SELECT id, target, i, generate_subscripts(q, 1) AS j, unnest(q) AS p FROM (SELECT id, target, i, string_split(regexp_replace(p, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS q FROM par WHERE n > target)),
+it AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY i, j) AS k, p, n, j > 0 AS sent, j > 0 AND row_number() OVER (PARTITION BY id, i ORDER BY j) = 1 AS opens FROM (
+  SELECT id, target, i, 0 AS j, p, n FROM par WHERE n <= target UNION ALL SELECT id, target, i, j, p, len(regexp_extract_all(p, '\\S+')) FROM sen WHERE regexp_matches(p, '\\S'))),
+step AS (SELECT *, sent AND n > target AS huge, CAST(ceil(n / target) AS BIGINT) AS cuts FROM it),
+fold AS (
+  SELECT id, k, CAST(1 AS BIGINT) AS a, CASE WHEN huge THEN cuts ELSE 1 END AS z, CASE WHEN huge THEN 0 ELSE n END AS waits, huge AS words FROM step WHERE k = 1
+  UNION ALL
+  SELECT s.id, s.k, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z ELSE f.z + 1 END, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z WHEN s.huge AND f.w = 0 THEN f.z + s.cuts ELSE f.z + 1 END,
+         CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.w + s.n WHEN s.huge AND f.w = 0 THEN 0 ELSE s.n END, s.huge AND f.w = 0
+  FROM (SELECT f.id, f.z, s.k AS next, CASE WHEN s.opens THEN 0 ELSE f.waits END AS w FROM fold f JOIN step s ON s.id = f.id AND s.k = f.k + 1) f JOIN step s ON s.id = f.id AND s.k = f.next),
+made AS (
+  SELECT id, a AS c, ltrim(string_agg(CASE WHEN sent THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(p, '\\s+$', ''), '' ORDER BY k), ' ' || chr(10)) AS content FROM fold JOIN step USING (id, k) WHERE NOT words GROUP BY ALL
+  UNION ALL
+  SELECT id, a + c - 1, array_to_string(w[(c - 1) * target + 1 : c * target], ' ') FROM (SELECT id, target, a, unnest(range(1, z - a + 2)) AS c, regexp_extract_all(p, '\\S+') AS w FROM fold JOIN step USING (id, k) WHERE words)),
+entire AS (SELECT id, 1 AS c, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS content FROM raw WHERE regexp_matches(raw, '\\S') AND len(regexp_extract_all(raw, '\\S+')) <= target),
+cut AS (SELECT * FROM entire UNION ALL SELECT * FROM made WHERE id NOT IN (SELECT id FROM entire))
+"""
+
+
 # --- chunks derived from embeddings and documents ---
 
 CHUNK_COLUMNS = """
@@ -280,6 +305,52 @@ def replace_document(spark, sf_dir):
     return store.replaced(old, spark.createDataFrame([(3,), (5,), (99999,)], "document_id long"), new)
 
 
+@query(f"""WITH {CHUNKS}, w AS (SELECT document_id, chunk_index, page_from, coalesce(content, '') AS content, convenio_id, retrieval_status, validity_start FROM chunks)
+SELECT * FROM w WHERE document_id NOT IN (3, 5, 99999) UNION ALL SELECT document_id, chunk_index, page_from + 100, upper(content), convenio_id, retrieval_status, validity_start FROM w WHERE document_id = 3 AND chunk_index < 2""")
+def store_replace(spark, sf_dir):
+    """The chunk store in the shared folder: all chunks go in, then one document comes again, one goes, and one that was never there."""
+    target = store.ChunkStore(spark, unused_path(spark, "store"), buckets=8)
+    names = [c.split()[0] for c in store.SCHEMA.split(", ")]
+    all_of = chunks(spark, sf_dir).withColumns({"content": F.coalesce("content", F.lit("")), "token_count": F.lit(0), "territory_id": F.lit(None).cast("long"), "sector_id": F.lit(None).cast("long")}).select(*names)
+    target.replace(all_of.select("document_id"), all_of)
+    new = all_of.filter("document_id = 3 and chunk_index < 2").withColumns({"page_from": F.col("page_from") + 100, "content": F.upper("content")})
+    target.replace(spark.createDataFrame([(3,), (5,), (99999,)], "document_id long"), new)
+    return target.read().select("document_id", "chunk_index", "page_from", "content", "convenio_id", "retrieval_status", "validity_start")
+
+
+@query("SELECT item_id, 'items/' || CAST(item_id AS VARCHAR) || '.txt' AS key, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS sha256 FROM benchmark")
+def objects_round_trip(spark, sf_dir):
+    """Benchmark items as objects in the shared folder, and read back."""
+    from foliant.sources.objects import read_objects, write_objects
+
+    root = unused_path(spark, "objects")
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("key"), F.col("text").cast("binary").alias("content"))
+    write_objects(items, root)
+    key = F.regexp_extract("path", r"(items/(\d+)\.txt)$", 1)
+    return read_objects(spark, f"{root}/items", "*.txt").select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("item_id"), key.alias("key"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+# Conversations as plain texts; of their lines those with more than white space are blocks.
+INGESTED = """
+WITH RECURSIVE docs AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text FROM conversations),
+raw AS (SELECT id, replace(text, chr(10), chr(10) || chr(10)) AS raw, 512 AS target FROM docs), """
+
+
+@query(INGESTED + FOLD + """, made_of AS (SELECT id, count(*) AS n, sum(len(regexp_extract_all(content, '\\S+'))) AS tokens FROM cut GROUP BY id)
+SELECT id AS doc_id, coalesce(n, 0) AS chunks_written, coalesce(n, 0) AS stored, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS blocks_total FROM docs LEFT JOIN made_of USING (id)""")
+def ingest_texts(spark, sf_dir):
+    """Conversations as objects, from bytes to the store: parsed, laid out, chunked, embedded, stored, and read back."""
+    from foliant.streaming import ingest
+
+    objects = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS doc_id", "concat('conversations/', conv_id, '/', turn) AS path", "CAST(coalesce(text, '') AS BINARY) AS content")
+    target = store.ChunkStore(spark, unused_path(spark, "store"), buckets=8)
+    scopes = objects.select(F.col("doc_id").alias("document_id"), *[F.lit(None).cast(t).alias(c) for c, t in zip(store.SCOPE, ("long", "long", "long", "date", "date", "string", "string"), strict=True)])
+    out = ingest.ingest_documents(objects, scopes, target, providers.TextParser, partial(providers.StubEmbedder, 16))
+    stored = target.read().groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("stored"), F.sum("token_count").alias("tokens"))
+    return out.join(stored, "doc_id", "left").select("doc_id", "chunks_written", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "blocks_total")
+
+
 @query(f"""WITH {CHUNKS} SELECT c.document_id, c.chunk_index, c.page_from, c.page_to, c.content, CAST(coalesce(length(c.content), 0) AS INT) AS token_count, round(CAST(c.embedding[1] AS DOUBLE), 6) AS e1, c.document_id % 4 AS sector_id FROM chunks c""")
 def insert_with_scope(spark, sf_dir):
     c = chunks(spark, sf_dir)
@@ -401,31 +472,6 @@ def over(spark, text: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(text.format(**{k: f"{{{k}}}" for k in tables}), **tables)
 
 
-# --- packing: the fold over paragraphs, sentences of long ones and words of long sentences, as a recursion over all texts at once ---
-
-# From `raw` (id, raw, target) to `cut` (id, c, content).
-FOLD = """
-par AS (SELECT id, target, i, p, len(regexp_extract_all(p, '\\S+')) AS n
-  FROM (SELECT id, target, generate_subscripts(q, 1) AS i, unnest(q) AS p FROM (SELECT id, target, string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS q FROM raw)) WHERE regexp_matches(p, '\\S')),
-sen AS (SELECT id, target, i, generate_subscripts(q, 1) AS j, unnest(q) AS p FROM (SELECT id, target, i, string_split(regexp_replace(p, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS q FROM par WHERE n > target)),
-it AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY i, j) AS k, p, n, j > 0 AS sent, j > 0 AND row_number() OVER (PARTITION BY id, i ORDER BY j) = 1 AS opens FROM (
-  SELECT id, target, i, 0 AS j, p, n FROM par WHERE n <= target UNION ALL SELECT id, target, i, j, p, len(regexp_extract_all(p, '\\S+')) FROM sen WHERE regexp_matches(p, '\\S'))),
-step AS (SELECT *, sent AND n > target AS huge, CAST(ceil(n / target) AS BIGINT) AS cuts FROM it),
-fold AS (
-  SELECT id, k, CAST(1 AS BIGINT) AS a, CASE WHEN huge THEN cuts ELSE 1 END AS z, CASE WHEN huge THEN 0 ELSE n END AS waits, huge AS words FROM step WHERE k = 1
-  UNION ALL
-  SELECT s.id, s.k, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z ELSE f.z + 1 END, CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.z WHEN s.huge AND f.w = 0 THEN f.z + s.cuts ELSE f.z + 1 END,
-         CASE WHEN f.w > 0 AND f.w + s.n <= target THEN f.w + s.n WHEN s.huge AND f.w = 0 THEN 0 ELSE s.n END, s.huge AND f.w = 0
-  FROM (SELECT f.id, f.z, s.k AS next, CASE WHEN s.opens THEN 0 ELSE f.waits END AS w FROM fold f JOIN step s ON s.id = f.id AND s.k = f.k + 1) f JOIN step s ON s.id = f.id AND s.k = f.next),
-made AS (
-  SELECT id, a AS c, ltrim(string_agg(CASE WHEN sent THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(p, '\\s+$', ''), '' ORDER BY k), ' ' || chr(10)) AS content FROM fold JOIN step USING (id, k) WHERE NOT words GROUP BY ALL
-  UNION ALL
-  SELECT id, a + c - 1, array_to_string(w[(c - 1) * target + 1 : c * target], ' ') FROM (SELECT id, target, a, unnest(range(1, z - a + 2)) AS c, regexp_extract_all(p, '\\S+') AS w FROM fold JOIN step USING (id, k) WHERE words)),
-entire AS (SELECT id, 1 AS c, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS content FROM raw WHERE regexp_matches(raw, '\\S') AND len(regexp_extract_all(raw, '\\S+')) <= target),
-cut AS (SELECT * FROM entire UNION ALL SELECT * FROM made WHERE id NOT IN (SELECT id FROM entire))
-"""
-
-
 # Glyphs of all lines, three to a block: five units a place, gaps that shake, a glyph without width now and then, and blanks that are glyphs too.
 GLYPHS = """
   SELECT doc_id, 1 AS page, CAST(floor(n / 3) AS INT) AS block_no, CAST(n % 3 AS INT) AS line_no, CAST(i AS INT) AS glyph_no, c,

@@ -138,6 +138,19 @@ class PageParser(ABC):
         """Of each page: page_number, text, image (bytes or None), boxes and glyphs (lists of dicts)."""
 
 
+class TextParser(PageParser):
+    """Plain text in UTF-8: a form feed begins a page, each line is a block of one line across the page, below the margin."""
+
+    def pages(self, content: bytes) -> Iterator[dict]:
+        for number, page in enumerate(content.decode("utf-8", "replace").split("\f"), 1):
+            lines = page.split("\n")
+            step = 500.0 / max(1, len(lines))
+            boxes = [{"block_no": n, "pw": 600.0, "ph": 800.0, "x0": 40.0, "x1": 560.0, "y0": 150.0 + step * n, "y1": 150.0 + step * (n + 0.9)} for n in range(len(lines))]
+            # White space is left out and found again from the gaps that it leaves.
+            glyphs = [{"block_no": n, "line_no": 0, "glyph_no": g, "c": c, "x0": 5.0 * g, "x1": 5.0 * g + 5} for n, line in enumerate(lines) for g, c in enumerate(line) if not c.isspace()]
+            yield {"page_number": number, "text": page, "image": None, "boxes": boxes, "glyphs": glyphs}
+
+
 def parsed_pages(objects: DataFrame, factory: Callable[[], PageParser]) -> DataFrame:
     """A row (path, page_number, text, image) for each page of each object; a page without text stays, with the empty text."""
 
