@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from foliant.shipping import ship
+from foliant.llm.session import prepare
 
 #: Rows that one call of a batch function sees at most; bounds what a Python worker holds.
 SLICE_ROWS = 2048
@@ -56,7 +56,7 @@ def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
         keep_only(operator)
         yield from run(batches)
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(alone, schema)
 
 

@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant.llm.batches import bytes_of, kept, python_stage, slices
 from foliant.llm.graph import components
 from foliant.llm.marks import marks, with_mark
+from foliant.llm.session import prepare
 from foliant.llm.storage import materialise
-from foliant.shipping import ship
 
 SIZE, PERCENT = 4, 85
 #: Share of the hash space whose shingles are posted; sets up to SMALL_POST shingles are posted whole,
@@ -386,7 +386,7 @@ def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, n, cls, label) for each document."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     chunks = materialise(_chunks(docs, percent, size, id_col, text_col), "chunks")
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("posted", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = 1 + total // BUCKET

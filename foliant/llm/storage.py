@@ -8,14 +8,14 @@ import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.llm.session import prepare
 from foliant.shared import unused_path
-from foliant.shipping import ship
 
 #: Tables made by this driver process and not yet deleted.
 _MADE: list[str] = []
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that was never used; what is there goes with `release`, or when Python ends."""
-    ship(spark)
+    prepare(spark)
     path = unused_path(spark, name)
     if not _MADE:
         # Registered after the context's own handler, so that it runs before the context stops.
