@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,21 +11,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED = "_foliant_shipped"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows in an Arrow batch. Spark's default of 10,000 long texts would take hundreds of MB outside the heap, which executors keep.
-BATCH_ROWS = 256
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the context, once; Spark hands them to every executor. Where the session has Spark's
-    default for rows in an Arrow batch, a smaller number is set."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Adds the package's sources to the context, once; Spark hands them to every executor. The driver's copy goes when Python ends."""
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant.zip"
+    folder = tempfile.mkdtemp(prefix="foliant-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "foliant.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))

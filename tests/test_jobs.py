@@ -94,6 +94,16 @@ def test_stream_takes_only_what_is_new(spark, sf_dir, tmp_path, caplog):
     assert any("read 0 new rows" in r.getMessage() for r in caplog.records)
 
 
+def test_batches_of_few_files_end_as_one_batch_does(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").limit(30).cache()
+    source, out, mark = (str(tmp_path / n) for n in ("docs", "out", "mark"))
+    docs.repartition(3).write.parquet(source)
+    settings = {k: v for k, v in spark.sparkContext.getConf().getAll()} | {"rows": spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "mode": spark.conf.get("spark.sql.sources.partitionOverwriteMode")}
+    assert rows(held(chunk_stream.run(spark, source, out, mark, files_per_batch=1))) == rows(chunked(docs))
+    assert len(list((tmp_path / "out/seen").glob("batch=*"))) == 3
+    assert settings == {k: v for k, v in spark.sparkContext.getConf().getAll()} | {"rows": spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "mode": spark.conf.get("spark.sql.sources.partitionOverwriteMode")}
+
+
 def test_a_failed_batch_is_taken_again(spark, sf_dir, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").limit(40).cache()
     source, out, mark = (str(tmp_path / n) for n in ("docs", "out", "mark"))

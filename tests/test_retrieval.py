@@ -73,13 +73,14 @@ def test_no_requests(spark, odd_chunks):
 
 def test_fewer_products_than_vectors(spark):
     sf_dir = "/root/testdata/sf0.01"
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     c = reference.chunks(spark, sf_dir).coalesce(1)
     one = spark.createDataFrame([("q", reference.query_vector(spark, sf_dir), 3, True, ["active", "archived"], None, 4)], REQUEST)
     try:
         work = retrieval.weighing(c, one).first()
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert 0 < work["scored"] < work["seen"] < c.count()
     # On vectors whose first half says more, as after a rotation, most products end half-way.
     r = np.random.default_rng(0)
