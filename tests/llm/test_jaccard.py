@@ -78,15 +78,36 @@ def test_two_sub_blocks_meet_in_a_task_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SUB_BLOCK", 300)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     sets = spark.createDataFrame([(bytes([k] * 16), b"12345678") for k in range(9)], "cls binary, hashes binary")
-    blocks = sets.selectExpr("cls", "100 as n", "unhex('00') as block")
+    blocks, keys = sets.selectExpr("cls", "100 as n", "unhex('00') as block", "false as shared"), sets.selectExpr("cls", "1L as h")
     for threshold in ("-1", "10485760"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        plan = jaccard._links(sets, blocks, 85)._jdf.queryExecution().executedPlan().toString()
+        plan = jaccard._links(sets, blocks, keys, 85)._jdf.queryExecution().executedPlan().toString()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         below = plan[plan.index("FlatMapGroupsInArrow") :].splitlines()[1:4]
         assert any("Exchange hashpartitioning(" in x and " i#" in x and " j#" in x for x in below), below
 
 
+def test_sets_go_to_sub_blocks_that_hold_a_key_of_theirs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "SUB_BLOCK", 300)
+    names = [bytes([k] * 16) for k in range(40)]
+    sets = spark.createDataFrame([(c, b"12345678") for c in names], "cls binary, hashes binary")
+    # A chain: neighbours share a key, nobody else does.
+    keys = spark.createDataFrame([(c, h) for k, c in enumerate(names) for h in (k, k + 1)], "cls binary, h long")
+    blocks = sets.selectExpr("cls", "100 as n", "unhex('00') as block", "false as shared")
+    seen = []
+    real = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: real(df, name) if name != "dealt" else seen.append(real(df, name)) or seen[-1])
+    monkeypatch.setattr(jaccard, "links", lambda left, right, percent: [])
+    jaccard._links(sets, blocks, keys, 85).count()
+    own = {bytes(r["cls"]): tuple(r["own"]) for r in seen[0].collect()}
+    assert len(set(own.values())) > 5
+    plan = jaccard._links(sets, blocks, keys, 85)
+    meetings = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "spots" in meetings
+    wanted = sum(len({own[names[j]] for j in (k - 1, k, k + 1) if 0 <= j < 40}) for k in range(40))
+    assert wanted < 40 * len(set(own.values())) / 2
+
+
 def test_repeated_rows_leave_a_defined_one(spark):
     rows = [(1, "a b c d e f", x) for x in ("de", "en", None, "ar")] + [(2, "other words here now", "x"), (None, "a b c d e f", "y"), (3, None, "z"), (3, None, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
