@@ -45,8 +45,14 @@ def keep_only(operator: str) -> None:
         held.clear()
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # what is freed goes back to the system, where the C library can do so
-            ctypes.CDLL(None).malloc_trim(0)
+        tidy()
+
+
+def tidy() -> None:
+    """Gives what was freed back to the system, where the C library can do so: a worker stays after its task, and what it holds counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, operator: str = "") -> DataFrame:
@@ -55,6 +61,7 @@ def python_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only(operator)
         yield from run(batches)
+        tidy()
 
     prepare(df.sparkSession)
     return df.mapInArrow(alone, schema)

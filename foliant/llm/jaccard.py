@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.batches import bytes_of, kept, python_stage, slices
+from foliant.llm.batches import bytes_of, kept, python_stage, slices, tidy
 from foliant.llm.graph import components
 from foliant.llm.marks import marks, with_mark
 from foliant.llm.session import prepare
@@ -186,6 +186,7 @@ def _answer(group: pa.Table) -> pa.Table:
     code = np.where(shared, np.clip(16 * np.log2(count + np.bincount(inv, many, len(u))), 1, 255), 0).astype(np.uint8)[inv]
     ends = np.cumsum([r.shape[1] for r in raw])
     load = [code[e - r.shape[1] : e].tobytes() for r, e in zip(raw, ends, strict=True)]
+    tidy()
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "codes": pa.array(load, pa.binary())})
 
 
@@ -338,26 +339,25 @@ def _work(load: Column) -> Column:
 
 
 def _blocks(found: DataFrame) -> DataFrame:
-    """(cls, n, block, shared): the classes that must meet, some in several blocks. `shared`: all classes of the block share a key."""
+    """(cls, n, block): the classes that must meet, some in several blocks."""
     keys = materialise(found.select("cls", "n", F.explode("keys").alias("h")).distinct(), "keys")
     lead = keys.groupBy("h").agg(F.min("cls").alias("b"), F.count("*").alias("c")).filter("c > 1").select("h", "b")
     shared = materialise(keys.join(lead, "h"), "shared")
     labels = components(shared.select(F.col("cls").alias("a"), "b")).withColumnRenamed("node", "cls")
     whole = materialise(shared.select("cls", "n").distinct().join(labels, "cls"), "blocks")
     large = materialise(whole.groupBy("label").agg(F.sum("n").alias("load")).filter(F.col("load") > SUB_BLOCK), "large")
-    own = whole.select("cls", "n", F.col("label").alias("block"), F.lit(False).alias("shared"))
+    own = whole.select("cls", "n", F.col("label").alias("block"))
     if large.isEmpty():
         return own
     # Large components whose shingles make less work one by one: of a chain of texts with little in common, say.
     held = materialise(shared.join(materialise(whole.join(large, "label").select("cls", "label", "load"), "members"), "cls"), "held")
     single = held.groupBy("label", "load", "h").agg(F.sum("n").alias("own")).groupBy("label", "load").agg(F.sum(_work(F.col("own"))).alias("work"))
     cut = materialise(single.filter(F.col("work") < _work(F.col("load"))).select("label"), "cut")
-    return own.join(cut, F.col("block") == cut["label"], "left_anti").unionByName(held.join(cut, "label").select("cls", "n", F.unhex(F.hex("h")).alias("block"), F.lit(True).alias("shared")))
+    return own.join(cut, F.col("block") == cut["label"], "left_anti").unionByName(held.join(cut, "label").select("cls", "n", F.unhex(F.hex("h")).alias("block")))
 
 
-def _links(sets: DataFrame, blocks: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b): linked classes. Of a block that is cut, a class goes to the sub-blocks of neighbouring sizes where one of its keys (cls, h) is held:
-    classes that link share a key."""
+def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked classes."""
     # Sets that link are of the same class of sizes or of neighbouring ones; its width is a little more than the ratio of sizes.
     size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9)).cast("long")
     sized, long_ = blocks.withColumn("size", size), lambda x: F.lit(x).cast("long")
@@ -374,12 +374,7 @@ def _links(sets: DataFrame, blocks: DataFrame, keys: DataFrame, percent: int) ->
         at = F.col("size") + d
         return F.when(near(at) > 0, F.transform(F.sequence(long_(1), near(at)), lambda p: code(at, p - 1))).otherwise(F.array().cast("array<struct<s:bigint,p:bigint>>"))
 
-    dealt = materialise(dealt.select("cls", "block", "size", "own", "parts", (F.col("cut") & ~F.col("shared")).alias("by_key")), "dealt")
-    held = dealt.filter("by_key").join(keys, "cls").select("cls", "block", "size", "own", "h")
-    spots = held.groupBy("block", "h").agg(F.collect_set("own").alias("spots"))
-    close = F.filter("spots", lambda x: F.abs(x["s"] - F.col("size")) <= 1)
-    some = held.join(spots, ["block", "h"]).select("cls", "block", "own", F.explode(close).alias("other")).distinct()
-    dealt = dealt.filter("not by_key").select("cls", "block", "own", F.explode(F.concat(*map(others, (-1, 0, 1)))).alias("other")).unionByName(some)
+    dealt = dealt.select("cls", "block", "own", F.explode(F.concat(*map(others, (-1, 0, 1)))).alias("other"))
     dealt = dealt.select("cls", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     dealt = dealt.select("cls", "block", "i", "j", (F.col("own") == F.col("i")).alias("left")).join(sets, "cls")
 
@@ -390,6 +385,7 @@ def _links(sets: DataFrame, blocks: DataFrame, keys: DataFrame, percent: int) ->
         same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         left, right = (sides[0], sides[0]) if same else sides
         made = links([s for _, s in left], None if same else [s for _, s in right], percent)
+        tidy()
         return pa.table({"a": pa.array([left[x][0] for x, _ in made], pa.binary()), "b": pa.array([right[y][0] for _, y in made], pa.binary())})
 
     # Dealt out by meeting: the join before may have left a block in one partition, which would do for the grouping.
@@ -405,7 +401,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, id_col: str, text_col: st
     chunks = chunks.withColumn("buckets", F.lit(buckets))
     answers = _post(chunks, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, codes binary")
     found = materialise(_candidates(chunks, answers, percent), "candidates")
-    labels = components(_links(materialise(_sets(docs, found, size, text_col), "sets"), materialise(_blocks(found), "own"), found.select("cls", F.explode("keys").alias("h")).distinct(), percent))
+    labels = components(_links(materialise(_sets(docs, found, size, text_col), "sets"), materialise(_blocks(found), "own"), percent))
     rows = chunks.select(F.explode(F.arrays_zip("ids", "keys", "n", "cls")).alias("r")).select(F.col("r.ids").alias("doc_id"), F.col("r.keys").alias("key"), F.col("r.n").alias("n"), F.col("r.cls").alias("cls"))
     return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
