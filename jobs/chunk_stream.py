@@ -38,8 +38,8 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max_by(version, F.struct("changed", F.xxhash64("text", "lang", "source"))).alias("v")).select("doc_id", "v.*")
 
 
-def take(batch: DataFrame, number: int, out: str, page_lines: int, counter, settings: Settings) -> None:
-    """Writes one batch."""
+def take(batch: DataFrame, number: int, out: str, page_lines: int, counter, settings: Settings) -> int:
+    """Writes one batch, and returns how many rows it had."""
     named = batch.filter("doc_id is not null")
     # Language and source travel together as the name of the stream.
     units = chunking.line_units(newest(named).withColumn("lang", F.to_json(F.struct("lang", "source"))), page_lines)
@@ -51,6 +51,7 @@ def take(batch: DataFrame, number: int, out: str, page_lines: int, counter, sett
     own = lambda name, schema: batch.sparkSession.read.schema(schema).parquet(f"{out}/{name}").filter(F.col("batch") == number).count()
     rows, nameless = batch.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     LOG.info("batch %d: read %d rows (%d without id), wrote %d documents and %d chunks", number, rows, nameless, own("seen", SEEN), own("chunks", CHUNK))
+    return rows
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
@@ -69,10 +70,10 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, page_lin
         spark.createDataFrame([], schema).write.mode("append").partitionBy(*parts).parquet(f"{out}/{name}")
     files = spark.readStream.schema(DOCUMENT).option("maxFilesPerTrigger", files_per_batch).parquet(documents)
     rows = files.select("*", F.col("_metadata.file_modification_time").alias("changed"))
-    each = lambda batch, number: take(batch, number, out, page_lines, counter, settings)
-    query = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    taken: list[int] = []
+    query = rows.writeStream.foreachBatch(lambda batch, number: taken.append(take(batch, number, out, page_lines, counter, settings))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    LOG.info("read %d new rows from %s", sum(p["numInputRows"] for p in query.recentProgress), documents)
+    LOG.info("read %d new rows in %d batches from %s", sum(taken), len(taken), documents)
     return current(spark, out)
 
 

@@ -88,10 +88,11 @@ def test_stream_takes_only_what_is_new(spark, sf_dir, tmp_path, caplog):
     now = table.filter("doc_id not in (5, 7)").unionByName(change.filter("doc_id = 5"))
     assert rows(held(chunk_stream.run(spark, source, out, mark))) == rows(chunked(now))
     assert any(f"read {more.count()} rows (1 without id)" in r.getMessage() for r in caplog.records)
+    assert any(f"read {more.count()} new rows in 1 batches" in r.getMessage() for r in caplog.records)
     # Nothing new: the same rows, and nothing read.
     caplog.clear()
     assert rows(held(chunk_stream.run(spark, source, out, mark))) == rows(chunked(now))
-    assert any("read 0 new rows" in r.getMessage() for r in caplog.records)
+    assert any("read 0 new rows in 0 batches" in r.getMessage() for r in caplog.records)
 
 
 def test_batches_of_few_files_end_as_one_batch_does(spark, sf_dir, tmp_path):
