@@ -55,4 +55,6 @@ def without_marks(text: Column) -> Column:
     place = lambda c: F.array_position(names, c)
     apart = lambda c: F.when(c.rlike(hangul), _syllable(c)).when(place(c) > 0, F.element_at(values, place(c).cast("int"))).otherwise(c)
     slow = F.array_join(F.transform(F.regexp_extract_all(simple, F.lit("(?s)."), F.lit(0)), apart), "")
-    return F.when(simple.rlike(f"[{''.join(longer)}]|{hangul}"), slow).otherwise(simple)
+    rest = F.when(simple.rlike(f"[{''.join(longer)}]|{hangul}"), slow).otherwise(simple)
+    # ASCII has no marks: most texts need no look at the tables.
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(rest)

@@ -30,35 +30,36 @@ def _is_money(label: Column) -> Column:
 
 
 def headers(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(sheet, header_row, width): the first of the best-scoring rows among the first ones, if at least two of its cells are money headers."""
-    marked = cells.withColumn("money", _is_money(T.label(F.col("v"))))
-    sheets = marked.groupBy(*SHEET).agg((F.max("col_no") + 1).alias("width"))
-    rows = marked.filter(F.col("row_no") < settings.header_rows).groupBy(*SHEET, "row_no").agg(F.count_if("money").alias("score")).filter("score >= 2")
-    best = rows.groupBy(*SHEET).agg(F.max_by("row_no", F.struct("score", -F.col("row_no"))).alias("header_row"))
-    return sheets.join(best, SHEET, "left")
-
-
-def columns(cells: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """By sheet with a header its first money column, and by its columns their label and typed field."""
-    own = heads.filter("header_row is not null and width >= 2")
-    joined = cells.join(own, SHEET)
-    top = joined.filter("row_no = header_row").select(*SHEET, "col_no", T.label(F.col("v")).alias("label"))
-    kind = F.when(F.col("label").isin(*GROSS), "gross_annual").when(F.col("label").isin(*HOURLY) | T.is_hours(F.col("label")), "hourly_rate").when(F.col("label").isin(*EXTRA), "extra_pay").when(F.col("label").isin(*NIGHT), "night_plus")
-    first = F.row_number().over(Window.partitionBy(*SHEET, "kind").orderBy("col_no"))
-    top = top.withColumn("kind", kind).withColumn("nth", first)
-    top = top.withColumn("field", F.when((F.col("kind") != "gross_annual") | (F.col("nth") == 1), F.col("kind"))).drop("kind", "nth")
-    money = top.filter(_is_money(F.col("label"))).groupBy(*SHEET).agg(F.min("col_no").alias("by_header"))
-    filled = joined.filter("row_no > header_row and coalesce(v, '') <> ''")
-    numeric = filled.groupBy(*SHEET, "col_no").agg(F.avg(T.is_number(F.col("v"), F.col("v_type")).cast("int")).alias("share")).filter("share > 0.5")
-    fallback = numeric.groupBy(*SHEET).agg(F.min("col_no").alias("by_value"))
-    starts = own.join(money, SHEET, "left").join(fallback, SHEET, "left").select(*SHEET, "header_row", "width", F.coalesce("by_header", "by_value", "width").alias("first_money"))
-    return starts, top
+    """(sheet, header_row, width): the first of the best-scoring rows among the first ones, if at least two of its cells are money headers.
+
+    One pass over the cells: the first rows of a sheet each for itself, all below them as one; only labels of the former are made."""
+    first = F.col("row_no") < settings.header_rows
+    marked = cells.select(*SHEET, F.least("row_no", F.lit(settings.header_rows)).alias("row_no"), "col_no", F.when(first, T.label(F.col("v"))).alias("label"))
+    by_row = marked.groupBy(*SHEET, "row_no").agg((F.max("col_no") + 1).alias("width"), F.count_if(_is_money(F.col("label"))).alias("score"))
+    fit = F.when(first & (F.col("score") >= 2), F.struct("score", -F.col("row_no")))
+    return by_row.groupBy(*SHEET).agg(F.max("width").alias("width"), F.max_by("row_no", fit).alias("header_row"))
+
+
+def grids(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """By sheet with a header its row, its first money column, and by column the label and typed field (`heads`); only the first rows of sheets are read.
+
+    A header has two money cells or more, so that no sheet needs to be searched for the first column of numbers."""
+    first = cells.filter(F.col("row_no") < settings.header_rows).select(*SHEET, "row_no", "col_no", T.label(F.col("v")).alias("label"))
+    by_row = first.groupBy(*SHEET, "row_no").agg(F.count_if(_is_money(F.col("label"))).alias("score"), F.collect_list(F.struct("col_no", "label")).alias("top"))
+    best = by_row.filter("score >= 2").groupBy(*SHEET).agg(F.max_by(F.struct("row_no", "top"), F.struct("score", -F.col("row_no"))).alias("h"))
+    kind = lambda x: F.when(x.isin(*GROSS), "gross_annual").when(x.isin(*HOURLY) | T.is_hours(x), "hourly_rate").when(x.isin(*EXTRA), "extra_pay").when(x.isin(*NIGHT), "night_plus")
+    top = best.select(*SHEET, F.col("h.row_no").alias("header_row"), F.array_sort("h.top").alias("top"))
+    gross = F.array_min(F.transform(F.filter("top", lambda x: x["label"].isin(*GROSS)), lambda x: x["col_no"]))
+    top = top.withColumns({"first_money": F.array_min(F.transform(F.filter("top", lambda x: _is_money(x["label"])), lambda x: x["col_no"])), "gross": gross})
+    field = lambda x: F.when(~x["label"].isin(*GROSS) | (x["col_no"] == F.col("gross")), kind(x["label"]))
+    heads = F.map_from_arrays(F.transform("top", lambda x: x["col_no"]), F.transform("top", lambda x: F.struct(x["label"].alias("label"), field(x).alias("field"))))
+    return top.select(*SHEET, "header_row", "first_money", heads.alias("heads"))
 
 
 def rows(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Typed rows with all original values of the grid in `raw_values`."""
-    starts, top = columns(cells, headers(cells, settings))
-    data = cells.join(starts, SHEET).filter("row_no > header_row").join(top, [*SHEET, "col_no"], "left")
+    data = cells.join(grids(cells, settings), SHEET).filter("row_no > header_row").withColumn("head", F.col("heads")[F.col("col_no")])
+    data = data.select(*SHEET, "row_no", "col_no", "v", "v_type", "first_money", "head.label", "head.field")
     in_grid = F.col("col_no") >= F.col("first_money")
     filled = F.coalesce(F.col("v"), F.lit("")) != ""
     name = T.clean_label(F.col("v"))

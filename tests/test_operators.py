@@ -675,3 +675,12 @@ def test_prompts_close_as_they_should(spark):
     row = spark.sql("select array(named_struct('page_from', 1, 'page_to', 2, 'authority_level', 'national_law', 'content', 'c', 'is_tabular', true)) as s")
     a, b = row.select(answers.user_prompt(F.lit("q"), F.col("s")), answers.ground_prompt(F.lit("q"), F.lit("r"), F.col("s"))).first()
     assert a.endswith("p. 1–2): c\n\n" + answers.CLOSING) and b.endswith("[TABLA/COLUMNAS]: c\n\n" + answers.GROUND_CLOSING)
+
+
+def test_salary_grids_read_cells_twice_and_headers_once(spark):
+    cells = spark.createDataFrame([(1, 0, "Tablas 2024", r, c, v, "string") for r, row in enumerate([["Grupo", "Bruto año", "Pagas extra"], ["A", "1.200,50", "10"]]) for c, v in enumerate(row)], written.CELL_SCHEMA).repartition(7)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(salary.headers(cells)).count("LogicalRDD") == 1
+    assert plan(salary.rows(cells)).count("LogicalRDD") <= 2
+    row = salary.rows(cells).first()
+    assert (row["gross_annual"], row["extra_pay"], row["job_category_name"]) == (1200.5, 10.0, "A")
