@@ -9,6 +9,8 @@ else is by page, line or block.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant.config import DEFAULT, Settings
@@ -23,6 +25,11 @@ LINE = ["doc_id", "page", "block_no", "line_no"]
 GUTTER, ROW_TOLERANCE, SHORT_CELL = 0.04, 6.0, 30
 
 
+def _share(x: float) -> Column:
+    """A share as a decimal: its product with a count is exact, where 0.55 * 100 as doubles is more than 55."""
+    return F.lit(Decimal(str(x)))
+
+
 def lines(glyphs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Text of each line, spaces where the gap to the glyph before reaches a share of the line's median glyph width.
 
@@ -57,7 +64,7 @@ def repeating(blocks: DataFrame, doc_pages: DataFrame, settings: Settings = DEFA
     """(doc_id, key) of the margin lines that recur on enough pages; doc_pages (doc_id, page_count) counts pages without text too."""
     keyed = blocks.filter(in_margin(settings)).withColumn("key", T.line_key(F.col("text"))).filter(F.length("key").between(1, settings.furniture_key_chars))
     pages = keyed.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("pages")).join(doc_pages, "doc_id")
-    return pages.filter((F.col("page_count") > 1) & (F.col("pages") >= F.greatest(F.lit(2.0), settings.repeat_page_fraction * F.col("page_count")))).select("doc_id", "key")
+    return pages.filter((F.col("page_count") > 1) & (F.col("pages") >= 2) & (F.col("pages") >= (_share(settings.repeat_page_fraction) * F.col("page_count")))).select("doc_id", "key")
 
 
 def _marked(blocks: DataFrame, doc_pages: DataFrame, settings: Settings) -> DataFrame:
@@ -123,13 +130,13 @@ def pages(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         *[total(h, c) for h in "lr" for c in ("words", "known")],
     )
     sides = F.col("ln") + F.col("rn")
-    tabular = (F.col("ln") >= 3) & (F.col("paired") > 0.6 * F.col("ln")) & (sides > 0) & (F.col("short") > 0.5 * sides)
+    tabular = (F.col("ln") >= 3) & (F.col("paired") > _share(0.6) * F.col("ln")) & (sides > 0) & (F.col("short") > 0.5 * sides)
     span = lambda s: F.coalesce(F.col(f"{s}_y1") - F.col(f"{s}_y0"), F.lit(0.0))
     overlap = F.coalesce(F.greatest(F.lit(0.0), F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0")), F.lit(0.0))
     overlap = F.when((F.col("ln") > 0) & (F.col("rn") > 0), overlap).otherwise(0.0)
     most, fewest = F.greatest("lvol", "rvol"), F.least("lvol", "rvol")
-    two = (F.col("ln") >= 2) & (F.col("rn") >= 2) & (most > 0) & (fewest >= 0.55 * most) & (span("l") >= 0.5 * F.col("ph")) & (span("r") >= 0.5 * F.col("ph")) & (overlap >= 0.4 * F.col("ph"))
-    two = two & (F.col("lvol") + F.col("rvol") > 0) & (F.col("svol") <= 0.15 * (F.col("lvol") + F.col("rvol"))) & ~F.col("tabular")
+    two = (F.col("ln") >= 2) & (F.col("rn") >= 2) & (most > 0) & (fewest >= _share(0.55) * most) & (span("l") >= 0.5 * F.col("ph")) & (span("r") >= 0.5 * F.col("ph")) & (overlap >= 0.4 * F.col("ph"))
+    two = two & (F.col("lvol") + F.col("rvol") > 0) & (F.col("svol") <= _share(0.15) * (F.col("lvol") + F.col("rvol"))) & ~F.col("tabular")
     p = p.withColumn("tabular", tabular).withColumn("two_column", two).withColumn("has_straddle", F.col("svol") > 0)
     p = p.withColumns({f"{h}_ratio": F.when(F.col(f"{h}words") > 0, F.col(f"{h}known") / F.col(f"{h}words")).otherwise(0.0) for h in "lr"})
     low, high = F.least("l_ratio", "r_ratio"), F.greatest("l_ratio", "r_ratio")
