@@ -41,6 +41,17 @@ def join_lines(lines: Column) -> Column:
     return F.trim(F.replace(F.replace(joined, F.lit("-\u0001"), F.lit("")), F.lit("\u0001"), F.lit(" ")))
 
 
+#: Characters whose upper case is several ones, with the one that stands for it in simple case mapping.
+SIMPLE_UPPER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+
+
+def upper(text: Column) -> Column:
+    """Upper case, one character for one (simple case mapping): ß is ẞ and not SS, so lengths stay."""
+    table = F.create_map(*[F.lit(x) for pair in SIMPLE_UPPER.items() for x in pair])
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.upper(c)))
+    return F.when(text.rlike(f"[{''.join(SIMPLE_UPPER)}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
+
 def word_count(text: Column) -> Column:
     """The default token counter: words without white space."""
     return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
