@@ -35,5 +35,14 @@ def normalised(a: Column) -> Column:
 
 
 def text_literal(a: Column) -> Column:
-    """[x,y,...] with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,...] with eight decimals, rounded as C's printf does: by the exact value, a tie to the even digit.
+
+    A float times 10^8 is exact in double precision, so it is rounded there; from 10^7 on floats have no ninth decimal."""
+    even = lambda x: F.when(F.abs(x) < 1e7, F.rint(x * 1e8) / 1e8).otherwise(x)
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.8f", even(x.cast("double")))), ","), F.lit("]"))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half up; what rounds to zero keeps its sign, as in C and SQL engines built on it."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * 0.0).otherwise(r)

@@ -54,7 +54,7 @@ def _nearest_few(found: DataFrame, k: Column) -> DataFrame:
 def _ranked(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     near = rows.withColumn("distance", vectors.cosine_distance(F.col("embedding"), vectors.literal(query)))
     top = near.select(*NARROW, "distance").orderBy(F.asc_nulls_last("distance"), "id").limit(k)
-    return _with_text(top, rows).select(*HIT, F.round(1 - F.col("distance"), 6).alias("score"))
+    return _with_text(top, rows).select(*HIT, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
 
 
 def retrieve(chunks: DataFrame, query: Sequence[float], convenio_id: int | None = None, include_national_law: bool = True, statuses: Sequence[str] = ("active",), as_of: date | None = None, k: int = 8) -> DataFrame:
@@ -101,7 +101,7 @@ def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
             rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
             hits = pairs.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
             out = hits if out is None else out.unionByName(hits)
-    return _with_text(out, chunks).select("req_id", "rank", *HIT, F.round(1 - F.col("distance"), 6).alias("score"))
+    return _with_text(out, chunks).select("req_id", "rank", *HIT, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
 
 
 def _weighed(chunks: DataFrame, block: DataFrame) -> list[tuple[list, DataFrame]]:

@@ -684,3 +684,43 @@ def test_salary_grids_read_cells_twice_and_headers_once(spark):
     assert plan(salary.rows(cells)).count("LogicalRDD") <= 2
     row = salary.rows(cells).first()
     assert (row["gross_annual"], row["extra_pay"], row["job_category_name"]) == (1200.5, 10.0, "A")
+
+
+def _page_of(spark, left, right):
+    rows = [(1, n, 1, 600.0, 800.0, x0, x0 + 240.0, y0, y0 + 250.0, x0 + 120.0, 240.0, "x" * size, 0) for n, (x0, y0, size) in enumerate([(40.0, 20.0, left[0]), (40.0, 400.0, left[1]), (320.0, 100.0, right[0]), (320.0, 480.0, right[1])])]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, page int, pw double, ph double, x0 double, x1 double, y0 double, y1 double, x_mid double, width double, text string, long_tokens int")
+    return blocks, layout.pages(blocks).first()
+
+
+def test_two_columns_at_the_exact_share(spark):
+    assert 0.55 * 100 > 55  # as doubles
+    _, page = _page_of(spark, (50, 50), (25, 30))
+    assert page["two_column"]
+    assert not _page_of(spark, (50, 50), (25, 29))[1]["two_column"]
+
+
+def test_streams_and_statistics_at_the_exact_share(spark):
+    blocks, _ = _page_of(spark, (50, 50), (25, 30))
+    units, stats = layout.language_streams(blocks.withColumn("y0", F.col("y0") + 100).withColumn("y1", F.col("y1") - 50), spark.createDataFrame([(1, 2)], "doc_id long, page_count int"))
+    assert stats.first()["two_column_pages"] == 1
+    assert [len(r["text"]) for r in units.orderBy("unit_no").collect()] == [50, 50, 25, 30]
+
+
+def test_vector_literal_rounds_ties_as_printf(spark):
+    values = [53 / 512, 55 / 512, -53 / 512, 1e-12, -1e-12, 0.0, 3.5, 123456.789]
+    rows = spark.createDataFrame([(values,)], "v array<float>")
+    floats = [float(np.float32(x)) for x in values]
+    assert rows.select(vectors.text_literal(F.col("v"))).first()[0] == "[" + ",".join("%.8f" % x for x in floats) + "]"
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    rows = spark.createDataFrame([(x,) for x in (-3e-7, 3e-7, -5e-7, 0.5, None)], "x double")
+    assert [repr(r[0]) for r in rows.select(vectors.rounded(F.col("x"), 6)).collect()] == ["-0.0", "0.0", "-1e-06", "0.5", "None"]
+
+
+def test_upper_case_as_in_duckdb(spark):
+    import duckdb
+
+    texts = ["straße", "", None, "ño", *T.SIMPLE_UPPER]
+    ours = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.upper(F.col("t"))).collect()]
+    assert ours == [duckdb.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for t in texts]
