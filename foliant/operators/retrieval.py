@@ -135,16 +135,18 @@ def blocks_of(requests: DataFrame, key: str) -> list[DataFrame]:
     return [requests] if parts == 1 else [requests.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
 
 
-def nearest(left: DataFrame, right: DataFrame, same_row: bool = False, among: Column | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, same_row: bool = False, other: str | None = None) -> DataFrame:
     """For each row of left (id, embedding) the row of right with the largest dot product, the smallest id among equals.
 
-    Rows of left are broadcast in blocks of at most BLOCK_REQUESTS, each against all of right. Unless same_row, rows of the same id do
-    not match; `among` is a further condition between the columns of left and those of right under names with `near_` before them."""
-    corpus = right.select(*[F.col(c).alias(f"near_{c}") for c in right.columns])
+    Every row of left meets every row of right, as matrix products over Arrow batches (`scoring.nearest`): rows of left go to the workers in blocks of at
+    most BLOCK_REQUESTS, a task gives its few best of each, and these are ranked by the exact product. Unless same_row, rows of the same id do
+    not match; `other` names a column of both in which they must differ."""
+    names = ["id", "embedding", *([other] if other else [])]
+    corpus = right.select(*[F.col(c).alias(f"near_{c}") for c in names])
     out = None
-    for block in blocks_of(left, "id"):
-        on = F.lit(True) if same_row else F.col("id") != F.col("near_id")
-        pairs = corpus.join(F.broadcast(block), on if among is None else on & among)
+    for block in blocks_of(left.select(*names), "id"):
+        few = scoring.nearest(block, right.select(*names), same_row, other)
+        pairs = few.join(F.broadcast(block), "id").join(corpus, "near_id")
         pairs = pairs.select("id", "near_id", vectors.dot(F.col("embedding"), F.col("near_embedding")).alias("similarity"))
         best = pairs.groupBy("id").agg(F.max_by(F.struct("near_id", "similarity"), F.struct("similarity", -F.col("near_id"))).alias("m")).select("id", "m.near_id", "m.similarity")
         out = best if out is None else out.unionByName(best)

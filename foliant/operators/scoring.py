@@ -174,3 +174,58 @@ def candidates(rows: DataFrame, vectors: list, ks: list[int], scopes: list[dict]
 def work(found: DataFrame) -> DataFrame:
     """How many vectors counted for any request, and how many were computed to the end."""
     return found.filter("id is null").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
+
+
+def _few(request: np.ndarray, ids: np.ndarray, product: np.ndarray, name: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of a request and a vector those that reach the bar of their request, of equal vectors the one with the smallest id."""
+    keep = product >= bar[request]
+    request, ids, product, name = request[keep], ids[keep], product[keep], name[keep]
+    order = np.lexsort((ids, name, request))
+    request, ids, product, name = request[order], ids[order], product[order], name[order]
+    first = np.ones(len(request), bool)
+    first[1:] = (request[1:] != request[:-1]) | (name[1:] != name[:-1])
+    return request[first], ids[first], product[first], name[first]
+
+
+def nearest(block: DataFrame, rows: DataFrame, same_row: bool, other: str | None) -> DataFrame:
+    """(id, near_id): for each row of block (id, embedding) all rows whose dot product can be the largest of its task, a few at most.
+
+    Vectors of other lengths than the widest of the block, null ones and ones that hold no finite numbers count as the farthest: such a row is
+    named only where there is no other. A request like that meets nothing but these, and the smallest id is named."""
+    spark = rows.sparkSession
+    ship(spark)
+    asked = block.collect()
+    width = max((len(r["embedding"] or ()) for r in asked), default=0)
+    unit, good = _matrix(pa.array([r["embedding"] and list(r["embedding"]) for r in asked], pa.list_(pa.float64())), width)
+    # Values of `other` go by number; null equals nothing and differs from nothing, as in SQL.
+    values = {v: n for n, v in enumerate(dict.fromkeys(r[other] for r in asked if r[other] is not None))} if other else {}
+    own = np.array([values.get(r[other], -2) for r in asked], np.int64) if other else None
+    held = spark.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), unit, good, own, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, fine, own, values = held.value
+        size, best = np.linalg.norm(q, axis=1), np.full(len(ids), -np.inf)
+        mix = np.random.default_rng(1).integers(1, 2**63, q.shape[1], dtype=np.uint64) | np.uint64(1)
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
+        longest, step = 0.0, max(1, CELLS // max(1, len(ids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                near, (x, there) = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding"), q.shape[1])
+                longest = max(longest, float(np.linalg.norm(x, axis=1).max(initial=0.0)))
+                product = np.where(there[:, None] & fine, x @ q.T, -np.inf)
+                live = np.ones(product.shape, bool) if same_row else near[:, None] != ids
+                if own is not None:
+                    theirs = np.array([-2 if v is None else values.get(v, -1) for v in batch.column("other").to_pylist()], np.int64)[:, None]
+                    live &= (theirs != own) & (theirs != -2) & (own != -2)
+                best = np.maximum(best, np.where(live, product, -np.inf).max(axis=0, initial=-np.inf))
+                # Rounding errors are far smaller than this share of the lengths; the exact product decides.
+                bar = best - SLACK * size * longest
+                row, request = np.nonzero(live & (product >= bar))
+                with np.errstate(over="ignore"):
+                    name = (x.view(np.uint64) * mix).sum(axis=1, dtype=np.uint64) if x.shape[1] else np.zeros(len(x), np.uint64)
+                name = np.where(product[row, request] > -np.inf, name[row], np.uint64(0))  # of the farthest only the smallest id is kept
+                found = _few(*(np.concatenate(c) for c in zip(found, (request, near[row], product[row, request], name), strict=True)), bar)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1], pa.int64())], ["id", "near_id"])
+
+    return rows.select("id", "embedding", *([F.col(other).alias("other")] if other else [])).mapInArrow(run, "id long, near_id long")

@@ -724,3 +724,25 @@ def test_upper_case_as_in_duckdb(spark):
     texts = ["straße", "", None, "ño", *T.SIMPLE_UPPER]
     ours = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.upper(F.col("t"))).collect()]
     assert ours == [duckdb.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for t in texts]
+
+
+def test_nearest_by_products_is_exact(spark):
+    random_ = np.random.default_rng(3)
+    v = random_.normal(size=(60, 8)).astype(np.float32)
+    v[20:30] = v[5]  # copies: the smallest id that may match wins
+    rows = [(k, v[k].tolist() if k != 59 else None, k % 3 if k != 58 else None) for k in range(60)]
+    e = spark.createDataFrame(rows, "id long, embedding array<float>, label int").repartition(4)
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(v[a], v[b], strict=True))
+    for other in (None, "label"):
+        fit = lambda a, b: a != b and (other is None or (b != 58 and a % 3 != b % 3))  # noqa: B023, E731
+        wanted = {a: max((b for b in range(59) if fit(a, b)), key=lambda b: (dot(a, b), -b)) for a in range(58)}  # noqa: B023
+        found = retrieval.nearest(e.filter("id < 58"), e, other=other)
+        assert {r["id"]: r["near_id"] for r in found.collect()} == wanted
+        assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_are_unpacked_one_at_a_time(spark, monkeypatch):
+    units = spark.createDataFrame([(d, "es", n, 1, f"linea {n}") for d in range(70) for n in range(3)], "doc_id long, lang string, unit_no int, page int, text string").coalesce(1)
+    monkeypatch.setattr(chunking, "SEGMENTS", 8)
+    found = chunking.chunks(units).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(70)) and {r["content"] for r in found} == {"linea 0\n\nlinea 1\n\nlinea 2"}
