@@ -31,21 +31,36 @@ def _share(x: float) -> Column:
 
 
 def lines(glyphs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Text of each line, spaces where the gap to the glyph before reaches a share of the line's median glyph width.
+    """Text of each line of glyphs (LINE, glyph_no, c, x0, x1), a row for each glyph. Where a parser gives a line's glyphs together, `despaced` takes them without a shuffle."""
+    return despaced(glyphs.groupBy(*LINE).agg(F.collect_list(F.struct("glyph_no", "c", "x0", "x1")).alias("g")), settings)
 
-    White space among the glyphs is ignored. `long_tokens` counts runs that are suspiciously long."""
-    g = glyphs.filter(~F.col("c").rlike(r"(?U)^\s+$")).withColumn("w", F.greatest(F.col("x1") - F.col("x0"), F.lit(0.0)))
-    rows = g.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("glyph_no", "c", "x0", "x1"))).alias("g"), F.coalesce(F.percentile(F.when(F.col("w") > 0, F.col("w")), 0.5), F.lit(1.0)).alias("median"))
+
+def despaced(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Text of each line (LINE, g: its glyphs), spaces where the gap to the glyph before reaches a share of the line's median glyph width.
+
+    White space among the glyphs is ignored, and lines of nothing else go. `long_tokens` counts runs that are suspiciously long."""
+    rows = rows.select(*LINE, F.array_sort(F.filter("g", lambda x: ~x["c"].rlike(r"(?U)^\s+$"))).alias("g"))
+    rows = rows.withColumn("w", F.array_sort(F.filter(F.transform("g", lambda x: x["x1"] - x["x0"]), lambda w: w > 0)))
+    n = F.size("w")
+    middle = (F.get("w", F.floor((n - 1) / 2).cast("int")) + F.get("w", F.floor(n / 2).cast("int"))) / 2
+    rows = rows.withColumn("median", F.when(n > 0, middle).otherwise(1.0)).drop("w")
     before = lambda i: F.get(F.col("g"), i - 1)["x1"]
     spaced = F.transform("g", lambda x, i: F.concat(F.when((i > 0) & (x["x0"] - before(i) >= settings.space_gap_ratio * F.col("median")), " ").otherwise(""), x["c"]))
-    out = rows.select(*LINE, F.array_join(spaced, "").alias("text"), F.size("g").alias("n"))
+    # As an element that is exploded: a filter would be moved to where it makes all of this twice.
+    made = F.when(F.size("g") > 0, F.array(F.struct(F.array_join(spaced, "").alias("text"), F.size("g").alias("n"))))
+    out = rows.select(*LINE, F.explode(made).alias("o")).select(*LINE, "o.*")
     runs = F.size(F.filter(F.split("text", " "), lambda t: F.length(t) > settings.long_token))
     return out.select(*LINE, "text", F.when(F.col("n") > 1, runs).otherwise(0).alias("long_tokens"))
 
 
 def block_texts(glyphs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Text of each block: its lines joined, words broken at line ends mended."""
-    rows = lines(glyphs, settings).groupBy("doc_id", "page", "block_no").agg(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("line_no", F.trim("text").alias("t"))))).alias("l"), F.sum("long_tokens").alias("long_tokens"))
+    """Text of each block of glyphs."""
+    return joined(lines(glyphs, settings))
+
+
+def joined(lines: DataFrame) -> DataFrame:
+    """Text of each block: its lines (as from `despaced`) joined, words broken at line ends mended."""
+    rows = lines.groupBy("doc_id", "page", "block_no").agg(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("line_no", F.trim("text").alias("t"))))).alias("l"), F.sum("long_tokens").alias("long_tokens"))
     return rows.select("doc_id", "page", "block_no", T.join_lines(F.transform("l", lambda x: x["t"])).alias("text"), "long_tokens")
 
 

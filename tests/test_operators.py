@@ -746,3 +746,11 @@ def test_segments_are_unpacked_one_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(chunking, "SEGMENTS", 8)
     found = chunking.chunks(units).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(70)) and {r["content"] for r in found} == {"linea 0\n\nlinea 1\n\nlinea 2"}
+
+
+def test_lines_whose_glyphs_are_together_need_no_shuffle(spark, sf_dir):
+    rows = reference.line_glyphs(spark, sf_dir)
+    found = layout.despaced(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    apart = rows.select(*layout.LINE, F.explode("g").alias("x")).select(*layout.LINE, "x.*")
+    assert sorted(found.collect()) == sorted(layout.lines(apart.repartition(3)).collect())
