@@ -190,6 +190,8 @@ def chunks_of(pieces: list[dict], article: bool, count: Counter, target: int, ca
     ]
 
 
+#: Segments whose chunks go out at once; one at a time is unpacked, since its lines as Python objects take many times their Arrow form.
+SEGMENTS = 64
 CHUNK = "array<struct<content:string,page_from:int,page_to:int,token_count:int>>"
 
 
@@ -199,9 +201,13 @@ def chunks(units: DataFrame, count: Counter = count_words, settings: Settings =
     target, cap = settings.chunk_token_target, settings.chunk_token_cap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [chunks_of(p, s > 0, count, target, cap) for s, p in zip(batch.column("segment").to_pylist(), batch.column("pieces").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*STREAM, "segment")), pa.array(made, kind)], [*STREAM, "segment", "c"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SEGMENTS):
+                batch = whole.slice(at, SEGMENTS)
+                made = [chunks_of(p.as_py(), s.as_py() > 0, count, target, cap) for s, p in zip(batch.column("segment"), batch.column("pieces"), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*STREAM, "segment")), pa.array(made, kind)], [*STREAM, "segment", "c"])
+            whole = batch = made = None
+            pa.default_memory_pool().release_unused()
 
     ship(units.sparkSession)
     found = segments(units)
