@@ -35,6 +35,20 @@ def lines(glyphs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return despaced(glyphs.groupBy(*LINE).agg(F.collect_list(F.struct("glyph_no", "c", "x0", "x1")).alias("g")), settings)
 
 
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(LINE, g), as `despaced` takes them, of pages (doc_id, page, glyphs): glyphs are cut into lines within their page, and none is shuffled."""
+    # Sorted they stand by block, line and number; a line begins where the block or line is another than before.
+    rows = pages.filter(F.size("glyphs") > 0).select("doc_id", "page", F.sort_array("glyphs").alias("s"))
+    other = lambda i, c: ~F.get("s", i)[c].eqNullSafe(F.get("s", i - 1)[c])
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | other(i, "block_no") | other(i, "line_no"))
+    rows = rows.withColumn("at", begins)
+    ends = F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    own = lambda e: F.transform(F.slice("s", e["a"] + 1, F.coalesce(e["b"], F.size("s")) - e["a"]), lambda x: F.struct(*[x[c].alias(c) for c in ("glyph_no", "c", "x0", "x1")]))
+    first = lambda e: F.get("s", e["a"])
+    cut = F.transform(ends, lambda e: F.struct(first(e)["block_no"].alias("block_no"), first(e)["line_no"].alias("line_no"), own(e).alias("g")))
+    return rows.select("doc_id", "page", F.explode(cut).alias("l")).select("doc_id", "page", "l.*")
+
+
 def despaced(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Text of each line (LINE, g: its glyphs), spaces where the gap to the glyph before reaches a share of the line's median glyph width.
 
@@ -66,7 +80,12 @@ def joined(lines: DataFrame) -> DataFrame:
 
 def blocks_of(glyphs: DataFrame, boxes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Block texts with the geometry in boxes (doc_id, page, block_no, pw, ph, x0, x1, y0, y1); blocks without text go, a page size of zero is one."""
-    b = boxes.join(block_texts(glyphs, settings).filter("text <> ''"), ["doc_id", "page", "block_no"])
+    return boxed(block_texts(glyphs, settings), boxes)
+
+
+def boxed(texts: DataFrame, boxes: DataFrame) -> DataFrame:
+    """As `blocks_of`, of texts of blocks (as from `joined`)."""
+    b = boxes.join(texts.filter("text <> ''"), ["doc_id", "page", "block_no"])
     one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c)).alias(c)
     return b.select("doc_id", "block_no", "page", one("pw"), one("ph"), "x0", "x1", "y0", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("x_mid"), (F.col("x1") - F.col("x0")).alias("width"), "text", "long_tokens")
 

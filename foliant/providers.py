@@ -167,19 +167,39 @@ def parsed_pages(objects: DataFrame, factory: Callable[[], PageParser]) -> DataF
     return objects.select("path", "content").mapInArrow(run, "path string, page_number int, text string, image binary")
 
 
+#: Boxes and glyphs of pages that go out at once; as Python objects they take many times their Arrow form. A page goes out whole.
+PARTS = 50_000
+
+
 def parsed_layout(objects: DataFrame, factory: Callable[[], PageParser]) -> DataFrame:
     """A row (path, page, boxes, glyphs) for each page, as lists for the layout operators to explode."""
     boxes = "array<struct<block_no:int,pw:double,ph:double,x0:double,x1:double,y0:double,y1:double>>"
     glyphs = "array<struct<block_no:int,line_no:int,glyph_no:int,c:string,x0:double,x1:double>>"
     schema = f"path string, page int, boxes {boxes}, glyphs {glyphs}"
+    numbers = lambda kind, *names: [(n, kind) for n in names]
+    box = pa.struct([*numbers(pa.int32(), "block_no"), *numbers(pa.float64(), "pw", "ph", "x0", "x1", "y0", "y1")])
+    glyph = pa.struct([*numbers(pa.int32(), "block_no", "line_no", "glyph_no"), ("c", pa.string()), *numbers(pa.float64(), "x0", "x1")])
+    kinds = {"path": pa.string(), "page": pa.int32(), "boxes": pa.list_(box), "glyphs": pa.list_(glyph)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser, rows, held = made(factory), [], 0
 
-    def run(batches):
-        import pandas as pd
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+            rows.clear()
+            return batch
 
-        parser = made(factory)
-        for frame in batches:
-            rows = [(path, p["page_number"], p.get("boxes", []), p.get("glyphs", [])) for path, content in zip(frame["path"], frame["content"], strict=True) for p in parser.pages(content)]
-            yield pd.DataFrame(rows, columns=["path", "page", "boxes", "glyphs"])
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for p in parser.pages(content.as_py()):
+                    row = (path.as_py(), p["page_number"], p.get("boxes", []), p.get("glyphs", []))
+                    rows.append(row)
+                    held += 1 + len(row[2] or ()) + len(row[3] or ())
+                    if held >= PARTS:
+                        yield out()
+                        held = 0
+        if rows:
+            yield out()
 
     ship(objects.sparkSession)
-    return objects.select("path", "content").mapInPandas(run, schema)
+    return objects.select("path", "content").mapInArrow(run, schema)

@@ -41,31 +41,50 @@ def ingest(units: DataFrame, scopes: DataFrame, target: store.ChunkStore, factor
     _stored(units, units.select(F.col("doc_id").alias("document_id")).distinct(), scopes, target, factory, settings)
 
 
+def _named(objects: DataFrame) -> DataFrame:
+    return objects.select("doc_id", "content", F.sha2("content", 256).alias("hash"))
+
+
+#: Bytes of a row group of parsed pages: Spark's reader holds 4,096 rows of a group at once, whose glyphs take several times what they take in the file.
+GROUP_BYTES = 8 << 20
+
+
 def parsed_once(objects: DataFrame, parser: Callable[[], providers.PageParser], pages: str) -> DataFrame:
-    """(doc_id, page, boxes, glyphs) of objects (doc_id, path, content), from a folder of parsed pages that belongs to one parser.
+    """(hash, page, boxes, glyphs) of the contents of objects (doc_id, path, content) at least, from a folder of parsed pages that belongs to one parser.
 
     Objects are known by the hash of their content: what the folder does not hold is parsed and added, once for each content; the rest is only read.
     The folder holds `pages` and `parsed`, the hashes whose pages are all there; pages of a run that failed between the two are
-    parsed again, and read once."""
+    parsed again, and stand there twice."""
     spark = objects.sparkSession
-    named = objects.select("doc_id", "content", F.sha2("content", 256).alias("hash"))
+    named = _named(objects)
     layout_of = providers.parsed_layout(spark.createDataFrame([], "path string, content binary"), parser).withColumnRenamed("path", "hash")
     for name, schema in (("pages", layout_of.schema), ("parsed", "hash string")):  # folders to read from
         spark.createDataFrame([], schema).write.mode("append").parquet(f"{pages}/{name}")
     known = spark.read.schema("hash string").parquet(f"{pages}/parsed").distinct()
+    none_known = known.isEmpty()
     fresh = _written(named.join(known, "hash", "left_anti").dropDuplicates(["hash"]).select("hash", "content"), "fresh")
-    providers.parsed_layout(fresh.withColumnRenamed("hash", "path"), parser).withColumnRenamed("path", "hash").write.mode("append").parquet(f"{pages}/pages")
+    made = providers.parsed_layout(fresh.withColumnRenamed("hash", "path"), parser).withColumnRenamed("path", "hash")
+    made.write.option("parquet.block.size", GROUP_BYTES).mode("append").parquet(f"{pages}/pages")
     fresh.select("hash").write.mode("append").parquet(f"{pages}/parsed")
-    held = spark.read.schema(layout_of.schema).parquet(f"{pages}/pages").join(named.select("hash").distinct(), "hash", "left_semi")
-    return named.select("doc_id", "hash").join(held.dropDuplicates(["hash", "page"]), "hash").drop("hash")
+    held = spark.read.schema(layout_of.schema).parquet(f"{pages}/pages")
+    # Pages of a new folder are all asked for; their glyphs need not meet the names.
+    return held if none_known else held.join(named.select("hash").distinct(), "hash", "left_semi")
 
 
 def pages_of(objects: DataFrame, parser: Callable[[], providers.PageParser], settings: Settings = DEFAULT, pages: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Blocks, as the layout operators take them, and page counts (doc_id, page_count) of objects (doc_id, path, content). `pages`: a folder of parsed pages to keep."""
-    parsed = _written(parsed_once(objects, parser, pages or unused_path(objects.sparkSession, "pages")), "parsed")
-    boxes = parsed.select("doc_id", "page", F.explode("boxes").alias("b")).select("doc_id", "page", "b.*")
-    glyphs = parsed.select("doc_id", "page", F.explode("glyphs").alias("g")).select("doc_id", "page", "g.*")
-    return layout.blocks_of(glyphs, boxes, settings), parsed.groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("page_count"))
+    """Blocks, as the layout operators take them, and page counts (doc_id, page_count) of objects (doc_id, path, content). `pages`: a folder of parsed pages to keep.
+
+    Blocks are made once for each content, where their page is read, and written; only their texts move."""
+    held = parsed_once(objects, parser, pages or unused_path(objects.sparkSession, "pages"))
+    named = _named(objects).select("doc_id", "hash").distinct()
+    own = held.withColumnRenamed("hash", "doc_id")
+    lines = layout.despaced(layout.page_lines(own), settings).dropDuplicates(layout.LINE)  # pages that stand there twice
+    boxes = own.select("doc_id", "page", "boxes").dropDuplicates(["doc_id", "page"]).select("doc_id", "page", F.explode("boxes").alias("b")).select("doc_id", "page", "b.*")
+    blocks = layout.boxed(layout.joined(lines), boxes)
+    columns = blocks.columns
+    blocks = named.join(blocks.withColumnRenamed("doc_id", "hash"), "hash").select(*columns)
+    counts = named.join(held.select("hash", "page").distinct(), "hash").groupBy("doc_id").agg(F.countDistinct("page").cast("int").alias("page_count"))
+    return _written(blocks, "blocks"), counts
 
 
 def ingest_documents(objects: DataFrame, scopes: DataFrame, target: store.ChunkStore, parser: Callable[[], providers.PageParser], factory: Callable[[], providers.Embedder] = providers.StubEmbedder, settings: Settings = DEFAULT, pages: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -563,6 +564,39 @@ def test_ingest_from_parser_to_store(spark, tmp_path):
     assert stored(spark, target) == [(2, 0, "solo texto")] and out[1]["chunks_written"] == 0
 
 
+def test_pages_are_parsed_in_small_batches_and_glyphs_stay_in_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(providers, "ship", lambda _: None)
+    out = []
+
+    class Frames:
+        """A table whose one Arrow batch holds all rows."""
+
+        sparkSession = spark
+        schema = "path string, content binary"
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            out.extend(run(iter([pa.RecordBatch.from_pydict({"path": [str(k) for k in range(400)], "content": [b"abc def\n" * 100] * 400})])))
+
+    providers.parsed_layout(Frames(), Bulletin)
+    assert sum(b.num_rows for b in out) == 400 and max(b.num_rows for b in out) < 100
+    objects_ = spark.createDataFrame([(1, "a", bytearray("uno dos\ntres\f\fcuatro".encode())), (2, "b", bytearray(b"uno"))], "doc_id long, path string, content binary")
+    blocks, counts = ingest.pages_of(objects_, Bulletin)
+    assert sorted((r["doc_id"], r["page"], r["block_no"], r["text"]) for r in blocks.collect()) == [(1, 1, 0, "uno dos"), (1, 1, 1, "tres"), (1, 3, 0, "cuatro"), (2, 1, 0, "uno")]
+    assert {r["doc_id"]: r["page_count"] for r in counts.collect()} == {1: 3, 2: 1}
+    # Glyphs out of order, of two lines and without a block; blocks are files by now.
+    g = [(0, 1, 1, "d", 5.0, 10.0), (0, 0, 1, "b", 5.0, 10.0), (None, 0, 0, "x", 0.0, 5.0), (0, 0, 0, "a", 0.0, 5.0), (0, 1, 0, "c", 0.0, 5.0), (1, 0, 0, "e", 0.0, 5.0)]
+    page = spark.createDataFrame([(1, 1, g), (2, 1, []), (3, 1, None)], "doc_id long, page int, glyphs array<struct<block_no:int,line_no:int,glyph_no:int,c:string,x0:double,x1:double>>")
+    cut = layout.page_lines(page)
+    rows = page.select("doc_id", "page", F.explode("glyphs").alias("g")).select("doc_id", "page", "g.*")
+    both = [sorted(map(str, x.collect())) for x in (layout.despaced(cut), layout.lines(rows))]
+    assert both[0] == both[1] and len(both[0]) == 4
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (layout.despaced(cut), blocks)]
+    assert not any("Exchange" in p for p in plans)
+
+
 class CountingParser(Bulletin):
     """Leaves a file for each call."""
 
