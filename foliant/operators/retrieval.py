@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant.functions import vectors
 from foliant.operators import scoring
+from foliant.shared import unused_path
 
 HIT = ["id", "document_id", "chunk_index", "page_from", "page_to", "content", "retrieval_status", "authority_level", "convenio_id"]
-#: Requests that one pass may broadcast: with vectors of 1,024 floats about 40 MB.
-BLOCK_REQUESTS = 10_000
+#: Requests that one pass may broadcast: with vectors of 1,024 floats about 40 MB. Of shorter vectors and few hits it may broadcast more: as many as take
+#: BLOCK_BYTES, ask for BLOCK_HITS, and MOST_REQUESTS at most.
+BLOCK_REQUESTS, BLOCK_BYTES, BLOCK_HITS, MOST_REQUESTS = 10_000, 40 << 20, 500_000, 100_000
 
 
 def eligible(convenio_id: int | None, include_national_law: bool, statuses: Sequence[str], as_of: date | None) -> Column:
@@ -38,7 +42,7 @@ def eligible(convenio_id: int | None, include_national_law: bool, statuses: Sequ
 NARROW = [c for c in HIT if c != "content"]
 
 
-def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranked hits (of NARROW and more) with their content."""
     return hits.join(chunks.select(F.col("id").alias("of"), "content"), F.col("id") == F.col("of"), "left").drop("of")
 
@@ -54,7 +58,7 @@ def _nearest_few(found: DataFrame, k: Column) -> DataFrame:
 def _ranked(rows: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     near = rows.withColumn("distance", vectors.cosine_distance(F.col("embedding"), vectors.literal(query)))
     top = near.select(*NARROW, "distance").orderBy(F.asc_nulls_last("distance"), "id").limit(k)
-    return _with_text(top, rows).select(*HIT, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
+    return with_text(top, rows).select(*HIT, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
 
 
 def retrieve(chunks: DataFrame, query: Sequence[float], convenio_id: int | None = None, include_national_law: bool = True, statuses: Sequence[str] = ("active",), as_of: date | None = None, k: int = 8) -> DataFrame:
@@ -87,36 +91,55 @@ def answerable(chunks: DataFrame, query: str, embed: Callable[[str], Sequence[fl
 def retrieve_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """The k nearest eligible chunks for each row of requests (req_id, query_vec, convenio_id, include_national_law, statuses, as_of_date, k).
 
-    Requests go to the workers in blocks of at most BLOCK_REQUESTS, each block against all chunks; each task gives only
-    its own best, without text."""
-    out = None
+    Requests go to the workers in blocks, each block against all chunks; each task gives only its own best, without text."""
+    return with_text(ranked_batch(chunks, requests), chunks).select("req_id", "rank", *HIT, "score")
+
+
+def ranked_batch(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """As `retrieve_batch`, without text."""
+    out, blocks = None, _batches(requests)
+    narrow = chunks.select("embedding", *NARROW, *[c for c in scoring.SCOPE if c not in NARROW])
+    if len(blocks) > 1:  # what gives the chunks runs once, not for each block
+        path = unused_path(chunks.sparkSession, "narrow")
+        narrow.write.parquet(path)
+        narrow = chunks.sparkSession.read.schema(narrow.schema).parquet(path)
     kind = requests.schema["req_id"].dataType.simpleString()
-    for block in blocks_of(requests, "req_id"):
-        found = _weighed(chunks, block)
-        for rows, candidates in found:
-            names = chunks.sparkSession.createDataFrame([(n, r["req_id"], r["k"]) for n, r in enumerate(rows)], f"request int, req_id {kind}, k int")
+    for block in blocks:
+        for names, candidates in _weighed(narrow, block, kind):
             few = _nearest_few(candidates.join(F.broadcast(names), "request"), F.col("k")).select("req_id", "k", F.col("id").alias("near_id"))
-            pairs = few.join(F.broadcast(block.select("req_id", "query_vec")), "req_id").join(chunks.select("embedding", *NARROW), F.col("near_id") == F.col("id")).drop("near_id")
+            pairs = few.join(F.broadcast(block.select("req_id", "query_vec")), "req_id").join(narrow.select("embedding", *NARROW), F.col("near_id") == F.col("id")).drop("near_id")
             pairs = pairs.withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vec"))).drop("embedding", "query_vec")
             rank = F.row_number().over(Window.partitionBy("req_id").orderBy(F.asc_nulls_last("distance"), "id"))
             hits = pairs.withColumn("rank", rank).filter(F.col("rank") <= F.col("k"))
             out = hits if out is None else out.unionByName(hits)
-    return _with_text(out, chunks).select("req_id", "rank", *HIT, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
-
-
-def _weighed(chunks: DataFrame, block: DataFrame) -> list[tuple[list, DataFrame]]:
-    """The requests of a block, by the length of their vectors, with their candidates."""
-    rows = block.select("req_id", "query_vec", "convenio_id", "include_national_law", "statuses", "as_of_date", "k").collect()
-    widths: dict[int, list] = {}
-    for r in rows:
-        widths.setdefault(len(r["query_vec"] or ()), []).append(r)
-    of = lambda own: scoring.candidates(chunks, [list(r["query_vec"] or ()) for r in own], [r["k"] or 0 for r in own], [r.asDict() for r in own])
-    return [(own, of(own)) for own in (widths.values() or [[]])]
+    return out.select("req_id", "rank", *NARROW, vectors.rounded(1 - F.col("distance"), 6).alias("score"))
+
+
+def _batches(requests: DataFrame) -> list[DataFrame]:
+    """The requests in blocks that a pass may broadcast."""
+    n, width, k = requests.agg(F.count("*"), F.coalesce(F.max(F.size("query_vec")), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    most = max(BLOCK_REQUESTS, min(BLOCK_BYTES // (4 * max(1, width)), BLOCK_HITS // max(1, k), MOST_REQUESTS))
+    return _dealt(requests, "req_id", max(1, -(-n // most)))
+
+
+def _weighed(chunks: DataFrame, block: DataFrame, kind: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The requests of a block (request, req_id, k), by the length of their vectors, with their candidates."""
+    spark, scope = chunks.sparkSession, ["convenio_id", "include_national_law", "statuses", "as_of_date"]
+    rows = block.select("req_id", "query_vec", F.coalesce("k", F.lit(0)).cast("long").alias("k"), *scope).toArrow().combine_chunks()
+    sizes, out = pc.fill_null(pc.list_value_length(rows["query_vec"]), 0), []
+    for width in pc.unique(sizes).to_pylist() or [0]:
+        own = rows.filter(pc.equal(sizes, width))
+        ids, ks = own["req_id"].to_pylist(), own["k"].to_pylist()
+        vectors_of = pa.concat_arrays(own["query_vec"].chunks) if own.num_rows else pa.array([], pa.list_(pa.float32()))
+        found = scoring.candidates(chunks, vectors_of, ks, own.select(scope).to_pylist())
+        out.append((spark.createDataFrame(list(zip(range(len(ids)), ids, ks, strict=True)), f"request int, req_id {kind}, k long"), found))
+    return out
 
 
 def weighing(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """How many vectors counted for any request of its block, and how many products were computed to the end: what `retrieve_batch` costs."""
-    work = [scoring.work(found) for block in blocks_of(requests, "req_id") for _, found in _weighed(chunks, block)]
+    kind = requests.schema["req_id"].dataType.simpleString()
+    work = [scoring.work(found) for block in _batches(requests) for _, found in _weighed(chunks, block, kind)]
     out = work[0]
     for more in work[1:]:
         out = out.unionByName(more)
@@ -131,7 +154,10 @@ def fan_out(hits: DataFrame) -> DataFrame:
 
 def blocks_of(requests: DataFrame, key: str) -> list[DataFrame]:
     """The rows in blocks of about BLOCK_REQUESTS at most, dealt by the hash of a key; they are counted."""
-    parts = max(1, -(-requests.count() // BLOCK_REQUESTS))
+    return _dealt(requests, key, max(1, -(-requests.count() // BLOCK_REQUESTS)))
+
+
+def _dealt(requests: DataFrame, key: str, parts: int) -> list[DataFrame]:
     return [requests] if parts == 1 else [requests.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
 
 

@@ -24,6 +24,8 @@ from foliant.shipping import ship
 SLACK = 1e-9
 #: Cells of a product at once, and how many candidates of a request are waited for at most before the worst go.
 CELLS, MANY = 2_000_000, 10_000
+#: Requests are weighed by scope if there are no more scopes than this; of more requests than FEW hardly a vector is out for all before the end.
+SCOPES, FEW = 256, 64
 SCOPE = ["convenio_id", "authority_level", "retrieval_status", "validity_start", "validity_end"]
 
 
@@ -45,11 +47,12 @@ def _days(column: pa.Array, missing: int) -> np.ndarray:
 class Requests:
     """A block of requests as arrays; without scopes every vector counts for every request."""
 
-    def __init__(self, vectors: list, ks: list[int], scopes: list[dict] | None):
+    def __init__(self, vectors: list | pa.Array, ks: list[int], scopes: list[dict] | None):
         self.k, self.scoped = np.array(ks, np.int64), scopes is not None
-        width = max((len(v) for v in vectors if v), default=0)
+        column = vectors if isinstance(vectors, pa.Array) else pa.array(vectors, pa.list_(pa.float64()))
+        width = pc.max(pc.list_value_length(column)).as_py() or 0
         # Requests of another width than the widest match no vector; they are given by their own block.
-        self.unit, _ = _matrix(pa.array([v if v and len(v) == width else None for v in vectors], pa.list_(pa.float64())), width)
+        self.unit, _ = _matrix(column, width)
         size = np.linalg.norm(self.unit, axis=1)
         self.good = size > 0
         self.unit /= np.where(self.good, size, 1.0)[:, None]
@@ -66,20 +69,33 @@ class Requests:
             epoch = np.datetime64("1970-01-01")
             day = [None if s["as_of_date"] is None else int((np.datetime64(s["as_of_date"]) - epoch).astype(int)) for s in scopes]
             self.from_day, self.to_day = np.array([far.max if d is None else d for d in day], np.int64), np.array([far.min if d is None else d for d in day], np.int64)
-
-    def eligible(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Whether each vector counts for each request."""
+        #: The requests of each scope, and whether one stands for all of them; else all requests together.
+        self.groups, self.alike = [np.arange(len(self.k))] if len(self.k) else [], not self.scoped
+        if self.scoped and len(self.k):
+            keys = np.column_stack([self.convenio, self.own, self.law, self.from_day, self.to_day, np.unique(self.status, axis=1, return_inverse=True)[1].reshape(-1)])
+            of = np.unique(keys, axis=0, return_inverse=True)[1].reshape(-1)
+            if of.max() < SCOPES:
+                self.groups, self.alike = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1]), True
+
+    def places(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """The scope of each vector as arrays."""
         if not self.scoped:
-            return np.ones((batch.num_rows, len(self.k)), bool)
+            return ()
         column = lambda c: batch.column(c)
         convenio, none = pc.fill_null(column("convenio_id"), 0).to_numpy(zero_copy_only=False), column("convenio_id").is_null().to_numpy(zero_copy_only=False)
         law = pc.fill_null(pc.equal(column("authority_level"), "national_law"), False).to_numpy(zero_copy_only=False)
         status = np.array([self.statuses.get(x, -1) for x in column("retrieval_status").to_pylist()], np.int64)
         far = np.iinfo(np.int32)
-        start, end = _days(column("validity_start"), far.min), _days(column("validity_end"), far.max)
-        out = ((convenio[:, None] == self.convenio) & self.own & ~none[:, None]) | (law[:, None] & self.law)
-        out &= self.status[status]
-        return out & (start[:, None] <= self.from_day) & (end[:, None] >= self.to_day)
+        return convenio, none, law, status, _days(column("validity_start"), far.min), _days(column("validity_end"), far.max)
+
+    def eligible(self, places: tuple[np.ndarray, ...], rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Whether each of these vectors counts for each request of a group."""
+        if not self.scoped:
+            return np.ones((len(rows), len(group)), bool)
+        convenio, none, law, status, start, end = (x[rows] for x in places)
+        out = ((convenio[:, None] == self.convenio[group]) & self.own[group] & ~none[:, None]) | (law[:, None] & self.law[group])
+        out &= self.status[:, group][status]
+        return out & (start[:, None] <= self.from_day[group]) & (end[:, None] >= self.to_day[group])
 
 
 class Best:
@@ -95,33 +111,71 @@ class Best:
 
     def add(self, batch: pa.RecordBatch) -> None:
         q, ids = self.q, batch.column("id").to_numpy(zero_copy_only=False)
-        live = q.eligible(batch)
-        self.seen += int(live.any(axis=1).sum())
-        x, good = _matrix(batch.column("embedding"), q.unit.shape[1])
+        places, (x, good) = q.places(batch), _matrix(batch.column("embedding"), q.unit.shape[1])
         size = np.linalg.norm(x, axis=1)
         good &= size > 0
         unit = x / np.where(good, size, 1.0)[:, None]
-        known = good[:, None] & q.good
-        live &= known | (self.least == -np.inf)
-        cosine, rows, part, at = np.full(live.shape, -np.inf), np.flatnonzero((live & known).any(axis=1)), 0.0, 0
-        for cut in q.cuts:
-            part = part + unit[rows, at:cut] @ q.unit[:, at:cut].T
-            at = cut
-            if cut == q.cuts[-1]:
-                cosine[rows] = np.where(known[rows], part, -np.inf)
-                self.scored += len(rows)
-                break
-            bound = part + np.linalg.norm(unit[rows, cut:], axis=1)[:, None] * q.rest[cut]
-            on = (live[rows] & known[rows] & (bound >= self.least - SLACK)).any(axis=1)
-            rows, part = rows[on], part[on]
-        row, request = np.nonzero(live & ((cosine >= self.least - SLACK) | (self.least == -np.inf)))
         with np.errstate(over="ignore"):
             name = (x.view(np.uint64) * self.mix).sum(axis=1, dtype=np.uint64) if x.shape[1] else np.zeros(len(x), np.uint64)
-        found = cosine[row, request]
-        self.held.append((request, ids[row], found, np.where(found == -np.inf, np.uint64(0), name[row])))
-        self.fresh += len(row)
-        if self.fresh > self.enough:
-            self.sort_out()
+        seen, ended = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        for group in q.groups:
+            rows = np.arange(len(x))
+            if q.alike:
+                rows = rows[q.eligible(places, rows, group[:1])[:, 0]]
+                seen[rows] = True
+            step = max(1, CELLS // len(group))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                live = None if q.alike else q.eligible(places, part, group)
+                if live is not None:
+                    seen[part[live.any(axis=1)]] = True
+                self._near(unit, good, part, group, live, ended, ids, name)
+                self._rest(good, part, group, live, ids)
+                if self.fresh > self.enough:
+                    self.sort_out()
+        self.seen += int(seen.sum())
+        self.scored += int(ended.sum())
+
+    def _near(self, unit: np.ndarray, good: np.ndarray, rows: np.ndarray, group: np.ndarray, live: np.ndarray | None, ended: np.ndarray, ids: np.ndarray, name: np.ndarray) -> None:
+        """Holds the pairs whose cosine reaches the bar; live: which pairs count, None for all."""
+        q, fine = self.q, good[rows]
+        # Requests without a direction are few; all of them together need no copy.
+        asked = group if q.good[group].all() else group[q.good[group]]
+        live = None if live is None else live[fine][:, q.good[group]]
+        rows, at, part = rows[fine], 0, 0.0
+        if not len(rows) or not len(asked):
+            return
+        vectors, least = q.unit[asked], self.least[asked]
+        for cut in q.cuts if len(asked) <= FEW else q.cuts[-1:]:
+            part = part + unit[rows, at:cut] @ vectors[:, at:cut].T
+            at = cut
+            if cut < q.cuts[-1]:
+                bound = part + np.linalg.norm(unit[rows, cut:], axis=1)[:, None] * q.rest[cut][asked]
+                near = bound >= least - SLACK
+                on = (near if live is None else near & live).any(axis=1)
+                rows, part, live = rows[on], part[on], live if live is None else live[on]
+        ended[rows] = True
+        most = int(q.k[asked].max(initial=0))
+        if live is None and 0 < most < len(rows) and np.isneginf(least).any():
+            # The first rows give a bar at once: as many as are asked for reach it.
+            least = np.maximum(least, np.partition(part, len(rows) - most, axis=0)[len(rows) - most])
+            self.least[asked] = least
+        near = part >= least - SLACK
+        row, request = np.nonzero(near if live is None else near & live)
+        self._hold(asked[request], ids[rows[row]], part[row, request], name[rows[row]])
+
+    def _rest(self, good: np.ndarray, rows: np.ndarray, group: np.ndarray, live: np.ndarray | None, ids: np.ndarray) -> None:
+        """Holds the pairs without a cosine, for requests that have no bar."""
+        q, open_ = self.q, np.isneginf(self.least[group])
+        if not open_.any() or (good[rows].all() and q.good[group[open_]].all()):
+            return
+        none = ~(good[rows][:, None] & q.good[group[open_]])
+        row, request = np.nonzero(none if live is None else none & live[:, open_])
+        self._hold(group[open_][request], ids[rows[row]], np.full(len(row), -np.inf), np.zeros(len(row), np.uint64))
+
+    def _hold(self, *found: np.ndarray) -> None:
+        self.held.append(found)
+        self.fresh += len(found[0])
 
     def sort_out(self) -> tuple[np.ndarray, ...]:
         """Drops what is not among the best of its request, and raises the bar."""
@@ -147,7 +201,7 @@ class Best:
 OUT = "request int, id long, cosine double, seen long, scored long"
 
 
-def candidates(rows: DataFrame, vectors: list, ks: list[int], scopes: list[dict] | None = None) -> DataFrame:
+def candidates(rows: DataFrame, vectors: list | pa.Array, ks: list[int], scopes: list[dict] | None = None) -> DataFrame:
     """(request, id, cosine, seen, scored): all that can be among the k nearest, a few more than that from each task; and from each task a row with null
     id that says how many vectors counted for any request, and how many were computed to the end.
 
@@ -159,7 +213,7 @@ def candidates(rows: DataFrame, vectors: list, ks: list[int], scopes: list[dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(Requests(*block.value))
-        step = max(1, CELLS // max(1, len(best.q.k)))
+        step = max(1, CELLS // max(1, best.q.unit.shape[1]))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 best.add(batch.slice(at, step))

@@ -153,3 +153,45 @@ def test_a_scope_opens_its_own_files(spark, odd_chunks, tmp_path):
         assert sorted(r["id"] for r in rows.filter(scope).collect()) == sorted(r["id"] for r in chunks.filter(scope).collect())
         assert files_read(store.read_by_scope(spark, path, convenio, law)) < every
     assert files_read(store.read_by_scope(spark, path, None, False)) == 0
+
+
+def test_many_requests_in_blocks_by_scope(spark, sf_dir, odd_chunks, monkeypatch):
+    from foliant.operators import answering
+
+    chunks, requests = reference.chunks(spark, sf_dir), reference.requests(spark, sf_dir)
+    key = lambda x: (x["req_id"], x["rank"])
+    whole = sorted(retrieval.retrieve_batch(chunks, requests).collect(), key=key)
+    for name in ("BLOCK_REQUESTS", "MOST_REQUESTS"):
+        monkeypatch.setattr(retrieval, name, 4)
+    blocks = retrieval.retrieve_batch(chunks, requests)
+    assert sorted(blocks.collect(), key=key) == whole and len(whole) > 20
+    # Blocks read what the chunks need once, beside the text of the hits.
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") > 3 and plan.count("doc_id") == reference.chunks(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("doc_id")
+    asked = requests.withColumn("turn_id", F.col("req_id")).withColumn("pos", F.lit(0)).drop("req_id")
+    found = answering.sources(chunks, asked)
+    assert {r["turn_id"]: [(c["chunk_id"], c["content"], c["score"]) for c in r["chunks"]] for r in found.collect()} == {q: [(r["id"], r["content"], r["score"]) for r in whole if r["req_id"] == q] for q in {r["req_id"] for r in whole}}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_meet_the_requests_of_their_scope_alone(monkeypatch):
+    r = np.random.default_rng(3)
+    x, scope = r.normal(size=(3000, 8)).astype("f4"), [k % 30 for k in range(3000)]
+    scopes = [dict(convenio_id=k % 30, include_national_law=False, statuses=["active"], as_of_date=None) for k in range(300)]
+    asked = r.normal(size=(300, 8))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "convenio_id": pa.array(scope, pa.int64()), "authority_level": pa.array([None] * 3000, pa.string()), "retrieval_status": ["active"] * 3000, "validity_start": pa.array([None] * 3000, pa.date32()), "validity_end": pa.array([None] * 3000, pa.date32())})
+    cells, eligible = [], scoring.Requests.eligible
+    for most in (256, 0):  # by scope, and all together
+        monkeypatch.setattr(scoring, "SCOPES", most)
+        monkeypatch.setattr(scoring.Requests, "eligible", lambda self, *a: (out := eligible(self, *a), cells.append(out.size))[0])
+        best = scoring.Best(scoring.Requests(asked.tolist(), [3] * 300, scopes))
+        best.add(batch)
+        request, ids, cosine, _ = best.sort_out()
+        unit = x / np.linalg.norm(x, axis=1)[:, None].astype("f8")
+        for q in range(0, 300, 17):
+            own = np.flatnonzero(np.array(scope) == q % 30)
+            wanted = own[np.argsort(-(unit[own] @ asked[q]))[:3]]
+            assert set(wanted) <= set(ids[request == q]) and len(ids[request == q]) < 6
+        assert best.seen == 3000
+        cells, spent = [], sum(cells)
+        assert spent == (3000 * 30 if most else 3000 * 300)
