@@ -6,6 +6,7 @@ their exact distance, and only then is text read, for the hits alone. Ties in di
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from datetime import date
 
@@ -21,6 +22,8 @@ HIT = ["id", "document_id", "chunk_index", "page_from", "page_to", "content", "r
 #: Requests that one pass may broadcast: with vectors of 1,024 floats about 40 MB. Of shorter vectors and few hits it may broadcast more: as many as take
 #: BLOCK_BYTES, ask for BLOCK_HITS, and MOST_REQUESTS at most.
 BLOCK_REQUESTS, BLOCK_BYTES, BLOCK_HITS, MOST_REQUESTS = 10_000, 40 << 20, 500_000, 100_000
+#: Bytes of a block's vectors in double precision when all rows meet all, and rows for which a block of their own pays.
+NEAR_BYTES, NEAR_ROWS = 8 << 20, 256
 
 
 def eligible(convenio_id: int | None, include_national_law: bool, statuses: Sequence[str], as_of: date | None) -> Column:
@@ -152,34 +155,35 @@ def fan_out(hits: DataFrame) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n", "rank")
 
 
-def blocks_of(requests: DataFrame, key: str) -> list[DataFrame]:
-    """The rows in blocks of about BLOCK_REQUESTS at most, dealt by the hash of a key; they are counted."""
-    return _dealt(requests, key, max(1, -(-requests.count() // BLOCK_REQUESTS)))
-
-
 def _dealt(requests: DataFrame, key: str, parts: int) -> list[DataFrame]:
     return [requests] if parts == 1 else [requests.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows in blocks for `scoring.nearest`: at most BLOCK_REQUESTS rows and NEAR_BYTES in each, and so many that their pairs keep all cores busy."""
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    most = max(1, min(BLOCK_REQUESTS, NEAR_BYTES // (8 * max(1, width))))
+    busy = min(-(-n // NEAR_ROWS), math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))
+    # In files they are packed once, not for each pair, and Spark deals them evenly.
+    path = unused_path(rows.sparkSession, "blocks")
+    scoring.packed(rows, most, max(1, -(-n // most), busy)).write.parquet(path)
+    return rows.sparkSession.read.schema("block binary").parquet(path)
+
+
 def nearest(left: DataFrame, right: DataFrame, same_row: bool = False, other: str | None = None) -> DataFrame:
     """For each row of left (id, embedding) the row of right with the largest dot product, the smallest id among equals.
 
-    Every row of left meets every row of right, as matrix products over Arrow batches (`scoring.nearest`): rows of left go to the workers in blocks of at
-    most BLOCK_REQUESTS, a task gives its few best of each, and these are ranked by the exact product. Unless same_row, rows of the same id do
-    not match; `other` names a column of both in which they must differ."""
-    names = ["id", "embedding", *([other] if other else [])]
-    corpus = right.select(*[F.col(c).alias(f"near_{c}") for c in names])
-    out = None
-    for block in blocks_of(left.select(*names), "id"):
-        few = scoring.nearest(block, right.select(*names), same_row, other)
-        pairs = few.join(F.broadcast(block), "id").join(corpus, "near_id")
-        pairs = pairs.select("id", "near_id", vectors.dot(F.col("embedding"), F.col("near_embedding")).alias("similarity"))
-        best = pairs.groupBy("id").agg(F.max_by(F.struct("near_id", "similarity"), F.struct("similarity", -F.col("near_id"))).alias("m")).select("id", "m.near_id", "m.similarity")
-        out = best if out is None else out.unionByName(best)
-    return out
+    Every row of left meets every row of right, as matrix products of blocks (`scoring.nearest`): both sides are packed into blocks of bounded size, which
+    the tasks fetch in pairs, so that nothing passes through the driver; a pair of blocks gives one row for each row of left. Unless same_row, rows of the
+    same id do not match; `other` names a column of both in which they must differ."""
+    columns = ["id", "embedding", *([F.col(other).alias("other")] if other else [])]
+    asked = _packed(left.select(*columns))
+    found = scoring.nearest(asked, asked if left is right else _packed(right.select(*columns)), same_row)
+    order = F.struct("similarity", F.col("near_id").isNotNull(), F.bitwise_not("near_id"))
+    return found.groupBy("id").agg(F.max_by(F.struct("near_id", "similarity"), order).alias("m")).select("id", "m.near_id", "m.similarity")
 
 
 def self_retrieval(queries: DataFrame, corpus: DataFrame, gate: float = 0.85) -> DataFrame:
     """How many queries (id, embedding) have the corpus row of their own id as nearest, and whether that passes the gate."""
-    hit = (F.col("id") == F.col("near_id")).cast("long")
+    hit = F.coalesce(F.col("id") == F.col("near_id"), F.lit(False)).cast("long")
     return nearest(queries, corpus, same_row=True).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"), (F.sum(hit) / F.count("*")).alias("accuracy")).withColumn("passed", F.col("accuracy") >= gate)

@@ -230,56 +230,194 @@ def work(found: DataFrame) -> DataFrame:
     return found.filter("id is null").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
 
 
-def _few(request: np.ndarray, ids: np.ndarray, product: np.ndarray, name: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of pairs of a request and a vector those that reach the bar of their request, of equal vectors the one with the smallest id."""
-    keep = product >= bar[request]
-    request, ids, product, name = request[keep], ids[keep], product[keep], name[keep]
-    order = np.lexsort((ids, name, request))
-    request, ids, product, name = request[order], ids[order], product[order], name[order]
-    first = np.ones(len(request), bool)
-    first[1:] = (request[1:] != request[:-1]) | (name[1:] != name[:-1])
-    return request[first], ids[first], product[first], name[first]
-
-
-def nearest(block: DataFrame, rows: DataFrame, same_row: bool, other: str | None) -> DataFrame:
-    """(id, near_id): for each row of block (id, embedding) all rows whose dot product can be the largest of its task, a few at most.
-
-    Vectors of other lengths than the widest of the block, null ones and ones that hold no finite numbers count as the farthest: such a row is
-    named only where there is no other. A request like that meets nothing but these, and the smallest id is named."""
-    spark = rows.sparkSession
-    ship(spark)
-    asked = block.collect()
-    width = max((len(r["embedding"] or ()) for r in asked), default=0)
-    unit, good = _matrix(pa.array([r["embedding"] and list(r["embedding"]) for r in asked], pa.list_(pa.float64())), width)
-    # Values of `other` go by number; null equals nothing and differs from nothing, as in SQL.
-    values = {v: n for n, v in enumerate(dict.fromkeys(r[other] for r in asked if r[other] is not None))} if other else {}
-    own = np.array([values.get(r[other], -2) for r in asked], np.int64) if other else None
-    held = spark.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), unit, good, own, values))
+#: Cells of a product of two blocks at once.
+NEAR_CELLS = 1_000_000
+
+
+def packed(rows: DataFrame, most: int, parts: int) -> DataFrame:
+    """Rows (id, embedding, maybe other) as blocks, dealt evenly over so many partitions: `block` is an Arrow stream of at most so many rows in the order of
+    their ids. `first` tells the rows that a search must meet: of rows with equal vectors and equal `other` those of the two smallest ids, as one of the two
+    is another row than the one that asks."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, fine, own, values = held.value
-        size, best = np.linalg.norm(q, axis=1), np.full(len(ids), -np.inf)
-        mix = np.random.default_rng(1).integers(1, 2**63, q.shape[1], dtype=np.uint64) | np.uint64(1)
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
-        longest, step = 0.0, max(1, CELLS // max(1, len(ids)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                near, (x, there) = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding"), q.shape[1])
-                longest = max(longest, float(np.linalg.norm(x, axis=1).max(initial=0.0)))
-                product = np.where(there[:, None] & fine, x @ q.T, -np.inf)
-                live = np.ones(product.shape, bool) if same_row else near[:, None] != ids
-                if own is not None:
-                    theirs = np.array([-2 if v is None else values.get(v, -1) for v in batch.column("other").to_pylist()], np.int64)[:, None]
-                    live &= (theirs != own) & (theirs != -2) & (own != -2)
-                best = np.maximum(best, np.where(live, product, -np.inf).max(axis=0, initial=-np.inf))
-                # Rounding errors are far smaller than this share of the lengths; the exact product decides.
-                bar = best - SLACK * size * longest
-                row, request = np.nonzero(live & (product >= bar))
-                with np.errstate(over="ignore"):
-                    name = (x.view(np.uint64) * mix).sum(axis=1, dtype=np.uint64) if x.shape[1] else np.zeros(len(x), np.uint64)
-                name = np.where(product[row, request] > -np.inf, name[row], np.uint64(0))  # of the farthest only the smallest id is kept
-                found = _few(*(np.concatenate(c) for c in zip(found, (request, near[row], product[row, request], name), strict=True)), bar)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1], pa.int64())], ["id", "near_id"])
-
-    return rows.select("id", "embedding", *([F.col(other).alias("other")] if other else [])).mapInArrow(run, "id long, near_id long")
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= most:
+                table = pa.Table.from_batches(held)
+                yield _block(table.slice(0, most))
+                held = table.slice(most).to_batches()
+        if sum(b.num_rows for b in held):
+            yield _block(pa.Table.from_batches(held))
+
+    return rows.repartition(parts).mapInArrow(run, "block binary")
+
+
+def _block(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_end")).combine_chunks()
+    rows = rows.append_column("first", pa.array(_first_two(rows)))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def _unblock(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks()
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values have equal numbers; null is -1."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+
+def _by_width(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By their length the vectors that are there, in the element type of the column: their places and values. A vector with a null in it has no products."""
+    column = rows["embedding"].combine_chunks()
+    sizes, holes, whole = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False), np.zeros(len(column), bool), column.flatten()
+    if whole.null_count:
+        holes[pc.list_parent_indices(column).filter(whole.is_null()).to_numpy(zero_copy_only=False)] = True
+    out = {}
+    for width in np.unique(sizes[(sizes >= 0) & ~holes]).tolist():
+        at = np.flatnonzero((sizes == width) & ~holes)
+        out[width] = at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+    return out
+
+
+def _first_two(rows: pa.Table) -> np.ndarray:
+    """Of rows in the order of their ids, and with equal vectors and equal `other`, those of the two smallest ids."""
+    alike, n = np.full(len(rows), -1), 0
+    for width, (at, values) in _by_width(rows).items():
+        if width:
+            raw = np.ascontiguousarray(values).view(np.dtype((np.void, width * values.itemsize))).reshape(-1)
+            alike[at] = np.unique(raw, return_inverse=True)[1].reshape(-1) + n
+        else:
+            alike[at] = n
+        n += len(at)
+    # Vectors with a null in them are as good as null ones: nothing has a product with either.
+    other = _codes(rows["other"]) if "other" in rows.column_names else np.zeros(len(rows), np.int64)
+    ids = _codes(rows["id"])
+    name = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) if len(ids) else ids
+    order = np.lexsort((name, other, alike))
+    alike, other, name = alike[order], other[order], name[order]
+    group = np.ones(len(order), bool)
+    group[1:] = (alike[1:] != alike[:-1]) | (other[1:] != other[:-1])
+    nth = np.cumsum(group | np.concatenate([[True], name[1:] != name[:-1]])) if len(order) else name
+    out = np.zeros(len(order), bool)
+    out[order] = nth - np.maximum.accumulate(np.where(group, nth, 0)) < 2
+    return out
+
+
+def nearest(left: DataFrame, right: DataFrame, same_row: bool) -> DataFrame:
+    """(id, near_id, similarity): for each row of a block of left and each block of right (both `packed`) the row with the largest dot product, the smallest
+    id among equals. Rows of equal `other`, if there is one, do not meet, nor do, unless same_row, rows of equal id.
+
+    A null product, of vectors of different lengths or with a null, comes last, and NaN first, as in SQL."""
+    ship(left.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("block"), batch.column("near_block"), strict=True):
+                yield _nearest(_unblock(one), _unblock(two), same_row)
+
+    # The hint keeps Spark from sending one side whole to all executors.
+    pairs = left.crossJoin(right.withColumnRenamed("block", "near_block").hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(run, "id long, near_id long, similarity double")
+
+
+class _Apart:
+    """Which rows of one table (asked) may not meet which of another (near, in the order of ids)."""
+
+    def __init__(self, asked: pa.Table, near: pa.Table, same_row: bool):
+        self.low = self.high = self.asked = None
+        if not same_row:
+            ids = near["id"].to_numpy()
+            self.low, self.high = (np.searchsorted(ids, asked["id"].to_numpy(), side) for side in ("left", "right"))
+        if "other" in asked.column_names:
+            codes = _codes(pa.chunked_array([*asked["other"].chunks, *near["other"].chunks], asked["other"].type))
+            self.asked, self.near = codes[: len(asked)], codes[len(asked) :]
+
+    def mark(self, cells: np.ndarray, rows: np.ndarray, columns: np.ndarray, value: float | bool) -> np.ndarray:
+        """Puts the value into the cells of such pairs."""
+        if self.low is not None:
+            low, high = (np.searchsorted(columns, x[rows]) for x in (self.low, self.high))
+            n = high - low
+            row = np.repeat(np.arange(len(rows)), n)
+            cells[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]] = value
+        if self.asked is not None:
+            np.putmask(cells, self.asked[rows][:, None] == self.near[columns], value)
+        return cells
+
+
+def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in the order of the dimensions, as `vectors.dot` does."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
+
+
+def _nearest(asked: pa.Table, near: pa.Table, same_row: bool) -> pa.RecordBatch:
+    near = near.filter(near["first"])
+    for c in ([] if same_row else ["id"]) + (["other"] if "other" in asked.column_names else []):
+        # Null differs from nothing, as in SQL.
+        asked, near = (x.filter(x[c].is_valid()) for x in (asked, near))
+    asked, near = asked.combine_chunks(), near.combine_chunks()
+    apart, theirs = _Apart(asked, near, same_row), _by_width(near)
+    place, value, known = np.full(len(asked), -1), np.zeros(len(asked)), np.zeros(len(asked), bool)
+    for width, (rows, x) in _by_width(asked).items():
+        if width in theirs:
+            columns, y = theirs[width]
+            x, y = x.astype(np.float64), y.astype(np.float64)
+            step = max(1, NEAR_CELLS // len(columns))
+            room, size, longest = np.empty((min(step, len(rows)), len(columns))), *(np.linalg.norm(v, axis=1) for v in (x, y))
+            longest = longest[np.isfinite(longest)].max(initial=0.0)
+            for at in range(0, len(rows), step):
+                own = slice(at, at + step)
+                found, best = _nearest_of(x[own], y, rows[own], columns, apart, size[own], longest, room)
+                place[rows[own]], value[rows[own]], known[rows[own]] = np.where(found >= 0, columns[found], -1), best, found >= 0
+    # Those without any product meet the smallest id.
+    late, every = np.flatnonzero(~known), np.arange(len(near))
+    step = max(1, NEAR_CELLS // max(1, len(every)))
+    for at in range(0, len(late) if len(every) else 0, step):
+        some = late[at : at + step]
+        live = apart.mark(np.ones((len(some), len(every)), bool), some, every, False)
+        place[some] = np.where(live.any(axis=1), live.argmax(axis=1), -1)
+    there = np.flatnonzero(place >= 0)
+    ids, near_ids = asked["id"].combine_chunks().take(pa.array(there)), near["id"].combine_chunks().take(pa.array(place[there]))
+    return pa.RecordBatch.from_arrays([ids, near_ids, pa.array(value[there], pa.float64(), mask=~known[there])], ["id", "near_id", "similarity"])
+
+
+def _nearest_of(x: np.ndarray, y: np.ndarray, rows: np.ndarray, columns: np.ndarray, apart: _Apart, size: np.ndarray, longest: float, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of x, of these lengths, the place of its nearest in y (-1: none may be met), and the exact product. Products are put into `room`."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        cells = apart.mark(np.matmul(x, y.T, out=room[: len(x)]), rows, columns, -np.inf)
+        best = cells.max(axis=1)
+        # Products of zero vectors need no closer look, nor do NaN and infinite ones.
+        plain = ~np.isfinite(best) | (size == 0) | (longest == 0)
+        # Rounding errors are far smaller than this share of the lengths; the exact product decides.
+        bar = np.where(plain, np.nan, best - SLACK * size * longest)
+        near = cells >= bar[:, None]
+        if np.count_nonzero(near) == len(x) - np.count_nonzero(plain):  # one for each: found sooner
+            row = np.flatnonzero(~plain)
+            column = near[row].argmax(axis=1)
+        else:
+            row, column = np.divmod(np.flatnonzero(near), len(columns))
+    step = max(1, NEAR_CELLS // max(1, x.shape[1]))
+    product = np.concatenate([np.zeros(0), *(_fold(x[row[at : at + step]], y[column[at : at + step]]) for at in range(0, len(row), step))])
+    order = np.lexsort((column, -product, row))
+    order = order[np.unique(row[order], return_index=True)[1]]
+    place, value = np.full(len(x), -1), np.zeros(len(x))
+    place[row[order]], value[row[order]] = column[order], product[order]
+    some = np.flatnonzero(plain)
+    if len(some):
+        place[some] = cells[some].argmax(axis=1)
+        value[some] = cells[some, place[some]] + 0.0
+        least = some[np.isneginf(value[some])]  # products that are so, or no row that may be met
+        step = max(1, NEAR_CELLS // len(columns))
+        for at in range(0, len(least), step):
+            part = least[at : at + step]
+            live = apart.mark(np.ones((len(part), len(columns)), bool), rows[part], columns, False)
+            place[part] = np.where(live.any(axis=1), live.argmax(axis=1), -1)
+    return place, value

@@ -788,3 +788,29 @@ def test_lines_whose_glyphs_are_together_need_no_shuffle(spark, sf_dir):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     apart = rows.select(*layout.LINE, F.explode("g").alias("x")).select(*layout.LINE, "x.*")
     assert sorted(found.collect()) == sorted(layout.lines(apart.repartition(3)).collect())
+
+
+def test_nearest_other_label_asks_for_every_row(spark, sf_dir):
+    found = reference.nearest_other_label(spark, sf_dir)
+    assert {r["id"] for r in found.collect()} == {r["vec_id"] for r in reference.table(spark, sf_dir, "embeddings").select("vec_id").collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("asks", [{"other": "label"}, {"same_row": True}, {}])
+def test_nearest_of_odd_vectors_as_in_duckdb(spark, monkeypatch, tmp_path, asks):
+    import duckdb
+
+    random_ = np.random.default_rng(7)
+    rows = [[k, x, k % 3] for k, x in enumerate(random_.integers(-2, 3, size=(90, 3)).astype(float).tolist())]
+    for k, x in ((4, None), (40, None), (5, [0.0, -0.0, 0.0]), (6, [float("nan"), 1.0, 1.0]), (7, [float("inf"), 0.0, -1.0]), (8, [float("-inf"), 1.0, 2.0]), (9, [3e38, 3e38, -3e38])):
+        rows[k][1] = x
+    rows[10][2], rows[11][2], rows[12][0], rows[14][0], rows[15][0] = None, None, None, 13, 13
+    schema = "id long, embedding array<float>, label int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/e")
+    e = spark.read.schema(schema).parquet(f"{tmp_path}/e")
+    on = {"other": "a.id <> b.id AND a.label <> b.label", "same_row": "true"}.get(next(iter(asks), None), "a.id <> b.id")
+    wanted = duckdb.sql(f"""WITH e AS (FROM '{tmp_path}/e/*.parquet'), p AS (SELECT a.id, b.id AS near_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM e a JOIN e b ON {on})
+        SELECT id, near_id, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near_id) AS n FROM p) WHERE n = 1""").fetchall()
+    for most in (10_000, 17):
+        monkeypatch.setattr(retrieval, "BLOCK_REQUESTS", most)
+        assert sorted(map(repr, map(tuple, retrieval.nearest(e, e, **asks).collect()))) == sorted(map(repr, wanted))
