@@ -397,7 +397,7 @@ def _nearest_of(x: np.ndarray, y: np.ndarray, rows: np.ndarray, columns: np.ndar
         # Products of zero vectors need no closer look, nor do NaN and infinite ones.
         plain = ~np.isfinite(best) | (size == 0) | (longest == 0)
         # Rounding errors are far smaller than this share of the lengths; the exact product decides.
-        bar = np.where(plain, np.nan, best - SLACK * size * longest)
+        bar = np.where(plain, np.nan, np.maximum(best - SLACK * size * longest, -np.finfo(float).max))
         near = cells >= bar[:, None]
         if np.count_nonzero(near) == len(x) - np.count_nonzero(plain):  # one for each: found sooner
             row = np.flatnonzero(~plain)

@@ -819,3 +819,8 @@ def test_nearest_of_odd_vectors_as_in_duckdb(spark, monkeypatch, tmp_path, asks)
 def test_self_nn_accuracy_asks_for_every_row(spark, sf_dir):
     (found,) = reference.self_nn_accuracy(spark, sf_dir).collect()
     assert found["n"] == reference.table(spark, sf_dir, "embeddings").count() and found["hits"] <= found["n"]
+
+
+def test_nearest_of_vectors_too_long_for_their_squares(spark):
+    e = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0])], "id long, embedding array<double>")
+    assert {r["id"]: r["near_id"] for r in retrieval.nearest(e, e).collect()} == {0: 1, 1: 0, 2: 1}
