@@ -809,7 +809,7 @@ def test_nearest_of_odd_vectors_as_in_duckdb(spark, monkeypatch, tmp_path, asks)
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/e")
     e = spark.read.schema(schema).parquet(f"{tmp_path}/e")
     on = {"other": "a.id <> b.id AND a.label <> b.label", "same_row": "true"}.get(next(iter(asks), None), "a.id <> b.id")
-    wanted = duckdb.sql(f"""WITH e AS (FROM '{tmp_path}/e/*.parquet'), p AS (SELECT a.id, b.id AS near_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM e a JOIN e b ON {on})
+    wanted = duckdb.connect().execute(f"""WITH e AS (FROM '{tmp_path}/e/*.parquet'), p AS (SELECT a.id, b.id AS near_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM e a JOIN e b ON {on})
         SELECT id, near_id, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near_id) AS n FROM p) WHERE n = 1""").fetchall()
     for most in (10_000, 17):
         monkeypatch.setattr(retrieval, "BLOCK_REQUESTS", most)
